@@ -23,7 +23,7 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -78,17 +78,18 @@ def original_id(col: str = "_id"):
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 16, 1 << int(n).bit_length())
-    if size not in _POWERS:
+    """Powers of the base and of its inverse; the table of the largest usual chunk is kept."""
+    if "table" not in _POWERS or len(_POWERS["table"][0]) < n:
+        size = -(-n // (1 << 20)) << 20
         both = []
         for p in (_P, _P_INV):
             a = np.full(size, p, dtype=np.uint64)
             a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        if size <= 2 * CHUNK_BYTES:
-            _POWERS[size] = (both[0], both[1])
-        return both[0], both[1]
-    return _POWERS[size]
+            both.append(np.multiply.accumulate(a, out=a))
+        if size > 2 * CHUNK_BYTES:
+            return both[0], both[1]
+        _POWERS["table"] = (both[0], both[1])
+    return _POWERS["table"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,7 +112,10 @@ class Prefix:
     def __init__(self, buf: np.ndarray):
         self.up, self.down = _powers(len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.up[: len(buf)], out=self.sums[1:])
+        self.sums[1:] = buf
+        self.sums[1:] += np.uint64(1)
+        self.sums[1:] *= self.up[: len(buf)]
+        np.cumsum(self.sums, out=self.sums)
 
     def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])

@@ -31,7 +31,7 @@ _OCCURRENCE = np.dtype([("id", "<i8"), ("h", "<u4"), ("pos", "<u4")])
 
 
 def _pack(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(x)
+    return zstandard.ZstdCompressor(level=6).compress(x)
 
 
 def _unpack(x: bytes) -> bytes:
@@ -203,14 +203,14 @@ def bucket_count(keyed: DataFrame, bucket_bytes: int) -> int:
     return max(16, 3 * total // bucket_bytes)
 
 
-def removed_spans(keyed: DataFrame, k: int = 13, m: int = 3, bucket_bytes: int = 16 << 20, block_bytes: int = 8 << 20) -> DataFrame:
+def removed_spans(keyed: DataFrame, k: int = 13, m: int = 2, bucket_bytes: int = 5 << 20, block_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """(_id, _h, a, b): word intervals [a, b) of a document covered by windows that also start in a smaller document."""
     buckets = bucket_count(keyed, bucket_bytes)
     sent = keyed.mapInArrow(_send(k, m, buckets, block_bytes), _BLOB)
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), "_id long, _h long, a int, b int")
 
 
-def substring_dedup(docs: DataFrame, k: int = 13, m: int = 3, with_text: bool = True, **sizes: int) -> DataFrame:
+def substring_dedup(docs: DataFrame, k: int = 13, m: int = 2, with_text: bool = True, **sizes: int) -> DataFrame:
     """(_id, _h, n_words, n_removed, kept): kept is the text of the kept words, or with with_text=False its SHA-256."""
     keyed = C.keyed_documents(docs)
     spans = removed_spans(keyed, k, m, **sizes).groupBy("_id", "_h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
