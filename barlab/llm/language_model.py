@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from barlab.llm import common as C
 
 ORDER = 6
-LEAST_SHARE = 2e-6
+LEAST_SHARE = 4e-6
 END = 10
 _LANE = 256
 
@@ -104,79 +104,81 @@ def _windows(order: int, buckets: int):
     return windows, merge
 
 
-def context_counts(texts: DataFrame, order: int, least_share: float, buckets: int) -> tuple[list[dict[bytes, np.ndarray]], int]:
-    """Per length, next-symbol counts of every context with the least share of all symbols; and the number of symbols."""
+def context_counts(texts: DataFrame, order: int, least_share: float, buckets: int) -> Iterator[pa.Table]:
+    """For each length from 0 to order: (context, next: its next symbols and their counts) of every context that makes up the least share of all symbols."""
     windows, merge = _windows(order, buckets)
     sent = texts.mapInArrow(windows, "bucket int, keys binary, counts binary")
     full = C.materialised(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "key long, n long"), "lm-windows")
-    total = full.agg(F.sum("n")).first()[0] or 0
-    least = max(3, int(least_share * total))
-    levels: list[dict[bytes, np.ndarray]] = []
+    least = max(8, int(least_share * (full.agg(F.sum("n")).first()[0] or 0)))
     for m in range(order + 1):
         low = full.select(F.expr(f"key & {(1 << (8 * (m + 1))) - 1}L").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-        often = low.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("t"), F.collect_list(F.struct(F.expr("int(key & 255)").alias("s"), "n")).alias("next")).where(F.col("t") >= least)
-        # 1/least_share contexts at most
-        found: dict[bytes, np.ndarray] = {}
-        for r in often.select("context", "next").collect():
-            counts = np.zeros(256)
-            for s, n in r["next"]:
-                counts[s] = n
-            found[int(r["context"]).to_bytes(m, "big")] = counts
-        levels.append(found)
-    return levels, total
-
-
-def grow(levels: list[dict[bytes, np.ndarray]]) -> dict[bytes, np.ndarray]:
-    """Retained contexts and their smoothed next-symbol probabilities."""
-    root = levels[0].get(b"", np.zeros(256))
-    kinds = max(1, int((root > 0).sum()))
-    model = {b"": (root + kinds / 256) / (root.sum() + kinds)}
-    smooth: dict[bytes, np.ndarray] = dict(model)
+        often = low.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("t"), F.collect_list(F.struct(F.expr("int(key & 255)").alias("s"), "n")).alias("next")).where((F.col("t") >= least) | F.lit(m == 0))
+        yield often.select("context", "next").toArrow()  # 1/least_share contexts at most
+
+
+def grow(levels: Iterator[pa.Table]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Symbols of the training texts, retained contexts, and their smoothed probabilities of these symbols and, last, of each other byte."""
+    used = np.zeros(0, np.int64)
+    contexts: list[bytes] = [b""]
+    rows: dict[bytes, np.ndarray] = {b"": np.full(1, 1 / 256, np.float32)}
     keep: set[bytes] = {b""}
-    for level in levels[1:]:
-        for context, counts in level.items():
-            parent = context[1:]
-            while parent not in smooth:
-                parent = parent[1:]
-            n, t = counts.sum(), int((counts > 0).sum())
-            smooth[context] = (counts + t * smooth[parent]) / (n + t)
-            seen = counts > 0
-            divergence = (counts[seen] * np.log(counts[seen] / n / smooth[parent][seen])).sum()
-            if divergence > 0.5 * t * np.log(n):
-                while context not in keep:  # with all its suffixes
-                    keep.add(context)
-                    context = context[1:]
-    return {c: smooth[c] for c in keep if c in smooth}
+    for m, level in enumerate(levels):
+        found = level.column("next").combine_chunks()
+        flat, size = found.flatten(), found.value_lengths().to_numpy(zero_copy_only=False)
+        symbol, n = flat.field("s").to_numpy(), flat.field("n").to_numpy()
+        if m == 0:
+            used = np.unique(symbol)
+            root = np.zeros(len(used) + 1)
+            root[np.searchsorted(used, symbol)] = n
+            rows = {b"": ((root + len(used) / 256) / (root.sum() + max(1, len(used)))).astype(np.float32) if len(used) else np.full(1, 1 / 256, np.float32)}
+            previous = rows
+            continue
+        names = [int(c).to_bytes(m, "big") for c in level.column("context").to_pylist()]
+        counts = np.zeros((len(names), len(used) + 1), dtype=np.float32)
+        counts[np.repeat(np.arange(len(names)), size), np.searchsorted(used, symbol)] = n
+        if not names:
+            break
+        parent = np.stack([previous[c[1:]] for c in names])
+        total, kinds = counts.sum(1), (counts > 0).sum(1)
+        smooth = ((counts + kinds[:, None] * parent) / (total + kinds)[:, None]).astype(np.float32)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            divergence = np.where(counts > 0, counts * np.log(counts / total[:, None] / parent), 0).sum(1)
+        previous = dict(zip(names, smooth, strict=True))
+        for c in (names[i] for i in np.flatnonzero(divergence > 0.5 * kinds * np.log(np.maximum(total, 2))).tolist()):
+            while c not in keep:  # with all its suffixes
+                keep.add(c)
+                c = c[1:]
+        rows |= previous
+    contexts = sorted(keep, key=lambda c: (len(c), c))
+    return used, contexts, np.stack([rows[c] for c in contexts])
 
 
 class Automaton:
     """Longest-suffix states: next state and log10 probability by (state, symbol class)."""
 
-    def __init__(self, model: dict[bytes, np.ndarray]):
-        used = sorted({b for c in model for b in c} | set(np.flatnonzero(model[b""] > model[b""].min()).tolist()))
-        unseen = next((b for b in range(256) if b not in set(used)), 255)
-        symbols = np.array([*used, unseen])
+    def __init__(self, used: np.ndarray, contexts: list[bytes], probabilities: np.ndarray):
+        self.width = len(used) + 1
         self.classes = np.full(256, len(used), dtype=np.int32)
         self.classes[used] = np.arange(len(used))
-        nodes = sorted({c[:i] for c in model for i in range(len(c) + 1)}, key=lambda c: (len(c), c))
+        retained = {c: i for i, c in enumerate(contexts)}
+        nodes = sorted({c[:i] for c in contexts for i in range(len(c) + 1)}, key=lambda c: (len(c), c))
         index = {c: i for i, c in enumerate(nodes)}
-        self.width = len(symbols)
         self.next = np.zeros((len(nodes), self.width), dtype=np.int32)
-        self.logp = np.zeros((len(nodes), self.width), dtype=np.float32)
+        children: dict[int, list[tuple[int, int]]] = {}
         for c, i in index.items():
-            s = c
-            while s not in model:
-                s = s[1:]
-            self.logp[i] = np.log10(model[s][symbols])
-            if i:
+            if c:
+                children.setdefault(index[c[:-1]], []).append((int(self.classes[c[-1]]), i))
+        row = np.zeros(len(nodes), dtype=np.int64)
+        for c, i in index.items():  # shorter ones first
+            if c:
                 fail = c[1:]
                 while fail not in index:
                     fail = fail[1:]
                 self.next[i] = self.next[index[fail]]
-            for j, b in enumerate(used):
-                to = index.get(c + bytes([b]))
-                if to is not None:
-                    self.next[i, j] = to
+                row[i] = retained[c] if c in retained else row[index[fail]]
+            for j, to in children.get(i, []):
+                self.next[i, j] = to
+        self.logp = np.log10(probabilities)[row]
         self.order = max(len(c) for c in nodes)
 
     def score(self, spelled: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -203,9 +205,16 @@ class Automaton:
         return np.add.reduceat(p, begins)
 
 
+#: The last automaton of this worker, with the broadcast variable that it was made of.
+_AUTOMATA: dict = {}
+
+
 def _score(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(model.value)
+        if id(model) not in _AUTOMATA:
+            _AUTOMATA.clear()
+            _AUTOMATA[id(model)] = (model, Automaton(*model.value))
+        automaton = _AUTOMATA[id(model)][1]
         for rows, buf, offsets in C.text_chunks(batches):
             spelled, at, first = tokens(buf, offsets)
             yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_h"), rows.column("held_out"), pa.array(np.diff(first)), pa.array(automaton.score(spelled, at[first[:-1]]))], names=["_id", "_h", "held_out", "n_tokens", "score"])
@@ -286,8 +295,7 @@ def language_model(docs: DataFrame, order: int = ORDER, least_share: float = LEA
     spark = docs.sparkSession
     keyed = C.keyed_documents(docs).withColumn("held_out", F.coalesce(F.crc32(C.original_id().cast("string").cast("binary")) % 7 == 2, F.lit(True)))
     total = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    levels, _ = context_counts(keyed.where("not held_out").select("_text"), order, least_share, max(8, total // (32 << 20)))
-    model = grow(levels)
+    model = grow(context_counts(keyed.where("not held_out").select("_text"), order, least_share, max(8, total // (32 << 20))))
     scored = C.materialised(keyed.mapInArrow(_score(spark.sparkContext.broadcast(model)), "_id long, _h long, held_out boolean, n_tokens long, score double"), "lm-scores")
     buckets = max(8, total // bucket_bytes)
     parts = keyed.mapInArrow(_send_tokens(buckets, block_bytes), "bucket int, n int, docs binary, lengths binary, words binary, per_word binary, doc binary, tf binary")
