@@ -88,7 +88,7 @@ def _windows(order: int, buckets: int):
             for j in range(order, -1, -1):
                 key = (key << np.uint64(8)) | padded[place - j].astype(np.uint64)
             parts.append(np.unique(key, return_counts=True))
-            if sum(len(k) for k, _ in parts) > 8_000_000:
+            if sum(len(k) for k, _ in parts) > 2_500_000:
                 yield packed(parts)
                 parts = []
         if parts:
@@ -290,12 +290,12 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([-1]), pa.array([int(count.sum())]), pa.array([0.0]), pa.array([int((count > 0).sum())])], names=names)
 
 
-def language_model(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE, bucket_bytes: int = 48 << 20, block_bytes: int = 8 << 20) -> DataFrame:
+def language_model(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE, bucket_bytes: int = 16 << 20, block_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """(_id, _h, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     keyed = C.keyed_documents(docs).withColumn("held_out", F.coalesce(F.crc32(C.original_id().cast("string").cast("binary")) % 7 == 2, F.lit(True)))
     total = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    model = grow(context_counts(keyed.where("not held_out").select("_text"), order, least_share, max(8, total // (32 << 20))))
+    model = grow(context_counts(keyed.where("not held_out").select("_text"), order, least_share, max(8, total // (16 << 20))))
     scored = C.materialised(keyed.mapInArrow(_score(spark.sparkContext.broadcast(model)), "_id long, _h long, held_out boolean, n_tokens long, score double"), "lm-scores")
     buckets = max(8, total // bucket_bytes)
     parts = keyed.mapInArrow(_send_tokens(buckets, block_bytes), "bucket int, n int, docs binary, lengths binary, words binary, per_word binary, doc binary, tf binary")

@@ -83,24 +83,20 @@ def _probes(model, n: int):
     return probes
 
 
-def adaptive_scan(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
-    """Rows of x that may be among the k nearest of q, by partial distances; rows in `own` are left out."""
+def adaptive_scan(x: np.ndarray, q: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Rows of x that may be among the k nearest of q; `first` holds their distances over the first column block."""
     d = x.shape[1]
-    alive = np.flatnonzero(~own)
-    if len(alive) <= 2 * k:
-        return alive
-    seeds = alive[:: max(1, len(alive) // (2 * k))][: 2 * k]
-    bound = np.partition(((x[seeds] - q) ** 2).sum(1), k - 1)[k - 1] if len(seeds) >= k else np.inf
-    partial = np.zeros(len(alive))
-    for a in range(0, d, _COLUMNS):
-        b = min(d, a + _COLUMNS)
-        partial += ((x[alive, a:b] - q[a:b]) ** 2).sum(1)
-        limit = bound * (b / d) * (1 + _ERRORS / np.sqrt(b)) ** 2 if b < d else bound * (1 + 1e-9)
-        keep = partial <= limit
+    if len(x) <= 2 * k:
+        return np.arange(len(x))
+    promising = np.argpartition(first, 2 * k - 1)[: 2 * k]
+    bound = np.partition(((x[promising] - q) ** 2).sum(1), k - 1)[k - 1]
+    alive, partial = np.arange(len(x)), first
+    for b in [*range(_COLUMNS, d, _COLUMNS), d]:
+        if b > _COLUMNS:
+            a = (b - 1) // _COLUMNS * _COLUMNS
+            partial = partial + ((x[alive, a:b] - q[a:b]) ** 2).sum(1)
+        keep = partial <= bound * ((b / d) * (1 + _ERRORS / np.sqrt(b)) ** 2 if b < d else 1 + 1e-4)
         alive, partial = alive[keep], partial[keep]
-        if b < d and len(alive) > 8 * k:  # a few promising candidates, measured whole, tighten the bound
-            best = alive[np.argpartition(partial, 2 * k)[: 2 * k]]
-            bound = min(bound, np.partition(((x[best] - q) ** 2).sum(1), k - 1)[k - 1])
     return alive
 
 
@@ -114,10 +110,14 @@ def _search(model, k: int):
             vec, ids = _matrix(group.column("vec")), group.column("vec_id").to_numpy()
             base, asked = vec[~is_query], vec[is_query]
             base_ids, query_ids = ids[~is_query], ids[is_query]
-            x, q = _lifted(base, most) @ turn, _lifted(asked, None) @ turn
+            x, q = (_lifted(base, most) @ turn).astype(np.float32), (_lifted(asked, None) @ turn).astype(np.float32)
+            x1, q1 = x[:, :_COLUMNS], q[:, :_COLUMNS]
+            first = np.maximum((q1**2).sum(1)[:, None] - 2 * (q1 @ x1.T) + (x1**2).sum(1)[None, :], 0)
+            first[query_ids[:, None] == base_ids[None, :]] = np.inf  # a query is not its own neighbour
             out_q, out_v, out_s = [], [], []
             for i in range(len(q)):
-                found = adaptive_scan(x, q[i], k, base_ids == query_ids[i])
+                found = adaptive_scan(x, q[i], first[i], k)
+                found = found[base_ids[found] != query_ids[i]]
                 score = (base[found] * asked[i]).sum(1)
                 best = np.lexsort((base_ids[found], -score))[:k]
                 out_q.append(np.full(len(best), query_ids[i]))
