@@ -6,6 +6,8 @@ The kernels work on the concatenated bytes of many texts at once, so that no Pyt
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once; a longer text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
@@ -133,6 +135,13 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a reused worker doesn't carry one stage's peak into the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "_text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of about `size` bytes of text each."""
     for batch in batches:
@@ -145,6 +154,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "_text", size:
             to = min(to, n)
             yield batch.slice(at, to - at), buf[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+        release()
 
 
 class Words:
@@ -226,6 +236,7 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+    release()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

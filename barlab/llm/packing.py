@@ -37,7 +37,7 @@ class Encoder:
     there and each distinct piece of a chunk is tokenized once; pieces that recur are kept, up to `kept` of them.
     """
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -203,7 +203,7 @@ def bucket_count(keyed: DataFrame, bucket_bytes: int) -> int:
     return max(16, 3 * total // bucket_bytes)
 
 
-def removed_spans(keyed: DataFrame, k: int = 13, m: int = 2, bucket_bytes: int = 5 << 20, block_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def removed_spans(keyed: DataFrame, k: int = 13, m: int = 2, bucket_bytes: int = 5 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """(_id, _h, a, b): word intervals [a, b) of a document covered by windows that also start in a smaller document."""
     buckets = bucket_count(keyed, bucket_bytes)
     sent = keyed.mapInArrow(_send(k, m, buckets, block_bytes), _BLOB)
