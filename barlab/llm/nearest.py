@@ -28,6 +28,8 @@ from barlab.llm import common as C
 
 SAMPLE, TUNING_QUERIES, MOST_LISTS = 16_384, 64, 1024
 _COLUMNS = 16
+#: Queries scanned at once: 128 by 4096 pairs of single precision are 2 MB.
+_QUERIES = 128
 #: Standard errors of the test; a larger value abandons fewer candidates.
 _ERRORS = 2.1
 
@@ -83,21 +85,45 @@ def _probes(model, n: int):
     return probes
 
 
-def adaptive_scan(x: np.ndarray, q: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """Rows of x that may be among the k nearest of q; `first` holds their distances over the first column block."""
-    d = x.shape[1]
-    if len(x) <= 2 * k:
-        return np.arange(len(x))
-    promising = np.argpartition(first, 2 * k - 1)[: 2 * k]
-    bound = np.partition(((x[promising] - q) ** 2).sum(1), k - 1)[k - 1]
-    alive, partial = np.arange(len(x)), first
-    for b in [*range(_COLUMNS, d, _COLUMNS), d]:
-        if b > _COLUMNS:
-            a = (b - 1) // _COLUMNS * _COLUMNS
-            partial = partial + ((x[alive, a:b] - q[a:b]) ** 2).sum(1)
-        keep = partial <= bound * ((b / d) * (1 + _ERRORS / np.sqrt(b)) ** 2 if b < d else 1 + 1e-4)
-        alive, partial = alive[keep], partial[keep]
-    return alive
+def adaptive_scan(x: np.ndarray, q: np.ndarray, barred: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of x) that may be among the k nearest of their query; `barred` pairs never are.
+
+    Partial distances of all pairs are a matrix product while many pairs live, then sums over the living pairs alone.
+    """
+    n, d = len(x), x.shape[1]
+    pairs = np.nonzero(~barred)
+    if n <= 2 * k:
+        return pairs
+    x2, q2 = (x**2).sum(1), (q**2).sum(1)
+    slack = 1e-5 * (q2 + x2.max())  # what single precision may lose
+    partial = np.zeros((len(q), n), dtype=np.float32)
+    blocks = [slice(a, min(a + _COLUMNS, d)) for a in range(0, d, _COLUMNS)]
+    xs, qs = [np.ascontiguousarray(x[:, c]) for c in blocks], [np.ascontiguousarray(q[:, c]) for c in blocks]
+    dense, bound = True, None
+    for c, xc, qc in zip(blocks, xs, qs, strict=True):
+        if dense:
+            partial += (qc**2).sum(1)[:, None] + (xc**2).sum(1)[None, :] - 2 * (qc @ xc.T)
+        else:
+            i, j = pairs
+            left = left + ((xc[j] - qc[i]) ** 2).sum(1)
+        if bound is None:
+            partial[barred] = np.inf
+            near = np.argpartition(partial, 2 * k - 1, axis=1)[:, : 2 * k]
+            whole = q2[:, None] + x2[near] - 2 * np.einsum("qkd,qd->qk", x[near], q)
+            whole[np.take_along_axis(barred, near, 1)] = np.inf
+            bound = np.partition(whole, k - 1, axis=1)[:, k - 1]
+        share = c.stop / d
+        limit = bound * (share * (1 + _ERRORS / np.sqrt(c.stop)) ** 2 if c.stop < d else 1) + slack
+        if dense:
+            partial[partial > limit[:, None]] = np.inf
+            alive = np.isfinite(partial)
+            if c.stop == d or alive.sum() < alive.size / 8:
+                pairs, dense = np.nonzero(alive), False
+                left = partial[pairs]
+        else:
+            keep = left <= limit[i]
+            pairs, left = (i[keep], j[keep]), left[keep]
+    return pairs
 
 
 def _search(model, k: int):
@@ -111,19 +137,14 @@ def _search(model, k: int):
             base, asked = vec[~is_query], vec[is_query]
             base_ids, query_ids = ids[~is_query], ids[is_query]
             x, q = (_lifted(base, most) @ turn).astype(np.float32), (_lifted(asked, None) @ turn).astype(np.float32)
-            x1, q1 = x[:, :_COLUMNS], q[:, :_COLUMNS]
-            first = np.maximum((q1**2).sum(1)[:, None] - 2 * (q1 @ x1.T) + (x1**2).sum(1)[None, :], 0)
-            first[query_ids[:, None] == base_ids[None, :]] = np.inf  # a query is not its own neighbour
-            out_q, out_v, out_s = [], [], []
-            for i in range(len(q)):
-                found = adaptive_scan(x, q[i], first[i], k)
-                found = found[base_ids[found] != query_ids[i]]
-                score = (base[found] * asked[i]).sum(1)
-                best = np.lexsort((base_ids[found], -score))[:k]
-                out_q.append(np.full(len(best), query_ids[i]))
-                out_v.append(base_ids[found][best])
-                out_s.append(score[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+            for a in range(0, len(q), _QUERIES):
+                i, j = adaptive_scan(x, q[a : a + _QUERIES], query_ids[a : a + _QUERIES, None] == base_ids[None, :], k)
+                i = i + a
+                score = (base[j] * asked[i]).sum(1)
+                order = np.lexsort((base_ids[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[i[best]]), pa.array(base_ids[j[best]]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
 
     return search
 
@@ -137,7 +158,7 @@ def valid_vectors(table: DataFrame) -> DataFrame:
     return rows.where(F.size("vec") == (size["d"] if size else 0))
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, block_rows: int = 4096, query_rows: int = 512) -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, block_rows: int = 4096, query_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by inner product; both frames hold (vec_id, vec)."""
     spark = table.sparkSession
     whole = table.agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).first()
