@@ -261,3 +261,5 @@ def c03_grid_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["c03_grid_breakouts"] = c03_grid_breakouts
 SQL["c03_grid_breakouts"] = f"""SELECT symbol, lookback, stop_mult::DOUBLE AS stop_mult, sum((close > CASE lookback WHEN 10 THEN up_10 WHEN 20 THEN up_20 ELSE up_40 END + stop_mult * tr_mean)::INT) AS breakouts
     FROM (SELECT *, max(high) {over(10, skip=1)} AS up_10, max(high) {over(20, skip=1)} AS up_20, max(high) {over(40, skip=1)} AS up_40, avg(high - low) {over(20, skip=1)} AS tr_mean FROM ({bars_sql()})) CROSS JOIN ({_GRID}) GROUP BY ALL"""
+
+import barlab.plans.strategies  # noqa: E402,F401  (adds its queries to these tables)
