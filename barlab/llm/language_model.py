@@ -286,7 +286,9 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             n = len(ids)
             known = np.bincount(doc, weights=tf * (count[of] > 0), minlength=n).astype(np.int64)
             ends = np.bincount(doc, weights=tf * (of == end), minlength=n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.astype(np.int64)), pa.array(known), pa.array(np.bincount(doc, weights=tf * logs[of], minlength=n)), pa.array(ends)], names=names)
+            own = np.flatnonzero(np.bincount(doc, minlength=n))  # documents with tokens in this bucket
+            total = np.bincount(doc, weights=tf * logs[of], minlength=n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(h[own].astype(np.int64)), pa.array(known[own]), pa.array(total[own]), pa.array(ends[own])], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([-1]), pa.array([int(count.sum())]), pa.array([0.0]), pa.array([int((count > 0).sum())])], names=names)
 
 
