@@ -11,8 +11,10 @@ from its parent's by more than its extra parameters cost. Distributions are smoo
 of distinct next symbols. Scoring follows the longest retained suffix at every symbol: the retained contexts and their
 prefixes form an automaton, which runs over many pieces of text at once.
 
-The unigram base needs the exact count of every token, and the vocabulary grows with the corpus: texts send, per block
-of some megabytes, each distinct token once with its counts per document to the token's bucket, and get back sums.
+The unigram base needs the exact count of every token, and the vocabulary grows with the corpus: a block of some
+megabytes of texts sends each of its distinct tokens once, with its count in the block, to the token's bucket, and gets
+back the counts over all texts. What belongs to single documents stays with the block, one row, and is never dealt by
+token.
 
 Defined cases: a null text is empty and has one token, the end; a null id is never learned from; repeated rows are
 scored alike and each is learned from.
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,17 +212,11 @@ class Automaton:
 _AUTOMATA: dict = {}
 
 
-def _score(model):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(model) not in _AUTOMATA:
-            _AUTOMATA.clear()
-            _AUTOMATA[id(model)] = (model, Automaton(*model.value))
-        automaton = _AUTOMATA[id(model)][1]
-        for rows, buf, offsets in C.text_chunks(batches):
-            spelled, at, first = tokens(buf, offsets)
-            yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_h"), rows.column("held_out"), pa.array(np.diff(first)), pa.array(automaton.score(spelled, at[first[:-1]]))], names=["_id", "_h", "held_out", "n_tokens", "score"])
-
-    return score
+def _automaton(model) -> Automaton:
+    if id(model) not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[id(model)] = (model, Automaton(*model.value))
+    return _AUTOMATA[id(model)][1]
 
 
 # ---------------------------------------------------------------- exact token counts
@@ -233,36 +230,45 @@ def _u(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _send_tokens(buckets: int, block_bytes: int):
+_SENT = "block long, bucket int, n int, docs binary, doc binary, place binary, tf binary, lengths binary, words binary, learned binary"
+
+
+def _send_tokens(model, buckets: int, block_bytes: int):
+    """Scores a block of texts. Of a block, bucket -1 holds its documents with their scores and, per distinct token of a document, the token's place; the other buckets hold its distinct tokens, in the order of these places, and their counts in the block's training texts."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(model)
         for rows, buf, offsets in C.text_chunks(batches, size=block_bytes):
             spelled, at, first = tokens(buf, offsets)
-            raw = spelled.tobytes()
-            coded = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)]).dictionary_encode()
+            score = automaton.score(spelled, at[first[:-1]])
+            coded = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(spelled.tobytes())]).dictionary_encode()
             n = len(offsets) - 1
-            key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), np.diff(first)), return_counts=True)
-            code, doc = key // n, key % n
             names, name_at = C.text_buffer(coded.dictionary)
             bucket = (C.Prefix(names).slices(name_at[:-1], name_at[1:]) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((doc, code, bucket[code]))
-            code, doc, tf, of = code[order], doc[order], tf[order], bucket[code[order]]
-            raw = names.tobytes()
-            ids = rows.column("_id").to_numpy().astype("<i8")
-            table = _z(np.diff(ids, prepend=0).tobytes() + rows.column("_h").to_numpy().astype("<u4").tobytes() + (~rows.column("held_out").to_numpy(zero_copy_only=False)).astype("u1").tobytes())
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            key, tf = np.unique(np.repeat(np.arange(n), np.diff(first)) * len(order) + place[coded.indices.to_numpy()], return_counts=True)
+            doc, at_place = key // len(order), key % len(order)
+            held = rows.column("held_out").to_numpy(zero_copy_only=False)
+            learned = np.bincount(at_place, weights=tf * ~held[doc], minlength=len(order)).astype("<u4")
+            raw, of = names.tobytes(), bucket[order]
+            docs = b"".join((rows.column("_id").to_numpy().astype("<i8").tobytes(), rows.column("_h").to_numpy().astype("<i8").tobytes(), held.astype("<i8").tobytes(), np.diff(first).astype("<i8").tobytes(), score.astype("<f8").tobytes()))
+            parts = [np.diff(doc, prepend=0).astype("<u4").tobytes(), at_place.astype("<u4").tobytes(), tf.astype("<u4").tobytes()]
+            out = [(-1, n, _z(docs), *(_z(x) for x in parts), None, None, None)]
             cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-            out = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                mine, start = np.unique(code[a:b], return_index=True)
-                words = [raw[name_at[c] : name_at[c + 1]] for c in mine.tolist()]
-                out.append((int(of[a]), n, table, _z(np.array([len(w) for w in words], "<u4").tobytes()), _z(b"".join(words)), _z(np.diff(np.append(start, b - a)).astype("<u4").tobytes()), _z(doc[a:b].astype("<u4").tobytes()), _z(tf[a:b].astype("<u4").tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), *(pa.array([r[j] for r in out], pa.binary()) for j in range(2, 8))], names=["bucket", "n", "docs", "lengths", "words", "per_word", "doc", "tf"])
+                words = [raw[name_at[c] : name_at[c + 1]] for c in order[a:b].tolist()]
+                out.append((int(of[a]), None, None, None, None, None, _z(np.array([len(w) for w in words], "<u4").tobytes()), _z(b"".join(words)), _z(learned[a:b].tobytes())))
+            block = int.from_bytes(xxhash.xxh64_digest(docs + b"".join(parts) + raw), "little", signed=True)  # equal blocks hold equal rows
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds))], names=["block", "bucket", "n", "docs", "doc", "place", "tf", "lengths", "words", "learned"])
 
     return send
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block and document, the known tokens and the sum of log10(c + 1) of a bucket's tokens; the row with _h = -1 has the bucket's training tokens and distinct ones."""
-    names = ["_id", "_h", "known", "logs", "ends"]
+    """Per block of a bucket, the counts of its tokens in all training texts; the row without a block has the bucket's training tokens and distinct ones."""
     for group in C.sorted_groups(batches, ["bucket"]):
         blocks = group.to_pylist()
         lengths = [_u(b["lengths"], "<u4").astype(np.int64) for b in blocks]
@@ -270,41 +276,47 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         words = b"".join(_u(b["words"], "u1").tobytes() for b in blocks)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(words)]).dictionary_encode()
         code = coded.indices.to_numpy()
-        end = coded.dictionary.index(pa.scalar(bytes([END]), pa.large_binary())).as_py()
-        count = np.zeros(len(coded.dictionary), dtype=np.int64)
-        parsed, at = [], 0
+        count = np.bincount(code, weights=np.concatenate([_u(b["learned"], "<u4") for b in blocks]), minlength=len(coded.dictionary)).astype(np.int64)
+        at = 0
         for b, own in zip(blocks, lengths, strict=True):
-            of = np.repeat(code[at : at + len(own)], _u(b["per_word"], "<u4").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([b["block"]]), pa.array([b["bucket"]], pa.int32()), pa.array([_z(count[code[at : at + len(own)]].astype("<i8").tobytes())], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], names=["block", "bucket", "counts", "tokens", "kinds"])
             at += len(own)
-            raw = _u(b["docs"], "u1")
-            n = b["n"]
-            doc, tf, learn = _u(b["doc"], "<u4"), _u(b["tf"], "<u4"), raw[12 * n :].astype(bool)
-            np.add.at(count, of[learn[doc]], tf[learn[doc]].astype(np.int64))
-            parsed.append((np.cumsum(raw[: 8 * n].view("<i8")), raw[8 * n : 12 * n].view("<u4"), of, doc, tf))
-        logs = np.log10(count + 1.0)
-        for ids, h, of, doc, tf in parsed:
-            n = len(ids)
-            known = np.bincount(doc, weights=tf * (count[of] > 0), minlength=n).astype(np.int64)
-            ends = np.bincount(doc, weights=tf * (of == end), minlength=n).astype(np.int64)
-            own = np.flatnonzero(np.bincount(doc, minlength=n))  # documents with tokens in this bucket
-            total = np.bincount(doc, weights=tf * logs[of], minlength=n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(h[own].astype(np.int64)), pa.array(known[own]), pa.array(total[own]), pa.array(ends[own])], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([-1]), pa.array([int(count.sum())]), pa.array([0.0]), pa.array([int((count > 0).sum())])], names=names)
-
-
-def language_model(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE, bucket_bytes: int = 16 << 20, block_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([blocks[0]["bucket"]], pa.int32()), pa.array([None], pa.binary()), pa.array([int(count.sum())]), pa.array([int((count > 0).sum())])], names=["block", "bucket", "counts", "tokens", "kinds"])
+
+
+def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document of a block, its known tokens and the sum of log10(c + 1), from the block's own row (bucket -1, first) and its counts by bucket."""
+    for group in C.sorted_groups(batches, ["block"]):
+        found = group.to_pylist()
+        same = sum(r["bucket"] == -1 for r in found)  # equal blocks come more than once
+        by_bucket = {r["bucket"]: r["counts"] for r in found if r["bucket"] >= 0}
+        c = np.concatenate([_u(by_bucket[b], "<i8") for b in sorted(by_bucket)])
+        own = found[0]
+        n = own["n"]
+        raw = _u(own["docs"], "u1")
+        ids, h, held, n_tokens = raw[: 32 * n].view("<i8").reshape(4, n)
+        doc, place, tf = np.cumsum(_u(own["doc"], "<u4"), dtype=np.int64), _u(own["place"], "<u4"), _u(own["tf"], "<u4").astype(np.int64)
+        known = np.bincount(doc, weights=tf * (c[place] > 0), minlength=n).astype(np.int64)
+        logs = np.bincount(doc, weights=tf * np.log10(c + 1.0)[place], minlength=n)
+        out = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(known), pa.array(logs), pa.array(raw[32 * n :].view("<f8"))], names=["_id", "_h", "held_out", "n_tokens", "n_known", "logs", "score"])
+        for _ in range(same):
+            yield out
+
+
+def language_model(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE, bucket_bytes: int = 32 << 20, block_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """(_id, _h, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     keyed = C.keyed_documents(docs).withColumn("held_out", F.coalesce(F.crc32(C.original_id().cast("string").cast("binary")) % 7 == 2, F.lit(True)))
     total = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     model = grow(context_counts(keyed.where("not held_out").select("_text"), order, least_share, max(8, total // (16 << 20))))
-    scored = C.materialised(keyed.mapInArrow(_score(spark.sparkContext.broadcast(model)), "_id long, _h long, held_out boolean, n_tokens long, score double"), "lm-scores")
-    buckets = max(8, total // bucket_bytes)
-    parts = keyed.mapInArrow(_send_tokens(buckets, block_bytes), "bucket int, n int, docs binary, lengths binary, words binary, per_word binary, doc binary, tf binary")
-    sums = C.materialised(parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_tokens, "_id long, _h long, known long, logs double, ends long").groupBy("_id", "_h").agg(F.sum("known").alias("known"), F.sum("logs").alias("logs"), F.sum("ends").alias("ends")), "lm-base")
-    whole = sums.where("_h = -1").select(F.col("known").alias("tokens"), F.col("ends").alias("kinds")).first()
-    n, v = (int(whole["tokens"] or 0), int(whole["kinds"] or 0)) if whole else (0, 0)
-    base = F.col("logs") / F.col("ends") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    return scored.join(sums.where("_h >= 0"), ["_id", "_h"]).select(
-        "_id", "_h", "held_out", "n_tokens", F.expr("known div ends").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
+    sent = C.materialised(keyed.mapInArrow(_send_tokens(spark.sparkContext.broadcast(model), max(8, total // bucket_bytes), block_bytes), _SENT), "lm-blocks")
+    by_token = sent.where("bucket >= 0").select("block", "bucket", "lengths", "words", "learned").repartition("bucket").sortWithinPartitions("bucket")
+    counts = C.materialised(by_token.mapInArrow(_count_tokens, "block long, bucket int, counts binary, tokens long, kinds long"), "lm-counts")
+    whole = counts.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
+    n, v = int(whole["tokens"] or 0), int(whole["kinds"] or 0)
+    own = sent.where("bucket = -1").select("block", "bucket", "n", "docs", "doc", "place", "tf")
+    both = own.unionByName(counts.where("block IS NOT NULL").select("block", "bucket", "counts"), allowMissingColumns=True)
+    based = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_base, "_id long, _h long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    return based.select(
+        "_id", "_h", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score"
     )
