@@ -263,3 +263,4 @@ SQL["c03_grid_breakouts"] = f"""SELECT symbol, lookback, stop_mult::DOUBLE AS st
     FROM (SELECT *, max(high) {over(10, skip=1)} AS up_10, max(high) {over(20, skip=1)} AS up_20, max(high) {over(40, skip=1)} AS up_40, avg(high - low) {over(20, skip=1)} AS tr_mean FROM ({bars_sql()})) CROSS JOIN ({_GRID}) GROUP BY ALL"""
 
 import barlab.plans.strategies  # noqa: E402,F401  (adds its queries to these tables)
+import barlab.plans.research  # noqa: E402,F401,I001  (likewise)
