@@ -58,6 +58,22 @@ def non_overlapping(trades: DataFrame) -> DataFrame:
     return folded.selectExpr("symbol", "inline(taken)")
 
 
+def risk_gate(trades: DataFrame, capital: float = 1000.0, drawdown: float = 0.2, daily_loss: float = 0.05, hours_between: int = 2) -> DataFrame:
+    """The trades that pass the risk rules, taken in order of entry per symbol.
+
+    A fall of the running equity by `drawdown` below its peak stops all later trades; a day (of 24 hours from 1970) whose
+    taken trades lost `daily_loss` of the capital takes no more; entries are at least `hours_between` apart. A fold over
+    trades, not bars.
+    """
+    row = F.struct("entry_hour", "exit_hour", "side", "net")
+    start = f"named_struct('equity', {capital}D, 'peak', {capital}D, 'day', -1L, 'lost', 0D, 'last', -1000000L, 'taken', filter(all, x -> false))"
+    lost = "if(x.entry_hour div 24 = a.day, a.lost, 0D)"
+    passes = f"a.equity > a.peak * {1 - drawdown}D AND {lost} > {-daily_loss * capital}D AND x.entry_hour - a.last >= {hours_between}"
+    after = f"named_struct('equity', a.equity + x.net, 'peak', greatest(a.peak, a.equity + x.net), 'day', x.entry_hour div 24, 'lost', {lost} + x.net, 'last', x.entry_hour, 'taken', concat(a.taken, array(x)))"
+    folded = trades.groupBy("symbol").agg(F.sort_array(F.collect_list(row)).alias("all")).selectExpr("symbol", f"aggregate(all, {start}, (a, x) -> if({passes}, {after}, a)).taken AS taken")
+    return folded.selectExpr("symbol", "inline(taken)")
+
+
 def trade_stats(trades: DataFrame, by: str = "symbol", pnl: str = "net") -> DataFrame:
     """Count, win rate, profit factor, averages and best-trade concentration."""
     p = F.col(pnl)

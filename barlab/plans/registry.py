@@ -264,3 +264,4 @@ SQL["c03_grid_breakouts"] = f"""SELECT symbol, lookback, stop_mult::DOUBLE AS st
 
 import barlab.plans.strategies  # noqa: E402,F401  (adds its queries to these tables)
 import barlab.plans.research  # noqa: E402,F401,I001  (likewise)
+import barlab.plans.selection  # noqa: E402,F401,I001  (likewise)

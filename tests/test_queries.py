@@ -19,6 +19,22 @@ def test_non_overlapping_trades_equal_a_plain_loop(spark, sf_dir):
     assert got == want and len(want) > 5
 
 
+def test_risk_gate_equals_a_plain_loop(spark, sf_dir):
+    from barlab.operators.trades import non_overlapping, risk_gate
+
+    trades = non_overlapping(registry.candidates(spark, sf_dir)).select("symbol", "entry_hour", "exit_hour", "side", "net")
+    every = sorted(tuple(r) for r in trades.collect())
+    want, state = [], {}
+    for s, a, b, side, net in every:
+        equity, peak, day, lost, last = state.get(s, (100.0, 100.0, None, 0.0, -(10**6)))
+        lost = lost if a // 24 == day else 0.0
+        if equity > peak * 0.8 and lost > -5.0 and a - last >= 12:
+            want.append((s, a, b, side))
+            state[s] = (equity + net, max(peak, equity + net), a // 24, lost + net, a)
+    got = sorted(tuple(r) for r in risk_gate(trades, 100.0, hours_between=12).select("symbol", "entry_hour", "exit_hour", "side").collect())
+    assert got == want and 0 < len(want) < len(every)
+
+
 def test_features_do_not_look_ahead(spark, sf_dir):
     from barlab.functions.features import FEATURES
     from barlab.functions.layers import add_layers
