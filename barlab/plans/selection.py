@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.functions.features import FEATURES
-from barlab.functions.layers import Layer, add_layers, layers_sql, over, ratio
+from barlab.functions.features import FEATURES, TRUE_RANGE
+from barlab.functions.layers import Layer, add_layers, full, lag, layers_sql, over, ratio
+from barlab.functions.recursive import ewm, ewm_sql
 from barlab.operators.trades import COMMISSION, non_overlapping, risk_gate
 from barlab.plans.registry import _TRADES_SQL, _WITH_SIG, QUERIES, SQL, candidates, layered
 from barlab.sources.bars import PANEL_SQL, bars, bars_sql, panel, table
@@ -65,3 +66,48 @@ QUERIES["s07_panel_assembly"] = s07_panel_assembly
 SQL["s07_panel_assembly"] = f"WITH p AS ({PANEL_SQL}) SELECT day, asset, round(open, 6) AS open, round(close, 6) AS close FROM (SELECT day, unnest(range(10)) AS asset FROM (SELECT DISTINCT day FROM p WHERE close IS NOT NULL)) LEFT JOIN p USING (day, asset)"
 layered("w50_structure", bars, bars_sql(), [{"low_now": f"min(low) {over(5)}", "low_before": f"min(low) {over(5, skip=5)}", "high_now": f"max(high) {over(5)}", "high_before": f"max(high) {over(5, skip=5)}"}], ["symbol", "hour", "coalesce(low_now > low_before, false) AS higher_lows", "coalesce(high_now < high_before, false) AS lower_highs"])
 QUERIES["t12_risk_gate"] = lambda s, d: risk_gate(non_overlapping(candidates(s, d))).selectExpr("symbol", "entry_hour", "exit_hour", "side", "round(net, 6) AS net")
+
+# ---------------------------------------------------------------- manifests
+
+_ROW_TEXT = "concat_ws('|', hour, " + ", ".join(f"cast(round({c} * 1e4) AS bigint)" for c in ("open", "high", "low", "close", "volume")) + ")"
+_MANIFEST = ["symbol", "count(*) AS bars", "min(hour) AS first_hour", "max(hour) AS last_hour"]
+_LINE = "concat_ws('|', symbol, bars, first_hour, last_hour, content)"
+
+
+def s10_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per symbol: bars, range and an order-free digest of their content (sum of 32-bit row digests), so no symbol is sorted or gathered."""
+    digest = F.expr(f"cast(conv(substring(md5({_ROW_TEXT}), 1, 8), 16, 10) AS bigint)")
+    return bars(spark, sf_dir).groupBy("symbol").agg(*(F.expr(x) for x in _MANIFEST[1:]), F.sum(digest).alias("content"))
+
+
+def s12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 hex digits over the sorted lines of the manifest, which has a row per symbol."""
+    lines = s10_manifest(spark, sf_dir).agg(F.expr(f"array_join(sort_array(collect_list({_LINE})), ',')").alias("lines"), F.count("*").alias("symbols"))
+    return lines.selectExpr("substring(sha2(lines, 256), 1, 16) AS fingerprint", "symbols")
+
+
+QUERIES["s10_manifest"] = s10_manifest
+SQL["s10_manifest"] = f"SELECT {', '.join(_MANIFEST)}, sum(('0x' || substr(md5({_ROW_TEXT}), 1, 8))::BIGINT)::BIGINT AS content FROM ({bars_sql()}) GROUP BY symbol"
+QUERIES["s12_fingerprint"] = s12_fingerprint
+SQL["s12_fingerprint"] = f"SELECT substr(sha256(string_agg({_LINE}, ',' ORDER BY {_LINE})), 1, 16) AS fingerprint, count(*) AS symbols FROM ({SQL['s10_manifest']})"
+
+# ---------------------------------------------------------------- directional index
+
+_MOVES: list[Layer] = [
+    TRUE_RANGE,
+    {"atr": full("avg", "tr", 14), "rise": f"coalesce(high - {lag('high')}, 0)", "fall": f"coalesce({lag('low')} - low, 0)"},
+    {"dm_up": "CASE WHEN rise > fall AND rise > 0 THEN rise ELSE 0 END", "dm_down": "CASE WHEN fall > rise AND fall > 0 THEN fall ELSE 0 END"},
+]
+_INDEX: list[Layer] = [{"di_up": "100 * " + ratio("e_up", "atr"), "di_down": "100 * " + ratio("e_down", "atr")}, {"dx": "100 * " + ratio("abs(di_up - di_down)", "di_up + di_down")}]
+
+
+def w05_adx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose directional index is defined, with its recursive average; bars without one are left out of the average."""
+    df = add_layers(bars(spark, sf_dir), _MOVES)
+    df = ewm(ewm(df, "dm_up", 2 / 15, "e_up", 14), "dm_down", 2 / 15, "e_down", 14)
+    return ewm(add_layers(df, _INDEX).where("dx IS NOT NULL"), "dx", 2 / 15, "adx", 14).selectExpr("symbol", "hour", "round(dx, 5) AS dx", "round(adx, 5) AS adx")
+
+
+QUERIES["w05_adx"] = w05_adx
+_MOVED = f"SELECT *, {ewm_sql('dm_up', 2 / 15, 14)} AS e_up, {ewm_sql('dm_down', 2 / 15, 14)} AS e_down FROM ({layers_sql(bars_sql(), _MOVES)})"
+SQL["w05_adx"] = f"SELECT symbol, hour, round(dx, 5) AS dx, round({ewm_sql('dx', 2 / 15, 14)}, 5) AS adx FROM ({layers_sql(_MOVED, _INDEX)}) WHERE dx IS NOT NULL"
