@@ -4,12 +4,16 @@ A text is a sequence of tokens: its words, A-Z lower-cased, and one end. The tre
 the tokens: each word's bytes and a space, and a newline for the end, so every sequence of tokens has a probability,
 known words or not, and the probabilities of all sequences sum to one.
 
-Contexts of up to `order` bytes are counted over all training texts: map tasks count windows of bytes, Spark adds them
-up. A context is a candidate where it makes up at least `least_share` of all training symbols, which bounds the tree by
-order/least_share contexts whatever the size of the corpus, and is retained where its next-symbol distribution diverges
-from its parent's by more than its extra parameters cost. Distributions are smoothed towards the parent's by the number
-of distinct next symbols. Scoring follows the longest retained suffix at every symbol: the retained contexts and their
-prefixes form an automaton, which runs over many pieces of text at once.
+Contexts of up to `order` bytes are counted over all training texts. A context is a candidate where it occurs `least`
+times, however large the corpus, so the tree grows with it; a candidate of more than two bytes is retained where its
+next-symbol distribution diverges from its parent's by more than its extra parameters cost, or an extension of it is
+retained. Distributions are smoothed towards the parent's by the number of distinct next symbols. A symbol's probability
+is that of its longest retained suffix, so it follows from the window of its order + 1 last bytes alone.
+
+The tree is never in one place. A block of texts sends each of its distinct windows once, with its count in the block's
+training texts, to a shard by the three bytes before the symbol. A shard builds its part of the tree from these windows
+and sends back the probability of each. Only the counts of windows of three bytes, whose number the alphabet bounds, are
+known to all shards.
 
 The unigram base needs the exact count of every token, and the vocabulary grows with the corpus: a block of some
 megabytes of texts sends each of its distinct tokens once, with its count in the block, to the token's bucket, and gets
@@ -34,9 +38,10 @@ from pyspark.sql import functions as F
 from barlab.llm import common as C
 
 ORDER = 6
-LEAST_SHARE = 4e-6
+LEAST = 8
 END = 10
-_LANE = 256
+#: Buckets from this one on hold windows, those below it tokens.
+_SHARDS = 1 << 20
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,163 +65,136 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # ---------------------------------------------------------------- the tree
 
 
-def _windows(order: int, buckets: int):
-    """Counts of the windows of order + 1 bytes that end at each symbol, packed by bucket; a text starts after `order` ends."""
-
-    def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by = np.argsort(keys)
-        keys, counts = keys[by], counts[by]
-        cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[cut], np.add.reduceat(counts, cut)
-
-    def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, counts = add_up(parts)
-        bucket = (C.mix(keys) % np.uint64(buckets)).astype(np.int64)
-        out = []
-        for b in np.unique(bucket).tolist():
-            own = bucket == b
-            out.append((b, _z(np.diff(keys[own], prepend=np.uint64(0)).tobytes()), _z(counts[own].astype("<u4").tobytes())))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "keys", "counts"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, buf, offsets in C.text_chunks(batches):
-            spelled, at, first = tokens(buf, offsets)
-            begins = at[first[:-1]]
-            padded = np.full(len(spelled) + order * len(begins), END, dtype=np.uint8)
-            place = np.arange(len(spelled)) + order * np.repeat(np.arange(1, len(begins) + 1), np.diff(at[first]))
-            padded[place] = spelled
-            key = np.zeros(len(spelled), dtype=np.uint64)
-            for j in range(order, -1, -1):
-                key = (key << np.uint64(8)) | padded[place - j].astype(np.uint64)
-            parts.append(np.unique(key, return_counts=True))
-            if sum(len(k) for k, _ in parts) > 2_500_000:
-                yield packed(parts)
-                parts = []
-        if parts:
-            yield packed(parts)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a sorted array and the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[cut], np.add.reduceat(counts, cut)
+
+
+def window_keys(spelled: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
+    """The window that ends at each symbol: the symbol, the highest byte, and the `order` bytes before it, the nearest first; a text starts after `order` ends."""
+    padded = np.full(len(spelled) + order * len(sizes), END, dtype=np.uint8)
+    place = np.arange(len(spelled)) + order * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded[place] = spelled
+    key = np.zeros(len(spelled), dtype=np.uint64)
+    for j in range(order + 1):
+        key = (key << np.uint64(8)) | padded[place - j].astype(np.uint64)
+    return key
+
+
+def _shard_of(keys: np.ndarray, order: int, shards: int) -> np.ndarray:
+    near = (keys & np.uint64((1 << (8 * order)) - 1)) >> np.uint64(8 * max(0, order - 3))
+    return _SHARDS + (C.mix(near) % np.uint64(shards)).astype(np.int64)
+
+
+class _Level:
+    """Contexts of m bytes: their next symbols and counts, and which are candidates or retained."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, m: int, least: int):
+        self.keys, self.n, self.mask = keys, n.astype(np.float64), np.uint64((1 << (8 * m)) - 1)
+        self.context, self.of = np.unique(keys & self.mask, return_inverse=True)
+        self.total = np.bincount(self.of, weights=self.n, minlength=len(self.context))
+        self.kinds = np.bincount(self.of, minlength=len(self.context)).astype(np.float64)
+        self.candidate = (self.total >= least) | (m == 0)
+        self.kept = self.candidate
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The context of each key, and whether it is a candidate."""
+        if not len(self.context):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        own = keys & self.mask
+        i = np.minimum(np.searchsorted(self.context, own), len(self.context) - 1)
+        return i, (self.context[i] == own) & self.candidate[i]
+
+    def smooth(self, keys: np.ndarray, parent: np.ndarray, i: np.ndarray, found: np.ndarray) -> np.ndarray:
+        if not found.any():
+            return parent
+        j = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        n = np.where(self.keys[j] == keys, self.n[j], 0)
+        return np.where(found, (n + self.kinds[i] * parent) / (self.total[i] + self.kinds[i]), parent)
+
+    def diverges(self, parent: np.ndarray) -> np.ndarray:
+        """parent: the parent's probability of each key of this level."""
+        gain = np.bincount(self.of, weights=self.n * np.log(self.n / self.total[self.of] / parent), minlength=len(self.context))
+        return self.candidate & (gain > 0.5 * self.kinds * np.log(np.maximum(self.total, 2)))
+
+
+class Shard:
+    """The tree's part for some last three bytes, with all shorter contexts."""
+
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray, order: int, least: int):
+        self.order, self.levels = order, []
+        top = min(2, order)
+        for m in range(order + 1):
+            k, n = (low[0] >> np.uint64(8 * (top - m)), low[1]) if m <= 2 else (keys >> np.uint64(8 * (order - m)), counts)
+            self.levels.append(_Level(*_add_up(k, n), m, least))
+        for m in range(3, order + 1):
+            level = self.levels[m]
+            level.kept = level.diverges(self._probability(level.keys, m, m - 1))
+        for m in range(order - 1, 2, -1):
+            child = self.levels[m + 1]
+            own = np.uint64((1 << (8 * m)) - 1)
+            level = self.levels[m]
+            level.kept = level.kept | np.isin(level.context, (child.context[child.kept] >> np.uint64(8)) & own)
+
+    def _probability(self, keys: np.ndarray, length: int, to: int, kept: bool = False) -> np.ndarray:
+        """The probability of each key, a symbol and `length` bytes before it, by candidates of up to `to` bytes, or by its longest retained one."""
+        p = np.full(len(keys), 1 / 256)
+        out = p
+        for m in range(to + 1):
+            level, own = self.levels[m], keys >> np.uint64(8 * (length - m))
+            i, found = level.find(own)
+            p = level.smooth(own, p, i, found)
+            if kept and found.any():
+                out = np.where(found & level.kept[i], p, out)
+        return out if kept else p
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        return np.log10(self._probability(keys, self.order, self.order, kept=True))
+
+
+def _low_counts(order: int):
+    """Counts of the windows of three bytes."""
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for batch in batches:
+            parts = [held]
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = _u(n, "<u4").astype(np.int64)
+                keys, counts = _add_up(np.cumsum(_u(k, "<u8"), dtype=np.uint64) >> np.uint64(8 * max(0, order - 2)), counts)
+                parts.append((keys[counts > 0], counts[counts > 0]))
+            keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.argsort(keys)
+            held = _add_up(keys[by], counts[by])
+        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], names=["key", "n"])
+
+    return low
+
+
+def _score_windows(low, order: int, least: int):
+    """Per block of a shard, log10 of the probability of its windows."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in C.sorted_groups(batches, ["bucket"]):
-            rows = zip(group.column("keys").to_pylist(), group.column("counts").to_pylist(), strict=True)
-            keys, counts = add_up([(np.cumsum(_u(k, "<u8"), dtype=np.uint64), _u(n, "<u4").astype(np.int64)) for k, n in rows])
-            for i in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 200_000].view(np.int64)), pa.array(counts[i : i + 200_000])], names=["key", "n"])
-
-    return windows, merge
-
-
-def context_counts(texts: DataFrame, order: int, least_share: float, buckets: int) -> Iterator[pa.Table]:
-    """For each length from 0 to order: (context, next: its next symbols and their counts) of every context that makes up the least share of all symbols."""
-    windows, merge = _windows(order, buckets)
-    sent = texts.mapInArrow(windows, "bucket int, keys binary, counts binary")
-    full = C.materialised(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "key long, n long"), "lm-windows")
-    least = max(8, int(least_share * (full.agg(F.sum("n")).first()[0] or 0)))
-    for m in range(order + 1):
-        low = full.select(F.expr(f"key & {(1 << (8 * (m + 1))) - 1}L").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-        often = low.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("t"), F.collect_list(F.struct(F.expr("int(key & 255)").alias("s"), "n")).alias("next")).where((F.col("t") >= least) | F.lit(m == 0))
-        yield often.select("context", "next").toArrow()  # 1/least_share contexts at most
-
-
-def grow(levels: Iterator[pa.Table]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Symbols of the training texts, retained contexts, and their smoothed probabilities of these symbols and, last, of each other byte."""
-    used = np.zeros(0, np.int64)
-    contexts: list[bytes] = [b""]
-    rows: dict[bytes, np.ndarray] = {b"": np.full(1, 1 / 256, np.float32)}
-    keep: set[bytes] = {b""}
-    for m, level in enumerate(levels):
-        found = level.column("next").combine_chunks()
-        flat, size = found.flatten(), found.value_lengths().to_numpy(zero_copy_only=False)
-        symbol, n = flat.field("s").to_numpy(), flat.field("n").to_numpy()
-        if m == 0:
-            used = np.unique(symbol)
-            root = np.zeros(len(used) + 1)
-            root[np.searchsorted(used, symbol)] = n
-            rows = {b"": ((root + len(used) / 256) / (root.sum() + max(1, len(used)))).astype(np.float32) if len(used) else np.full(1, 1 / 256, np.float32)}
-            previous = rows
-            continue
-        names = [int(c).to_bytes(m, "big") for c in level.column("context").to_pylist()]
-        counts = np.zeros((len(names), len(used) + 1), dtype=np.float32)
-        counts[np.repeat(np.arange(len(names)), size), np.searchsorted(used, symbol)] = n
-        if not names:
-            break
-        parent = np.stack([previous[c[1:]] for c in names])
-        total, kinds = counts.sum(1), (counts > 0).sum(1)
-        smooth = ((counts + kinds[:, None] * parent) / (total + kinds)[:, None]).astype(np.float32)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            divergence = np.where(counts > 0, counts * np.log(counts / total[:, None] / parent), 0).sum(1)
-        previous = dict(zip(names, smooth, strict=True))
-        for c in (names[i] for i in np.flatnonzero(divergence > 0.5 * kinds * np.log(np.maximum(total, 2))).tolist()):
-            while c not in keep:  # with all its suffixes
-                keep.add(c)
-                c = c[1:]
-        rows |= previous
-    contexts = sorted(keep, key=lambda c: (len(c), c))
-    return used, contexts, np.stack([rows[c] for c in contexts])
-
-
-class Automaton:
-    """Longest-suffix states: next state and log10 probability by (state, symbol class)."""
-
-    def __init__(self, used: np.ndarray, contexts: list[bytes], probabilities: np.ndarray):
-        self.width = len(used) + 1
-        self.classes = np.full(256, len(used), dtype=np.int32)
-        self.classes[used] = np.arange(len(used))
-        retained = {c: i for i, c in enumerate(contexts)}
-        nodes = sorted({c[:i] for c in contexts for i in range(len(c) + 1)}, key=lambda c: (len(c), c))
-        index = {c: i for i, c in enumerate(nodes)}
-        self.next = np.zeros((len(nodes), self.width), dtype=np.int32)
-        children: dict[int, list[tuple[int, int]]] = {}
-        for c, i in index.items():
-            if c:
-                children.setdefault(index[c[:-1]], []).append((int(self.classes[c[-1]]), i))
-        row = np.zeros(len(nodes), dtype=np.int64)
-        for c, i in index.items():  # shorter ones first
-            if c:
-                fail = c[1:]
-                while fail not in index:
-                    fail = fail[1:]
-                self.next[i] = self.next[index[fail]]
-                row[i] = retained[c] if c in retained else row[index[fail]]
-            for j, to in children.get(i, []):
-                self.next[i, j] = to
-        self.logp = np.log10(probabilities)[row]
-        self.order = max(len(c) for c in nodes)
-
-    def score(self, spelled: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """log10 probability of each text; texts are cut into lanes that run side by side, each after its last `order` symbols."""
-        k = self.order
-        sizes = np.diff(np.append(begins, len(spelled)))
-        padded = np.full(len(spelled) + k * len(begins), END, dtype=np.uint8)
-        place = np.arange(len(spelled)) + k * np.repeat(np.arange(1, len(begins) + 1), sizes)
-        padded[place] = spelled
-        classes = self.classes[padded]
-        lanes = -(-len(padded) // _LANE)
-        wide = np.full(lanes * _LANE + k, self.classes[END], dtype=np.int32)
-        wide[k : k + len(padded)] = classes
-        out = np.empty((_LANE, lanes), dtype=np.float32)
-        at = np.arange(lanes) * _LANE
-        state = np.zeros(lanes, dtype=np.int64)
-        flat_next, flat_logp = self.next.ravel(), self.logp.ravel()
-        for t in range(_LANE + k):
-            i = state * self.width + wide[at + t]
-            if t >= k:
-                out[t - k] = flat_logp[i]
-            state = flat_next[i].astype(np.int64)
-        p = out.T.ravel()[: len(padded)].astype(np.float64)[place]
-        return np.add.reduceat(p, begins)
-
-
-#: The last automaton of this worker, with the broadcast variable that it was made of.
-_AUTOMATA: dict = {}
-
-
-def _automaton(model) -> Automaton:
-    if id(model) not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[id(model)] = (model, Automaton(*model.value))
-    return _AUTOMATA[id(model)][1]
+            blocks = group.to_pylist()
+            parts, size, every = [], 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            for at, b in enumerate(blocks):
+                parts.append((np.cumsum(_u(b["words"], "<u8"), dtype=np.uint64), _u(b["learned"], "<u4").astype(np.int64)))
+                size += len(parts[-1][0])
+                if size > 1_000_000 or at == len(blocks) - 1:
+                    keys, counts = (np.concatenate(x) for x in zip(every, *parts, strict=True))
+                    by = np.argsort(keys, kind="stable")
+                    every, parts, size = _add_up(keys[by], counts[by]), [], 0
+            seen = every[1] > 0
+            p = Shard(low.value, every[0][seen], every[1][seen], order, least).log10(every[0]).astype("<f4")
+            for b in blocks:
+                own = p[np.searchsorted(every[0], np.cumsum(_u(b["words"], "<u8"), dtype=np.uint64))]
+                yield pa.RecordBatch.from_arrays([pa.array([b["block"]], pa.int64()), pa.array([b["bucket"]], pa.int32()), pa.array([_z(own.tobytes())], pa.binary())], names=["block", "bucket", "counts"])
+
+    return score
 
 
 # ---------------------------------------------------------------- exact token counts
@@ -230,39 +208,57 @@ def _u(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-_SENT = "block long, bucket int, n int, docs binary, doc binary, place binary, tf binary, lengths binary, words binary, learned binary"
+_SENT = "block long, bucket int, n int, docs binary, text binary, doc binary, place binary, tf binary, lengths binary, words binary, learned binary"
+
 
+def _by_shard(keys: np.ndarray, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows by shard, the place of each key among them, and their shards."""
+    windows, of = np.unique(keys, return_inverse=True)
+    shard = _shard_of(windows, order, shards)
+    by = np.argsort(shard, kind="stable")
+    place = np.empty(len(by), dtype=np.int32)
+    place[by] = np.arange(len(by), dtype=np.int32)
+    return windows[by], place[of], shard[by]
 
-def _send_tokens(model, buckets: int, block_bytes: int):
-    """Scores a block of texts. Of a block, bucket -1 holds its documents with their scores and, per distinct token of a document, the token's place; the other buckets hold its distinct tokens, in the order of these places, and their counts in the block's training texts."""
+
+def _send_tokens(order: int, buckets: int, shards: int, block_bytes: int):
+    """Of a block of texts, bucket -1 holds its documents, their symbols and, per distinct token of a document, the token's place; the other buckets hold its distinct tokens, in the order of these places, or its distinct windows, and their counts in the block's training texts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(model)
         for rows, buf, offsets in C.text_chunks(batches, size=block_bytes):
             spelled, at, first = tokens(buf, offsets)
-            score = automaton.score(spelled, at[first[:-1]])
+            sizes = np.diff(at[first])
             coded = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(spelled.tobytes())]).dictionary_encode()
             n = len(offsets) - 1
             names, name_at = C.text_buffer(coded.dictionary)
             bucket = (C.Prefix(names).slices(name_at[:-1], name_at[1:]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(order), dtype=np.int64)
-            place[order] = np.arange(len(order))
-            key, tf = np.unique(np.repeat(np.arange(n), np.diff(first)) * len(order) + place[coded.indices.to_numpy()], return_counts=True)
-            doc, at_place = key // len(order), key % len(order)
+            by = np.argsort(bucket, kind="stable")
+            place = np.empty(len(by), dtype=np.int64)
+            place[by] = np.arange(len(by))
+            key, tf = np.unique(np.repeat(np.arange(n), np.diff(first)) * len(by) + place[coded.indices.to_numpy()], return_counts=True)
+            doc, at_place = key // len(by), key % len(by)
             held = rows.column("held_out").to_numpy(zero_copy_only=False)
-            learned = np.bincount(at_place, weights=tf * ~held[doc], minlength=len(order)).astype("<u4")
-            raw, of = names.tobytes(), bucket[order]
-            docs = b"".join((rows.column("_id").to_numpy().astype("<i8").tobytes(), rows.column("_h").to_numpy().astype("<i8").tobytes(), held.astype("<i8").tobytes(), np.diff(first).astype("<i8").tobytes(), score.astype("<f8").tobytes()))
+            learned = np.bincount(at_place, weights=tf * ~held[doc], minlength=len(by)).astype("<u4")
+            raw, of = names.tobytes(), bucket[by]
+            docs = b"".join((rows.column("_id").to_numpy().astype("<i8").tobytes(), rows.column("_h").to_numpy().astype("<i8").tobytes(), held.astype("<i8").tobytes(), np.diff(first).astype("<i8").tobytes(), sizes.astype("<i8").tobytes()))
             parts = [np.diff(doc, prepend=0).astype("<u4").tobytes(), at_place.astype("<u4").tobytes(), tf.astype("<u4").tobytes()]
-            out = [(-1, n, _z(docs), *(_z(x) for x in parts), None, None, None)]
+            out = [(-1, n, _z(docs), _z(spelled.tobytes()), *(_z(x) for x in parts), None, None, None)]
             cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                words = [raw[name_at[c] : name_at[c + 1]] for c in order[a:b].tolist()]
-                out.append((int(of[a]), None, None, None, None, None, _z(np.array([len(w) for w in words], "<u4").tobytes()), _z(b"".join(words)), _z(learned[a:b].tobytes())))
-            block = int.from_bytes(xxhash.xxh64_digest(docs + b"".join(parts) + raw), "little", signed=True)  # equal blocks hold equal rows
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds))], names=["block", "bucket", "n", "docs", "doc", "place", "tf", "lengths", "words", "learned"])
+                words = [raw[name_at[c] : name_at[c + 1]] for c in by[a:b].tolist()]
+                out.append((int(of[a]), None, None, None, None, None, None, _z(np.array([len(w) for w in words], "<u4").tobytes()), _z(b"".join(words)), _z(learned[a:b].tobytes())))
+            keys = window_keys(spelled, sizes, order)
+            windows, _, of_shard = _by_shard(keys, order, shards)
+            known = np.sort(keys[np.repeat(~held, sizes)])
+            known, count = _add_up(known, np.ones(len(known), np.int64))
+            i = np.minimum(np.searchsorted(known, windows), max(0, len(known) - 1))
+            seen = np.where(known[i] == windows, count[i], 0).astype("<u4") if len(known) else np.zeros(len(windows), "<u4")
+            cuts = [0, *(np.flatnonzero(np.diff(of_shard)) + 1).tolist(), len(windows)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                out.append((int(of_shard[a]), *[None] * 7, _z(np.diff(windows[a:b], prepend=np.uint64(0)).tobytes()), _z(seen[a:b].tobytes())))
+            block = int.from_bytes(xxhash.xxh64_digest(docs + b"".join(parts) + raw + spelled.tobytes()), "little", signed=True)  # equal blocks hold equal rows
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds))], names=["block", "bucket", "n", "docs", "text", "doc", "place", "tf", "lengths", "words", "learned"])
 
     return send
 
@@ -284,39 +280,50 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([blocks[0]["bucket"]], pa.int32()), pa.array([None], pa.binary()), pa.array([int(count.sum())]), pa.array([int((count > 0).sum())])], names=["block", "bucket", "counts", "tokens", "kinds"])
 
 
-def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document of a block, its known tokens and the sum of log10(c + 1), from the block's own row (bucket -1, first) and its counts by bucket."""
-    for group in C.sorted_groups(batches, ["block"]):
-        found = group.to_pylist()
-        same = sum(r["bucket"] == -1 for r in found)  # equal blocks come more than once
-        by_bucket = {r["bucket"]: r["counts"] for r in found if r["bucket"] >= 0}
-        c = np.concatenate([_u(by_bucket[b], "<i8") for b in sorted(by_bucket)])
-        own = found[0]
-        n = own["n"]
-        raw = _u(own["docs"], "u1")
-        ids, h, held, n_tokens = raw[: 32 * n].view("<i8").reshape(4, n)
-        doc, place, tf = np.cumsum(_u(own["doc"], "<u4"), dtype=np.int64), _u(own["place"], "<u4"), _u(own["tf"], "<u4").astype(np.int64)
-        known = np.bincount(doc, weights=tf * (c[place] > 0), minlength=n).astype(np.int64)
-        logs = np.bincount(doc, weights=tf * np.log10(c + 1.0)[place], minlength=n)
-        out = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(known), pa.array(logs), pa.array(raw[32 * n :].view("<f8"))], names=["_id", "_h", "held_out", "n_tokens", "n_known", "logs", "score"])
-        for _ in range(same):
-            yield out
-
-
-def language_model(docs: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE, bucket_bytes: int = 32 << 20, block_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def _base(order: int, shards: int):
+    """Per document of a block, its known tokens, the sum of log10(c + 1) and its score, from the block's own row (bucket -1, first) and what came back by bucket."""
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in C.sorted_groups(batches, ["block"]):
+            found = group.to_pylist()
+            same = sum(r["bucket"] == -1 for r in found)  # equal blocks come more than once
+            by_bucket = {r["bucket"]: r["counts"] for r in found if r["bucket"] >= 0}
+            c = np.concatenate([_u(by_bucket[b], "<i8") for b in sorted(by_bucket) if b < _SHARDS])
+            p = np.concatenate([_u(by_bucket[b], "<f4") for b in sorted(by_bucket) if b >= _SHARDS])
+            own = found[0]
+            n = own["n"]
+            raw = _u(own["docs"], "u1")
+            ids, h, held, n_tokens, sizes = raw.view("<i8").reshape(5, n)
+            _, place, _ = _by_shard(window_keys(_u(own["text"], "u1"), sizes, order), order, shards)
+            score = np.add.reduceat(p[place].astype(np.float64), np.cumsum(sizes) - sizes)
+            doc, place, tf = np.cumsum(_u(own["doc"], "<u4"), dtype=np.int64), _u(own["place"], "<u4"), _u(own["tf"], "<u4").astype(np.int64)
+            known = np.bincount(doc, weights=tf * (c[place] > 0), minlength=n).astype(np.int64)
+            logs = np.bincount(doc, weights=tf * np.log10(c + 1.0)[place], minlength=n)
+            out = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(known), pa.array(logs), pa.array(score)], names=["_id", "_h", "held_out", "n_tokens", "n_known", "logs", "score"])
+            for _ in range(same):
+                yield out
+
+    return base
+
+
+def language_model(docs: DataFrame, order: int = ORDER, least: int = LEAST, bucket_bytes: int = 32 << 20, block_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """(_id, _h, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     keyed = C.keyed_documents(docs).withColumn("held_out", F.coalesce(F.crc32(C.original_id().cast("string").cast("binary")) % 7 == 2, F.lit(True)))
     total = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    model = grow(context_counts(keyed.where("not held_out").select("_text"), order, least_share, max(8, total // (16 << 20))))
-    sent = C.materialised(keyed.mapInArrow(_send_tokens(spark.sparkContext.broadcast(model), max(8, total // bucket_bytes), block_bytes), _SENT), "lm-blocks")
-    by_token = sent.where("bucket >= 0").select("block", "bucket", "lengths", "words", "learned").repartition("bucket").sortWithinPartitions("bucket")
+    shards = max(8, total // (16 << 20))
+    sent = C.materialised(keyed.mapInArrow(_send_tokens(order, max(8, total // bucket_bytes), shards, block_bytes), _SENT), "lm-blocks")
+    windows = sent.where(f"bucket >= {_SHARDS}")
+    found = windows.select("words", "learned").mapInArrow(_low_counts(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # windows of three bytes
+    low = spark.sparkContext.broadcast((found.column("key").to_numpy().astype(np.uint64), found.column("n").to_numpy()))
+    scored = windows.select("block", "bucket", "words", "learned").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_score_windows(low, order, least), "block long, bucket int, counts binary")
+    by_token = sent.where(f"bucket BETWEEN 0 AND {_SHARDS - 1}").select("block", "bucket", "lengths", "words", "learned").repartition("bucket").sortWithinPartitions("bucket")
     counts = C.materialised(by_token.mapInArrow(_count_tokens, "block long, bucket int, counts binary, tokens long, kinds long"), "lm-counts")
     whole = counts.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     n, v = int(whole["tokens"] or 0), int(whole["kinds"] or 0)
-    own = sent.where("bucket = -1").select("block", "bucket", "n", "docs", "doc", "place", "tf")
-    both = own.unionByName(counts.where("block IS NOT NULL").select("block", "bucket", "counts"), allowMissingColumns=True)
-    based = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_base, "_id long, _h long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    own = sent.where("bucket = -1").select("block", "bucket", "n", "docs", "text", "doc", "place", "tf")
+    both = own.unionByName(counts.where("block IS NOT NULL").select("block", "bucket", "counts").unionByName(scored), allowMissingColumns=True)
+    based = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_base(order, shards), "_id long, _h long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     return based.select(
         "_id", "_h", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score"
     )
