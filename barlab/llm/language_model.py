@@ -163,8 +163,8 @@ def _low_counts(order: int):
         for batch in batches:
             parts = [held]
             for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = _u(n, "<u4").astype(np.int64)
-                keys, counts = _add_up(np.cumsum(_u(k, "<u8"), dtype=np.uint64) >> np.uint64(8 * max(0, order - 2)), counts)
+                counts = _ut(n, "<u4").astype(np.int64)
+                keys, counts = _add_up(np.cumsum(_ut(k, "<u8"), dtype=np.uint64) >> np.uint64(8 * max(0, order - 2)), counts)
                 parts.append((keys[counts > 0], counts[counts > 0]))
             keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
             by = np.argsort(keys)
@@ -182,7 +182,7 @@ def _score_windows(low, order: int, least: int):
             blocks = group.to_pylist()
             parts, size, every = [], 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             for at, b in enumerate(blocks):
-                parts.append((np.cumsum(_u(b["words"], "<u8"), dtype=np.uint64), _u(b["learned"], "<u4").astype(np.int64)))
+                parts.append((np.cumsum(_ut(b["words"], "<u8"), dtype=np.uint64), _ut(b["learned"], "<u4").astype(np.int64)))
                 size += len(parts[-1][0])
                 if size > 1_000_000 or at == len(blocks) - 1:
                     keys, counts = (np.concatenate(x) for x in zip(every, *parts, strict=True))
@@ -191,8 +191,8 @@ def _score_windows(low, order: int, least: int):
             seen = every[1] > 0
             p = Shard(low.value, every[0][seen], every[1][seen], order, least).log10(every[0]).astype("<f4")
             for b in blocks:
-                own = p[np.searchsorted(every[0], np.cumsum(_u(b["words"], "<u8"), dtype=np.uint64))]
-                yield pa.RecordBatch.from_arrays([pa.array([b["block"]], pa.int64()), pa.array([b["bucket"]], pa.int32()), pa.array([_z(own.tobytes())], pa.binary())], names=["block", "bucket", "counts"])
+                own = p[np.searchsorted(every[0], np.cumsum(_ut(b["words"], "<u8"), dtype=np.uint64))]
+                yield pa.RecordBatch.from_arrays([pa.array([b["block"]], pa.int64()), pa.array([b["bucket"]], pa.int32()), pa.array([_zt(own)], pa.binary())], names=["block", "bucket", "counts"])
 
     return score
 
@@ -208,57 +208,70 @@ def _u(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-_SENT = "block long, bucket int, n int, docs binary, text binary, doc binary, place binary, tf binary, lengths binary, words binary, learned binary"
+def _zt(x: np.ndarray) -> bytes:
+    """Numbers packed by the place of their bytes."""
+    return _z(np.ascontiguousarray(x.view("u1").reshape(len(x), -1).T).tobytes())
 
 
-def _by_shard(keys: np.ndarray, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows by shard, the place of each key among them, and their shards."""
-    windows, of = np.unique(keys, return_inverse=True)
+def _ut(x: bytes, kind: str) -> np.ndarray:
+    raw = _u(x, "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
+_SENT = "block long, bucket int, n int, docs binary, text binary, lengths binary, words binary, learned binary"
+
+
+def _by_shard(windows: np.ndarray, order: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct windows by shard, and their shards in this order."""
     shard = _shard_of(windows, order, shards)
     by = np.argsort(shard, kind="stable")
-    place = np.empty(len(by), dtype=np.int32)
-    place[by] = np.arange(len(by), dtype=np.int32)
-    return windows[by], place[of], shard[by]
+    return by, shard[by]
+
+
+def _by_bucket(spelled: np.ndarray, at: np.ndarray, first: np.ndarray, buckets: int):
+    """The distinct tokens (bytes, offsets), their order by bucket, their buckets in this order, and of each distinct token of a document the document, the token's place in this order and its count."""
+    coded = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(spelled.tobytes())]).dictionary_encode()
+    names, name_at = C.text_buffer(coded.dictionary)
+    bucket = (C.Prefix(names).slices(name_at[:-1], name_at[1:]) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    place = np.empty(len(by), dtype=np.int64)
+    place[by] = np.arange(len(by))
+    key, tf = np.unique(np.repeat(np.arange(len(first) - 1), np.diff(first)) * len(by) + place[coded.indices.to_numpy()], return_counts=True)
+    return names, name_at, by, bucket[by], key // len(by), key % len(by), tf
 
 
 def _send_tokens(order: int, buckets: int, shards: int, block_bytes: int):
-    """Of a block of texts, bucket -1 holds its documents, their symbols and, per distinct token of a document, the token's place; the other buckets hold its distinct tokens, in the order of these places, or its distinct windows, and their counts in the block's training texts."""
+    """Of a block of texts, bucket -1 holds its documents and their symbols; the other buckets hold its distinct tokens or windows and their counts in the block's training texts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, offsets in C.text_chunks(batches, size=block_bytes):
             spelled, at, first = tokens(buf, offsets)
             sizes = np.diff(at[first])
-            coded = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(spelled.tobytes())]).dictionary_encode()
             n = len(offsets) - 1
-            names, name_at = C.text_buffer(coded.dictionary)
-            bucket = (C.Prefix(names).slices(name_at[:-1], name_at[1:]) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            place = np.empty(len(by), dtype=np.int64)
-            place[by] = np.arange(len(by))
-            key, tf = np.unique(np.repeat(np.arange(n), np.diff(first)) * len(by) + place[coded.indices.to_numpy()], return_counts=True)
-            doc, at_place = key // len(by), key % len(by)
+            names, name_at, by, of, doc, at_place, tf = _by_bucket(spelled, at, first, buckets)
             held = rows.column("held_out").to_numpy(zero_copy_only=False)
             learned = np.bincount(at_place, weights=tf * ~held[doc], minlength=len(by)).astype("<u4")
-            raw, of = names.tobytes(), bucket[by]
+            raw = names.tobytes()
             docs = b"".join((rows.column("_id").to_numpy().astype("<i8").tobytes(), rows.column("_h").to_numpy().astype("<i8").tobytes(), held.astype("<i8").tobytes(), np.diff(first).astype("<i8").tobytes(), sizes.astype("<i8").tobytes()))
-            parts = [np.diff(doc, prepend=0).astype("<u4").tobytes(), at_place.astype("<u4").tobytes(), tf.astype("<u4").tobytes()]
-            out = [(-1, n, _z(docs), _z(spelled.tobytes()), *(_z(x) for x in parts), None, None, None)]
+            out = [(-1, n, _z(docs), _z(spelled.tobytes()), None, None, None)]
             cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 words = [raw[name_at[c] : name_at[c + 1]] for c in by[a:b].tolist()]
-                out.append((int(of[a]), None, None, None, None, None, None, _z(np.array([len(w) for w in words], "<u4").tobytes()), _z(b"".join(words)), _z(learned[a:b].tobytes())))
+                out.append((int(of[a]), None, None, None, _z(np.array([len(w) for w in words], "<u4").tobytes()), _z(b"".join(words)), _z(learned[a:b].tobytes())))
             keys = window_keys(spelled, sizes, order)
-            windows, _, of_shard = _by_shard(keys, order, shards)
             known = np.sort(keys[np.repeat(~held, sizes)])
+            windows = np.unique(keys)
+            by, of_shard = _by_shard(windows, order, shards)
+            windows = windows[by]
             known, count = _add_up(known, np.ones(len(known), np.int64))
             i = np.minimum(np.searchsorted(known, windows), max(0, len(known) - 1))
             seen = np.where(known[i] == windows, count[i], 0).astype("<u4") if len(known) else np.zeros(len(windows), "<u4")
             cuts = [0, *(np.flatnonzero(np.diff(of_shard)) + 1).tolist(), len(windows)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                out.append((int(of_shard[a]), *[None] * 7, _z(np.diff(windows[a:b], prepend=np.uint64(0)).tobytes()), _z(seen[a:b].tobytes())))
-            block = int.from_bytes(xxhash.xxh64_digest(docs + b"".join(parts) + raw + spelled.tobytes()), "little", signed=True)  # equal blocks hold equal rows
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds))], names=["block", "bucket", "n", "docs", "text", "doc", "place", "tf", "lengths", "words", "learned"])
+                out.append((int(of_shard[a]), *[None] * 4, _zt(np.diff(windows[a:b], prepend=np.uint64(0))), _zt(seen[a:b])))
+            block = int.from_bytes(xxhash.xxh64_digest(docs + spelled.tobytes()), "little", signed=True)  # equal blocks hold equal rows
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds))], names=["block", "bucket", "n", "docs", "text", "lengths", "words", "learned"])
 
     return send
 
@@ -280,7 +293,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([blocks[0]["bucket"]], pa.int32()), pa.array([None], pa.binary()), pa.array([int(count.sum())]), pa.array([int((count > 0).sum())])], names=["block", "bucket", "counts", "tokens", "kinds"])
 
 
-def _base(order: int, shards: int):
+def _base(order: int, buckets: int, shards: int):
     """Per document of a block, its known tokens, the sum of log10(c + 1) and its score, from the block's own row (bucket -1, first) and what came back by bucket."""
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,14 +302,19 @@ def _base(order: int, shards: int):
             same = sum(r["bucket"] == -1 for r in found)  # equal blocks come more than once
             by_bucket = {r["bucket"]: r["counts"] for r in found if r["bucket"] >= 0}
             c = np.concatenate([_u(by_bucket[b], "<i8") for b in sorted(by_bucket) if b < _SHARDS])
-            p = np.concatenate([_u(by_bucket[b], "<f4") for b in sorted(by_bucket) if b >= _SHARDS])
+            p = np.concatenate([_ut(by_bucket[b], "<f4") for b in sorted(by_bucket) if b >= _SHARDS])
             own = found[0]
             n = own["n"]
             raw = _u(own["docs"], "u1")
             ids, h, held, n_tokens, sizes = raw.view("<i8").reshape(5, n)
-            _, place, _ = _by_shard(window_keys(_u(own["text"], "u1"), sizes, order), order, shards)
-            score = np.add.reduceat(p[place].astype(np.float64), np.cumsum(sizes) - sizes)
-            doc, place, tf = np.cumsum(_u(own["doc"], "<u4"), dtype=np.int64), _u(own["place"], "<u4"), _u(own["tf"], "<u4").astype(np.int64)
+            spelled = _u(own["text"], "u1")
+            windows, inverse = np.unique(window_keys(spelled, sizes, order), return_inverse=True)
+            by, _ = _by_shard(windows, order, shards)
+            of_window = np.empty(len(p), dtype=np.float64)
+            of_window[by] = p
+            score = np.add.reduceat(of_window[inverse], np.cumsum(sizes) - sizes)
+            at = np.append(0, np.flatnonzero((spelled == 32) | (spelled == END)) + 1)  # a token ends with either
+            *_, doc, place, tf = _by_bucket(spelled, at, np.append(0, np.cumsum(n_tokens)), buckets)
             known = np.bincount(doc, weights=tf * (c[place] > 0), minlength=n).astype(np.int64)
             logs = np.bincount(doc, weights=tf * np.log10(c + 1.0)[place], minlength=n)
             out = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(known), pa.array(logs), pa.array(score)], names=["_id", "_h", "held_out", "n_tokens", "n_known", "logs", "score"])
@@ -311,8 +329,8 @@ def language_model(docs: DataFrame, order: int = ORDER, least: int = LEAST, buck
     spark = docs.sparkSession
     keyed = C.keyed_documents(docs).withColumn("held_out", F.coalesce(F.crc32(C.original_id().cast("string").cast("binary")) % 7 == 2, F.lit(True)))
     total = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    shards = max(8, total // (16 << 20))
-    sent = C.materialised(keyed.mapInArrow(_send_tokens(order, max(8, total // bucket_bytes), shards, block_bytes), _SENT), "lm-blocks")
+    buckets, shards = max(8, total // bucket_bytes), max(8, total // (16 << 20))
+    sent = C.materialised(keyed.mapInArrow(_send_tokens(order, buckets, shards, block_bytes), _SENT), "lm-blocks")
     windows = sent.where(f"bucket >= {_SHARDS}")
     found = windows.select("words", "learned").mapInArrow(_low_counts(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # windows of three bytes
     low = spark.sparkContext.broadcast((found.column("key").to_numpy().astype(np.uint64), found.column("n").to_numpy()))
@@ -321,9 +339,9 @@ def language_model(docs: DataFrame, order: int = ORDER, least: int = LEAST, buck
     counts = C.materialised(by_token.mapInArrow(_count_tokens, "block long, bucket int, counts binary, tokens long, kinds long"), "lm-counts")
     whole = counts.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     n, v = int(whole["tokens"] or 0), int(whole["kinds"] or 0)
-    own = sent.where("bucket = -1").select("block", "bucket", "n", "docs", "text", "doc", "place", "tf")
+    own = sent.where("bucket = -1").select("block", "bucket", "n", "docs", "text")
     both = own.unionByName(counts.where("block IS NOT NULL").select("block", "bucket", "counts").unionByName(scored), allowMissingColumns=True)
-    based = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_base(order, shards), "_id long, _h long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    based = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_base(order, buckets, shards), "_id long, _h long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     return based.select(
         "_id", "_h", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score"
     )
