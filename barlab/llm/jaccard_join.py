@@ -266,10 +266,10 @@ def _verify(k: int, threshold: float):
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 4, bucket_limit: int = 256, block_limit: int = 256) -> DataFrame:
-    """(_id, _h, class_id, n_links, n_shingles) for every row.
+    """(_id, _h, class_id, class_h, n_links, n_shingles) for every row.
 
     class_id: the smallest id of the rows that are connected by links (similarity of threshold or more, copies
-    included); n_links: the number of other rows that the row itself links to.
+    included), class_h: the smallest _h of its rows of that id, so the pair names one document where ids repeat; n_links: the number of other rows that the row itself links to.
     """
     keyed = C.keyed_documents(docs)
     runs = runs_for(recall, depth)
@@ -310,11 +310,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: fl
     checked = C.materialised(texts.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(k, threshold), "v long, links long, b long"), "jaccard-links")
     final = C.components(checked.select(F.col("v").alias("a"), "b")).withColumnRenamed("root", "r")
     per = (
-        classes.select("v", "k2", "copies", F.col("rep._id").alias("least"))
+        classes.select("v", "k2", "copies", "rep")
         .join(checked.groupBy("v").agg(F.sum("links").alias("links")), "v", "left")
         .join(final, "v", "left")
         .withColumn("r", F.coalesce("r", "v"))
     )
-    ids = per.groupBy("r").agg(F.min("least").alias("class_id"))
-    per = per.join(ids, "r").select("v", "k2", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sigs.select("_id", "_h", "v", "k2", "n").join(per, ["v", "k2"], "left").select("_id", "_h", F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").cast("long").alias("n_shingles"))
+    ids = per.groupBy("r").agg(F.min("rep").alias("first"))
+    per = per.join(ids, "r").select("v", "k2", F.col("first._id").alias("class_id"), F.col("first._h").alias("class_h"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return sigs.select("_id", "_h", "v", "k2", "n").join(per, ["v", "k2"], "left").select("_id", "_h", F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("class_h", "_h").alias("class_h"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").cast("long").alias("n_shingles"))

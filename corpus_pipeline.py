@@ -39,11 +39,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each connected group of 5-word-shingle similarity 0.8 or more."""
+    """Keeps one document, with the smallest id and of that the smallest crc32, of each connected group of 5-word-shingle similarity 0.8 or more.
+
+    Documents that share an id, or have none, are told apart by their texts; of rows that share both, the smallest stays.
+    """
     ship(spark)
-    first = jaccard_join(docs).where("_id = class_id").select("_id", "_h")
+    first = jaccard_join(docs).where("_id = class_id AND _h = class_h").select("_id", "_h")
     keyed = docs.select(*_COLUMNS).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    return keyed.join(first.distinct(), ["_id", "_h"], "left_semi").dropDuplicates(["_id"]).select(*_COLUMNS)
+    kept = keyed.join(first.distinct(), ["_id", "_h"], "left_semi").groupBy("_id", "_h", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
+    return kept.agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("_row")).select("_row.*").select(*_COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
