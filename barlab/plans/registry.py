@@ -133,6 +133,25 @@ QUERIES["p06_walk_forward"] = p06_walk_forward
 SQL["p06_walk_forward"] = f"""SELECT symbol, fold, role, count(*) AS bars, round(avg(ret), 6) AS mean_ret, round(avg(ret) / nullif(stddev_samp(ret), 0), 6) AS sharpe
     FROM ({layers_sql(bars_sql(), _NUMBERED)}) JOIN (VALUES {_FOLD_VALUES}) t(fold, role, lo, hi) ON rn >= lo AND rn < hi GROUP BY symbol, fold, role"""
 
+_LENGTHS: list[Layer] = [*_NUMBERED, {"n": "count(*) OVER (PARTITION BY symbol)"}]
+_FOLD_STATS = ["count(*) AS bars", "round(avg(ret), 6) AS mean_ret", "round(avg(ret) / nullif(stddev_samp(ret), 0), 6) AS sharpe"]
+
+
+def walk_forward(df: DataFrame, train: int = 200, gap: int = 12, val: int = 60, test: int = 60) -> DataFrame:
+    """Statistics per symbol, fold and role, for every whole fold that a symbol's own number of rows holds."""
+    size = train + gap + val + gap + test
+    first, last = f"greatest(0, (rn - {size} + {test}) div {test})", f"least(rn div {test}, (n - {size}) div {test})"
+    folds = add_layers(df, _LENGTHS).where(f"n >= {size} AND {first} <= {last}").selectExpr("symbol", "ret", "rn", f"explode(sequence({first}, {last})) AS fold")
+    role = f"CASE WHEN at >= 0 AND at < {train} THEN 'train' WHEN at >= {train + gap} AND at < {train + gap + val} THEN 'val' WHEN at >= {size - test} AND at < {size} THEN 'test' END"
+    rows = folds.withColumn("at", F.expr(f"rn - fold * {test}")).selectExpr("symbol", "cast(fold AS int) AS fold", f"{role} AS role", "ret").where("role IS NOT NULL")
+    return rows.groupBy("symbol", "fold", "role").agg(*(F.expr(x) for x in _FOLD_STATS))
+
+
+#: p06_walk_forward and its SQL hold the folds of 600 rows; this one has those of every symbol's own length.
+QUERIES["p06_walk_forward_by_length"] = lambda s, d: walk_forward(bars(s, d))
+SQL["p06_walk_forward_by_length"] = f"""WITH b AS ({layers_sql(bars_sql(), _LENGTHS)}), f AS (SELECT symbol, unnest(range(CASE WHEN max(n) >= 344 THEN (max(n) - 344) // 60 + 1 ELSE 0 END)) AS fold FROM b GROUP BY symbol)
+    SELECT symbol, fold::INT AS fold, role, {', '.join(_FOLD_STATS)} FROM b JOIN f USING (symbol) JOIN (VALUES ('train', 0, 200), ('val', 212, 272), ('test', 284, 344)) t(role, lo, hi) ON rn >= fold * 60 + lo AND rn < fold * 60 + hi GROUP BY symbol, fold, role"""
+
 layered("p01_lockbox_split", bars, bars_sql(), [{"cutoff": "max(hour) OVER (PARTITION BY symbol) - 168"}, {"segment": "CASE WHEN hour < cutoff THEN 'in_sample' ELSE 'lockbox' END"}], ["symbol", "hour", "segment"])
 
 # ---------------------------------------------------------------- signals, trades, metrics
