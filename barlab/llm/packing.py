@@ -34,21 +34,93 @@ class Encoder:
     """Ids of many texts at once.
 
     The vocabulary's pattern starts a new token wherever ASCII white space follows another character, so texts are cut
-    there and each distinct piece of a chunk is tokenized once; pieces that recur are kept, up to `kept` of them.
+    there, and a piece has the same ids wherever it stands. The ids of pieces of up to `longest` bytes are kept by the
+    64-bit hash and the length of their bytes; once `kept` pieces are held the cache starts anew. Pieces that are not
+    held are strung together and tokenized in one go: the bytes of their tokens tell where each of them ends.
     """
 
-    def __init__(self, path: str, kept: int = 200_000):
+    def __init__(self, path: str, kept: int = 2_000_000, longest: int = 255, together: int = 1 << 12):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kept, self.known = kept, {}
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)  # one character of the byte-level alphabet a byte
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[i] = len(token.content.encode())
+        self.kept, self.longest, self.together = kept, longest, together
+        self.bits = (4 * kept - 1).bit_length()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot = np.zeros(1 << self.bits, np.int32)  # entry + 1
+        self.n, self.n_ids = 0, 0
+        self.hash, self.size = np.zeros(self.kept, np.uint64), np.zeros(self.kept, np.int16)
+        self.start, self.length = np.zeros(self.kept, np.int32), np.zeros(self.kept, np.int16)
+        self.ids = np.zeros(4 * self.kept, np.uint32)
+
+    def _find(self, h: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each piece, -1 where none is held."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        left = np.flatnonzero(size <= self.longest)
+        at = (h[left] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            entry = self.slot[at].astype(np.int64) - 1
+            same = (entry >= 0) & (self.hash[entry] == h[left]) & (self.size[entry] == size[left])
+            out[left[same]] = entry[same]
+            on = (entry >= 0) & ~same
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def _keep(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Hold distinct pieces that are not held yet."""
+        if self.n + len(h) > self.kept or self.n_ids + len(ids) > len(self.ids):
+            self._clear()
+            if len(h) > self.kept or len(ids) > len(self.ids):
+                return
+        new = np.arange(self.n, self.n + len(h))
+        self.hash[new], self.size[new], self.length[new] = h, size, length
+        self.start[new] = self.n_ids + np.cumsum(length) - length
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(new):
+            free = np.flatnonzero(self.slot[at] == 0)
+            self.slot[at[free]] = new[free] + 1  # of several that want one slot the last gets it
+            lost = self.slot[at] != new + 1
+            new, at = new[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+        self.n += len(h)
+        self.n_ids += len(ids)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _tokenize(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each has; `inner` pieces begin with white space and end without."""
+        size = ends - starts
+        length = np.zeros(len(starts), dtype=np.int64)
+        order = np.argsort(~inner, kind="stable")
+        flat, at, last = [], 0, int(inner.sum())
+        own, to = size[order], np.cumsum(size[order])
+        while at < last:
+            till = max(at + 1, min(last, int(np.searchsorted(to, (to[at - 1] if at else 0) + self.together))))
+            group = order[at:till]
+            text = b"".join(raw[a:b] for a, b in zip(starts[group].tolist(), ends[group].tolist(), strict=True))
+            ids = np.array(self._encode([text.decode()])[0], dtype=np.uint32)
+            n_at = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(own[at:till])) + 1
+            length[group] = np.diff(n_at, prepend=0)
+            flat.append(ids)
+            at = till
+        alone = order[last:]
+        for ids, i in zip(self._encode([raw[a:b].decode() for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)]), alone.tolist(), strict=True):
+            flat.append(np.array(ids, dtype=np.uint32))
+            length[i] = len(ids)
+        ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        first = np.zeros(len(starts), dtype=np.int64)
+        first[order] = np.cumsum(length[order]) - length[order]
+        return ids[C.ranges(first, length)], length
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and per text where its ids end."""
         sep = C._SEP[buf]
@@ -63,32 +135,33 @@ class Encoder:
         at = np.flatnonzero(cut)
         if at[0] == len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)).dictionary_encode()
-        codes = pieces.indices.to_numpy()
-        names = pieces.dictionary.to_pylist()
-        often = np.bincount(codes, minlength=len(names)) > 1
-        place = np.array([self.known.get(x, -1) for x in names], dtype=np.int64)
-        new = np.flatnonzero(place < 0)
-        base, base_ids = len(self.starts), len(self.flat)
-        encoded = self._encode([names[i] for i in new.tolist()])
-        new_lengths = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-        new_flat = np.fromiter((x for e in encoded for x in e), dtype=np.uint32, count=int(new_lengths.sum()))
-        place[new] = base + np.arange(len(new))
-        flat = np.concatenate([self.flat, new_flat])
-        starts = np.concatenate([self.starts, base_ids + np.cumsum(new_lengths) - new_lengths])
-        lengths = np.concatenate([self.lengths, new_lengths])
-        per_piece = lengths[place[codes]]
-        ids = flat[C.ranges(starts[place[codes]], per_piece)]
+        size = np.diff(at)
+        h = C.Prefix(buf).slices(at[:-1], at[1:])
+        entry = self._find(h, size)
+        miss = np.flatnonzero(entry < 0)
+        _, one, of = np.unique(h[miss] + size[miss].astype(np.uint64), return_index=True, return_inverse=True)
+        long = size[miss] > self.longest  # told apart by their place, not by their hash
+        if long.any():
+            one = np.append(one[size[miss[one]] <= self.longest], np.flatnonzero(long))
+            key = np.where(long, np.arange(len(miss)) + len(miss), of)
+            back = np.full(2 * len(miss), -1, dtype=np.int64)
+            back[key[one]] = np.arange(len(one))
+            of = back[key]
+        new = miss[one]
+        starts, ends = at[new], at[new + 1]
+        inner = sep[starts] & ~sep[ends - 1] & (size[new] <= self.longest)
+        ids, length = self._tokenize(raw, starts, ends, inner)
+        first = np.cumsum(length) - length
+        per_piece = np.empty(len(size), dtype=np.int64)
+        source = np.empty(len(size), dtype=np.int64)
+        held = np.flatnonzero(entry >= 0)
+        per_piece[held], source[held] = self.length[entry[held]], self.start[entry[held]]
+        per_piece[miss], source[miss] = length[of], first[of] + self.n_ids
+        out = np.concatenate([self.ids[: self.n_ids], ids])[C.ranges(source, per_piece)]
         done = np.concatenate([[0], np.cumsum(per_piece)])
-        ends = done[np.searchsorted(at, offsets[1:])]
-        keep = new[often[new]][: max(0, self.kept - len(self.known))]
-        if len(keep):
-            self.known.update({names[i]: base + j for j, i in enumerate(keep.tolist())})
-            own = place[keep]
-            self.flat = np.concatenate([self.flat, flat[C.ranges(starts[own], lengths[own])]])
-            self.starts = np.concatenate([self.starts, base_ids + np.cumsum(lengths[own]) - lengths[own]])
-            self.lengths = np.concatenate([self.lengths, lengths[own]])
-        return ids, ends
+        short = np.flatnonzero(size[new] <= self.longest)
+        self._keep(h[new[short]], size[new[short]], ids[C.ranges(first[short], length[short])], length[short])
+        return out, done[np.searchsorted(at, offsets[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
