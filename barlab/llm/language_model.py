@@ -20,7 +20,7 @@ megabytes of texts sends each of its distinct tokens once, with its count in the
 back the counts over all texts. What belongs to single documents stays with the block, one row, and is never dealt by
 token.
 
-Defined cases: a null text is empty and has one token, the end; a null id is never learned from; repeated rows are
+Defined cases: a null text is empty and has one token, the end; a null id is not held out, so it is learned from; repeated rows are
 scored alike and each is learned from.
 """
 
@@ -39,6 +39,8 @@ from barlab.llm import common as C
 
 ORDER = 6
 LEAST = 8
+#: Text of a block; its distinct windows cost the less a byte the larger it is.
+BLOCK_BYTES = 8 << 20
 END = 10
 #: Buckets from this one on hold windows, those below it tokens.
 _SHARDS = 1 << 20
@@ -84,6 +86,28 @@ def window_keys(spelled: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarra
     return key
 
 
+def parts(sizes: np.ndarray, size: int = C.CHUNK_BYTES) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of texts of about `size` symbols: the texts [a, b) and their symbols [from, to)."""
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + size, side="right")) - 1)
+        yield a, b, int(at[a]), int(at[b])
+        a = b
+
+
+def block_windows(spelled: np.ndarray, sizes: np.ndarray, held: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of a block, sorted, and their counts in its training texts; worked out in parts of the block."""
+    windows, counts = [], []
+    for a, b, lo, hi in parts(sizes):
+        own, inverse = np.unique(window_keys(spelled[lo:hi], sizes[a:b], order), return_inverse=True)
+        counts.append(np.bincount(inverse[np.repeat(~held[a:b], sizes[a:b])], minlength=len(own)))
+        windows.append(own)
+    windows, counts = np.concatenate(windows), np.concatenate(counts)
+    by = np.argsort(windows, kind="stable")
+    return _add_up(windows[by], counts[by])
+
+
 def _shard_of(keys: np.ndarray, order: int, shards: int) -> np.ndarray:
     near = (keys & np.uint64((1 << (8 * order)) - 1)) >> np.uint64(8 * max(0, order - 3))
     return _SHARDS + (C.mix(near) % np.uint64(shards)).astype(np.int64)
@@ -258,14 +282,9 @@ def _send_tokens(order: int, buckets: int, shards: int, block_bytes: int):
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 words = [raw[name_at[c] : name_at[c + 1]] for c in by[a:b].tolist()]
                 out.append((int(of[a]), None, None, None, _z(np.array([len(w) for w in words], "<u4").tobytes()), _z(b"".join(words)), _z(learned[a:b].tobytes())))
-            keys = window_keys(spelled, sizes, order)
-            known = np.sort(keys[np.repeat(~held, sizes)])
-            windows = np.unique(keys)
+            windows, seen = block_windows(spelled, sizes, held, order)
             by, of_shard = _by_shard(windows, order, shards)
-            windows = windows[by]
-            known, count = _add_up(known, np.ones(len(known), np.int64))
-            i = np.minimum(np.searchsorted(known, windows), max(0, len(known) - 1))
-            seen = np.where(known[i] == windows, count[i], 0).astype("<u4") if len(known) else np.zeros(len(windows), "<u4")
+            windows, seen = windows[by], seen[by].astype("<u4")
             cuts = [0, *(np.flatnonzero(np.diff(of_shard)) + 1).tolist(), len(windows)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 out.append((int(of_shard[a]), *[None] * 4, _zt(np.diff(windows[a:b], prepend=np.uint64(0))), _zt(seen[a:b])))
@@ -308,11 +327,17 @@ def _base(order: int, buckets: int, shards: int):
             raw = _u(own["docs"], "u1")
             ids, h, held, n_tokens, sizes = raw.view("<i8").reshape(5, n)
             spelled = _u(own["text"], "u1")
-            windows, inverse = np.unique(window_keys(spelled, sizes, order), return_inverse=True)
+            own_parts, windows = [], []
+            for x, y, lo, hi in parts(sizes):
+                keys, inverse = np.unique(window_keys(spelled[lo:hi], sizes[x:y], order), return_inverse=True)
+                own_parts.append((keys, inverse.astype(np.int32), sizes[x:y]))
+                windows.append(keys)
+            windows = np.unique(np.concatenate(windows))
             by, _ = _by_shard(windows, order, shards)
             of_window = np.empty(len(p), dtype=np.float64)
             of_window[by] = p
-            score = np.add.reduceat(of_window[inverse], np.cumsum(sizes) - sizes)
+            score = np.concatenate([np.add.reduceat(of_window[np.searchsorted(windows, keys)][inverse], np.cumsum(m) - m) for keys, inverse, m in own_parts])
+            del own_parts
             at = np.append(0, np.flatnonzero((spelled == 32) | (spelled == END)) + 1)  # a token ends with either
             *_, doc, place, tf = _by_bucket(spelled, at, np.append(0, np.cumsum(n_tokens)), buckets)
             known = np.bincount(doc, weights=tf * (c[place] > 0), minlength=n).astype(np.int64)
@@ -324,10 +349,12 @@ def _base(order: int, buckets: int, shards: int):
     return base
 
 
-def language_model(docs: DataFrame, order: int = ORDER, least: int = LEAST, bucket_bytes: int = 32 << 20, block_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def language_model(docs: DataFrame, order: int = ORDER, least: int = LEAST, bucket_bytes: int = 32 << 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(_id, _h, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    if not 1 <= order <= 7:
+        raise ValueError("order must be from 1 to 7: a window and its symbol are the bytes of one 64-bit number")
     spark = docs.sparkSession
-    keyed = C.keyed_documents(docs).withColumn("held_out", F.coalesce(F.crc32(C.original_id().cast("string").cast("binary")) % 7 == 2, F.lit(True)))
+    keyed = C.keyed_documents(docs).withColumn("held_out", F.coalesce(F.crc32(C.original_id().cast("string").cast("binary")) % 7 == 2, F.lit(False)))
     total = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets, shards = max(8, total // bucket_bytes), max(8, total // (16 << 20))
     sent = C.materialised(keyed.mapInArrow(_send_tokens(order, buckets, shards, block_bytes), _SENT), "lm-blocks")
