@@ -11,7 +11,6 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +33,13 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        at = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="barlab-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="barlab-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
@@ -58,22 +59,30 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id, as the smallest; original_id gives the null back.
+NO_ID = -(1 << 63)
+
+
+def row_id(id_col: str = "doc_id"):
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
+def text_hash(text_col: str = "text"):
+    """64 bits that tell the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def keyed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _h, _text): the row's identity and its text.
 
-    A null id counts as the smallest id. Rows that share an id are told apart by their text's crc32 and rows that also
-    share the text get one and the same result. A null text is empty.
+    A null id counts as the smallest id. Rows that share an id are told apart by their text's 64-bit hash, and rows that
+    also share the text get one and the same result. A null text is empty.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"),
-        F.crc32(text.cast("binary")).alias("_h"),
-        text.alias("_text"),
-    )
+    return docs.select(row_id(id_col).alias("_id"), text_hash(text_col).alias("_h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 
 
 def original_id(col: str = "_id"):
-    return F.when(F.col(col) != F.lit(-(1 << 63)), F.col(col))
+    return F.when(F.col(col) != F.lit(NO_ID), F.col(col))
 
 
 # ---------------------------------------------------------------- byte kernels
@@ -239,26 +248,30 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
     release()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(v, root) for every vertex of the undirected edges; root is the smallest vertex of its component.
+def components(edges: DataFrame, a: str = "a", b: str = "b", salts: int = 32) -> DataFrame:
+    """(v, root) for every vertex of the undirected edges, of any type with an order; root is the smallest vertex of its component.
 
-    Alternating large-star and small-star steps: O(log n) rounds of a grouping and a join on narrow rows, each round
-    cut by a checkpoint in the shared folder. No component is gathered anywhere.
+    Alternating large-star and small-star steps: O(log n) rounds of groupings and joins on narrow rows, each round cut by
+    a checkpoint in the shared folder. Only vertices whose edges change take part in a join: those between two others in
+    a large-star step, those with several smaller neighbours in a small-star step. So a finished star, which a component
+    of any size ends as, is never gathered at its centre, and the edges of the others are dealt by `salts` keys a vertex.
     """
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s")
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("w")).where("u != w").distinct()
     pairs = checkpointed(pairs)
     seen = None
-    for _ in count():
-        both = pairs.unionByName(pairs.select(F.col("w").alias("u"), F.col("u").alias("w")))
-        low = both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).where("u != w").distinct()
-        low = large.groupBy("u").agg(F.min("w").alias("m"))
-        small = large.join(low, "u").where("w != m").select(F.col("w").alias("u"), F.col("m").alias("w"))
-        pairs = checkpointed(small.unionByName(low.select("u", F.col("m").alias("w"))).where("u != w").select(F.greatest("u", "w").alias("u"), F.least("u", "w").alias("w")).distinct())
-        # finished once every vertex has one neighbour below it and no root is itself below another
+    while True:
+        low = pairs.groupBy("u").agg(F.min("w").alias("m"))
+        between = low.join(pairs.select(F.col("w").alias("u")).distinct(), "u").select(F.col("u").alias("w"), "m", salt)
+        large = pairs.withColumn("s", F.pmod(F.xxhash64("u"), F.lit(salts)).cast("int")).join(between, ["w", "s"], "left").select("u", F.coalesce("m", "w").alias("w")).distinct()
+        low = large.groupBy("u").agg(F.min("w").alias("m"), F.count("*").alias("n"))
+        several = low.where("n > 1").select("u", "m", salt)
+        small = large.withColumn("s", F.pmod(F.xxhash64("w"), F.lit(salts)).cast("int")).join(several, ["u", "s"]).where("w != m").select(F.col("w").alias("u"), F.col("m").alias("w"))
+        pairs = checkpointed(small.unionByName(low.select("u", F.col("m").alias("w"))).distinct())
+        # finished once no pair changes any more
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
     roots = pairs.select(F.col("u").alias("v"), F.col("w").alias("root"))
-    return roots.unionByName(pairs.select(F.col("w").alias("v"), F.col("w").alias("root"))).distinct()
+    return roots.unionByName(pairs.select(F.col("w").alias("v"), F.col("w").alias("root")).distinct())

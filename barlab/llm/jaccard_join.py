@@ -260,12 +260,14 @@ def _verify(k: int, threshold: float):
                 whole[rows:, :rows] = linked.T
                 label = _labels(whole)
                 links = np.concatenate([linked @ copies[rows:], copies[:rows] @ linked])
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(links.astype(np.int64)), pa.array(v[label])], names=["v", "links", "b"])
+            ids, h = t.column("_id").combine_chunks(), t.column("_h").combine_chunks()
+            first = pa.array(label)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(links.astype(np.int64)), ids, h, ids.take(first), h.take(first)], names=["v", "links", "_id", "_h", "b_id", "b_h"])
 
     return verify
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 4, bucket_limit: int = 256, block_limit: int = 256) -> DataFrame:
+def jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 4, bucket_limit: int = 256, block_limit: int = 1024) -> DataFrame:
     """(_id, _h, class_id, class_h, n_links, n_shingles) for every row.
 
     class_id: the smallest id of the rows that are connected by links (similarity of threshold or more, copies
@@ -299,22 +301,24 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: fl
         buckets = buckets.unionByName(x)
     edges = buckets.join(reps.select("v", "n", "sketch"), "v").repartition("node").sortWithinPartitions("node").mapInArrow(_bucket_links(threshold), "a long, b long")
     if hot is not None:  # still large after the last split: left to the exact check as one group
-        edges = edges.unionByName(hot.join(hot.groupBy("node").agg(F.min("v").alias("b")), "node").select(F.col("v").alias("a"), "b"))
+        first = hot.groupBy("node").agg(F.min("v").alias("b")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        edges = edges.unionByName(hot.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(32)).cast("int")).join(first, ["node", "salt"]).select(F.col("v").alias("a"), "b"))
     groups = C.checkpointed(C.components(edges))
 
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block_limit)).cast("int").alias("blocks"))
-    where = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    # only groups of several blocks are joined back, by salted keys; all others are one block
+    several = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block_limit)).cast("int").alias("blocks")).where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    where = groups.withColumn("salt", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(32)).cast("int")).join(several, ["root", "salt"], "left").select("v", "root", F.coalesce("blocks", F.lit(1)).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = classes.select("v", "copies", "rep").join(where, "v").select("v", "copies", F.col("rep._id").alias("_id"), F.col("rep._h").alias("_h"), "root", "block", "blocks")
-    texts = keyed.join(placed, ["_id", "_h"]).withColumn("other", other).select("v", "copies", "_text", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    checked = C.materialised(texts.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(k, threshold), "v long, links long, b long"), "jaccard-links")
-    final = C.components(checked.select(F.col("v").alias("a"), "b")).withColumnRenamed("root", "r")
+    texts = keyed.join(placed, ["_id", "_h"]).withColumn("other", other).select("v", "copies", "_id", "_h", "_text", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    checked = C.materialised(texts.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(k, threshold), "v long, links long, _id long, _h long, b_id long, b_h long"), "jaccard-links")
+    # vertices are ordered as documents are, so that a root is its class's smallest document
+    final = C.components(checked.select(F.struct("_id", "_h").alias("a"), F.struct(F.col("b_id").alias("_id"), F.col("b_h").alias("_h")).alias("b")))
     per = (
         classes.select("v", "k2", "copies", "rep")
         .join(checked.groupBy("v").agg(F.sum("links").alias("links")), "v", "left")
-        .join(final, "v", "left")
-        .withColumn("r", F.coalesce("r", "v"))
-    )
-    ids = per.groupBy("r").agg(F.min("rep").alias("first"))
-    per = per.join(ids, "r").select("v", "k2", F.col("first._id").alias("class_id"), F.col("first._h").alias("class_h"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        .join(final.withColumnRenamed("v", "rep"), "rep", "left")
+        .select("v", "k2", F.coalesce("root", "rep").alias("first"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        .select("v", "k2", F.col("first._id").alias("class_id"), F.col("first._h").alias("class_h"), "n_links")
+    )
     return sigs.select("_id", "_h", "v", "k2", "n").join(per, ["v", "k2"], "left").select("_id", "_h", F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("class_h", "_h").alias("class_h"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").cast("long").alias("n_shingles"))
