@@ -5,12 +5,17 @@ form a super-k-mer, which travels once, as one packed string, to the bucket of i
 minimisers, so a bucket holds every occurrence of its windows: it sorts them by a 64-bit hash, compares the bytes of
 those that sort together, and knows for each the smallest document in which it starts.
 
-Map tasks merge equal strings of some megabytes of text before they send them, so a passage that a third of all
-documents share costs its string once per block of text, and a few bytes per document. Only word intervals to remove
-travel back to the documents.
+Texts are held in blocks, written compressed to the shared folder. A block sends each distinct string once, with the
+smallest and the greatest document in which it stands there, and a bucket sends back, to the blocks that have a greater
+document, the smallest document of each window. Where a string stands in its documents is known to the block alone, so
+a passage that a third of all documents share costs a string and two numbers per block, and never meets its occurrences
+in one place. A minimiser of several words is rare unless its passage is repeated, so buckets stay small; one passage's
+strings, one a block, do meet in one bucket: larger blocks make them fewer.
 
 Defined cases: a null text has no words; a text under k words has no window; rows with equal id and text get the same
-result; a null id is the smallest; rows with one id but different texts never count as smaller than each other.
+result; a null id is the smallest; rows with one id but different texts never count as smaller than each other; other
+columns, whatever their names, come back as they were; an empty table gives an empty result. Equal strings are told by a
+64-bit hash and their length.
 """
 
 from __future__ import annotations
@@ -20,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from barlab.llm import common as C
 
-_BLOB = "bucket int, strings binary, per_string binary, docs binary"
-_OCCURRENCE = np.dtype([("id", "<i8"), ("h", "<u4"), ("pos", "<u4")])
+_SENT = "block long, bucket int, strings binary, docs binary"
+_ANSWER = np.dtype([("string", "<u4"), ("window", "<u4"), ("least", "<i8")])
 
 
 def _pack(x: bytes) -> bytes:
@@ -72,30 +79,65 @@ def super_kmers(buf: np.ndarray, offsets: np.ndarray, k: int, m: int):
     return text[first], at[first] - words.first[text[first]], words.starts[at[first]], words.ends[at[last] + k - 1], least[first], flat
 
 
-def _send(k: int, m: int, buckets: int, block_bytes: int):
+def _blocks(block_bytes: int):
+    """Blocks of rows, each as one compressed blob under a hash of its content."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, _ in C.text_chunks(batches, size=block_bytes):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            blob = sink.getvalue().to_pybytes()
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(xxhash.xxh64_digest(blob), "little", signed=True)], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
+
+    return blocks
+
+
+def _opened(blob: bytes) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """The rows of a block, its text and the texts' offsets."""
+    rows = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
+    buf, offsets = C.text_buffer(rows.column(rows.schema.get_field_index("_text")))
+    return rows, buf, offsets
+
+
+class _Strings:
+    """The distinct super-k-mers of a block by bucket; strings of a bucket are numbered in the order of their hashes."""
+
+    def __init__(self, rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray, k: int, m: int, buckets: int):
+        self.text, self.pos, self.a, self.b, least, self.flat = super_kmers(buf, offsets, k, m)
+        bucket = (least % np.uint64(buckets)).astype(np.int64)
+        h = C.Prefix(self.flat).slices(self.a, self.b) + (self.b - self.a).astype(np.uint64) if len(self.a) else least
+        self.order = np.lexsort((h, bucket))  # occurrences by string
+        bucket, h = bucket[self.order], h[self.order]
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+        self.first = np.flatnonzero(new)  # the first occurrence of each string
+        self.bucket = bucket[self.first]
+        self.n = np.diff(np.append(self.first, len(h)))
+        self.ids = rows.column(rows.schema.get_field_index("_id")).to_numpy().astype(np.int64)
+
+    def by_bucket(self) -> Iterator[tuple[int, int, int]]:
+        """(bucket, first string, end)."""
+        cuts = np.flatnonzero(np.append(True, np.diff(self.bucket) != 0)) if len(self.bucket) else np.zeros(0, np.int64)
+        yield from zip(self.bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(self.bucket)], strict=True)
+
+
+def _send(k: int, m: int, buckets: int):
+    """The distinct strings of each block and bucket, and the smallest and greatest document of each."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offsets in C.text_chunks(batches, size=block_bytes):
-            ids = rows.column("_id").to_numpy().astype(np.int64)
-            hs = rows.column("_h").to_numpy().astype(np.uint32)
-            text, pos, a, b, least, flat = super_kmers(buf, offsets, k, m)
-            if not len(text):
-                continue
-            bucket = (least % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((ids[text], bucket))
-            raw = flat.tobytes()
-            bounds = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
-            out: list[tuple] = []
-            a, b = a[order].tolist(), b[order].tolist()
-            occurrences = np.zeros(len(order), dtype=_OCCURRENCE)
-            occurrences["id"], occurrences["h"], occurrences["pos"] = ids[text[order]], hs[text[order]], pos[order]
-            for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)], strict=True):
-                index: dict[bytes, int] = {}
-                of = np.array([index.setdefault(raw[a[i] : b[i]], len(index)) for i in range(lo, hi)])
-                by_string = np.argsort(of, kind="stable")
-                counts = np.bincount(of, minlength=len(index)).astype("<u4")
-                o = occurrences[lo:hi][by_string]
-                out.append((int(bucket[order[lo]]), _pack(b"\n".join(index)), _pack(counts.tobytes()), _pack(b"".join(o[f].tobytes() for f in ("id", "h", "pos")))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[j] for r in out], pa.binary()) for j in (1, 2, 3))], names=["bucket", "strings", "per_string", "docs"])
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob"), strict=True):
+                s = _Strings(*_opened(blob.as_py()), k, m, buckets)
+                if not len(s.first):
+                    continue
+                raw, out = s.flat.tobytes(), []
+                ids = s.ids[s.text[s.order]]
+                least, greatest = np.minimum.reduceat(ids, s.first), np.maximum.reduceat(ids, s.first)
+                a, b = s.a[s.order[s.first]].tolist(), s.b[s.order[s.first]].tolist()
+                for bucket, lo, hi in s.by_bucket():
+                    out.append((bucket, _pack(b"\n".join([raw[x:y] for x, y in zip(a[lo:hi], b[lo:hi], strict=True)])), _pack(np.concatenate([least[lo:hi], greatest[lo:hi] - least[lo:hi]]).tobytes())))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[j] for r in out], pa.binary()) for j in (1, 2))], names=["block", "bucket", "strings", "docs"])
+            C.release()
 
     return send
 
@@ -131,87 +173,100 @@ def repeated_windows(strings: bytes, least_id: np.ndarray, k: int) -> tuple[np.n
 
 
 def _count(k: int):
+    """Per block of a bucket, its windows that also start in a smaller document than one in which the block has them."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in C.sorted_groups(batches, ["bucket"]):
-            blobs = [_unpack(x) for x in group.column("strings").to_pylist()]
-            per = [np.frombuffer(_unpack(x), "<u4").astype(np.int64) for x in group.column("per_string").to_pylist()]
-            strings, counts = b"\n".join(blobs), np.concatenate(per)
-            del blobs
-            packed = group.column("docs")
-            # the smallest document of each string; a blob's documents are unpacked one blob at a time, twice
-            low = []
-            for i, c in enumerate(per):
-                ids = np.frombuffer(_unpack(packed[i].as_py()), np.uint8, int(c.sum()) * 8).view("<i8")
-                low.append(np.minimum.reduceat(ids, np.cumsum(c) - c))
-            least_id = np.concatenate(low)
-            first, n, smallest = repeated_windows(strings, least_id, k)
-            least_window = np.minimum.reduceat(smallest, first)
-            at = 0
-            for i, c in enumerate(per):
-                total = int(c.sum())
-                raw = np.frombuffer(_unpack(packed[i].as_py()), np.uint8)
-                ids, h, pos = raw[: 8 * total].view("<i8"), raw[8 * total : 12 * total].view("<u4"), raw[12 * total :].view("<u4")
-                of = np.repeat(np.arange(at, at + len(c)), c)
-                at += len(c)
-                found = least_window[of] < ids  # some window of the string starts in a smaller document
-                ids, h, pos, of = ids[found], h[found], pos[found], of[found]
-                if not len(ids):
-                    continue
-                window = C.ranges(first[of], n[of])
-                occ = np.repeat(np.arange(len(of)), n[of])
-                hit = np.flatnonzero(smallest[window] < ids[occ])
-                local = window[hit] - first[of[occ[hit]]]
-                occ = occ[hit]
-                start = np.append(True, (occ[1:] != occ[:-1]) | (local[1:] != local[:-1] + 1))
-                a = np.flatnonzero(start)
-                b = np.append(a[1:], len(occ)) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[occ[a]]), pa.array(h[occ[a]].astype(np.int64)), pa.array((pos[occ[a]] + local[a]).astype(np.int32)), pa.array((pos[occ[b]] + local[b] + k).astype(np.int32))],
-                    names=["_id", "_h", "a", "b"],
-                )
+            strings = b"\n".join(_unpack(x) for x in group.column("strings").to_pylist())
+            docs = [np.frombuffer(_unpack(x), "<i8").reshape(2, -1) for x in group.column("docs").to_pylist()]
+            least = np.concatenate([d[0] for d in docs])
+            greatest = least + np.concatenate([d[1] for d in docs])
+            first, n, smallest = repeated_windows(strings, least, k)
+            of = np.repeat(np.arange(len(n)), n)
+            found = np.flatnonzero(smallest < greatest[of])
+            cuts = np.searchsorted(of[found], np.cumsum([0, *(d.shape[1] for d in docs)]))
+            at, out = 0, []
+            for block, d, lo, hi in zip(group.column("block").to_pylist(), docs, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if hi > lo:
+                    answer = np.zeros(hi - lo, dtype=_ANSWER)
+                    own = found[lo:hi]
+                    answer["string"], answer["window"], answer["least"] = of[own] - at, own - first[of[own]], smallest[own]
+                    out.append((block, _pack(b"".join(answer[f].tobytes() for f in _ANSWER.names))))
+                at += d.shape[1]
+            bucket = group.column("bucket")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary())], names=["block", "bucket", "answer"])
 
     return count
 
 
-def _cut(with_text: bool):
+def _gone(words: C.Words, rows: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray, answers: dict[int, bytes], k: int, m: int, buckets: int) -> np.ndarray:
+    """Which words of a block are covered by windows that also start in a smaller document."""
+    change = np.zeros(len(words.starts) + 1, dtype=np.int64)
+    if answers:
+        s = _Strings(rows, buf, offsets, k, m, buckets)
+        for bucket, lo, _ in s.by_bucket():
+            if bucket not in answers:
+                continue
+            raw = np.frombuffer(_unpack(answers[bucket]), np.uint8)
+            n = len(raw) // _ANSWER.itemsize
+            string, window, least = raw[: 4 * n].view("<u4").astype(np.int64) + lo, raw[4 * n : 8 * n].view("<u4").astype(np.int64), raw[8 * n :].view("<i8")
+            occurrence = s.order[C.ranges(s.first[string], s.n[string])]
+            window, least = np.repeat(window, s.n[string]), np.repeat(least, s.n[string])
+            text = s.text[occurrence]
+            hit = least < s.ids[text]
+            at = words.first[text[hit]] + s.pos[occurrence[hit]] + window[hit]
+            np.add.at(change, at, 1)
+            np.add.at(change, at + k, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def _cut(k: int, m: int, buckets: int, names: list[str], with_text: bool, as_is: bool):
+    """The rows of each block, with the counts of their words and the text of the kept ones, or its SHA-256."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offsets in C.text_chunks(batches):
+        for group in C.sorted_groups(batches, ["block"]):
+            found = group.column("bucket").to_pylist()
+            blobs = [i for i, b in enumerate(found) if b == -1]  # equal blocks come more than once
+            answers = {b: group.column("answer")[i].as_py() for i, b in enumerate(found) if b >= 0}
+            rows, buf, offsets = _opened(group.column("answer")[blobs[0]].as_py())
             words = C.Words(buf, offsets)
-            gone = np.zeros(len(words.starts) + 1, dtype=np.int64)
-            spans = rows.column("spans")
-            if spans.null_count < len(spans):
-                flat = spans.flatten()
-                text = np.repeat(np.arange(len(spans)), np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-                np.add.at(gone, words.first[text] + flat.field("a").to_numpy(), 1)
-                np.add.at(gone, words.first[text] + flat.field("b").to_numpy(), -1)
-            keep = np.cumsum(gone)[:-1] == 0
+            keep = ~_gone(words, rows, buf, offsets, answers, k, m, buckets)
             raw = buf.tobytes()
             kept_per = np.add.reduceat(np.append(keep, False).astype(np.int64), words.first[:-1]) * (words.counts > 0)
             kept_words = np.flatnonzero(keep)
             s, e = words.starts[kept_words].tolist(), words.ends[kept_words].tolist()
             ends = np.cumsum(kept_per).tolist()
             texts = [b" ".join([raw[s[i] : e[i]] for i in range(lo, hi)]) for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+            if as_is:
+                same = np.flatnonzero(kept_per == words.counts).tolist()
+                for i in same:
+                    texts[i] = raw[offsets[i] : offsets[i + 1]]
             last = pa.array([t.decode() for t in texts], pa.string()) if with_text else pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_h"), pa.array(words.counts.astype(np.int64)), pa.array((words.counts - kept_per).astype(np.int64)), last], names=["_id", "_h", "n_words", "n_removed", "kept"])
+            carried = [rows.column(rows.schema.get_field_index(c)) for c in names]
+            out = pa.RecordBatch.from_arrays([*carried, pa.array(words.counts.astype(np.int64)), pa.array((words.counts - kept_per).astype(np.int64)), last], names=[*names, "n_words", "n_removed", "kept"])
+            for _ in blobs:
+                yield out
 
     return cut
 
 
-def bucket_count(keyed: DataFrame, bucket_bytes: int) -> int:
-    """Buckets of about bucket_bytes of packed strings; super-k-mers hold each word about three times."""
-    total = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    return max(16, 3 * total // bucket_bytes)
-
-
-def removed_spans(keyed: DataFrame, k: int = 13, m: int = 2, bucket_bytes: int = 5 << 20, block_bytes: int = 4 << 20) -> DataFrame:
-    """(_id, _h, a, b): word intervals [a, b) of a document covered by windows that also start in a smaller document."""
-    buckets = bucket_count(keyed, bucket_bytes)
-    sent = keyed.mapInArrow(_send(k, m, buckets, block_bytes), _BLOB)
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), "_id long, _h long, a int, b int")
+def substring_dedup(docs: DataFrame, k: int = 13, m: int = 5, with_text: bool = True, as_is: bool = False, bucket_bytes: int = 5 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+    """The columns of docs without its text, then n_words, n_removed and kept (`_kept` and so on where docs has such a column).
 
-
-def substring_dedup(docs: DataFrame, k: int = 13, m: int = 2, with_text: bool = True, **sizes: int) -> DataFrame:
-    """(_id, _h, n_words, n_removed, kept): kept is the text of the kept words, or with with_text=False its SHA-256."""
-    keyed = C.keyed_documents(docs)
-    spans = removed_spans(keyed, k, m, **sizes).groupBy("_id", "_h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return keyed.join(spans, ["_id", "_h"], "left").select("_id", "_h", "_text", "spans").mapInArrow(_cut(with_text), "_id long, _h long, n_words long, n_removed long, kept string")
+    kept is the text of the kept words, joined by one space, or with with_text=False its SHA-256; with as_is a text that
+    loses nothing stays as it is.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    names = [f"_c{i}" for i in range(len(others))]
+    plain = docs.toDF(*[names[others.index(c)] if c in others else "_t" for c in docs.columns])
+    keyed = plain.select(F.coalesce(F.col("_t").cast("string"), F.lit("")).alias("_text"), C.row_id(names[others.index("doc_id")]).alias("_id"), *names)
+    carried = keyed.select(*names).schema
+    blocks = C.materialised(keyed.mapInArrow(_blocks(block_bytes), "block long, blob binary"), "dedup-blocks")
+    total = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    buckets = max(16, 3 * total // bucket_bytes)  # each word is in about three super-k-mers
+    sent = blocks.mapInArrow(_send(k, m, buckets), _SENT)
+    answers = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(k), "block long, bucket int, answer binary")
+    both = blocks.select("block", F.lit(-1).alias("bucket"), F.col("blob").alias("answer")).unionByName(answers)
+    schema = StructType([*carried.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
+    out = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_cut(k, m, buckets, names, with_text, as_is), schema)
+    return out.toDF(*others, *("_" * (c in others) + c for c in ("n_words", "n_removed", "kept")))
