@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.llm import common as C
+from barlab.llm import pipeline as stages
 from barlab.llm.jaccard_join import jaccard_join
 from barlab.llm.language_model import language_model
 from barlab.llm.mixing import mix
 from barlab.llm.nearest import nearest, valid_vectors
 from barlab.llm.packing import pack
+from barlab.llm.pipeline import TOXIC_FROM, table, tokenizer_path
 from barlab.llm.quality_rules import quality_rules
 from barlab.llm.substring_dedup import substring_dedup
 from barlab.llm.toxicity import fit, learnable, score
@@ -21,21 +23,10 @@ from barlab.llm.warc import round_trip
 
 #: (verdict, host, path)
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-TOXIC_FROM = 0.3
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).select(C.original_id().alias("doc_id"), "class_id", "n_links", "n_shingles")
+    return jaccard_join(table(spark, sf_dir, "documents")).select(C.original_id().alias("doc_id"), C.original_id("class_id").alias("class_id"), "n_links", "n_shingles")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +44,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False).select(C.original_id().alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).withColumnRenamed("kept", "kept_sha256")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +70,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,7 +9,9 @@ which reads the sample twice and keeps only features that tell the classes apart
 with no shuffle; the model that is broadcast has 2^18 weights.
 
 Defined cases: null and empty texts get the score of a text without features; a label that is null, or an id that
-labels hold more than once with different values, is not learned from; with one class only, every score is its share.
+labels hold more than once with different values, is not learned from; with one class only, every score is its share,
+with no labelled row one half; repeated rows are scored alike; an empty table gives an empty result. score names its
+columns itself; keep_clean returns the columns of docs, whatever their names.
 """
 
 from __future__ import annotations
@@ -158,8 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    # `sample` rows at most
-    rows = texts.join(F.broadcast(chosen), "_id").repartition(1).sortWithinPartitions("_id", "_text").mapInArrow(_fit, "weights binary, bias double").collect()
+    # `sample` ids at most are broadcast; where ids repeat in docs, `sample` rows of theirs at most are learned from
+    rows = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(sample).repartition(1).sortWithinPartitions("_id", "_text").mapInArrow(_fit, "weights binary, bias double").collect()
     if not rows:
         return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(rows[0]["weights"], np.float32), rows[0]["bias"]

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("barlab.llm.queries")
 from barlab.llm import common as C
@@ -76,7 +77,7 @@ def test_toxicity_learns_and_scores_every_row(spark, docs, empty):
 
 def test_language_model_base_and_normalisation(docs, empty):
     rows = [(i, [*WORD.findall(t.translate(LOWER)), "\n"]) for i, t in texts_of(docs)]
-    count = collections.Counter(w for i, t in rows if i >= 0 and zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
+    count = collections.Counter(w for i, t in rows if i < 0 or zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
     n, v = sum(count.values()), len(count)
     want = sorted((i, len(t), sum(count[w] > 0 for w in t), round(sum(np.log10((count[w] + 1) / (n + v + 1)) for w in t), 6)) for i, t in rows)
     got = language_model.language_model(docs).collect()
@@ -90,7 +91,7 @@ def test_packing(docs, empty):
 
     path = queries.tokenizer_path()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    docs = docs.unionByName(docs.limit(1).select(F.lit(900).cast("long").alias("doc_id"), F.lit("a <|endoftext|> b  <|endoftext|>c\n").alias("text"), *docs.columns[2:]))
     ids = collections.defaultdict(list)
     for i, t in texts_of(docs):
         ids[i].append([*tokenizer.encode(t, add_special_tokens=False).ids, 0])
@@ -157,8 +158,12 @@ def test_substring_dedup(docs, empty):
     for i, w in rows:
         gone = {q for j in range(len(w) - 12) if first[tuple(w[j : j + 13])] < i for q in range(j, j + 13)}
         want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for q, x in enumerate(w) if q not in gone).encode()).hexdigest()))
-    got = substring_dedup.substring_dedup(docs, with_text=False, block_bytes=4000).collect()
-    assert sorted((r._id, r.n_words, r.n_removed, r.kept) for r in got) == sorted(want)
+    for size in (4000, 4 << 20):
+        out = substring_dedup.substring_dedup(docs, with_text=False, block_bytes=size)
+        assert out.columns == [*(c for c in docs.columns if c != "text"), "n_words", "n_removed", "kept"]
+        got = out.collect()
+        assert sorted((C.NO_ID if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == sorted(want)
+        assert {r["_id"] for r in got} == {7} and {r["words"] for r in got} == {"x"}
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
@@ -192,22 +197,54 @@ def test_url_filter(spark):
     assert [int(x) >= 0 for x in collide.find([b"org/", b"nothing", b"com/de/"])] == [True, False, True]
 
 
+def by_quotients(weights, seats, caps):
+    """Seats one by one, each to the highest quotient."""
+    out = [0] * len(weights)
+    for _ in range(seats):
+        free = [i for i in range(len(weights)) if weights[i] > 0 and out[i] < caps[i]]
+        if not free:
+            break
+        out[max(free, key=lambda i: (weights[i] / (2 * out[i] + 1), -i))] += 1
+    return out
+
+
+def test_seats_go_to_the_highest_quotients():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        n = int(rng.integers(1, 9))
+        weights, seats = rng.integers(0, 200, n), int(rng.integers(0, 40))
+        caps = rng.integers(0, 30, n)
+        assert mixing.sainte_lague(weights, seats, caps).tolist() == by_quotients(weights.tolist(), seats, caps.tolist())
+
+
 def test_mixing(docs, empty):
-    got = mixing.mix(docs, block=16, shard_words=500).collect()
-    again = mixing.mix(docs, block=16, shard_words=500).collect()
-    key = lambda r: (r._id, r.taken)
-    assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == docs.count()
-    taken, target = collections.Counter(), {}
-    for r in got:
-        assert r.taken <= 3 * r.size and r.taken == r.rounds * r.size + sum(s.b - s.a for s in r.spans)
-        taken[r.source] += r.taken
-        target[r.source] = r.target
-    assert all(abs(taken[s] - target[s]) < 400 for s in target)
+    for sizes in ({"block": 16, "shard_words": 500, "group_shards": 2}, {"block": 64}):
+        got = mixing.mix(docs, **sizes).collect()
+        again = mixing.mix(docs.repartition(5), **sizes).collect()
+        key = lambda r: (r._id, r._h, r.taken, r.spans)
+        assert sorted(map(key, got)) == sorted(map(key, again)) and len(got) == docs.count()
+        taken, target, shards = collections.Counter(), {}, collections.Counter()
+        for r in got:
+            assert r.taken <= 3 * r.size and r.taken == r.rounds * r.size + sum(s.b - s.a for s in r.spans)
+            taken[r.source] += r.taken
+            target[r.source] = r.target
+            shards[r.source] = max(1, r.source_size // sizes.get("shard_words", 1 << 20))
+        assert all(abs(taken[s] - target[s]) <= sizes["block"] * shards[s] for s in target)
     assert mixing.sainte_lague(np.array([53.0, 24, 23]), 7).tolist() == [3, 2, 2]
     assert mixing.targets([100, 0, 10], [5, 2, 1], 3) == pytest.approx([91.6666667, 0, 18.3333333])
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_meets_the_target_of_a_small_source(spark):
+    """One source has a hundredth of the words of the other, which is dealt over many shards; a third of it is one text."""
+    ship(spark)
+    rows = [(i, " ".join(["w"] * 40), "a") for i in range(5000)] + [(None, "same text", "a")] * 2500 + [(10**6 + i, "x y z q " * 5, "b") for i in range(100)] + [(10**7 + i, None, "c") for i in range(50)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_words=2000).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()
+    got = {r.source: r for r in got}
+    assert got["b"].target == 6000 and 6000 - 64 <= got["b"].taken <= 6000
+    assert abs(got["a"].taken - got["a"].target) <= 64 * 105 and got["c"].taken == 0 and got["a"].n == 7500
+
+
 def test_warc(spark):
     ship(spark)
     long = "x" * 120

@@ -74,12 +74,12 @@ def test_language_model_keeps_its_evidence_as_the_corpus_grows(spark):
 
 
 def test_near_duplicate_stage_keeps_a_row_of_every_class(spark):
-    import corpus_pipeline
+    from barlab.llm import pipeline
 
     rng = np.random.default_rng(9)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(40)]
     rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 100 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     copies = [(None, texts[0] + " tail", "en", "s", 0), (7, texts[1], "de", "s", 0), (7, texts[1] + " tail", "en", "s", 0), (999, texts[3], "en", "s", 0), (None, None, "en", "s", 0), (None, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string, source string, n_chars long")
-    got = [r.text or "" for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    got = [r.text or "" for r in pipeline.near_duplicate_stage(spark, docs, "").collect()]
     assert sorted(t.removesuffix(" tail") for t in got) == sorted([*texts, ""])
