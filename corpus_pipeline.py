@@ -1,109 +1,5 @@
-"""Corpus pipeline: toxic documents go, one document of each near-duplicate group stays, repeated passages go, sources are mixed to their target weights, and the rest is packed into sequences.
+"""The corpus pipeline at the top of the repository; its stages are in barlab.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
-"""
+from barlab.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from barlab.llm import common as C
-from barlab.llm.jaccard_join import jaccard_join
-from barlab.llm.mixing import mix
-from barlab.llm.packing import pack
-from barlab.llm.queries import TOXIC_FROM, table, tokenizer_path
-from barlab.llm.substring_dedup import substring_dedup
-from barlab.llm.toxicity import fit, keep_clean
-from barlab.shipping import ship
-
-_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """The documents that `changed` (_id, _h, _new) holds, with the new text and its length."""
-    keyed = docs.select(*_COLUMNS).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    joined = keyed.drop("text", "n_chars").join(changed, ["_id", "_h"])
-    return joined.select("doc_id", F.col("_new").alias("text"), "lang", "source", F.length("_new").cast("long").alias("n_chars"))
-
-
-def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score 0.3 or more. The classifier learns from the labels of the documents at hand."""
-    ship(spark)
-    return keep_clean(docs.select(*_COLUMNS), fit(docs, table(spark, sf_dir, "labels")), TOXIC_FROM)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, with the smallest id and of that the smallest crc32, of each connected group of 5-word-shingle similarity 0.8 or more.
-
-    Documents that share an id, or have none, are told apart by their texts; of rows that share both, the smallest stays.
-    """
-    ship(spark)
-    first = jaccard_join(docs).where("_id = class_id AND _h = class_h").select("_id", "_h")
-    keyed = docs.select(*_COLUMNS).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    kept = keyed.join(first.distinct(), ["_id", "_h"], "left_semi").groupBy("_id", "_h", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"))
-    return kept.agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("_row")).select("_row.*").select(*_COLUMNS)
-
-
-def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes words in 13-word windows that also start in a document with a smaller id; a text that changes keeps its other words, joined by spaces, and a document that loses all of them goes."""
-    ship(spark)
-    cut = substring_dedup(docs).where("n_removed > 0").select("_id", "_h", F.col("kept").alias("_new"), (F.col("n_words") > F.col("n_removed")).alias("_left")).dropDuplicates(["_id", "_h"])
-    keyed = docs.select(*_COLUMNS).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_h", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    text = F.coalesce("_new", "text")
-    return keyed.join(cut, ["_id", "_h"], "left").where(F.coalesce("_left", F.lit(True))).select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
-
-
-def _repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text as often as it is taken whole, and the words of its blocks that are taken once more."""
-    for rows, buf, offsets in C.text_chunks(batches):
-        words = C.Words(buf, offsets)
-        raw, out = buf.tobytes(), []
-        for i, (rounds, spans) in enumerate(zip(rows.column("rounds").to_pylist(), rows.column("spans").to_pylist(), strict=True)):
-            parts = [raw[offsets[i] : offsets[i + 1]]] * rounds
-            at = words.first[i]
-            parts += [raw[words.starts[at + s["a"]] : words.ends[at + s["b"] - 1]] for s in spans]
-            out.append(b"\n".join(parts).decode())
-        yield pa.RecordBatch.from_arrays([rows.column("_id"), rows.column("_h"), pa.array(out, pa.string())], names=["_id", "_h", "_new"])
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's text becomes what the mix takes of it: up to three times its words; a document it takes nothing of goes."""
-    ship(spark)
-    taken = mix(docs).where("taken > 0").select("_id", "_h", "rounds", "spans").dropDuplicates(["_id", "_h"])
-    texts = C.keyed_documents(docs).join(taken, ["_id", "_h"])
-    plain = docs.select(*_COLUMNS)
-    return _with_text(plain, texts.mapInArrow(_repeat, "_id long, _h long, _new string").dropDuplicates(["_id", "_h"]))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
-    ship(spark)
-    return pack(docs, tokenizer_path()).select(C.original_id().alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-
-
-STAGES = [
-    ("toxicity", toxicity_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("substring_dedup", substring_stage),
-    ("mixing", mixing_stage),
-    ("packing", packing_stage),
-]
-
-#: Training a classifier and tokenizing have no SQL form; the stages are tested one by one against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    at = f"{C.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
