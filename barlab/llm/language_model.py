@@ -290,6 +290,8 @@ def _send_tokens(order: int, buckets: int, shards: int, block_bytes: int):
                 out.append((int(of_shard[a]), *[None] * 4, _zt(np.diff(windows[a:b], prepend=np.uint64(0))), _zt(seen[a:b])))
             block = int.from_bytes(xxhash.xxh64_digest(docs + spelled.tobytes()), "little", signed=True)  # equal blocks hold equal rows
             kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+            del spelled, names, raw, windows, seen, by, of_shard
+            C.release()
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), *(pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds))], names=["block", "bucket", "n", "docs", "text", "lengths", "words", "learned"])
 
     return send
@@ -343,6 +345,8 @@ def _base(order: int, buckets: int, shards: int):
             known = np.bincount(doc, weights=tf * (c[place] > 0), minlength=n).astype(np.int64)
             logs = np.bincount(doc, weights=tf * np.log10(c + 1.0)[place], minlength=n)
             out = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(held.astype(bool)), pa.array(n_tokens), pa.array(known), pa.array(logs), pa.array(score)], names=["_id", "_h", "held_out", "n_tokens", "n_known", "logs", "score"])
+            del raw, spelled, windows, by, of_window, at, doc, place, tf, c, p
+            C.release()
             for _ in range(same):
                 yield out
 
