@@ -85,7 +85,7 @@ def _blocks(block_bytes: int):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in C.text_chunks(batches, size=block_bytes):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
                 out.write_batch(rows)
             blob = sink.getvalue().to_pybytes()
             yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(xxhash.xxh64_digest(blob), "little", signed=True)], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
@@ -250,7 +250,7 @@ def _cut(k: int, m: int, buckets: int, names: list[str], with_text: bool, as_is:
     return cut
 
 
-def substring_dedup(docs: DataFrame, k: int = 13, m: int = 5, with_text: bool = True, as_is: bool = False, bucket_bytes: int = 5 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, k: int = 13, m: int = 4, with_text: bool = True, as_is: bool = False, bucket_bytes: int = 5 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """The columns of docs without its text, then n_words, n_removed and kept (`_kept` and so on where docs has such a column).
 
     kept is the text of the kept words, joined by one space, or with with_text=False its SHA-256; with as_is a text that
