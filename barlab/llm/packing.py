@@ -39,7 +39,7 @@ class Encoder:
     held are strung together and tokenized in one go: the bytes of their tokens tell where each of them ends.
     """
 
-    def __init__(self, path: str, kept: int = 2_000_000, longest: int = 255, together: int = 1 << 12):
+    def __init__(self, path: str, kept: int = 1_000_000, longest: int = 255, together: int = 1 << 12):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -157,7 +157,10 @@ class Encoder:
         held = np.flatnonzero(entry >= 0)
         per_piece[held], source[held] = self.length[entry[held]], self.start[entry[held]]
         per_piece[miss], source[miss] = length[of], first[of] + self.n_ids
-        out = np.concatenate([self.ids[: self.n_ids], ids])[C.ranges(source, per_piece)]
+        place = C.ranges(source, per_piece)
+        fresh = np.flatnonzero(place >= self.n_ids)
+        out = self.ids[np.minimum(place, len(self.ids) - 1)]
+        out[fresh] = ids[place[fresh] - self.n_ids]
         done = np.concatenate([[0], np.cumsum(per_piece)])
         short = np.flatnonzero(size[new] <= self.longest)
         self._keep(h[new[short]], size[new[short]], ids[C.ranges(first[short], length[short])], length[short])
@@ -197,6 +200,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                 out.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
+            C.release()
 
     return pieces
 
