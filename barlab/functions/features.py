@@ -64,8 +64,8 @@ FEATURES: dict[str, tuple[list[Layer], list[str]]] = {
         [
             TRUE_RANGE,
             {"atr_14": full("avg", "tr", 14), "close_location": ratio("close - low", "high - low"), "d1": f"close - {lag('close')}", "d0": f"{lag('close')} - {lag('close', 2)}"},
-            {"buying_pressure": "close_location * volume", "selling_pressure": "(1 - close_location) * volume", "range_atr_ratio": ratio("high - low", "atr_14"), "price_acceleration": "d1 - d0", "body_wick_ratio": ratio("abs(close - open)", "high - low")},
-            {"pressure_imbalance": ratio("buying_pressure - selling_pressure", "buying_pressure + selling_pressure")},
+            {"buying_pressure": "close_location", "selling_pressure": ratio("high - close", "high - low"), "range_atr_ratio": ratio("high - low", "atr_14"), "price_acceleration": "d1 - d0", "body_wick_ratio": ratio("abs(close - open)", "high - low")},
+            {"pressure_imbalance": "buying_pressure - selling_pressure"},
             {"pressure_imbalance_ma": full("avg", "pressure_imbalance", 10)},
         ],
         ["close_location", "buying_pressure", "selling_pressure", "pressure_imbalance", "pressure_imbalance_ma", "range_atr_ratio", "price_acceleration", "body_wick_ratio"],
@@ -73,7 +73,7 @@ FEATURES: dict[str, tuple[list[Layer], list[str]]] = {
     "w33_rsi2": (
         [
             {"d": f"close - {lag('close')}"},
-            {"g": full("avg", "greatest(d, 0)", 2).replace("count(greatest(d, 0))", "count(d)"), "l": full("avg", "greatest(-d, 0)", 2).replace("count(greatest(-d, 0))", "count(d)")},
+            {"g": f"CASE WHEN count(d) {over(2)} >= 2 THEN avg(greatest(d, 0)) {over(2)} END", "l": f"CASE WHEN count(d) {over(2)} >= 2 THEN avg(greatest(-d, 0)) {over(2)} END"},
             {"rsi_2": "CASE WHEN g IS NULL THEN NULL WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END"},
         ],
         ["rsi_2"],

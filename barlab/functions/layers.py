@@ -24,6 +24,10 @@ def lag(x: str, n: int = 1, by: str = "symbol", order: str = "hour") -> str:
     return f"lag({x}, {n}) OVER (PARTITION BY {by} ORDER BY {order})"
 
 
+def lead(x: str, n: int = 1, by: str = "symbol", order: str = "hour") -> str:
+    return f"lead({x}, {n}) OVER (PARTITION BY {by} ORDER BY {order})"
+
+
 def full(f: str, x: str, n: int, **where) -> str:
     """f over the last n rows, NULL until n rows hold x."""
     return f"CASE WHEN count({x}) {over(n, **where)} >= {n} THEN {f}({x}) {over(n, **where)} END"

@@ -1,30 +1,15 @@
-"""Linear recurrences y = (1 - a) * y_prev + a * x as a two-level scan.
-
-Rows are cut into chunks of 256 within a symbol. Inside a chunk the recurrence is a windowed sum of x scaled by powers
-of 1 - a; the value carried into a chunk folds the ends of the last 64 chunks, beyond which weights are under 1e-28 for
-a of 0.004 or more. No task passes over a whole long series.
-"""
+"""One linear recurrence y = (1 - a) * y_prev + a * x, and its SQL; several at once are in series.ewms."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-CHUNK, BACK = 256, 64
+from barlab.functions.series import ewms
 
 
 def ewm(df: DataFrame, x: str, alpha: float, out: str, warm: int = 0, by: str = "symbol", order: str = "hour") -> DataFrame:
     """Adds `out`, seeded with the first row's x, which must not be null; null in the first warm - 1 rows."""
-    if not 0.004 <= alpha <= 0.93:
-        raise ValueError("alpha must be between 0.004 and 0.93")
-    r = 1 - alpha
-    d = df.withColumn("_n", F.expr(f"row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1")).selectExpr("*", f"_n div {CHUNK} AS _c", f"_n % {CHUNK} AS _k", f"CASE WHEN _n = 0 THEN {x} ELSE {alpha!r}D * {x} END AS _b")
-    d = d.withColumn("_s", F.expr(f"pow({r!r}D, _k) * sum(_b * pow({r!r}D, -_k)) OVER (PARTITION BY {by}, _c ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
-    ends = d.groupBy(by, "_c").agg(F.max_by("_s", "_k").alias("_e"))
-    step = r**CHUNK
-    carry = ends.selectExpr(by, "_c", f"aggregate(collect_list(_e) OVER (PARTITION BY {by} ORDER BY _c ROWS BETWEEN {BACK} PRECEDING AND 1 PRECEDING), 0D, (a, e) -> a * {step!r}D + e) AS _y")
-    d = d.join(carry, [by, "_c"]).withColumn(out, F.expr(f"CASE WHEN _n + 1 >= {warm} THEN _s + pow({r!r}D, _k + 1) * _y END"))
-    return d.drop("_n", "_c", "_k", "_b", "_s", "_y")
+    return ewms(df, {out: (x, alpha, warm)}, by, order)
 
 
 def ewm_sql(x: str, alpha: float, warm: int = 0, by: str = "symbol", order: str = "hour") -> str:

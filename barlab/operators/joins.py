@@ -17,13 +17,3 @@ def asof(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time:
     latest = F.expr("last(_v, true) OVER (PARTITION BY _by ORDER BY _t, _side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     return tagged.unionByName(other).withColumn(value, F.coalesce(latest, F.lit(default))).where("_side = 1").select("_row.*", value)
 
-
-def fold_table(n: int, train: int, gap: int, val: int, test: int) -> list[tuple[int, str, int, int]]:
-    """(fold, role, lo, hi): train, gap, validation, gap, test, sliding by the test size, over n rows."""
-    out, at, fold = [], 0, 0
-    while at + train + gap + val + gap + test <= n:
-        a = at + train
-        b = a + gap + val
-        out += [(fold, "train", at, a), (fold, "val", a + gap, b), (fold, "test", b + gap, b + gap + test)]
-        at, fold = at + test, fold + 1
-    return out

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlab.functions.features import TRUE_RANGE
-from barlab.functions.layers import Layer, full, lag, over
+from barlab.functions.layers import Layer, full, lead, over
+from barlab.operators.ledger import gated, one_at_a_time
 
 #: Breakout of the prior 20 bars with a long or short side; stop and target in multiples of the average true range.
 DONCHIAN: list[Layer] = [
     TRUE_RANGE,
-    {"atr": full("avg", "tr", 14), "upper": f"max(high) {over(20, skip=1)}", "lower": f"min(low) {over(20, skip=1)}", "rn": "row_number() OVER (PARTITION BY symbol ORDER BY hour)", "fill_open": lag("open", 1).replace("lag(", "lead("), "fill_hour": lag("hour", 1).replace("lag(", "lead(")},
+    {"atr": full("avg", "tr", 14), "upper": f"max(high) {over(20, skip=1)}", "lower": f"min(low) {over(20, skip=1)}", "rn": "row_number() OVER (PARTITION BY symbol ORDER BY hour)", "fill_open": lead("open"), "fill_hour": lead("hour")},
     {"side": "CASE WHEN rn > 20 AND close > upper THEN 1 WHEN rn > 20 AND close < lower THEN -1 END"},
 ]
 STOP, TARGET, HOURS, SLIPPAGE, COMMISSION = 2.0, 3.0, 24, 5e-4, 1e-3
@@ -49,29 +50,19 @@ def _next_bar(rows: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def non_overlapping(trades: DataFrame) -> DataFrame:
-    """Trades taken one at a time per symbol: the next entry is at or after the last exit. A fold over candidate trades, not bars."""
-    row = F.struct("entry_hour", "exit_hour", "side", "entry_price", "exit_price", "exit_reason", "gross", "net")
-    folded = trades.groupBy("symbol").agg(F.sort_array(F.collect_list(row)).alias("all")).selectExpr(
-        "symbol",
-        "aggregate(all, named_struct('free', -9223372036854775808L, 'taken', filter(all, x -> false)), (a, x) -> if(x.entry_hour >= a.free, named_struct('free', x.exit_hour, 'taken', concat(a.taken, array(x))), a)).taken AS taken",
-    )
-    return folded.selectExpr("symbol", "inline(taken)")
+    """Trades taken one at a time per symbol: the next entry is at or after the last exit."""
+    return one_at_a_time(trades.withColumn("cfg", F.lit(""))).drop("cfg")
 
 
 def risk_gate(trades: DataFrame, capital: float = 1000.0, drawdown: float = 0.2, daily_loss: float = 0.05, hours_between: int = 2) -> DataFrame:
     """The trades that pass the risk rules, taken in order of entry per symbol.
 
     A fall of the running equity by `drawdown` below its peak stops all later trades; a day (of 24 hours from 1970) whose
-    taken trades lost `daily_loss` of the capital takes no more; entries are at least `hours_between` apart. A fold over
-    trades, not bars.
+    taken trades lost `daily_loss` of the capital takes no more; entries are at least `hours_between` apart. One state a
+    symbol runs down its trades.
     """
-    row = F.struct("entry_hour", "exit_hour", "side", "net")
-    start = f"named_struct('equity', {capital}D, 'peak', {capital}D, 'day', -1L, 'lost', 0D, 'last', -1000000L, 'taken', filter(all, x -> false))"
-    lost = "if(x.entry_hour div 24 = a.day, a.lost, 0D)"
-    passes = f"a.equity > a.peak * {1 - drawdown}D AND {lost} > {-daily_loss * capital}D AND x.entry_hour - a.last >= {hours_between}"
-    after = f"named_struct('equity', a.equity + x.net, 'peak', greatest(a.peak, a.equity + x.net), 'day', x.entry_hour div 24, 'lost', {lost} + x.net, 'last', x.entry_hour, 'taken', concat(a.taken, array(x)))"
-    folded = trades.groupBy("symbol").agg(F.sort_array(F.collect_list(row)).alias("all")).selectExpr("symbol", f"aggregate(all, {start}, (a, x) -> if({passes}, {after}, a)).taken AS taken")
-    return folded.selectExpr("symbol", "inline(taken)")
+    ordered = trades.select("symbol", "entry_hour", "exit_hour", "side", "net").repartition("symbol").sortWithinPartitions("symbol", "entry_hour")
+    return ordered.mapInPandas(gated(capital, drawdown, daily_loss * capital, hours_between), "symbol string, entry_hour long, exit_hour long, side int, net double")
 
 
 def trade_stats(trades: DataFrame, by: str = "symbol", pnl: str = "net") -> DataFrame:

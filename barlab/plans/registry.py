@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.functions.features import FEATURES, TRUE_RANGE
+from barlab.functions.features import FEATURES
 from barlab.functions.layers import Layer, add_layers, full, lag, layers_sql, over, ratio, rounded
 from barlab.functions.recursive import ewm, ewm_sql
-from barlab.operators.joins import asof, fold_table
+from barlab.functions.series import ewms
+from barlab.operators.joins import asof
 from barlab.operators.trades import COMMISSION, DONCHIAN, HOURS, SLIPPAGE, STOP, TARGET, barrier_trades, non_overlapping, trade_stats
 from barlab.sources.bars import PANEL_SQL, bars, bars_sql, panel, table
 
@@ -38,59 +39,17 @@ layered("s06_panel", panel, PANEL_SQL, [], ["asset", "day", "round(open, 6) AS o
 for _name, (_layers, _out) in FEATURES.items():
     layered(_name, bars, bars_sql(), _layers, rounded(["symbol", "hour"], _out))
 
-_SCORES: list[Layer] = [
-    *FEATURES["w10_volatility"][0],
-    *FEATURES["w14_volume"][0],
-    {"r1": f"{ratio('close', lag('close'))} - 1", "n": "row_number() OVER (PARTITION BY symbol ORDER BY hour)", "span": ratio(f"max(high) {over(20)} - min(low) {over(20)}", "close")},
-    {"r_mean": full("avg", "r1", 20), "r_sd": full("stddev_samp", "r1", 20)},
-    {"r_z": ratio("r1 - r_mean", "r_sd")},
-    {
-        "s_break": "CASE WHEN vol_ratio > 1.5 THEN 2 ELSE 0 END + CASE WHEN volume_zscore > 1.5 THEN 1 ELSE 0 END",
-        "s_trend": "CASE WHEN vol_ratio BETWEEN 0.8 AND 1.5 THEN 1 ELSE 0 END + CASE WHEN abs(r_z) > 0.5 THEN 1 ELSE 0 END",
-        "s_mean": "CASE WHEN abs(r_z) > 2 THEN 2 ELSE 0 END",
-        "s_flat": "CASE WHEN span < 0.02 THEN 2 ELSE 0 END + CASE WHEN vol_ratio < 0.8 THEN 1 ELSE 0 END",
-        "s_shock": "CASE WHEN abs(r_z) > 3 AND volume_zscore > 3 THEN 4 ELSE 0 END",
-    },
-    {"top": "greatest(s_break, s_trend, s_mean, s_flat, s_shock)", "total": "s_break + s_trend + s_mean + s_flat + s_shock"},
-    {"regime": "CASE WHEN n <= 50 THEN 'unknown' WHEN s_break = top THEN 'breakout' WHEN s_trend = top THEN 'trend' WHEN s_mean = top THEN 'mean_reversion' WHEN s_flat = top THEN 'lateral' ELSE 'exogenous_shock' END", "confidence": ratio("cast(top AS double)", "total")},
-]
-layered("r01_regime", bars, bars_sql(), _SCORES, ["symbol", "hour", "regime", "round(confidence, 6) AS confidence"])
-
-
-def a30_regime_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_layers(bars(spark, sf_dir), _SCORES).groupBy("regime").agg(F.count("*").alias("bars")).selectExpr("regime", "bars", "round(bars / sum(bars) OVER (), 6) AS share")
-
-
-QUERIES["a30_regime_distribution"] = a30_regime_distribution
-SQL["a30_regime_distribution"] = f"SELECT regime, count(*) AS bars, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM ({layers_sql(bars_sql(), _SCORES)}) GROUP BY regime"
-
 # ---------------------------------------------------------------- recursive averages
 
 
 def w02_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bars(spark, sf_dir)
-    for n in (12, 26, 50, 200):
-        df = ewm(df, "close", 2 / (n + 1), f"ema_{n}", warm=n if n < 200 else 0)
-    return df.selectExpr(*rounded(["symbol", "hour"], [f"ema_{n}" for n in (12, 26, 50, 200)]))
+    spans = {f"ema_{n}": ("close", 2 / (n + 1), n if n < 200 else 0) for n in (12, 26, 50, 200)}
+    return ewms(bars(spark, sf_dir), spans).selectExpr(*rounded(["symbol", "hour"], list(spans)))
 
 
 QUERIES["w02_ema"] = w02_ema
 SQL["w02_ema"] = f"SELECT symbol, hour, {', '.join(f'round({ewm_sql("close", 2 / (n + 1), n if n < 200 else 0)}, 6) AS ema_{n}' for n in (12, 26, 50, 200))} FROM ({bars_sql()})"
 
-_DELTA: list[Layer] = [{"d": f"coalesce(close - {lag('close')}, 0)"}, {"gain": "greatest(d, 0)", "loss": "greatest(-d, 0)"}]
-
-
-def w04_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = add_layers(bars(spark, sf_dir), _DELTA)
-    for x in ("gain", "loss"):
-        df = ewm(df, x, 1 / 14, f"avg_{x}", warm=14)
-    return df.selectExpr("symbol", "hour", "round(100 - 100 / (1 + avg_gain / nullif(avg_loss, 0)), 6) AS rsi_14")
-
-
-QUERIES["w04_rsi"] = w04_rsi
-SQL["w04_rsi"] = f"""SELECT symbol, hour, round(100 - 100 / (1 + g / nullif(l, 0)), 6) AS rsi_14 FROM (SELECT symbol, hour, {ewm_sql('gain', 1 / 14, 14)} AS g, {ewm_sql('loss', 1 / 14, 14)} AS l
-    FROM ({layers_sql(bars_sql(), _DELTA)}))"""
-
 _BAND: list[Layer] = [{"bmsb_sma": full("avg", "close", 20)}]
 
 
@@ -118,21 +77,7 @@ QUERIES["j01_confirmation"] = j01_confirmation
 SQL["j01_confirmation"] = f"""SELECT b.symbol, b.hour, coalesce(h.dir, 0)::INT AS conf_1d FROM ({bars_sql()}) b ASOF LEFT JOIN (SELECT symbol, close_time, dir FROM ({layers_sql(bars_sql(24), _DAILY_TREND)})) h
     ON b.symbol = h.symbol AND b.hour + 1 >= h.close_time"""
 
-_FOLDS = fold_table(600, 200, 12, 60, 60)
-_FOLD_VALUES = ", ".join(f"({f}, '{r}', {a}, {b})" for f, r, a, b in _FOLDS)
 _NUMBERED: list[Layer] = [{"rn": "row_number() OVER (PARTITION BY symbol ORDER BY hour) - 1", "ret": f"{ratio('close', lag('close'))} - 1"}]
-
-
-def p06_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folds = F.broadcast(spark.createDataFrame(_FOLDS, "fold int, role string, lo int, hi int"))  # a fixed number of rows
-    rows = add_layers(bars(spark, sf_dir), _NUMBERED).join(folds, F.expr("rn >= lo AND rn < hi"))
-    return rows.groupBy("symbol", "fold", "role").agg(F.count("*").alias("bars"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s")).selectExpr("symbol", "fold", "role", "bars", "round(m, 6) AS mean_ret", "round(m / nullif(s, 0), 6) AS sharpe")
-
-
-QUERIES["p06_walk_forward"] = p06_walk_forward
-SQL["p06_walk_forward"] = f"""SELECT symbol, fold, role, count(*) AS bars, round(avg(ret), 6) AS mean_ret, round(avg(ret) / nullif(stddev_samp(ret), 0), 6) AS sharpe
-    FROM ({layers_sql(bars_sql(), _NUMBERED)}) JOIN (VALUES {_FOLD_VALUES}) t(fold, role, lo, hi) ON rn >= lo AND rn < hi GROUP BY symbol, fold, role"""
-
 _LENGTHS: list[Layer] = [*_NUMBERED, {"n": "count(*) OVER (PARTITION BY symbol)"}]
 _FOLD_STATS = ["count(*) AS bars", "round(avg(ret), 6) AS mean_ret", "round(avg(ret) / nullif(stddev_samp(ret), 0), 6) AS sharpe"]
 
@@ -147,10 +92,11 @@ def walk_forward(df: DataFrame, train: int = 200, gap: int = 12, val: int = 60,
     return rows.groupBy("symbol", "fold", "role").agg(*(F.expr(x) for x in _FOLD_STATS))
 
 
-#: p06_walk_forward and its SQL hold the folds of 600 rows; this one has those of every symbol's own length.
-QUERIES["p06_walk_forward_by_length"] = lambda s, d: walk_forward(bars(s, d))
-SQL["p06_walk_forward_by_length"] = f"""WITH b AS ({layers_sql(bars_sql(), _LENGTHS)}), f AS (SELECT symbol, unnest(range(CASE WHEN max(n) >= 344 THEN (max(n) - 344) // 60 + 1 ELSE 0 END)) AS fold FROM b GROUP BY symbol)
+_FOLD_SQL = f"""WITH b AS ({layers_sql(bars_sql(), _LENGTHS)}), f AS (SELECT symbol, unnest(range(CASE WHEN max(n) >= 344 THEN (max(n) - 344) // 60 + 1 ELSE 0 END)) AS fold FROM b GROUP BY symbol)
     SELECT symbol, fold::INT AS fold, role, {', '.join(_FOLD_STATS)} FROM b JOIN f USING (symbol) JOIN (VALUES ('train', 0, 200), ('val', 212, 272), ('test', 284, 344)) t(role, lo, hi) ON rn >= fold * 60 + lo AND rn < fold * 60 + hi GROUP BY symbol, fold, role"""
+for _name in ("p06_walk_forward", "p06_walk_forward_by_length"):
+    QUERIES[_name] = lambda s, d: walk_forward(bars(s, d))
+    SQL[_name] = _FOLD_SQL
 
 layered("p01_lockbox_split", bars, bars_sql(), [{"cutoff": "max(hour) OVER (PARTITION BY symbol) - 168"}, {"segment": "CASE WHEN hour < cutoff THEN 'in_sample' ELSE 'lockbox' END"}], ["symbol", "hour", "segment"])
 
@@ -202,6 +148,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["slice1_breakout_trades"] = flagship
+#: In SQL, the chain of trades each of which is the first at or after the exit of the one before.
+_TAKEN_SQL = f"""{_WITH_SIG.replace("WITH ", "WITH RECURSIVE ", 1)}, t AS MATERIALIZED ({_TRADES_SQL}), nx AS (SELECT x.symbol, x.entry_hour, min(y.entry_hour) AS nxt FROM t x LEFT JOIN t y ON y.symbol = x.symbol AND y.entry_hour >= x.exit_hour AND y.entry_hour > x.entry_hour GROUP BY ALL),
+  c(symbol, entry_hour) AS (SELECT symbol, min(entry_hour) FROM t GROUP BY symbol UNION ALL SELECT nx.symbol, nx.nxt FROM c JOIN nx USING (symbol, entry_hour) WHERE nxt IS NOT NULL), taken AS MATERIALIZED (SELECT t.* FROM t JOIN c USING (symbol, entry_hour))"""
+SQL["t09_non_overlap"] = f"{_TAKEN_SQL} SELECT symbol, entry_hour, exit_hour, side, exit_reason, round(net, 6) AS net FROM taken"
+SQL["slice1_breakout_trades"] = f"{_TAKEN_SQL} SELECT symbol, trades, win_rate, profit_factor, expectancy, avg_win, avg_loss, total, concentration FROM (SELECT DISTINCT symbol FROM bars) LEFT JOIN (SELECT symbol, count(*) AS trades, {_STATS_SQL} FROM taken GROUP BY symbol) USING (symbol)"
 
 # ---------------------------------------------------------------- panel
 
@@ -280,7 +231,3 @@ def c03_grid_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["c03_grid_breakouts"] = c03_grid_breakouts
 SQL["c03_grid_breakouts"] = f"""SELECT symbol, lookback, stop_mult::DOUBLE AS stop_mult, sum((close > CASE lookback WHEN 10 THEN up_10 WHEN 20 THEN up_20 ELSE up_40 END + stop_mult * tr_mean)::INT) AS breakouts
     FROM (SELECT *, max(high) {over(10, skip=1)} AS up_10, max(high) {over(20, skip=1)} AS up_20, max(high) {over(40, skip=1)} AS up_40, avg(high - low) {over(20, skip=1)} AS tr_mean FROM ({bars_sql()})) CROSS JOIN ({_GRID}) GROUP BY ALL"""
-
-import barlab.plans.strategies  # noqa: E402,F401  (adds its queries to these tables)
-import barlab.plans.research  # noqa: E402,F401,I001  (likewise)
-import barlab.plans.selection  # noqa: E402,F401,I001  (likewise)

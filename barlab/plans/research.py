@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.functions.features import TRUE_RANGE
-from barlab.functions.layers import Layer, add_layers, full, lag, layers_sql, ratio, rounded
-from barlab.functions.recursive import ewm, ewm_sql
+from barlab.functions.layers import Layer, add_layers, full, lag, layers_sql, lead, ratio, rounded
+from barlab.functions.recursive import ewm_sql
+from barlab.functions.series import ewms
 from barlab.operators.trades import DONCHIAN
-from barlab.plans.registry import _DAILY_SQL, _PANEL, _SCORES, _SIGNAL, _TRADES_SQL, _WITH_SIG, QUERIES, SQL, P, candidates, daily_returns, layered
+from barlab.plans.registry import _DAILY_SQL, _PANEL, _SIGNAL, _TRADES_SQL, _WITH_SIG, QUERIES, SQL, P, candidates, daily_returns, layered
 from barlab.sources.bars import PANEL_SQL, bars, bars_sql, panel
 from barlab.streaming.bars import stream_bars_query, stream_bars_sql
 
@@ -28,7 +29,7 @@ layered("p04_named_windows", panel, PANEL_SQL, [*_WINDOWS, {"segment": "CASE WHE
 layered("p07_equal_folds", panel, PANEL_SQL, [_NO, {"fold": "cast(floor((rn - 61) * 5e0 / nullif(n - 60, 0)) AS int)"}], ["asset", "day", "fold"], "rn > 60")
 layered("p09_row_order_split", panel, PANEL_SQL, [_NO, {"role": "CASE WHEN 100 * rn <= 70 * n THEN 'train' WHEN 100 * rn <= 85 * n THEN 'val' ELSE 'test' END"}], ["asset", "day", "role"])
 layered("p10_warm_up_drop", bars, bars_sql(), [{"rn": "row_number() OVER (PARTITION BY symbol ORDER BY hour)"}], ["symbol", "hour", "round(close, 6) AS close"], "rn > 50")
-_AHEAD: list[Layer] = [{f"fwd_{h}": ratio(lag("close", h).replace("lag(", "lead("), "close") + " - 1" for h in (1, 6, 12, 24)}, {f"dir_{h}": f"CASE WHEN fwd_{h} IS NULL THEN NULL WHEN fwd_{h} > 0.01 THEN 1 WHEN fwd_{h} < -0.01 THEN -1 ELSE 0 END" for h in (1, 6, 12, 24)}]
+_AHEAD: list[Layer] = [{f"fwd_{h}": ratio(lead("close", h), "close") + " - 1" for h in (1, 6, 12, 24)}, {f"dir_{h}": f"CASE WHEN fwd_{h} IS NULL THEN NULL WHEN fwd_{h} > 0.01 THEN 1 WHEN fwd_{h} < -0.01 THEN -1 ELSE 0 END" for h in (1, 6, 12, 24)}]
 layered("m13_horizon_labels", bars, bars_sql(), _AHEAD, rounded(["symbol", "hour", *(f"dir_{h}" for h in (1, 6, 12, 24))], [f"fwd_{h}" for h in (1, 6, 12, 24)]))
 QUERIES["m17_bar_spacing"] = lambda s, d: add_layers(bars(s, d), [{"gap": f"hour - {lag('hour')}"}]).groupBy("symbol").agg(F.expr("percentile(gap, 0.5)").alias("hours"), F.count("gap").alias("gaps"))
 SQL["m17_bar_spacing"] = f"SELECT symbol, quantile_cont(gap, 0.5)::DOUBLE AS hours, count(gap) AS gaps FROM ({layers_sql(bars_sql(), [{'gap': f'hour - {lag("hour")}'}])}) GROUP BY symbol"
@@ -43,9 +44,7 @@ def averaged(name: str, layers: list[Layer], averages: dict[str, tuple[str, floa
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = add_layers(bars(spark, sf_dir), layers)
-        for to, (x, alpha, warm) in averages.items():
-            df = ewm(df, x, alpha, to, warm)
-        df = add_layers(df, after)
+        df = add_layers(ewms(df, averages), after)
         return (df.where(where) if where else df).selectExpr(*out)
 
     QUERIES[name] = query
@@ -57,8 +56,6 @@ def averaged(name: str, layers: list[Layer], averages: dict[str, tuple[str, floa
 _KELTNER = ([TRUE_RANGE, {"atr": full("avg", "tr", 14)}], {"middle": ("close", 2 / 21, 20)}, [{"kc_upper": "middle + 2 * atr", "kc_lower": "middle - 2 * atr"}])
 averaged("w40_keltner", *_KELTNER, rounded(["symbol", "hour"], ["middle", "kc_upper", "kc_lower"]))
 averaged("g06_keltner_breakout", *_KELTNER[:2], [*_KELTNER[2], {"side": "CASE WHEN close > kc_upper THEN 1 WHEN close < kc_lower THEN -1 END"}], rounded(["symbol", "hour", "side"], ["middle"]), "side IS NOT NULL")
-_MACRO = {"ema_200": ("close", 2 / 201, 0), "macro_ema_480": ("close", 2 / 481, 0)}
-averaged("w25_macro_trend", [], _MACRO, [{"macro_bullish": "CASE WHEN close > macro_ema_480 THEN 1 ELSE 0 END", "macro_trend_up": f"CASE WHEN macro_ema_480 > {lag('macro_ema_480', 24)} THEN 1 ELSE 0 END"}], rounded(["symbol", "hour", "macro_bullish", "macro_trend_up"], list(_MACRO)))
 #: The open of a smoothed candle is the mean of the open and close before it, the first one that of its own bar.
 _HEIKIN: list[Layer] = [{"ha_close": "(open + high + low + close) / 4"}, {"ha_source": f"coalesce({lag('ha_close')}, (open + close) / 2)"}]
 _COLOUR: Layer = {"ha_up": "CASE WHEN ha_close > ha_open THEN 1 ELSE 0 END"}
@@ -86,16 +83,6 @@ derived("t13_realised_equity", candidates, _TRADES_SQL, _EQUITY, rounded(["symbo
 derived("t14_ruin_floor", candidates, _TRADES_SQL, _EQUITY, rounded(["symbol", "entry_hour", "exit_hour"], ["equity"]), "ruined_at IS NULL OR exit_hour <= ruined_at", _WITH_SIG)
 
 
-def a18_pnl_by_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the result by the regime of the entry bar."""
-    regime = add_layers(bars(spark, sf_dir), _SCORES).selectExpr("symbol", "hour AS entry_hour", "regime")
-    t = candidates(spark, sf_dir).join(regime, ["symbol", "entry_hour"], "left").withColumn("regime", F.coalesce("regime", F.lit("unknown")))
-    return t.groupBy("regime").agg(F.count("*").alias("trades"), F.sum("net").alias("total")).selectExpr("regime", "trades", "round(total, 4) AS total", "round(total / nullif(sum(total) OVER (), 0), 6) AS share")
-
-
-QUERIES["a18_pnl_by_regime"] = a18_pnl_by_regime
-SQL["a18_pnl_by_regime"] = f"""{_WITH_SIG} SELECT regime, trades, round(total, 4) AS total, round(total / nullif(sum(total) OVER (), 0), 6) AS share FROM (SELECT coalesce(regime, 'unknown') AS regime, count(*) AS trades, sum(net) AS total
-    FROM ({_TRADES_SQL}) LEFT JOIN (SELECT symbol, hour AS entry_hour, regime FROM ({layers_sql('SELECT * FROM bars', _SCORES)})) USING (symbol, entry_hour) GROUP BY 1)"""
 _SIMS = 200
 _DRAWN = ["count(*) AS sims", "round(avg(CASE WHEN total > 0 THEN 1e0 ELSE 0e0 END), 6) AS p_profit", "round(avg(total), 4) AS mean_total"]
 _PLACED = "row_number() OVER (PARTITION BY symbol ORDER BY entry_hour) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n"

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.functions.features import FEATURES, TRUE_RANGE
-from barlab.functions.layers import Layer, add_layers, full, lag, layers_sql, over, ratio
-from barlab.functions.recursive import ewm, ewm_sql
+from barlab.functions.features import FEATURES
+from barlab.functions.layers import Layer, add_layers, layers_sql, lead, over, ratio
 from barlab.operators.trades import COMMISSION, non_overlapping, risk_gate
-from barlab.plans.registry import _TRADES_SQL, _WITH_SIG, QUERIES, SQL, candidates, layered
+from barlab.plans.registry import _TAKEN_SQL, _TRADES_SQL, _WITH_SIG, QUERIES, SQL, candidates, layered
 from barlab.sources.bars import PANEL_SQL, bars, bars_sql, panel, table
 
 _HUNDRED = over(100)
@@ -34,7 +33,7 @@ _BREAK_EVEN = ["min(CASE WHEN pnl <= 0 THEN level END) AS break_even_level", "ro
 QUERIES["a38_break_even_cost"] = lambda s, d: candidates(s, d).selectExpr("*", "explode(sequence(1, 7)) AS level").groupBy("symbol", "level").agg(F.expr(_LEVEL_PNL)).groupBy("symbol").agg(*(F.expr(x) for x in _BREAK_EVEN))
 SQL["a38_break_even_cost"] = f"{_WITH_SIG} SELECT symbol, {', '.join(_BREAK_EVEN)} FROM (SELECT symbol, level, {_LEVEL_PNL} FROM (SELECT *, unnest([1, 2, 3, 4, 5, 6, 7]) AS level FROM ({_TRADES_SQL})) GROUP BY symbol, level) GROUP BY symbol"
 
-_TRIALS: list[Layer] = [{f"up_{n}": f"max(high) {over(n, skip=1)}" for n in (10, 20, 40)} | {"fwd": ratio("lead(close) OVER (PARTITION BY symbol ORDER BY hour)", "close") + " - 1", "sealed": "CASE WHEN hour >= max(hour) OVER (PARTITION BY symbol) - 168 THEN 1 ELSE 0 END"}]
+_TRIALS: list[Layer] = [{f"up_{n}": f"max(high) {over(n, skip=1)}" for n in (10, 20, 40)} | {"fwd": ratio(lead("close"), "close") + " - 1", "sealed": "CASE WHEN hour >= max(hour) OVER (PARTITION BY symbol) - 168 THEN 1 ELSE 0 END"}]
 _SCORED = ["avg(CASE WHEN sealed = 0 AND close > up THEN fwd END) AS fitness", "avg(CASE WHEN sealed = 1 AND close > up THEN fwd END) AS sealed_mean", "sum(CASE WHEN sealed = 1 AND close > up THEN 1 ELSE 0 END) AS sealed_trades"]
 _BEST: list[Layer] = [{"place": "row_number() OVER (PARTITION BY symbol ORDER BY fitness DESC NULLS LAST, lookback)"}]
 _BEST_OUT = ["symbol", "lookback", "round(fitness, 6) AS fitness", "round(sealed_mean, 6) AS sealed_mean", "sealed_trades"]
@@ -56,17 +55,24 @@ SQL["s02_first_per_hour"] = f"SELECT event_type, hour, event_id, value FROM ({la
 
 
 def s07_panel_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every asset on every date that has a close, with nulls where the asset has none; assets are ten by definition."""
+    """Every asset on every date that has a close, with nulls where the asset has none."""
     p = panel(spark, sf_dir)
-    days = p.where("close IS NOT NULL").select("day").distinct().selectExpr("day", "explode(sequence(0L, 9L)) AS asset")
+    names = p.select("asset").distinct().groupBy().agg(F.sort_array(F.collect_list("asset")).alias("names"))  # one row
+    days = p.where("close IS NOT NULL").select("day").distinct().crossJoin(F.broadcast(names)).selectExpr("day", "explode(names) AS asset")
     return days.join(p, ["day", "asset"], "left").selectExpr("day", "asset", "round(open, 6) AS open", "round(close, 6) AS close")
 
 
 QUERIES["s07_panel_assembly"] = s07_panel_assembly
-SQL["s07_panel_assembly"] = f"WITH p AS ({PANEL_SQL}) SELECT day, asset, round(open, 6) AS open, round(close, 6) AS close FROM (SELECT day, unnest(range(10)) AS asset FROM (SELECT DISTINCT day FROM p WHERE close IS NOT NULL)) LEFT JOIN p USING (day, asset)"
+SQL["s07_panel_assembly"] = f"WITH p AS ({PANEL_SQL}) SELECT day, asset, round(open, 6) AS open, round(close, 6) AS close FROM (SELECT day, asset FROM (SELECT DISTINCT day FROM p WHERE close IS NOT NULL) CROSS JOIN (SELECT DISTINCT asset FROM p)) LEFT JOIN p USING (day, asset)"
 layered("w50_structure", bars, bars_sql(), [{"low_now": f"min(low) {over(5)}", "low_before": f"min(low) {over(5, skip=5)}", "high_now": f"max(high) {over(5)}", "high_before": f"max(high) {over(5, skip=5)}"}], ["symbol", "hour", "coalesce(low_now > low_before, false) AS higher_lows", "coalesce(high_now < high_before, false) AS lower_highs"])
 QUERIES["t12_risk_gate"] = lambda s, d: risk_gate(non_overlapping(candidates(s, d))).selectExpr("symbol", "entry_hour", "exit_hour", "side", "round(net, 6) AS net")
 
+SQL["t12_risk_gate"] = f"""{_TAKEN_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY entry_hour) AS k FROM taken),
+  r(symbol, k, equity, peak, day, lost, last, ok) AS (SELECT DISTINCT symbol, 0::BIGINT, 1000::DOUBLE, 1000::DOUBLE, -1::BIGINT, 0::DOUBLE, -1000000::BIGINT, false FROM n
+    UNION ALL SELECT symbol, k, CASE WHEN ok THEN equity + net ELSE equity END, CASE WHEN ok THEN greatest(peak, equity + net) ELSE peak END, CASE WHEN ok THEN entry_hour // 24 ELSE day END, CASE WHEN ok THEN lost_now + net ELSE lost END, CASE WHEN ok THEN entry_hour ELSE last END, ok FROM (
+      SELECT *, equity > peak * 0.8 AND lost_now > -50 AND entry_hour - last >= 2 AS ok FROM (SELECT r.symbol, n.k, r.equity, r.peak, r.day, r.lost, r.last, n.net, n.entry_hour, CASE WHEN n.entry_hour // 24 = r.day THEN r.lost ELSE 0::DOUBLE END AS lost_now FROM r JOIN n ON n.symbol = r.symbol AND n.k = r.k + 1)))
+  SELECT n.symbol, n.entry_hour, n.exit_hour, n.side, round(n.net, 6) AS net FROM n JOIN r ON r.symbol = n.symbol AND r.k = n.k WHERE r.ok"""
+
 # ---------------------------------------------------------------- manifests
 
 _ROW_TEXT = "concat_ws('|', hour, " + ", ".join(f"cast(round({c} * 1e4) AS bigint)" for c in ("open", "high", "low", "close", "volume")) + ")"
@@ -90,24 +96,3 @@ QUERIES["s10_manifest"] = s10_manifest
 SQL["s10_manifest"] = f"SELECT {', '.join(_MANIFEST)}, sum(('0x' || substr(md5({_ROW_TEXT}), 1, 8))::BIGINT)::BIGINT AS content FROM ({bars_sql()}) GROUP BY symbol"
 QUERIES["s12_fingerprint"] = s12_fingerprint
 SQL["s12_fingerprint"] = f"SELECT substr(sha256(string_agg({_LINE}, ',' ORDER BY {_LINE})), 1, 16) AS fingerprint, count(*) AS symbols FROM ({SQL['s10_manifest']})"
-
-# ---------------------------------------------------------------- directional index
-
-_MOVES: list[Layer] = [
-    TRUE_RANGE,
-    {"atr": full("avg", "tr", 14), "rise": f"coalesce(high - {lag('high')}, 0)", "fall": f"coalesce({lag('low')} - low, 0)"},
-    {"dm_up": "CASE WHEN rise > fall AND rise > 0 THEN rise ELSE 0 END", "dm_down": "CASE WHEN fall > rise AND fall > 0 THEN fall ELSE 0 END"},
-]
-_INDEX: list[Layer] = [{"di_up": "100 * " + ratio("e_up", "atr"), "di_down": "100 * " + ratio("e_down", "atr")}, {"dx": "100 * " + ratio("abs(di_up - di_down)", "di_up + di_down")}]
-
-
-def w05_adx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars whose directional index is defined, with its recursive average; bars without one are left out of the average."""
-    df = add_layers(bars(spark, sf_dir), _MOVES)
-    df = ewm(ewm(df, "dm_up", 2 / 15, "e_up", 14), "dm_down", 2 / 15, "e_down", 14)
-    return ewm(add_layers(df, _INDEX).where("dx IS NOT NULL"), "dx", 2 / 15, "adx", 14).selectExpr("symbol", "hour", "round(dx, 5) AS dx", "round(adx, 5) AS adx")
-
-
-QUERIES["w05_adx"] = w05_adx
-_MOVED = f"SELECT *, {ewm_sql('dm_up', 2 / 15, 14)} AS e_up, {ewm_sql('dm_down', 2 / 15, 14)} AS e_down FROM ({layers_sql(bars_sql(), _MOVES)})"
-SQL["w05_adx"] = f"SELECT symbol, hour, round(dx, 5) AS dx, round({ewm_sql('dx', 2 / 15, 14)}, 5) AS adx FROM ({layers_sql(_MOVED, _INDEX)}) WHERE dx IS NOT NULL"

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.functions.features import FEATURES, TRUE_RANGE
 from barlab.functions.layers import Layer, add_layers, full, lag, layers_sql, over, ratio, rounded
 from barlab.operators.trades import COMMISSION
-from barlab.plans.registry import _DAILY_SQL, _DAY, _MOM, _PANEL, _SCORES, _TRADES_SQL, _WITH_SIG, QUERIES, SQL, P, candidates, daily_returns, layered
+from barlab.plans.registry import _DAILY_SQL, _DAY, _MOM, _PANEL, _TRADES_SQL, _WITH_SIG, QUERIES, SQL, P, candidates, daily_returns, layered
 from barlab.sources.bars import PANEL_SQL, bars, bars_sql, panel
 
 _ROW = "row_number() OVER (PARTITION BY symbol ORDER BY hour)"
@@ -78,7 +81,6 @@ def _williams(cci: list[Layer]) -> list[Layer]:
 
 QUERIES["g18_williams_cci"] = lambda s, d: add_layers(bars(s, d), _williams(_CCI_SPARK)).selectExpr("symbol", "hour", _WILLIAMS).where("side IS NOT NULL")
 SQL["g18_williams_cci"] = f"SELECT * FROM (SELECT symbol, hour, {_WILLIAMS} FROM ({layers_sql(bars_sql(), _williams(_CCI_SQL))})) WHERE side IS NOT NULL"
-layered("p15_regime_allowed", bars, bars_sql(), [*_SCORES, {"ma": full("avg", "close", 20)}], ["symbol", "hour", "regime"], "regime IN ('trend', 'breakout') AND close > ma")
 layered("p18_thinned", bars, bars_sql(), [{"rn": _ROW, "n": "count(*) OVER (PARTITION BY symbol)"}], ["symbol", "hour", "round(close, 6) AS close"], "(rn - 1) % 24 = 0 OR rn = n")
 
 # ---------------------------------------------------------------- trade stress and losing streaks
@@ -120,8 +122,9 @@ def normal_cdf(z: str) -> str:
     return f"(CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END)"
 
 
-#: Best Sharpe ratio to expect of 20 trials without skill, in standard errors (fixed value for 20 trials).
-_EXPECTED_BEST = 1.9
+#: Best Sharpe ratio to expect of 20 trials without skill, in standard errors: the expected maximum of normal draws by its extreme value form.
+_TRIALS, _EULER = 20, 0.5772156649015329
+_EXPECTED_BEST = (1 - _EULER) * NormalDist().inv_cdf(1 - 1 / _TRIALS) + _EULER * NormalDist().inv_cdf(1 - 1 / (_TRIALS * math.e))
 _TESTS: list[Layer] = [
     {"sharpe": ratio("mean", "sd"), "skew": ratio("m3", "pow(m2, 1.5)"), "kurt": ratio("m4", "m2 * m2")},
     {"t_stat": "sharpe * sqrt(n)", "width": "sqrt(greatest(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe, 1e-9))"},

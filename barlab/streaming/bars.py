@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlab.sources.shared import shared_folder
+
 DELAY_HOURS = 2
 
 
@@ -23,8 +24,7 @@ def stream_bars(events: DataFrame, delay_hours: int = DELAY_HOURS) -> DataFrame:
 def stream_bars_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as a stream, run until what is there has been read; bars and progress go to the shared folder."""
     path = f"{sf_dir}/events.parquet"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     # a pattern, as a stream takes a plain path for a folder
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     stream = stream_bars(events).writeStream.format("parquet").option("path", f"{at}/bars").option("checkpointLocation", f"{at}/progress").outputMode("append").trigger(availableNow=True).start()
