@@ -12,7 +12,7 @@ error explains. What is left is measured exactly, in double precision, on the or
 Lists and query sets of any size are split by hash, so no task gets more than block_rows vectors and query_rows queries
 at a time. Defined cases: null, zero, non-finite vectors and vectors of another length than the most common one (the
 shorter on ties) take no part; a null id takes no part; repeated ids are candidates of their own but never of a query
-with the same id.
+with the same id; equal scores go to the smaller id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ back from the end while that raises the worth on the pruning part, and the rule
 not there; the rows that it covers leave the sample. The list is emitted as one ordered Spark conditional expression.
 
 Defined cases: null and empty texts have no words and fail the base rule; ratios over no words are 0; a label that is
-null, or contradicted by another row of its id, is not learned from; without both classes the list is empty.
+null, or contradicted by another row of its id, is not learned from; without both classes the list is empty; equal gains
+go to the first feature by name and its lowest threshold; repeated rows get one verdict each, the same; an empty table
+gives an empty result; other columns of docs, whatever their names, are ignored.
 """
 
 from __future__ import annotations

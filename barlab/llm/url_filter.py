@@ -9,7 +9,8 @@ An array larger than `shard_bytes` is split, and its shards are applied one afte
 bound; the longest rule wins over all of them.
 
 Defined cases: a null url and one without `://` have an empty host and path and match no rule; unmatched urls get the
-default verdict; rules that repeat count once, the last verdict holds.
+default verdict; rules that repeat count once, the last verdict holds; repeated pages get one row each; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -2,14 +2,16 @@
 
 Every record is one gzip member. Tasks write one file each into a shared folder and report its name; only reported files
 are read, so a retried task leaves no trace. The reader cuts files into byte ranges. A task looks for the gzip magic in
-its range, takes a candidate for a record only if its bytes decode to a WARC header, and owns the records that start
-inside its range, reading past its end where the last one needs it.
+its range, takes a candidate for a record only if its bytes decode to a WARC header and the file's end or another member
+follows it, so that an archive inside a payload is not read as records, and owns the records that start inside its range,
+reading past its end where the last one needs it.
 
 Of records with equal payloads of at least `least_bytes`, those with the smallest id are responses and the others
 revisits, which carry the payload's digest and length but not the payload.
 
 Defined cases: a null html is an empty payload; a null url has no target; a null page_id comes back as null and counts
-as larger than all others; repeated rows are records of their own, of the same type.
+as larger than all others; repeated rows are records of their own, of the same
+type; an empty table gives no file and no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ DATE = "2024-01-01T00:00:00Z"
 ID, TYPE, URI, DIGEST, REFERS = "WARC-Record-ID", "WARC-Type", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BLOCK = 1 << 20
+SALTS = 32
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -98,10 +101,20 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 100, level: int
     # only payloads that occur more than once are looked up
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.col("first"))
-    typed = rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    # a payload of many pages is dealt by several keys
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    typed = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
     return C.checkpointed(typed.mapInArrow(_write(folder, level), "file string, bytes long, records long"))
 
 
+def _follows(file, size: int, at: int, known: bytes) -> bool:
+    """Whether the file ends at a place or a gzip member starts there."""
+    if at < size and len(known) < len(MAGIC):
+        file.seek(at)
+        known = file.read(len(MAGIC))
+    return at >= size or known.startswith(MAGIC)
+
+
 def records_in(file, size: int, start: int, end: int) -> Iterator[bytes]:
     """The decoded members that start in [start, end) of an open file."""
     window, base = b"", start  # bytes [base, base + len(window)) of the file
@@ -142,9 +155,10 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[bytes]:
         except zlib.error:
             valid = False
         raw = b"".join(out) if valid and decoder.eof else b""
-        if b"\r\n\r\n" in raw:
+        after = at + used - len(decoder.unused_data)
+        if b"\r\n\r\n" in raw and _follows(file, size, after, decoder.unused_data):
             yield raw
-            at += used - len(decoder.unused_data)
+            at = after
         else:
             at += 1
 
