@@ -139,7 +139,7 @@ relation(
     write=True,
 )
 derived("sealing", "SELECT max(day) - 365 AS cutoff FROM {venues} WHERE venue = 'reference'")
-query("s08_second_venue_panel", "SELECT v.asset, v.day, round(v.close, 6) AS close FROM {venues} v JOIN (SELECT DISTINCT asset FROM {venues} WHERE venue = 'reference') u ON u.asset = v.asset CROSS JOIN {sealing} WHERE v.venue = 'second' AND v.day < cutoff")
+query("s08_second_venue_panel", "SELECT v.asset, v.day, round(v.close, 4) AS close FROM {venues} v JOIN (SELECT DISTINCT asset FROM {venues} WHERE venue = 'reference') u ON u.asset = v.asset CROSS JOIN {sealing} WHERE v.venue = 'second' AND v.day < cutoff")
 query("s14_cross_venue_load", "SELECT venue, asset, count(*) AS days, min(day) AS first_day, max(day) AS last_day FROM {venues} WHERE asset IN (0, 1, 2) OR venue = 'reference' GROUP BY venue, asset")
 derived(
     "venue_days",

@@ -14,6 +14,7 @@ from barlab.functions.series import ewms
 from barlab.operators.joins import asof
 from barlab.operators.trades import COMMISSION, DONCHIAN, HOURS, SLIPPAGE, STOP, TARGET, barrier_trades, non_overlapping, trade_stats
 from barlab.sources.bars import PANEL_SQL, bars, bars_sql, panel, table
+from barlab.sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,7 +113,8 @@ layered("g07_volatility_squeeze", bars, bars_sql(), [*FEATURES["w42_squeeze"][0]
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
+    """Every breakout signal's trade; bars are written once, as signals, hits and time stops all read them."""
+    b = written(bars(spark, sf_dir), "bars")
     return barrier_trades(b, add_layers(b, DONCHIAN).where(_SIGNAL).select("symbol", "fill_hour", "fill_open", "side", "atr"))
 
 

@@ -13,11 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barlab.plans.registry import QUERIES, SQL
 from barlab.sources.bars import PANEL_SQL, bars, bars_sql, panel, table
-from barlab.sources.shared import written
+from barlab.sources.shared import written_at
 
 
 #: (application, folder, relation, state of the folder's files) -> where it was written.
-_SNAPSHOTS: dict[tuple, DataFrame] = {}
+_SNAPSHOTS: dict[tuple, tuple[DataFrame, str]] = {}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def files_of(spark: SparkSession, sf_dir: str) -> tuple:
@@ -35,7 +40,7 @@ class Tables:
     """The relations of one query, each built once.
 
     Relations that are written are snapshots: another query of the same application reads them again as long as the
-    folder's files are the same in name, size and time.
+    folder's files are the same in name, size and time and the snapshot is still there.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -52,9 +57,9 @@ class Tables:
         if self._files is None:
             self._files = files_of(self.spark, self.sf_dir)
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name, self._files)
-        if key not in _SNAPSHOTS:
-            _SNAPSHOTS[key] = written(RELATIONS[name].frame(self), name)
-        return _SNAPSHOTS[key]
+        if key not in _SNAPSHOTS or not _exists(self.spark, _SNAPSHOTS[key][1]):
+            _SNAPSHOTS[key] = written_at(RELATIONS[name].frame(self), name)
+        return _SNAPSHOTS[key][0]
 
     def run(self, text: str) -> DataFrame:
         return self.spark.sql(text, **{n: self.get(n) for n in _named(text)})

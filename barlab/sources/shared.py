@@ -18,8 +18,13 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table of the shared folder, so that several readers do not work it out again."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame as a table of the shared folder, and where that is."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table of the shared folder, so that several readers do not work it out again."""
+    return written_at(df, name)[0]
