@@ -50,3 +50,14 @@ def test_features_do_not_look_ahead(spark, sf_dir):
 
 def test_flagship_has_a_row_per_symbol(spark, sf_dir):
     assert registry.flagship(spark, sf_dir).count() == 5
+
+
+def test_clusters_are_in_range_and_a_saved_model_says_the_same(spark, sf_dir):
+    from barlab.plans.relations import Tables
+
+    windows = Tables(spark, sf_dir).get("windows").count()
+    fitted, saved = (registry.QUERIES[n](spark, sf_dir) for n in ("m04_kmeans", "m12_saved_model"))
+    assert fitted.count() == windows and fitted.exceptAll(saved).count() == 0
+    for name, most in (("m04_kmeans", 8), ("m05_bisecting", 8), ("m06_two_levels", 12)):
+        low, high = registry.QUERIES[name](spark, sf_dir).selectExpr("min(cluster)", "max(cluster)").first()
+        assert low >= 0 and high < most
