@@ -14,7 +14,7 @@ of these the first are landmarks, `landmarks` in all divided among the languages
 are summed in tasks; what is collected and broadcast grows with the number of languages and landmarks only.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is everything where nothing can be learned; with
-one language it is predicted with score 1; rows of equal id and text are learned from once; ties go to the smaller language;
+one language it is predicted with a score of about 1; rows of equal id and text are learned from once; ties go to the smaller language;
 repeated rows are scored alike; a null id is neither learned from nor held out; an empty table gives an empty result; other
 columns are ignored. The score is (1 + value) / 2, cut to 0 to 1.
 """

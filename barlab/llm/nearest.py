@@ -3,11 +3,14 @@
 Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm (0 for queries), so that the largest inner
 product is the smallest distance; all are turned by one random rotation. Centroids are fitted on a bounded sample, and
 every vector goes to the list of its nearest centroid. A query probes the lists with the nearest centroids; how many
-is set by brute force on a bounded sample of queries against all vectors, for the asked recall.
+is set by brute force on a bounded sample of queries against all vectors, for the asked recall. A query whose lists hold
+fewer than k vectors of other ids probes further lists, in the same order, until they do or no list is left, so every query
+gets k rows, or all candidates if there are fewer.
 
 Within a list, vectors lie in blocks of at most `block_rows`, scanned in column blocks. After each, a candidate is
 abandoned if its partial distance, scaled to all dimensions, exceeds the current k-th distance by more than sampling
-error explains. What is left is measured exactly, in double precision, on the original vectors.
+error explains; the k that set this distance always stay. What is left is measured exactly, in double precision, on the
+original vectors.
 
 Lists and query sets of any size are split by hash, so no task gets more than block_rows vectors and query_rows queries
 at a time. Defined cases: null, zero, non-finite vectors and vectors of another length than the most common one (the
@@ -72,15 +75,22 @@ def _assign(model):
     return assign
 
 
-def _probes(model, n: int):
+def probed(near: np.ndarray, sizes: np.ndarray, needed: np.ndarray, n: int) -> np.ndarray:
+    """How many of each query's lists, in the order `near`, to probe: n, or more until they hold the needed vectors."""
+    held = np.cumsum(sizes[near], axis=1)
+    return np.minimum(np.maximum(n, (held < needed[:, None]).sum(1) + 1), near.shape[1])
+
+
+def _probes(model, sizes: np.ndarray, n: int, k: int):
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, centres, _ = model.value
         for rows in batches:
             if rows.num_rows:
                 q = _lifted(_matrix(rows.column("vec")), None) @ turn
-                near = np.argsort((centres**2).sum(1)[None, :] - 2 * q @ centres.T, axis=1, kind="stable")[:, :n]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, "lists"])
+                near = np.argsort((centres**2).sum(1)[None, :] - 2 * q @ centres.T, axis=1, kind="stable")
+                most = probed(near, sizes, k + rows.column("own").to_numpy(), n)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(near[np.arange(near.shape[1])[None, :] < most[:, None]].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([rows.column("vec_id"), rows.column("vec"), lists], names=["vec_id", "vec", "lists"])
 
     return probes
 
@@ -112,6 +122,8 @@ def adaptive_scan(x: np.ndarray, q: np.ndarray, barred: np.ndarray, k: int) -> t
             whole = q2[:, None] + x2[near] - 2 * np.einsum("qkd,qd->qk", x[near], q)
             whole[np.take_along_axis(barred, near, 1)] = np.inf
             bound = np.partition(whole, k - 1, axis=1)[:, k - 1]
+            stay = np.isfinite(whole) & (whole <= bound[:, None])
+            sure = np.nonzero(stay)[0], near[stay]
         share = c.stop / d
         limit = bound * (share * (1 + _ERRORS / np.sqrt(c.stop)) ** 2 if c.stop < d else 1) + slack
         if dense:
@@ -123,7 +135,8 @@ def adaptive_scan(x: np.ndarray, q: np.ndarray, barred: np.ndarray, k: int) -> t
         else:
             keep = left <= limit[i]
             pairs, left = (i[keep], j[keep]), left[keep]
-    return pairs
+    both = np.unique(np.concatenate([pairs[0] * n + pairs[1], sure[0] * n + sure[1]]))
+    return both // n, both % n
 
 
 def _search(model, k: int):
@@ -170,7 +183,13 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
     model = spark.sparkContext.broadcast((turn, kmeans(_lifted(fitted, whole["most"]) @ turn, lists), whole["most"]))
     placed = C.materialised(table.mapInArrow(_assign(model), "vec_id long, vec array<double>, list int"), "nearest-lists")
     probes = _tuned(placed, queries, model, k, recall)
-    asked = queries.mapInArrow(_probes(model, probes), "vec_id long, vec array<double>, lists array<int>").select("vec_id", "vec", F.explode("lists").alias("list"))
+    sizes = np.zeros(len(model.value[1]), dtype=np.int64)
+    for r in placed.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    # rows that share a query's id are none of its candidates
+    repeated = placed.groupBy("vec_id").count().where("count > 1").withColumnRenamed("count", "own")
+    known = queries.join(repeated, "vec_id", "left").select("vec_id", "vec", F.coalesce("own", F.lit(1)).alias("own"))
+    asked = known.mapInArrow(_probes(model, sizes, probes, k), "vec_id long, vec array<double>, lists array<int>").select("vec_id", "vec", F.explode("lists").alias("list"))
     blocks = placed.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     parts = asked.groupBy("list").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts"))
     shape = C.checkpointed(blocks.join(parts, "list"))
