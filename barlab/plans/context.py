@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from barlab.functions.dialect import draw
 from barlab.operators.joins import asof
-from barlab.plans.ledger import SPACE, draw
+from barlab.plans.ledger import SPACE
 from barlab.plans.relations import computed, derived, query, relation
 from barlab.plans.signals import side_of
 from barlab.sources.bars import bars, bars_sql
@@ -18,12 +19,26 @@ from barlab.sources.shared import shared_folder
 derived("split_bars", "SELECT b.symbol, b.hour, b._i, b.close, CASE WHEN b.hour >= c.cutoff THEN 'lockbox' ELSE 'in_sample' END AS segment, c.cutoff FROM {b} b JOIN {cutoffs} c ON c.symbol = b.symbol")
 query("p03_leakage_check", "SELECT symbol, max(CASE WHEN segment = 'in_sample' THEN hour END) AS newest_in_sample, max(cutoff) AS cutoff, max(CASE WHEN segment = 'in_sample' THEN hour END) < max(cutoff) AS sealed FROM {split_bars} GROUP BY symbol")
 query("p02_tail_cutoffs", "SELECT symbol, segment, count(*) AS bars, min(hour) AS first_hour, max(hour) AS last_hour FROM {split_bars} GROUP BY symbol, segment")
-query("p05_split_by_age", "SELECT symbol, CASE WHEN hour >= 474072 - 24 * 7 THEN 'test' ELSE 'train' END AS part, count(*) AS bars FROM {bars} GROUP BY symbol, CASE WHEN hour >= 474072 - 24 * 7 THEN 'test' ELSE 'train' END")
-derived("fold_ids", "SELECT i AS fold FROM {numbers} WHERE i < 12")
+
+
+def split_by_age(days: int, as_of: str = "SELECT max(hour) + 1 FROM {bars}") -> str:
+    """Bars of the last `days` days before as_of (an hour, or a query of one; by default just after the newest bar) are the test part."""
+    part = f"CASE WHEN hour >= as_of - {24 * days} THEN 'test' ELSE 'train' END"
+    return f"SELECT symbol, {part} AS part, count(*) AS bars, max(as_of) AS as_of FROM {{bars}} CROSS JOIN (SELECT ({as_of}) AS as_of) WHERE hour < as_of GROUP BY symbol, {part}"
+
+
+query("p05_split_by_age", split_by_age(7))
+derived("series_sizes", "SELECT symbol, count(*) AS n FROM {b} GROUP BY symbol")
 #: Folds of 200 training, 60 validation and 40 test rows without a gap, sliding by the test rows, as many as a symbol's rows hold.
-derived("label_folds", "SELECT symbol, fold, CASE WHEN _i - 40 * fold < 200 THEN 'train' WHEN _i - 40 * fold < 260 THEN 'val' ELSE 'test' END AS role, hour, close FROM (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM {b}) JOIN {fold_ids} ON _i >= 40 * fold AND _i < 40 * fold + 300 WHERE 40 * fold + 300 <= n")
+#: A row lies in the folds that begin up to 299 rows before it, the last of which has all its rows.
+_FIRST_FOLD, _LAST_FOLD = "cast(greatest(0, ceil((_i - 299) / 40e0)) AS bigint)", "cast(least(floor(_i / 40e0), floor((n - 300) / 40e0)) AS bigint)"
+derived(
+    "label_folds",
+    f"""SELECT symbol, fold, CASE WHEN _i - 40 * fold < 200 THEN 'train' WHEN _i - 40 * fold < 260 THEN 'val' ELSE 'test' END AS role, hour, close FROM (
+      SELECT b.symbol, b.hour, b.close, b._i, <each>{_FIRST_FOLD}, {_LAST_FOLD}</each> AS fold FROM {{b}} b JOIN {{series_sizes}} s ON s.symbol = b.symbol WHERE n >= 300 AND {_FIRST_FOLD} <= {_LAST_FOLD})""",
+)
 query("p08_label_folds", "SELECT symbol, fold, role, count(*) AS bars, min(hour) AS first_hour, max(hour) AS last_hour FROM {label_folds} GROUP BY symbol, fold, role")
-query("j03_bars_in_folds", "SELECT symbol, fold, role, hour FROM {label_folds} WHERE fold < 3")
+query("j03_bars_in_folds", "SELECT symbol, fold, role, hour FROM {label_folds}")
 query("u05_fold_leakage", "SELECT symbol, fold, count(*) AS shared FROM (SELECT symbol, fold, hour FROM {label_folds} WHERE role = 'train' INTERSECT SELECT symbol, fold, hour FROM {label_folds} WHERE role = 'test') GROUP BY symbol, fold UNION ALL SELECT symbol, -1, count(*) FROM (SELECT symbol, hour FROM {b} EXCEPT SELECT symbol, hour FROM {label_folds}) GROUP BY symbol")
 _WANTED = ["rsi_14", "adx_14", "atr_14", "vol_ratio", "volume_ratio", "bb_pct_b", "roc_12", "ret_1", "ret_6", "cci", "williams_r", "no_such_feature"]
 
@@ -58,8 +73,8 @@ relation("manifest", _manifest, _MANIFEST_SQL, "bars")
 query("s10_content_manifest", "SELECT symbol, bars, first_hour, last_hour, content FROM {manifest}")
 #: A snapshot whose last symbol lost a bar: what verification must refuse.
 query("s11_integrity_check", "SELECT coalesce(m.symbol, s.symbol) AS symbol, CASE WHEN s.symbol IS NULL THEN 'missing' WHEN m.symbol IS NULL THEN 'unexpected' WHEN m.bars <> s.bars THEN 'rows differ' WHEN m.first_hour <> s.first_hour OR m.last_hour <> s.last_hour THEN 'range differs' ELSE 'ok' END AS verdict FROM {manifest} m FULL OUTER JOIN (SELECT symbol, count(*) AS bars, min(hour) AS first_hour, max(hour) AS last_hour FROM (SELECT symbol, hour, max(hour) OVER (PARTITION BY symbol) AS newest, max(symbol) OVER (PARTITION BY 1) AS last_symbol FROM {bars}) WHERE NOT (symbol = last_symbol AND hour = newest) GROUP BY symbol) s ON s.symbol = m.symbol")
-query("c28_preregistration", "SELECT cfg, sha2_text AS digest, bars FROM (SELECT cfg, md5(concat_ws('|', cfg, lookback, cast(round(stop_mult * 1e6) AS bigint), cast(round(target_mult * 1e6) AS bigint), hours, lag)) AS sha2_text FROM {configs}) CROSS JOIN (SELECT count(*) AS bars FROM {bars})")
-query("c06_run_fingerprint", "SELECT symbol, substr(md5(concat_ws('|', symbol, content, 'seed=7', 'spec=1')), 1, 16) AS run_id FROM {manifest}")
+query("c28_preregistration", "SELECT cfg, digest, bars FROM (SELECT cfg, <sha>concat_ws('|', cfg, lookback, cast(round(stop_mult * 1e6) AS bigint), cast(round(target_mult * 1e6) AS bigint), hours, lag)</sha> AS digest FROM {configs}) CROSS JOIN (SELECT count(*) AS bars FROM {bars})")
+query("c06_run_fingerprint", "SELECT symbol, substr(<sha>concat_ws('|', symbol, content, 'seed=7', 'spec=1')</sha>, 1, 16) AS run_id FROM {manifest}")
 
 # ---------------------------------------------------------------- confirmation by higher timeframes
 
@@ -98,15 +113,15 @@ SCENARIOS = [
 ]
 derived("scenarios", " UNION ALL ".join(f"SELECT '{r}' AS regime, '{s}' AS scenario, {p!r}e0 AS probability, '{d}' AS direction, {m!r}e0 AS multiple, '{st}' AS strategy, '{x}' AS status" for r, s, p, d, m, st, x in SCENARIOS))
 derived("latest", "SELECT * FROM (SELECT *, max(hour) OVER (PARTITION BY symbol) AS newest FROM {f}) WHERE hour = newest", write=True)
-query("r04_scenario_table", "SELECT DISTINCT f.symbol, f.hour, f.regime, scenario, probability, direction, round(multiple * 100 * atr_14 / close, 6) AS magnitude_pct FROM {f} f JOIN {scenarios} s ON s.regime = f.regime WHERE f._i % 24 = 0")
-query("j16_strategy_status", "SELECT f.symbol, f.hour, strategy, status, max(probability) AS probability FROM {f} f JOIN {scenarios} s ON s.regime = f.regime WHERE f._i % 24 = 0 GROUP BY f.symbol, f.hour, strategy, status")
-query("r05_recommended", "SELECT f.symbol, f.hour, strategy, max(CASE WHEN status = 'ACTIVE' THEN 1 ELSE 0 END) = 1 AS recommended, max(CASE WHEN status = 'AVOID' THEN 1 ELSE 0 END) = 1 AS avoided, max(CASE WHEN f.regime = 'exogenous_shock' THEN 1 ELSE 0 END) = 1 AS shock_flag, max(CASE WHEN confidence < 0.3 THEN 1 ELSE 0 END) = 1 AS low_confidence_flag FROM {f} f JOIN {scenarios} s ON s.regime = f.regime WHERE probability > 0.3 AND f._i % 24 = 0 GROUP BY f.symbol, f.hour, strategy")
+query("r04_scenario_table", "SELECT DISTINCT f.symbol, f.hour, f.regime, scenario, probability, direction, round(multiple * 100 * atr_14 / close, 6) AS magnitude_pct FROM {f} f JOIN {scenarios} s ON s.regime = f.regime")
+query("j16_strategy_status", "SELECT f.symbol, f.hour, strategy, status, max(probability) AS probability FROM {f} f JOIN {scenarios} s ON s.regime = f.regime GROUP BY f.symbol, f.hour, strategy, status")
+query("r05_recommended", "SELECT f.symbol, f.hour, strategy, max(CASE WHEN status = 'ACTIVE' THEN 1 ELSE 0 END) = 1 AS recommended, max(CASE WHEN status = 'AVOID' THEN 1 ELSE 0 END) = 1 AS avoided, max(CASE WHEN f.regime = 'exogenous_shock' THEN 1 ELSE 0 END) = 1 AS shock_flag, max(CASE WHEN confidence < 0.3 THEN 1 ELSE 0 END) = 1 AS low_confidence_flag FROM {f} f JOIN {scenarios} s ON s.regime = f.regime WHERE probability > 0.3 GROUP BY f.symbol, f.hour, strategy")
 #: (regime, hypothesis, strategy or 'all', parameter, value)
 HYPOTHESES = [(r, h, s, p, v) for r, h, s, p, vs in (("breakout", "volume_surge", "volatility_breakout", "volume_threshold", (1.5, 2.0, 2.5)), ("breakout", "confirmation", "volatility_breakout", "confirmation_bars", (1, 2, 3)), ("mean_reversion", "z_score", "mean_reversion", "zscore_entry", (2.0, 2.5, 3.0)), ("trend", "adx_floor", "trend_following", "adx_min", (20, 25, 30)), ("lateral", "stops", "all", "stop_mult", (1.5, 2.0, 2.5))) for v in vs]
 derived("hypotheses", " UNION ALL ".join(f"SELECT '{r}' AS regime, '{h}' AS hypothesis, '{s}' AS strategy, '{p}' AS param, {float(v)!r}e0 AS value" for r, h, s, p, v in HYPOTHESES))
 query("r06_hypotheses", "SELECT f.regime, hypothesis, strategy, param, value, count(*) AS bars FROM {f} f JOIN {hypotheses} h ON h.regime = f.regime GROUP BY f.regime, hypothesis, strategy, param, value")
 query("j13_hypothesis_matches", "SELECT s.strategy AS name, hypothesis, param, value, bars FROM (SELECT DISTINCT strategy FROM {scenarios}) s JOIN {hypotheses} h ON h.strategy = s.strategy OR h.strategy = 'all' JOIN (SELECT regime, count(*) AS bars FROM {f} GROUP BY regime) r ON r.regime = h.regime")
-query("c05_perturbed_configs", f"SELECT hypothesis, strategy, param, i AS trial, round(value * (0.7 + 0.6 * {draw('i', 31)}), 6) AS value FROM {{hypotheses}} CROSS JOIN (SELECT i FROM {{numbers}} WHERE i < 5)")
+query("c05_perturbed_configs", f"SELECT symbol, hypothesis, strategy, param, i AS trial, round(value * (0.7 + 0.6 * {draw(31, 'symbol', 'hypothesis', 'param', 'value', 'i')}), 6) AS value FROM (SELECT symbol, regime, count(*) AS bars FROM {{f}} GROUP BY symbol, regime) r JOIN {{hypotheses}} h ON h.regime = r.regime CROSS JOIN (SELECT i FROM {{numbers}} WHERE i < 5) WHERE bars >= 20")
 _VOTES = {
     "whale": ("ret_1 < -0.02", "ret_1 > 0.03"), "momentum": ("regime = 'trend' AND ret_1 > 0", "regime = 'trend' AND ret_1 <= 0"), "reversion": ("rsi_14 < 25", "rsi_14 > 75"), "retail": ("ret_1 > 0.03 AND volume_ratio > 2", "ret_1 < -0.03"),
     "market_maker": ("false", "false"), "institutional": ("adx_14 > 30 AND ret_1 > 0", "adx_14 > 30 AND ret_1 <= 0"),
@@ -117,7 +132,14 @@ query("a30_regime_distribution", "SELECT regime, count(*) AS bars, round(count(*
 
 # ---------------------------------------------------------------- configurations
 
-query("c01_random_configs", "SELECT cfg, lookback, stop_mult, round(CASE WHEN target_mult <= stop_mult THEN stop_mult * 1.5 ELSE target_mult END, 6) AS target_mult, hours FROM (SELECT i AS cfg, " + ", ".join(f"cast(floor({lo} + ({hi} - {lo} + 1) * {draw('i', 40 + j)}) AS int) AS {p}" if kind == "int" else f"round({lo} + ({hi - lo}) * {draw('i', 40 + j)}, 6) AS {p}" for j, (p, kind, lo, hi, _) in enumerate(SPACE)) + " FROM {numbers} WHERE i < 500)")
+#: Of every symbol; a look-back takes at most a tenth of its bars, stop and target are also given in prices by its mean range.
+_RANDOM = ", ".join(f"cast(floor({lo} + ({hi} - {lo} + 1) * {draw(40 + j, 'symbol', 'i')}) AS int) AS {p}" if kind == "int" else f"{lo} + ({hi - lo}) * {draw(40 + j, 'symbol', 'i')} AS {p}" for j, (p, kind, lo, hi, _) in enumerate(SPACE))
+query(
+    "c01_random_configs",
+    f"""SELECT symbol, cfg, cast(greatest(2, least(lookback, floor(bars / 10e0))) AS int) AS lookback, round(stop_mult, 6) AS stop_mult, round(target_mult, 6) AS target_mult, hours, round(stop_mult * mean_range, 5) AS stop_distance, round(target_mult * mean_range, 5) AS target_distance FROM (
+      SELECT symbol, cfg, bars, mean_range, lookback, stop_mult, CASE WHEN target_mult <= stop_mult THEN stop_mult * 1.5 ELSE target_mult END AS target_mult, hours FROM (
+        SELECT symbol, i AS cfg, bars, mean_range, {_RANDOM} FROM (SELECT symbol, count(*) AS bars, avg(high - low) AS mean_range FROM {{bars}} GROUP BY symbol) CROSS JOIN {{numbers}} WHERE i < 500))""",
+)
 _GRIDS = {
     "wide": {"lookback": (10, 20, 40), "stop_mult": (2.0,), "target_mult": (3.0, 4.0, 5.0)}, "stops": {"lookback": (15, 20, 25), "stop_mult": (1.5, 2.0, 2.5, 3.0, 3.5), "target_mult": (3.0, 5.0)},
     "targets": {"lookback": (20, 30), "stop_mult": (2.0, 2.5), "target_mult": (2.5, 3.0, 4.0, 5.0, 6.0, 8.0)}, "fine": {"lookback": (18, 20, 22, 24), "stop_mult": (1.8, 2.0, 2.2), "target_mult": (2.8, 3.0, 3.2, 4.0)},
@@ -129,7 +151,7 @@ def _axis(name: str, values: tuple) -> str:
 
 
 derived("grids", " UNION ALL ".join(f"SELECT '{g}' AS phase, lookback, stop_mult, target_mult FROM " + " CROSS JOIN ".join(_axis(k, v) for k, v in axes.items()) for g, axes in _GRIDS.items()))
-query("c03_grid_phases", "SELECT lookback, stop_mult, target_mult, count(*) AS phases, min(phase) AS first_phase FROM {grids} GROUP BY lookback, stop_mult, target_mult")
+query("c03_grid_phases", "SELECT symbol, lookback, stop_mult, target_mult, count(*) AS phases, min(phase) AS first_phase FROM {grids} JOIN (SELECT symbol, count(*) AS bars FROM {bars} GROUP BY symbol) ON bars >= 3 * lookback GROUP BY symbol, lookback, stop_mult, target_mult")
 query("j08_grid_by_symbol", "SELECT symbol, phase, count(*) AS configurations FROM {grids} CROSS JOIN (SELECT DISTINCT symbol FROM {bars}) GROUP BY symbol, phase")
 query("u03_grid_dedupe", "SELECT count(*) AS rows_before, count(DISTINCT concat_ws('|', lookback, stop_mult, target_mult)) AS rows_after, max(bars) AS bars FROM {grids} CROSS JOIN (SELECT count(*) AS bars FROM {bars})")
 query("p15_regime_allowed", "SELECT symbol, hour, regime FROM {f} WHERE regime IN ('trend', 'breakout') AND close > bb_middle")

@@ -7,7 +7,8 @@ market's, as the given events span a month; periods are weeks.
 
 from __future__ import annotations
 
-from barlab.plans.relations import derived, query
+from barlab.functions.dialect import draw
+from barlab.plans.relations import Tables, computed, derived, query, relation
 from barlab.plans.strategies import normal_cdf
 
 #: Coefficients of the inverse normal distribution function (Acklam's rational approximation; fixed values).
@@ -49,7 +50,6 @@ LIMITS = {
 SPEC = {"g01": (True, 2.0), "g02": (True, 1.5), "g03": (True, 3.0), "g04": (True, 2.0), "g05": (True, 2.0), "g06": (True, 1.0), "g07": (True, 1.5), "g08": (True, 2.0), "g09": (True, 1.5), "g10": (True, 1.5), "g11": (False, 1.0)}
 derived("limits", "SELECT " + ", ".join(f"{float(v)!r}e0 AS {k}" for k, v in LIMITS.items()))
 derived("spec", " UNION ALL ".join(f"SELECT '{g}' AS gate, {str(m).lower()} AS mandatory, {w}e0 AS weight" for g, (m, w) in SPEC.items()))
-query("c21_gate_spec", "SELECT gate, mandatory, weight FROM {spec}")
 query("c09_trial_count", "SELECT count(*) AS trials, count(DISTINCT cfg) AS configurations FROM (SELECT DISTINCT symbol, cfg FROM {taken})")
 
 # ---------------------------------------------------------------- what gates read
@@ -74,7 +74,7 @@ derived("regimes", "SELECT symbol, segment, regime, sum(net) AS net FROM {entere
 query("j04_regime_at_entry", "SELECT symbol, cfg, entry_hour, regime FROM {entered} WHERE cfg NOT LIKE 'near%'")
 query("a18_pnl_by_regime", "SELECT regime, trades, round(net, 4) AS total, round(net / nullif(whole, 0), 6) AS share FROM (SELECT regime, count(*) AS trades, sum(net) AS net FROM {entered} WHERE cfg = 'base' GROUP BY regime) CROSS JOIN (SELECT sum(net) AS whole FROM {entered} WHERE cfg = 'base')")
 query("a37_concentration", "SELECT r.symbol, r.segment, round(max(r.net) / nullif(sum(CASE WHEN r.net > 0 THEN r.net END), 0), 6) AS top_regime, round(max(s.best) / nullif(max(s.net), 0), 6) AS top_trade FROM {regimes} r JOIN {sums} s ON s.symbol = r.symbol AND s.segment = r.segment AND s.cfg = 'base' GROUP BY r.symbol, r.segment")
-_DRAW = "(((i * 100003 + pos) * 7919 + 1366719) * 48271 % 2147483647) * 16807 % 2147483647 / 2147483647e0"
+_DRAW = draw(13, 'symbol', 'i', 'pos')
 derived("sealed_results", "SELECT symbol, net, row_number() OVER (PARTITION BY symbol ORDER BY entry_hour) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM {parted} WHERE cfg = 'base' AND segment = 'sealed'")
 derived(
     "sealed_runs",
@@ -128,6 +128,7 @@ query("c10_scorecard_gates", "SELECT symbol, g.gate, passed, round(margin, 5) AS
 for _id, _gate in zip(range(11, 21), list(GATES)[1:], strict=True):
     _ok, _margin = GATES[_gate]
     query(f"c{_id}_gate_{_gate}", f"SELECT symbol, coalesce({_ok}, false) AS passed, round(coalesce({_margin}, -1e0), 5) AS margin FROM {{judged}} CROSS JOIN {{limits}}")
+query("c21_gate_spec", "SELECT s.gate, mandatory, weight, count(*) AS candidates, sum(CASE WHEN passed THEN 1 ELSE 0 END) AS passed FROM {spec} s JOIN {gate_rows} g ON g.gate = s.gate GROUP BY s.gate, mandatory, weight")
 query(
     "a32_scorecard",
     """SELECT symbol, sum(CASE WHEN passed THEN 1 ELSE 0 END) AS n_passed, min(CASE WHEN mandatory AND NOT passed THEN 0 ELSE 1 END) = 1 AS passed, round(sum(CASE WHEN passed THEN weight * greatest(-1e0, least(1e0, margin)) WHEN mandatory THEN -2 * weight ELSE 0 END), 4) AS score
@@ -152,7 +153,7 @@ query(
     "a51_final_acceptance",
     f"SELECT symbol, {', '.join(f'{k}' for k in _NINE)}, {' + '.join(f'CASE WHEN {k} THEN 1 ELSE 0 END' for k in _NINE)} AS n_met, CASE WHEN n < 4 THEN 'EXPLORATORY' WHEN {' AND '.join(_NINE)} THEN 'ACCEPT' ELSE 'REJECT' END AS verdict FROM (SELECT j.symbol, j.n, {', '.join(f'coalesce({v}, false) AS {k}' for k, v in _NINE.items())} FROM {{judged}} j JOIN {{period_counts}} p ON p.symbol = j.symbol JOIN (SELECT symbol, sum(CASE WHEN side = -1 THEN 1 ELSE 0 END) AS n_short FROM {{taken}} WHERE cfg = 'base' GROUP BY symbol) q ON q.symbol = j.symbol)",
 )
-query("c27_frozen_candidates", "SELECT symbol, sha256_hex, round(score, 4) AS score FROM (SELECT symbol, {HASH} AS sha256_hex, sum(CASE WHEN passed THEN weight ELSE 0 END) AS score FROM {gate_rows} g JOIN {spec} s ON s.gate = g.gate GROUP BY symbol)".replace("{HASH}", "md5(concat(symbol, ':base:20:2:3:24'))"))
+query("c27_frozen_candidates", "SELECT symbol, sha256_hex, round(score, 4) AS score FROM (SELECT symbol, {HASH} AS sha256_hex, sum(CASE WHEN passed THEN weight ELSE 0 END) AS score FROM {gate_rows} g JOIN {spec} s ON s.gate = g.gate GROUP BY symbol)".replace("{HASH}", "<sha>concat(symbol, ':base:20:2:3:24')</sha>"))
 
 # ---------------------------------------------------------------- fitness and rankings
 
@@ -166,9 +167,9 @@ _FITNESS = "0.5 * train + 0.3 * val + 0.1 * ln(greatest(n, 1)) + 0.25 * greatest
 derived("scored", f"SELECT *, {_FITNESS} AS fitness FROM {{crossed}}", write=True)
 query("a47_robust_fitness", "SELECT symbol, cfg, round(least(train, val) - CASE WHEN least(n, n_sealed) < 3 THEN 2 ELSE 0 END - CASE WHEN ruined THEN 5 ELSE 0 END, 5) AS fitness FROM {fit}")
 query("a48_composite_fitness", "SELECT symbol, cfg, round(fitness, 5) AS fitness FROM {scored}")
-query("a49_grid_ranking", "SELECT symbol, cfg, round(score, 5) AS score, place FROM (SELECT symbol, cfg, score, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, cfg) AS place FROM (SELECT symbol, cfg, train * sqrt(n) * least(pf, 3) / 3 AS score FROM {fit} WHERE n >= 5)) WHERE place <= 10")
+query("a49_grid_ranking", "SELECT symbol, cfg, round(score, 5) AS score, place FROM (SELECT symbol, cfg, score, row_number() OVER (PARTITION BY symbol ORDER BY round(score, 9) DESC, cfg) AS place FROM (SELECT symbol, cfg, train * sqrt(n) * least(pf, 3) / 3 AS score FROM {fit} WHERE n >= 5)) WHERE place <= 10")
 query("a34_score_table", "SELECT symbol, count(*) AS n, round(avg(fitness), 5) AS mean_fitness, round(max(fitness), 5) AS best_fitness, round(avg(CASE WHEN fitness > 0 THEN 1e0 ELSE 0e0 END), 6) AS share_positive FROM {scored} GROUP BY symbol")
-query("a35_promising", "SELECT symbol, round(avg(CASE WHEN n < 3 OR place <= 5 THEN fitness END), 5) AS mean_of_best FROM (SELECT symbol, fitness, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY fitness DESC, cfg) AS place FROM {scored}) GROUP BY symbol")
+query("a35_promising", "SELECT symbol, round(avg(CASE WHEN n < 3 OR place <= 5 THEN fitness END), 5) AS mean_of_best FROM (SELECT symbol, fitness, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, cfg) AS place FROM {scored}) GROUP BY symbol")
 _AXES = [("lookback", 10, 40, "int"), ("stop_mult", 1.0, 4.0, "float"), ("target_mult", 1.5, 6.0, "float"), ("hours", 12, 48, "int")]
 derived("long_params", " UNION ALL ".join(f"SELECT symbol, cfg, fitness, '{p}' AS param, cast({p} AS double) AS value, {float(lo)}e0 AS lo, {float(hi)}e0 AS hi FROM {{scored}}" for p, lo, hi, _ in _AXES))
 query(
@@ -191,9 +192,9 @@ _FITTER = f"x.symbol = y.symbol AND {_DISTANCE} < 0.02 AND (y.fitness > x.fitnes
 derived("distinct_best", f"SELECT x.* FROM {{scored}} x WHERE NOT EXISTS (SELECT 1 FROM {{scored}} y WHERE {_FITTER})")
 query("j14_near_duplicate_configs", "SELECT symbol, cfg, round(fitness, 5) AS fitness FROM {distinct_best}")
 query("c08_hall_of_fame", "SELECT symbol, cfg, round(fitness, 5) AS fitness, place FROM (SELECT *, row_number() OVER (ORDER BY fitness DESC, symbol, cfg) AS place FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fitness DESC, cfg) AS nth FROM {distinct_best}) WHERE nth <= 4) WHERE place <= 20")
-query("c08_best_per_strategy", "SELECT symbol, cfg, round(fitness, 5) AS fitness, nth FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fitness DESC, cfg) AS nth FROM {scored}) WHERE nth <= 5")
-query("c25_sweep_winners", "SELECT s.symbol, s.cfg, round(s.fitness, 5) AS fitness, round(s.net_sealed, 6) AS net_sealed, round(s.median_other, 5) AS median_other FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fitness DESC, cfg) AS nth FROM {scored}) s WHERE nth = 1")
-query("c24_winner_then_sealed", "SELECT symbol, cfg, round(train, 5) AS in_sample, round(val, 5) AS sealed, n_sealed FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY train DESC, cfg) AS nth FROM {fit}) WHERE nth = 1")
+query("c08_best_per_strategy", "SELECT symbol, cfg, round(fitness, 5) AS fitness, nth FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, cfg) AS nth FROM {scored}) WHERE nth <= 5")
+query("c25_sweep_winners", "SELECT s.symbol, s.cfg, round(s.fitness, 5) AS fitness, round(s.net_sealed, 6) AS net_sealed, round(s.median_other, 5) AS median_other FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, cfg) AS nth FROM {scored}) s WHERE nth = 1")
+query("c24_winner_then_sealed", "SELECT symbol, cfg, round(train, 5) AS in_sample, round(val, 5) AS sealed, n_sealed FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(train, 9) DESC, cfg) AS nth FROM {fit}) WHERE nth = 1")
 query("c22_leaderboard", "SELECT symbol, n_passed, place FROM (SELECT symbol, n_passed, rank() OVER (ORDER BY n_passed DESC) AS place FROM (SELECT symbol, sum(CASE WHEN passed THEN 1 ELSE 0 END) AS n_passed FROM {gate_rows} GROUP BY symbol))")
 derived(
     "experiments",
@@ -204,4 +205,4 @@ _REASON = "CASE WHEN improvement < 5 THEN 'insufficient_improvement' WHEN NOT gu
 query("j12_experiment_verdicts", f"SELECT symbol, cfg, round(improvement, 5) AS improvement, {_REASON} AS reason FROM {{experiments}}")
 query("a45_session_summary", f"SELECT symbol, count(*) AS experiments, sum(CASE WHEN {_REASON} = 'accepted' THEN 1 ELSE 0 END) AS accepted, sum(CASE WHEN {_REASON} <> 'accepted' THEN 1 ELSE 0 END) AS rejected, round(avg(CASE WHEN {_REASON} = 'accepted' THEN 1e0 ELSE 0e0 END), 6) AS rate FROM {{experiments}} GROUP BY symbol")
 query("u01_both_segments", "SELECT symbol, cfg, sum(n) AS trades, round(sum(net), 6) AS net FROM (SELECT symbol, cfg, n, net FROM {sums} WHERE segment = 'in_sample' UNION ALL SELECT symbol, cfg, n, net FROM {sums} WHERE segment = 'sealed') GROUP BY symbol, cfg")
-query("u03_distinct_configs", "SELECT DISTINCT lookback, hours FROM {configs}")
+query("u03_distinct_configs", "SELECT lookback, c.hours, count(DISTINCT c.cfg) AS configurations, count(*) AS trades FROM {configs} c JOIN {taken} t ON t.cfg = c.cfg GROUP BY lookback, c.hours")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlab.functions.dialect import draw, spark_text
 from barlab.functions.features import TRUE_RANGE
 from barlab.functions.layers import Layer, full, layers_sql, over
 from barlab.functions.series import indexed
@@ -21,11 +22,6 @@ from barlab.plans.signals import side_of
 LENGTHS = range(17, 24)
 
 
-def draw(i: str, stream: int) -> str:
-    """A number in [0, 1) for every i, the same wherever it is worked out."""
-    return f"(((({i}) * 7919 + {stream * 104729 + 4242}) * 48271 % 2147483647) * 16807 % 2147483647) / 2147483647e0"
-
-
 #: (parameter, kind, low, high, present value)
 SPACE = [("lookback", "int", 10, 40, 20), ("stop_mult", "float", 1.0, 4.0, 2.0), ("target_mult", "float", 1.5, 6.0, 3.0), ("hours", "int", 12, 48, 24)]
 
@@ -33,7 +29,7 @@ SPACE = [("lookback", "int", 10, 40, 20), ("stop_mult", "float", 1.0, 4.0, 2.0),
 def near(k: int) -> str:
     """The parameter moved by up to a tenth of its range, kept in it, rounded where it is whole."""
     _, kind, lo, hi, now = SPACE[k]
-    value = f"least({hi}e0, greatest({lo}e0, {now}e0 + {(hi - lo) / 10!r}e0 * (2 * ({draw('i', k)}) - 1)))"
+    value = f"least({hi}e0, greatest({lo}e0, {now}e0 + {(hi - lo) / 10!r}e0 * (2 * ({draw(k, 'i')}) - 1)))"
     return f"cast(round({value}) AS int)" if kind == "int" else value
 
 
@@ -74,11 +70,11 @@ def booked_sql(exits: str) -> str:
 def exits_sql(signals: str, bars_: str, flag: str = "false") -> str:
     """Every signal with its first barrier, else the first bar at or after the time stop, else the last bar."""
     return f"""SELECT s.*, coalesce(hit.h, t.h, e.h) AS exit_hour, coalesce(hit.p, t.c, e.c) AS exit_raw, coalesce(hit.reason, CASE WHEN t.h IS NOT NULL THEN 'time_stop' ELSE 'end_of_data' END) AS exit_reason, coalesce(hit.i, t.i, e.i) - f.i AS bars_held FROM {signals} s
-    JOIN (SELECT symbol AS fs, hour AS fh, _i AS i FROM {bars_}) f ON fs = s.symbol AND fh = fill_hour
-    LEFT JOIN LATERAL (SELECT CASE WHEN r = 'signal_exit' THEN next_hour ELSE hour END AS h, r AS reason, CASE r WHEN 'stop_loss' THEN stop WHEN 'take_profit' THEN target ELSE next_open END AS p, CASE WHEN r = 'signal_exit' THEN _i + 1 ELSE _i END AS i FROM (
-      SELECT *, CASE WHEN (side = 1 AND low <= stop) OR (side = -1 AND high >= stop) THEN 'stop_loss' WHEN (side = 1 AND high >= target) OR (side = -1 AND low <= target) THEN 'take_profit' WHEN {flag} AND next_hour IS NOT NULL THEN 'signal_exit' END AS r
-      FROM {bars_} x WHERE x.symbol = s.symbol AND hour >= from_hour AND hour < fill_hour + hours) WHERE r IS NOT NULL ORDER BY hour LIMIT 1) hit ON true
-    LEFT JOIN LATERAL (SELECT hour AS h, close AS c, _i AS i FROM {bars_} x WHERE x.symbol = s.symbol AND hour >= fill_hour + hours ORDER BY hour LIMIT 1) t ON true
+    JOIN (SELECT symbol AS fs, hour AS fh, _i AS i FROM {bars_}) f ON fs = s.symbol AND fh = s.fill_hour
+    LEFT JOIN LATERAL (SELECT CASE WHEN r = 'signal_exit' THEN next_hour ELSE hour END AS h, r AS reason, CASE r WHEN 'stop_loss' THEN s.stop WHEN 'take_profit' THEN s.target ELSE next_open END AS p, CASE WHEN r = 'signal_exit' THEN _i + 1 ELSE _i END AS i FROM (
+      SELECT x.*, CASE WHEN (s.side = 1 AND x.low <= s.stop) OR (s.side = -1 AND x.high >= s.stop) THEN 'stop_loss' WHEN (s.side = 1 AND x.high >= s.target) OR (s.side = -1 AND x.low <= s.target) THEN 'take_profit' WHEN {flag} AND next_hour IS NOT NULL THEN 'signal_exit' END AS r
+      FROM {bars_} x WHERE x.symbol = s.symbol AND x.hour >= s.from_hour AND x.hour < s.fill_hour + s.hours) WHERE r IS NOT NULL ORDER BY hour LIMIT 1) hit ON true
+    LEFT JOIN LATERAL (SELECT hour AS h, close AS c, _i AS i FROM {bars_} x WHERE x.symbol = s.symbol AND x.hour >= s.fill_hour + s.hours ORDER BY x.hour LIMIT 1) t ON true
     LEFT JOIN LATERAL (SELECT hour AS h, close AS c, _i AS i FROM {bars_} x WHERE x.symbol = s.symbol ORDER BY hour DESC LIMIT 1) e ON true"""
 
 
@@ -94,7 +90,7 @@ relation("taken", lambda t: one_at_a_time(t.get("trades")), taken_sql("trades"),
 
 # ---------------------------------------------------------------- the ledger
 
-query("c04_neighbours", "SELECT cfg, lookback, round(stop_mult, 6) AS stop_mult, round(target_mult, 6) AS target_mult, hours FROM {configs} WHERE cfg LIKE 'near%'")
+query("c04_neighbours", "SELECT c.cfg, lookback, round(stop_mult, 6) AS stop_mult, round(target_mult, 6) AS target_mult, c.hours, count(t.net) AS trades, round(coalesce(sum(t.net), 0), 6) AS net FROM {configs} c LEFT JOIN {taken} t ON t.cfg = c.cfg WHERE c.cfg LIKE 'near%' GROUP BY c.cfg, lookback, stop_mult, target_mult, c.hours")
 query("t09_taken_trades", "SELECT symbol, cfg, entry_hour, exit_hour, side, exit_reason, round(net, 6) AS net FROM {taken}")
 query("t04_funding_accrual", "SELECT symbol, entry_hour, bars_held, round(funding, 8) AS funding FROM {taken} WHERE cfg = 'base'")
 query("t15_return_on_notional", "SELECT symbol, entry_hour, side, round(ret, 8) AS ret FROM {taken} WHERE cfg = 'base'")
@@ -169,14 +165,13 @@ query("t12_risk_rules", "SELECT symbol, cfg, entry_hour, verdict, round(pnl, 6)
 #: (method, simulation, place) -> the place drawn: a permutation by sorted draws, single trades, blocks of max(3, n / 10) trades.
 derived("results", "SELECT symbol, net, row_number() OVER (PARTITION BY symbol ORDER BY entry_hour) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM {taken} WHERE cfg = 'base'", write=True)
 _SIMS = 100
-_U = draw("sim * 1000 + pos", 7)
 _BLOCK = "greatest(3, cast(floor(n / 10) AS bigint))"
 derived(
     "simulated",
     f"""SELECT d.symbol, d.method, d.sim, d.slot, r.net, d.n FROM (
-      SELECT symbol, 'shuffle' AS method, sim, pos AS draw, row_number() OVER (PARTITION BY symbol, sim ORDER BY u, pos) - 1 AS slot, n FROM (SELECT symbol, pos, n, i AS sim, {draw('i * 100003 + pos', 5)} AS u FROM {{results}} CROSS JOIN {{numbers}} WHERE i < {_SIMS})
-      UNION ALL SELECT symbol, 'bootstrap', i, cast(floor(({draw('i * 100003 + pos', 7)}) * n) AS bigint), pos, n FROM {{results}} CROSS JOIN {{numbers}} WHERE i < {_SIMS}
-      UNION ALL SELECT symbol, 'block_bootstrap', i, cast(floor(({draw(f'i * 100003 + cast(floor(pos / {_BLOCK}) AS bigint)', 9)}) * greatest(1, n - {_BLOCK})) AS bigint) + pos % {_BLOCK}, pos, n FROM {{results}} CROSS JOIN {{numbers}} WHERE i < {_SIMS}) d
+      SELECT symbol, 'shuffle' AS method, sim, pos AS draw, row_number() OVER (PARTITION BY symbol, sim ORDER BY u, pos) - 1 AS slot, n FROM (SELECT symbol, pos, n, i AS sim, {draw(5, 'symbol', 'i', 'pos')} AS u FROM {{results}} CROSS JOIN {{numbers}} WHERE i < {_SIMS})
+      UNION ALL SELECT symbol, 'bootstrap', i, cast(floor(({draw(7, 'symbol', 'i', 'pos')}) * n) AS bigint), pos, n FROM {{results}} CROSS JOIN {{numbers}} WHERE i < {_SIMS}
+      UNION ALL SELECT symbol, 'block_bootstrap', i, cast(floor(({draw(9, 'symbol', 'i', f'cast(floor(pos / {_BLOCK}) AS bigint)')}) * greatest(1, n - {_BLOCK})) AS bigint) + pos % {_BLOCK}, pos, n FROM {{results}} CROSS JOIN {{numbers}} WHERE i < {_SIMS}) d
     JOIN {{results}} r ON r.symbol = d.symbol AND r.pos = d.draw""",
 )
 derived(
@@ -196,7 +191,7 @@ query("a31_simulation_summary", f"SELECT symbol, method, count(*) AS sims, {SUMM
 derived("bar_returns", "SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY hour) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM {marked} WHERE cfg = 'base' AND r IS NOT NULL", write=True)
 query(
     "t18_bar_bootstrap",
-    f"""SELECT symbol, sim, round(200 * (exp(sum(ln(1 + r))) - 1), 5) AS pnl, count(*) AS bars FROM (SELECT d.symbol, d.sim, r.r FROM (SELECT symbol, i AS sim, cast(floor(({draw('i * 100003 + pos', 11)}) * n) AS bigint) AS draw FROM {{bar_returns}} CROSS JOIN {{numbers}} WHERE i < 20) d
+    f"""SELECT symbol, sim, round(200 * (exp(sum(ln(1 + r))) - 1), 5) AS pnl, count(*) AS bars FROM (SELECT d.symbol, d.sim, r.r FROM (SELECT symbol, i AS sim, cast(floor(({draw(11, 'symbol', 'i', 'pos')}) * n) AS bigint) AS draw FROM {{bar_returns}} CROSS JOIN {{numbers}} WHERE i < 20) d
     JOIN {{bar_returns}} r ON r.symbol = d.symbol AND r.pos = d.draw) GROUP BY symbol, sim""",
 )
 
@@ -205,7 +200,8 @@ def evaluate(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """Trades, result and Sharpe ratio per trade of n seeded random configurations and every symbol, in one job from bars to statistics."""
     t = Tables(spark, sf_dir)
     lo, hi = LENGTHS[0], LENGTHS[-1]
-    values = ", ".join(f"{a}e0 + {b - a}e0 * {draw('id', 60 + j)} AS {name}" for j, (name, _, a, b, _) in enumerate(SPACE) if name.endswith("mult"))
-    configs = spark.range(n).selectExpr("cast(id AS string) AS cfg", f"cast({lo} + floor({hi - lo + 1} * {draw('id', 64)}) AS int) AS lookback", *values.split(", "), f"cast(12 + floor(36 * {draw('id', 65)}) AS int) AS hours", "5e-4 AS slip", "1e-3 AS fee", "1 AS lag")
+    values = [f"{a}e0 + {b - a}e0 * {draw(60 + j, 'id')} AS {name}" for j, (name, _, a, b, _) in enumerate(SPACE) if name.endswith("mult")]
+    columns = ["cast(id AS string) AS cfg", f"cast({lo} + floor({hi - lo + 1} * {draw(64, 'id')}) AS int) AS lookback", *values, f"cast(12 + floor(36 * {draw(65, 'id')}) AS int) AS hours", "5e-4 AS slip", "1e-3 AS fee", "1 AS lag"]
+    configs = spark.range(n).selectExpr(*map(spark_text, columns))
     trades = booked(barrier_exits(t.get("b"), spark.sql(SIGNALS, b=t.get("b"), configs=configs)))
     return one_at_a_time(trades).groupBy("symbol", "cfg").agg(F.count("*").alias("trades"), F.sum("net").alias("net"), (F.avg("ret") / F.stddev_samp("ret")).alias("sharpe"))

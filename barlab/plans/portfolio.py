@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barlab.functions.dialect import draw
 from barlab.functions.layers import Layer, add_layers, full, lag, layers_sql, over, ratio
 from barlab.functions.recursive import ewm_sql
 from barlab.functions.series import ewms
 from barlab.operators.ledger import FLOOR, REENTRY, TRIGGER, circuit_breaker
-from barlab.plans.ledger import draw
 from barlab.plans.relations import derived, query, relation
 from barlab.plans.strategies import normal_cdf
 
@@ -153,8 +153,9 @@ query("j15_replication", "SELECT v.venue, round(v.sharpe, 6) AS sharpe, round(v.
 derived("forward", "SELECT cfg, day, r FROM {sleeve_days} WHERE day > (SELECT max(day) - 200 FROM {panel})")
 query("p16_forward_only", "SELECT cfg, day, round(r, 8) AS r FROM {forward}")
 query("x24_forward_scores", "SELECT cfg, count(*) AS n, round(avg(r) / nullif(stddev_samp(r), 0), 6) AS sharpe_per_obs, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(count(*)), 6) AS tstat, round(exp(sum(ln(greatest(1 + r, 1e-9)))) - 1, 6) AS total, max(day) AS data_end FROM {forward} GROUP BY cfg")
-_PICK = lambda values, stream: f"CASE cast(floor({draw('i', stream)} * {len(values)}) AS int) " + " ".join(f"WHEN {j} THEN {v!r}" for j, v in enumerate(values)) + " END"
+_PICK = lambda values, stream: f"CASE cast(floor({draw(stream, 'i')} * {len(values)}) AS int) " + " ".join(f"WHEN {j} THEN {v!r}" for j, v in enumerate(values)) + " END"
 _FIELDS = {"family": ["momentum", "carry", "idio"], "lookback": [5, 10, 20, 30, 60, 90], "skip": [0, 1, 2], "k": [2, 3, 4, 5], "rebalance": [1, 3, 7, 14], "mode": ["equal", "score_prop", "vol_parity"], "gross": [0.5, 1.0, 2.0], "long_only": [0, 1], "neutral": [0, 1], "vol_window": [10, 20, 30], "scaled": [0, 1], "blend": [0.0, 0.3, 0.5], "min_names": [6, 8], "cost": [5, 10, 15]}
 derived("portfolio_configs", "SELECT i AS cfg, " + ", ".join(f"{_PICK(v, 20 + j)} AS {k}" for j, (k, v) in enumerate(_FIELDS.items())) + " FROM {numbers} WHERE i < 200")
-query("c02_portfolio_configs", f"SELECT cfg, {', '.join(k if k not in ('gross', 'blend') else f'cast({k} AS double) AS {k}' for k in _FIELDS)} FROM {{portfolio_configs}}")
+#: Only those that the panel's names and days allow.
+query("c02_portfolio_configs", f"SELECT cfg, {', '.join(k if k not in ('gross', 'blend') else f'cast({k} AS double) AS {k}' for k in _FIELDS)}, cast(floor(days / cast(rebalance AS double)) AS bigint) AS periods FROM {{portfolio_configs}} JOIN (SELECT count(DISTINCT asset) AS names, count(DISTINCT day) AS days FROM {{panel}}) ON names >= greatest(min_names, 2 * k) AND days >= lookback + skip")
 query("c26_curated_configs", "SELECT * FROM (SELECT 'carry_weekly' AS name, 7 AS lookback, 4 AS k, 7 AS rebalance, 'alpha' AS tag UNION ALL SELECT 'momentum_monthly', 30, 3, 30, 'alpha' UNION ALL SELECT 'long_only_trend', 60, 5, 7, 'beta') c CROSS JOIN (SELECT count(DISTINCT asset) AS assets FROM {panel})")

@@ -1,6 +1,6 @@
 """Named relations, each a Spark frame and the SQL that DuckDB runs for it, and queries over them.
 
-A query's text names relations in braces. Spark runs it over their frames, DuckDB with their SQL as common table
+A query's text names relations in braces and marks what the dialects say differently (`functions/dialect.py`). Spark runs it over their frames, DuckDB with their SQL as common table
 expressions; what relations hold is built and tested apart from the text.
 """
 
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barlab.functions.dialect import duck_text, spark_text
 from barlab.plans.registry import QUERIES, SQL
 from barlab.sources.bars import PANEL_SQL, bars, bars_sql, panel, table
 from barlab.sources.shared import written_at
@@ -62,7 +63,7 @@ class Tables:
         return _SNAPSHOTS[key][0]
 
     def run(self, text: str) -> DataFrame:
-        return self.spark.sql(text, **{n: self.get(n) for n in _named(text)})
+        return self.spark.sql(spark_text(text), **{n: self.get(n) for n in _named(text)})
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,7 @@ def with_clause(names: list[str]) -> str:
 
 
 def _plain(text: str) -> str:
-    return text.format(**{n: n for n in _named(text)})
+    return duck_text(text.format(**{n: n for n in _named(text)}))
 
 
 def query(name: str, text: str) -> None:
