@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlab.functions.series import running
+from barlab.operators.joins import next_at_or_after
+from barlab.sources.shared import written
+
 #: Hours of a bucket in which bars and open trades meet.
 WIDTH = 48
 KEY = ["symbol", "cfg"]
@@ -39,15 +43,26 @@ def barrier_exits(bars: DataFrame, signals: DataFrame, flag: str = "false") -> D
     return out.drop("hit", "last", "first_i")
 
 
-def one_at_a_time(trades: DataFrame) -> DataFrame:
-    """Trades taken so that each enters at or after the exit of the one taken before it, in order of (entry_hour).
+def one_at_a_time(trades: DataFrame, fold_rows: int = 2048) -> DataFrame:
+    """Trades taken so that each enters at or after the exit of the one taken before it, in order of (entry_hour), which differs within a key.
 
-    An island begins where every earlier trade has ended, so its first trade is always taken and islands do not touch;
-    each is folded alone.
+    An island begins where every earlier trade has ended, so its first trade is always taken and islands do not touch.
+    Islands of up to fold_rows trades are folded alone; in larger ones every trade points to the first that it lets in, and
+    what the first trade leads to is found by doubling the pointers: joins of narrow rows, as many as the logarithm of the
+    longest chain, and no island in one task.
     """
     columns = trades.columns
-    before = "max(exit_hour) OVER (PARTITION BY symbol, cfg ORDER BY entry_hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    islands = trades.withColumn("_new", F.expr(f"CASE WHEN coalesce(entry_hour >= {before}, true) THEN 1 ELSE 0 END")).withColumn("_island", F.expr("sum(_new) OVER (PARTITION BY symbol, cfg ORDER BY entry_hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+    trades = written(trades, "candidate-trades")
+    marked = running(trades, {"_busy": ("max", "exit_hour")}, KEY, "entry_hour", exclusive=True)
+    islands = written(running(marked, {"_island": ("max", "CASE WHEN coalesce(entry_hour >= _busy, true) THEN entry_hour END")}, KEY, "entry_hour").drop("_busy"), "islands")
+    key = [*KEY, "_island"]
+    large = written(islands.groupBy(*key).count().where(F.col("count") > fold_rows).drop("count"), "large-islands")
+    if large.isEmpty():
+        return _folded(islands, columns)
+    return _folded(islands.join(large, key, "left_anti"), columns).unionByName(_doubled(islands.join(large, key, "left_semi"), key).select(*columns))
+
+
+def _folded(islands: DataFrame, columns: list[str]) -> DataFrame:
     row = F.struct("entry_hour", *(c for c in columns if c != "entry_hour"))
     folded = islands.groupBy(*KEY, "_island").agg(F.sort_array(F.collect_list(row)).alias("_all")).selectExpr(
         "inline(aggregate(_all, named_struct('free', -9223372036854775808L, 'taken', filter(_all, x -> false)), (a, x) -> if(x.entry_hour >= a.free, named_struct('free', x.exit_hour, 'taken', concat(a.taken, array(x))), a)).taken)"
@@ -55,6 +70,25 @@ def one_at_a_time(trades: DataFrame) -> DataFrame:
     return folded.select(*columns)
 
 
+def _doubled(islands: DataFrame, key: list[str]) -> DataFrame:
+    """The trades that each island's first one leads to."""
+    trades = islands.select(*key, "entry_hour", F.greatest(F.col("exit_hour"), F.col("entry_hour") + 1).alias("free"))
+    jumps = written(next_at_or_after(trades, trades, key, "free", "entry_hour", ["entry_hour"], "_next").selectExpr(*key, "entry_hour AS here", "_next.entry_hour AS there").where("there IS NOT NULL"), "jumps")
+    reached = written(trades.select(*key, F.col("_island").alias("here")).distinct(), "reached")
+    while not jumps.isEmpty():
+        reached = written(reached.unionByName(reached.join(jumps, [*key, "here"]).select(*key, F.col("there").alias("here"))), "reached")
+        jumps = written(jumps.join(jumps.select(*key, F.col("here").alias("there"), F.col("there").alias("_to")), [*key, "there"]).select(*key, "here", F.col("_to").alias("there")), "jumps")
+    return islands.join(reached.withColumnRenamed("here", "entry_hour"), [*key, "entry_hour"], "left_semi")
+
+
+def held_bars(trades: DataFrame, bars: DataFrame, most: int = 49, last: bool = False) -> DataFrame:
+    """Trades with the bars (p_hour, p_close, p_high, p_low) from their entry to before their exit (or with it), `most` hours at most; they meet in buckets of time."""
+    end = F.least(F.col("exit_hour") + F.lit(1 if last else 0), F.col("entry_hour") + most)
+    t = trades.withColumn("_end", end).where("_end > entry_hour").withColumn("_bucket", F.expr(f"explode(sequence(entry_hour div {WIDTH}, (_end - 1) div {WIDTH}))"))
+    b = bars.selectExpr("symbol", "hour AS p_hour", "close AS p_close", "high AS p_high", "low AS p_low", f"hour div {WIDTH} AS _bucket")
+    return t.join(b, ["symbol", "_bucket"]).where("p_hour >= entry_hour AND p_hour < _end").drop("_bucket", "_end")
+
+
 def _run(rules: dict[str, float]):
     """Sizes and gates trades in order of entry; the state of a (symbol, cfg) passes from row to row."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.features import TRUE_RANGE
 from barlab.functions.layers import Layer, full, lead, over
+from barlab.operators.joins import next_at_or_after
 from barlab.operators.ledger import gated, one_at_a_time
 
 #: Breakout of the prior 20 bars with a long or short side; stop and target in multiples of the average true range.
@@ -41,12 +42,10 @@ def barrier_trades(bars: DataFrame, signals: DataFrame, hours: int = HOURS, slip
 
 
 def _next_bar(rows: DataFrame, bars: DataFrame) -> DataFrame:
-    """rows with the first bar at or after `due`, or the symbol's last bar: time_hour, time_close (a forward as-of join)."""
-    columns = rows.columns
-    left = rows.select(F.struct(*columns).alias("r"), "symbol", F.col("due").alias("t"), F.lit(0).alias("o"), F.lit(None).cast("struct<h:long,c:double>").alias("bar"))
-    right = bars.select(F.lit(None).cast(left.schema["r"].dataType).alias("r"), "symbol", F.col("hour").alias("t"), F.lit(1).alias("o"), F.expr("named_struct('h', hour, 'c', close)").alias("bar"))
-    both = left.unionByName(right).selectExpr("r", "o", "first(bar, true) OVER (PARTITION BY symbol ORDER BY t, o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nb", "last(bar, true) OVER (PARTITION BY symbol ORDER BY t, o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lb")
-    return both.where("o = 0").selectExpr("r.*", "coalesce(nb, lb).h AS time_hour", "coalesce(nb, lb).c AS time_close")
+    """rows with the first bar at or after `due`, or the symbol's last bar: time_hour, time_close."""
+    last = bars.groupBy("symbol").agg(F.max_by(F.struct("hour", "close"), "hour").alias("_last"))
+    found = next_at_or_after(rows, bars, ["symbol"], "due", "hour", ["hour", "close"], "_next").join(last, "symbol")
+    return found.select(*rows.columns, F.expr("coalesce(_next, _last).hour").alias("time_hour"), F.expr("coalesce(_next, _last).close").alias("time_close"))
 
 
 def non_overlapping(trades: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ market's, as the given events span a month; periods are weeks.
 from __future__ import annotations
 
 from barlab.functions.dialect import draw
-from barlab.plans.relations import Tables, computed, derived, query, relation
+from barlab.operators.selection import distinct_best
+from barlab.plans.relations import derived, query, relation
 from barlab.plans.strategies import normal_cdf
 
 #: Coefficients of the inverse normal distribution function (Acklam's rational approximation; fixed values).
@@ -187,11 +188,18 @@ query(
 # ---------------------------------------------------------------- configurations: distances, hall of fame, comparisons
 
 _DISTANCE = "(" + " + ".join(f"abs(x.{p} - y.{p}) / {float(hi - lo)}e0" for p, lo, hi, _ in _AXES) + ") / 4"
-query("c07_config_distance", f"SELECT x.cfg AS a, y.cfg AS b, round({_DISTANCE}, 6) AS distance FROM {{configs}} x JOIN {{configs}} y ON x.cfg < y.cfg WHERE x.cfg LIKE 'near%' AND y.cfg LIKE 'near%'")
-_FITTER = f"x.symbol = y.symbol AND {_DISTANCE} < 0.02 AND (y.fitness > x.fitness OR (y.fitness = x.fitness AND y.cfg < x.cfg))"
-derived("distinct_best", f"SELECT x.* FROM {{scored}} x WHERE NOT EXISTS (SELECT 1 FROM {{scored}} y WHERE {_FITTER})")
+#: Between the ten best configurations of each symbol.
+derived("ten_best", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, cfg) AS nth FROM {scored}) WHERE nth <= 10")
+query("c07_config_distance", f"SELECT x.symbol, x.cfg AS a, y.cfg AS b, round({_DISTANCE}, 6) AS distance FROM {{ten_best}} x JOIN {{ten_best}} y ON x.symbol = y.symbol AND x.cfg < y.cfg")
+APART = 0.15
+#: The same choice row by row: the state is the list of what was kept.
+_KEPT_SQL = f"""SELECT r.* EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, cfg) AS k FROM scored) r JOIN (WITH RECURSIVE r AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, cfg) AS k, {', '.join(f'{p}::DOUBLE AS {p}' for p, *_ in _AXES)} FROM scored),
+  s(symbol, k, kept, held) AS (SELECT DISTINCT symbol, 0::BIGINT, [r]::STRUCT(symbol VARCHAR, k BIGINT, {', '.join(f'{p} DOUBLE' for p, *_ in _AXES)})[], false FROM r WHERE k = 1
+    UNION ALL SELECT x.symbol, x.k, CASE WHEN x.k = 1 THEN [x] WHEN len(list_filter(s.kept, lambda y: {_DISTANCE} < {APART})) > 0 THEN s.kept ELSE list_append(s.kept, x) END, x.k = 1 OR len(list_filter(s.kept, lambda y: {_DISTANCE} < {APART})) = 0 FROM s JOIN r x ON x.symbol = s.symbol AND x.k = s.k + 1)
+  SELECT symbol, k FROM s WHERE held) t ON t.symbol = r.symbol AND t.k = r.k"""
+relation("distinct_best", lambda t: distinct_best(t.get("scored"), "symbol", {p: (lo, hi) for p, lo, hi, _ in _AXES}, "fitness", "cfg", APART), _KEPT_SQL, "scored")
 query("j14_near_duplicate_configs", "SELECT symbol, cfg, round(fitness, 5) AS fitness FROM {distinct_best}")
-query("c08_hall_of_fame", "SELECT symbol, cfg, round(fitness, 5) AS fitness, place FROM (SELECT *, row_number() OVER (ORDER BY fitness DESC, symbol, cfg) AS place FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fitness DESC, cfg) AS nth FROM {distinct_best}) WHERE nth <= 4) WHERE place <= 20")
+query("c08_hall_of_fame", "SELECT symbol, cfg, round(fitness, 5) AS fitness, place FROM (SELECT *, row_number() OVER (ORDER BY round(fitness, 9) DESC, symbol, cfg) AS place FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, cfg) AS nth FROM {distinct_best}) WHERE nth <= 4) WHERE place <= 20")
 query("c08_best_per_strategy", "SELECT symbol, cfg, round(fitness, 5) AS fitness, nth FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, cfg) AS nth FROM {scored}) WHERE nth <= 5")
 query("c25_sweep_winners", "SELECT s.symbol, s.cfg, round(s.fitness, 5) AS fitness, round(s.net_sealed, 6) AS net_sealed, round(s.median_other, 5) AS median_other FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, cfg) AS nth FROM {scored}) s WHERE nth = 1")
 query("c24_winner_then_sealed", "SELECT symbol, cfg, round(train, 5) AS in_sample, round(val, 5) AS sealed, n_sealed FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(train, 9) DESC, cfg) AS nth FROM {fit}) WHERE nth = 1")

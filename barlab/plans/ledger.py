@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from barlab.functions.dialect import draw, spark_text
 from barlab.functions.features import TRUE_RANGE
 from barlab.functions.layers import Layer, full, layers_sql, over
-from barlab.functions.series import indexed
-from barlab.operators.ledger import RULES, barrier_exits, one_at_a_time, sized
+from barlab.functions.series import indexed, previous, running
+from barlab.operators.ledger import RULES, barrier_exits, held_bars, one_at_a_time, sized
 from barlab.plans.frame import framed
 from barlab.plans.relations import Tables, derived, query, relation
 from barlab.plans.signals import side_of
@@ -103,23 +103,52 @@ query("j07_configs_by_symbol", "SELECT cfg, symbol, count(*) AS trades, round(su
 # ---------------------------------------------------------------- equity by bar
 
 #: Capital of 1000; what is booked by a bar, and the open trade at the bar's close.
-derived(
+_WATCHED = "cfg IN ('base', 'stress', 'lag0') OR cfg LIKE 'near%'"
+
+
+def _equity(t: Tables) -> DataFrame:
+    taken, b = t.get("taken").where(_WATCHED), t.get("b")
+    bars_ = taken.select("symbol", "cfg").distinct().join(b.select("symbol", "hour", "_i"), "symbol")
+    done = taken.groupBy("symbol", "cfg", F.col("exit_hour").alias("hour")).agg(F.sum("net").alias("done"))
+    open_ = held_bars(taken, b).selectExpr("symbol", "cfg", "p_hour AS hour", "100 * side * (p_close / entry_price - 1) AS open_result")
+    rows = bars_.join(done, ["symbol", "cfg", "hour"], "left").join(open_, ["symbol", "cfg", "hour"], "left")
+    return running(rows, {"booked": ("sum", "done")}, ["symbol", "cfg"], "hour").selectExpr("symbol", "cfg", "hour", "_i", "1000 + booked + coalesce(open_result, 0) AS equity")
+
+
+relation(
     "equity",
+    _equity,
     """SELECT symbol, cfg, hour, _i, 1000 + booked + open_result AS equity FROM (
       SELECT symbol, cfg, hour, _i, sum(coalesce(done, 0)) OVER (PARTITION BY symbol, cfg ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS booked, coalesce(open_result, 0) AS open_result FROM (
-        SELECT g.symbol, g.cfg, g.hour, g._i, x.done, o.open_result FROM (SELECT symbol, cfg, hour, _i, close FROM (SELECT DISTINCT symbol, cfg FROM {taken} WHERE cfg IN ('base', 'stress', 'lag0') OR cfg LIKE 'near%') JOIN {b} USING (symbol)) g
-        LEFT JOIN (SELECT symbol, cfg, exit_hour AS hour, sum(net) AS done FROM {taken} GROUP BY symbol, cfg, exit_hour) x ON x.symbol = g.symbol AND x.cfg = g.cfg AND x.hour = g.hour
-        LEFT JOIN (SELECT p.symbol, t.cfg, p.hour, 100 * t.side * (p.close / t.entry_price - 1) AS open_result FROM {taken} t JOIN {b} p ON p.symbol = t.symbol AND p.hour >= t.entry_hour AND p.hour < t.exit_hour AND p.hour < t.entry_hour + 49) o ON o.symbol = g.symbol AND o.cfg = g.cfg AND o.hour = g.hour))""",
+        SELECT g.symbol, g.cfg, g.hour, g._i, x.done, o.open_result FROM (SELECT symbol, cfg, hour, _i, close FROM (SELECT DISTINCT symbol, cfg FROM taken WHERE cfg IN ('base', 'stress', 'lag0') OR cfg LIKE 'near%') JOIN b USING (symbol)) g
+        LEFT JOIN (SELECT symbol, cfg, exit_hour AS hour, sum(net) AS done FROM taken GROUP BY symbol, cfg, exit_hour) x ON x.symbol = g.symbol AND x.cfg = g.cfg AND x.hour = g.hour
+        LEFT JOIN (SELECT p.symbol, t.cfg, p.hour, 100 * t.side * (p.close / t.entry_price - 1) AS open_result FROM taken t JOIN b p ON p.symbol = t.symbol AND p.hour >= t.entry_hour AND p.hour < t.exit_hour AND p.hour < t.entry_hour + 49) o ON o.symbol = g.symbol AND o.cfg = g.cfg AND o.hour = g.hour))""",
+    "taken",
+    "b",
     write=True,
 )
 query("t13_marked_equity", "SELECT symbol, hour, round(equity, 6) AS equity FROM {equity} WHERE cfg = 'base'")
 #: The sealed part begins ten days before a symbol's last bar.
-derived(
+
+
+def _marked(t: Tables) -> DataFrame:
+    key = ["symbol", "cfg"]
+    rows = running(previous(t.get("equity"), {"_before": "equity"}, key, "hour"), {"peak": ("max", "equity")}, key, "hour")
+    last = t.get("equity").groupBy("symbol").agg(F.max("hour").alias("_last"))
+    return rows.join(last, "symbol").selectExpr("symbol", "cfg", "hour", "_i", "equity", "equity / _before - 1 AS r", "peak", "CASE WHEN hour >= _last - 240 THEN 'sealed' ELSE 'in_sample' END AS segment")
+
+
+relation(
     "marked",
+    _marked,
     """SELECT *, equity / lag(equity) OVER (PARTITION BY symbol, cfg ORDER BY hour) - 1 AS r, max(equity) OVER (PARTITION BY symbol, cfg ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak,
-    CASE WHEN hour >= max(hour) OVER (PARTITION BY symbol) - 240 THEN 'sealed' ELSE 'in_sample' END AS segment FROM {equity}""",
+    CASE WHEN hour >= max(hour) OVER (PARTITION BY symbol) - 240 THEN 'sealed' ELSE 'in_sample' END AS segment FROM equity""",
+    "equity",
+    write=True,
 )
-query("a04_longest_drawdown", "SELECT symbol, cfg, max(n) AS longest_drawdown_bars, round(100 * max(depth), 6) AS max_drawdown_pct FROM (SELECT symbol, cfg, peaks, count(*) - 1 AS n, max(1 - equity / peak) AS depth FROM (SELECT *, sum(CASE WHEN equity >= peak THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, cfg ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peaks FROM {marked}) GROUP BY symbol, cfg, peaks) GROUP BY symbol, cfg")
+#: Rows since the latest peak have its number; a drawdown may go over any number of chunks.
+relation("since_peaks", lambda t: running(t.get("marked"), {"peaks": ("sum", "CASE WHEN equity >= peak THEN 1L ELSE 0L END")}, ["symbol", "cfg"], "hour"), "SELECT *, sum(CASE WHEN equity >= peak THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, cfg ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peaks FROM marked", "marked")
+query("a04_longest_drawdown", "SELECT symbol, cfg, max(n) AS longest_drawdown_bars, round(100 * max(depth), 6) AS max_drawdown_pct FROM (SELECT symbol, cfg, peaks, count(*) - 1 AS n, max(1 - equity / peak) AS depth FROM {since_peaks} GROUP BY symbol, cfg, peaks) GROUP BY symbol, cfg")
 query(
     "a01_annualised",
     """SELECT symbol, cfg, round(total, 8) AS total, round(annual, 6) AS annual_return, round(sd * sqrt(8760), 6) AS volatility, round(m / nullif(sd, 0) * sqrt(8760), 6) AS sharpe, round(m / nullif(down, 0) * sqrt(8760), 6) AS sortino, round(annual / nullif(dd, 0), 6) AS calmar
@@ -137,11 +166,12 @@ _REVERTED = "coalesce(abs(ret_zscore_20) < 0.3, false)"
 derived("reversions", _EXIT)
 relation("reversion_trades", lambda t: booked(barrier_exits(t.get("g"), t.get("reversions"), _REVERTED)), booked_sql(exits_sql("reversions", "g", _REVERTED)), "g", "reversions")
 query("t07_signal_exit", "SELECT symbol, entry_hour, exit_hour, side, exit_reason, round(net, 6) AS net FROM {reversion_trades}")
+relation("open_bars", lambda t: held_bars(t.get("taken").where("cfg = 'base'").select("symbol", "entry_hour", "exit_hour", "atr", "side", "fill"), t.get("b"), last=True), "SELECT t.symbol, t.entry_hour, t.exit_hour, t.atr, t.side, t.fill, p.hour AS p_hour, p.close AS p_close, p.high AS p_high, p.low AS p_low FROM taken t JOIN b p ON p.symbol = t.symbol AND p.hour >= t.entry_hour AND p.hour <= t.exit_hour AND p.hour < t.entry_hour + 49 WHERE t.cfg = 'base'", "taken", "b")
 query(
     "w54_trailing_stop",
     """SELECT symbol, entry_hour, min(hour) AS trail_hour FROM (
       SELECT *, max(CASE WHEN gain >= atr THEN gain - 1.5 * atr END) OVER (PARTITION BY symbol, entry_hour ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS trail FROM (
-        SELECT t.symbol, t.entry_hour, p.hour, t.atr, t.side * (p.close - t.fill) AS gain, CASE WHEN t.side = 1 THEN p.low - t.fill ELSE t.fill - p.high END AS worst FROM {taken} t JOIN {b} p ON p.symbol = t.symbol AND p.hour >= t.entry_hour AND p.hour <= t.exit_hour AND p.hour < t.entry_hour + 49 WHERE t.cfg = 'base'))
+        SELECT symbol, entry_hour, p_hour AS hour, atr, side * (p_close - fill) AS gain, CASE WHEN side = 1 THEN p_low - fill ELSE fill - p_high END AS worst FROM {open_bars}))
     WHERE worst <= trail GROUP BY symbol, entry_hour""",
 )
 _R = RULES
@@ -163,7 +193,14 @@ query("t12_risk_rules", "SELECT symbol, cfg, entry_hour, verdict, round(pnl, 6)
 # ---------------------------------------------------------------- resampling
 
 #: (method, simulation, place) -> the place drawn: a permutation by sorted draws, single trades, blocks of max(3, n / 10) trades.
-derived("results", "SELECT symbol, net, row_number() OVER (PARTITION BY symbol ORDER BY entry_hour) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM {taken} WHERE cfg = 'base'", write=True)
+
+
+def placed(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with their place in the symbol's order from 0, and how many it has."""
+    return running(rows, {"pos": ("sum", "1L")}, ["symbol"], order, exclusive=True).join(rows.groupBy("symbol").agg(F.count("*").alias("n")), "symbol")
+
+
+relation("results", lambda t: placed(t.get("taken").where("cfg = 'base'").select("symbol", "net", "entry_hour"), "entry_hour").drop("entry_hour"), "SELECT symbol, net, row_number() OVER (PARTITION BY symbol ORDER BY entry_hour) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM taken WHERE cfg = 'base'", "taken", write=True)
 _SIMS = 100
 _BLOCK = "greatest(3, cast(floor(n / 10) AS bigint))"
 derived(
@@ -188,7 +225,7 @@ SUMMARY = ", ".join(
 )
 query("t17_resampled_trades", "SELECT symbol, method, sim, round(pnl, 6) AS pnl, round(dd, 6) AS max_drawdown_pct FROM {runs}")
 query("a31_simulation_summary", f"SELECT symbol, method, count(*) AS sims, {SUMMARY} FROM {{runs}} GROUP BY symbol, method")
-derived("bar_returns", "SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY hour) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM {marked} WHERE cfg = 'base' AND r IS NOT NULL", write=True)
+relation("bar_returns", lambda t: placed(t.get("marked").where("cfg = 'base' AND r IS NOT NULL").select("symbol", "r", "hour"), "hour").drop("hour"), "SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY hour) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM marked WHERE cfg = 'base' AND r IS NOT NULL", "marked", write=True)
 query(
     "t18_bar_bootstrap",
     f"""SELECT symbol, sim, round(200 * (exp(sum(ln(1 + r))) - 1), 5) AS pnl, count(*) AS bars FROM (SELECT d.symbol, d.sim, r.r FROM (SELECT symbol, i AS sim, cast(floor(({draw(11, 'symbol', 'i', 'pos')}) * n) AS bigint) AS draw FROM {{bar_returns}} CROSS JOIN {{numbers}} WHERE i < 20) d
