@@ -1,20 +1,20 @@
 """Candle windows, scaling, clusters, their profiles, labels and sequences.
 
-Window vectors are arrays made by one framed window over bars. Clusters are those of Spark's own k-means where a model
-is fitted, and nearest of given centroids where an assignment is asked for; centroids are few and known in size.
+Window vectors are arrays made by one framed window over bars. Clusters are fitted to the training part of their scaled
+values as whole numbers (`operators/clusters.py`), so SQL can fit the same; a fit is a table of centroids, and labels,
+profiles, blends and predictions read it. Centroids are few and known in size.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from barlab.functions.layers import layers_sql, over
+from barlab.functions.series import running
+from barlab.operators import clusters
 from barlab.plans.frame import framed
-from barlab.plans.registry import QUERIES
 from barlab.plans.relations import Tables, computed, derived, query, relation
-from barlab.sources.shared import written
 
 SIZE = 10
 _W = over(SIZE)
@@ -47,84 +47,91 @@ derived("train_dims", "SELECT * FROM {dims} WHERE vec_id % 10 < 7")
 query("m03_standard_scaling", "SELECT dim, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM {dims} GROUP BY dim")
 query("m16_robust_scaling", "SELECT dim, round(median(x), 6) AS middle, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY x) - percentile_cont(0.25) WITHIN GROUP (ORDER BY x), 6) AS iqr FROM {train_dims} GROUP BY dim")
 
-# ---------------------------------------------------------------- fitted clusters: no SQL says these
+# ---------------------------------------------------------------- fitted clusters
 
-
-def _vectors(t: Tables) -> DataFrame:
-    return t.get("windows").where("_i % 10 < 7 AND fwd IS NOT NULL").withColumn("features", array_to_vector("v"))
-
-
-def m04_kmeans(spark, sf_dir):
-    """Windows and rows of 8 clusters that k-means fits to the training part."""
-    t = Tables(spark, sf_dir)
-    model = KMeans(k=8, seed=42, maxIter=20).fit(_vectors(t))
-    return model.transform(t.get("windows").withColumn("features", array_to_vector("v"))).selectExpr("symbol", "hour", "prediction AS cluster")
-
-
-def m05_bisecting(spark, sf_dir):
-    """The same by bisecting k-means."""
-    t = Tables(spark, sf_dir)
-    model = BisectingKMeans(k=8, seed=42, maxIter=10).fit(_vectors(t))
-    return model.transform(t.get("windows").withColumn("features", array_to_vector("v"))).selectExpr("symbol", "hour", "prediction AS cluster")
-
-
-def m06_two_levels(spark, sf_dir):
-    """Three groups by the 33rd and 67th percentile of the forward return, four shapes inside each; for description only, as groups know the future."""
-    t = Tables(spark, sf_dir)
-    rows = written(_vectors(t).drop("features"), "labelled")
-    lo, hi = rows.selectExpr("percentile(fwd, array(0.33, 0.67)) AS p").first()["p"]  # two numbers
-    out = None
-    for macro, where in enumerate((f"fwd < {lo!r}", f"fwd >= {lo!r} AND fwd <= {hi!r}", f"fwd > {hi!r}")):
-        own = rows.where(where).withColumn("features", array_to_vector("v"))
-        part = KMeans(k=4, seed=42 + macro, maxIter=15).fit(own).transform(own).selectExpr("symbol", "hour", f"{macro} AS macro", f"{4 * macro} + prediction AS cluster")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def m12_saved_model(spark, sf_dir):
-    """Clusters by a model that was written to the shared folder and read again."""
-    import uuid
-
-    from pyspark.ml.clustering import KMeansModel
-
-    from barlab.sources.shared import shared_folder
-
-    t = Tables(spark, sf_dir)
-    at = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    KMeans(k=8, seed=42, maxIter=20).fit(_vectors(t)).save(at)
-    return KMeansModel.load(at).transform(t.get("windows").withColumn("features", array_to_vector("v"))).selectExpr("symbol", "hour", "prediction AS cluster")
-
-
-QUERIES |= {f.__name__: f for f in (m04_kmeans, m05_bisecting, m06_two_levels, m12_saved_model)}
-
-# ---------------------------------------------------------------- assignment to given centroids
-
-derived("centroids", "SELECT label AS micro, label % 3 AS macro, dim, avg(x) AS x FROM {train_dims} GROUP BY label, label % 3, dim", write=True)
-derived("macro_centroids", "SELECT macro, dim, avg(x) AS x FROM {centroids} GROUP BY macro, dim")
-derived("to_macro", "SELECT vec_id, macro FROM (SELECT vec_id, macro, row_number() OVER (PARTITION BY vec_id ORDER BY round(gap, 9), macro) AS place FROM (SELECT d.vec_id, c.macro, sum((d.x - c.x) * (d.x - c.x)) AS gap FROM {dims} d JOIN {macro_centroids} c ON c.dim = d.dim GROUP BY d.vec_id, c.macro)) WHERE place = 1")
-derived("assigned", "SELECT vec_id, macro, micro FROM (SELECT vec_id, macro, micro, row_number() OVER (PARTITION BY vec_id ORDER BY round(gap, 9), micro) AS place FROM (SELECT d.vec_id, c.macro, c.micro, sum((d.x - c.x) * (d.x - c.x)) AS gap FROM {dims} d JOIN {to_macro} m ON m.vec_id = d.vec_id JOIN {centroids} c ON c.macro = m.macro AND c.dim = d.dim GROUP BY d.vec_id, c.macro, c.micro)) WHERE place = 1", write=True)
-query("m07_nearest_centroid", "SELECT vec_id, macro, micro FROM {assigned}")
-query("m08_effective_clusters", "SELECT variant, clusters, used, round(used / cast(clusters AS double), 6) AS share FROM (SELECT 'flat_8' AS variant, 8 AS clusters UNION ALL SELECT 'flat_20', 20 UNION ALL SELECT 'two_level_20', 20) v CROSS JOIN (SELECT count(DISTINCT micro) AS used FROM {assigned})")
-query("a44_clusters_by_part", "SELECT CASE WHEN vec_id % 10 < 7 THEN 'train' ELSE 'test' END AS part, count(DISTINCT micro) AS clusters, count(*) AS n FROM {assigned} GROUP BY CASE WHEN vec_id % 10 < 7 THEN 'train' ELSE 'test' END")
-
-#: Shapes of windows by what their first and last fields say; a fixed rule in place of a fitted model, so that SQL can say the rest.
-_SHAPE_SPARK = "cast(floor(2 + 2 * greatest(-1, least(0.999, v[93]))) AS int) * 2 + CASE WHEN v[94] > 1 THEN 1 ELSE 0 END"
-_SHAPE_SQL = "cast(floor(2 + 2 * greatest(-1, least(0.999, v[94]))) AS int) * 2 + CASE WHEN v[95] > 1 THEN 1 ELSE 0 END"
-relation("shapes", lambda t: t.get("windows").selectExpr("symbol", "hour", "_i", "fwd", f"{_SHAPE_SPARK} AS cluster"), f"SELECT symbol, hour, _i, fwd, {_SHAPE_SQL} AS cluster FROM windows", "windows", write=True)
+derived("bar_counts", "SELECT symbol, count(*) AS n FROM {b} GROUP BY symbol")
+#: The first 70 percent of a symbol's bars, the next 15 and the last; forward returns of a part do not reach into the next.
+derived("parted_windows", "SELECT w.symbol, w.hour, w._i, w.fwd, w.v, CASE WHEN 100 * (w._i + 5) < 70 * n THEN 'train' WHEN 100 * w._i >= 70 * n AND 100 * (w._i + 5) < 85 * n THEN 'val' WHEN 100 * w._i >= 85 * n THEN 'test' ELSE 'gap' END AS part FROM {windows} w JOIN {bar_counts} c ON c.symbol = w.symbol")
+relation(
+    "scaler",
+    lambda t: t.get("parted_windows").where("part = 'train'").selectExpr("posexplode(v) AS (dim, x)").groupBy("dim").agg(F.expr("round(avg(x), 6) AS m"), F.expr("round(stddev_pop(x), 6) AS s")).groupBy().agg(F.expr("sort_array(collect_list(struct(dim, m, s))) AS scale")),
+    "SELECT list(m ORDER BY dim) AS m, list(s ORDER BY dim) AS s FROM (SELECT dim, round(avg(v[dim]), 6) AS m, round(stddev_pop(v[dim]), 6) AS s FROM parted_windows, unnest(range(1, 101)) AS u(dim) WHERE part = 'train' GROUP BY dim)",
+    "parted_windows",
+)
+#: Thousandths of a standard deviation of the training part, as whole numbers.
+relation(
+    "scaled",
+    lambda t: t.get("parted_windows").crossJoin(F.broadcast(t.get("scaler"))).selectExpr("symbol", "hour", "_i", "fwd", "part", "zip_with(v, scale, (x, y) -> cast(floor(CASE WHEN y.s > 0 THEN 1000 * (x - y.m) / y.s ELSE 0D END + 0.5D) AS bigint)) AS q"),
+    "SELECT symbol, hour, _i, fwd, part, concat_ws(':', symbol, hour) AS id, md5(concat_ws(':', symbol, hour)) AS o, list_transform(list_zip(v, m, s), lambda y: floor(CASE WHEN y[3] > 0 THEN 1000 * (y[1] - y[2]) / y[3] ELSE 0 END + 0.5)) AS v FROM parted_windows CROSS JOIN scaler",
+    "parted_windows",
+    "scaler",
+    write=True,
+)
+MICRO = 7
+#: Macro groups by the 33rd and 67th percentile of the training part's forward return. Groups know the future, so they serve the fit alone; rows are assigned by their own features.
+_LOW, _HIGH = 0.33, 0.67
+_GROUPED_SQL = f"SELECT id, o, v, CASE WHEN fwd < lo THEN 0 WHEN fwd > hi THEN 2 ELSE 1 END AS grp FROM scaled CROSS JOIN (SELECT round(quantile_cont(fwd, {_LOW}), 9) AS lo, round(quantile_cont(fwd, {_HIGH}), 9) AS hi FROM scaled WHERE part = 'train' AND fwd IS NOT NULL) WHERE part = 'train' AND fwd IS NOT NULL"
+_TRAIN_SQL = "SELECT id, o, v, 0 AS grp FROM scaled WHERE part = 'train' AND fwd IS NOT NULL"
+
+
+def _train(t: Tables) -> DataFrame:
+    return t.get("scaled").where("part = 'train' AND fwd IS NOT NULL").selectExpr("0 AS grp", "md5(concat_ws(':', symbol, hour)) AS o", "q", "fwd")
+
+
+def _grouped(t: Tables) -> DataFrame:
+    rows = _train(t)
+    lo, hi = (round(x, 9) for x in rows.selectExpr(f"percentile(fwd, array({_LOW}, {_HIGH})) AS p").first()["p"])
+    return rows.withColumn("grp", F.expr(f"CASE WHEN fwd < {lo!r}D THEN 0 WHEN fwd > {hi!r}D THEN 2 ELSE 1 END"))
+
+
+def _with(expressions: list[tuple[str, str]], body: str) -> str:
+    return f"WITH {', '.join(f'{n} AS MATERIALIZED ({s})' for n, s in expressions)} {body}"
+
+
+_BOOK_SQL = "SELECT grp::INT AS grp, e::INT AS e, c FROM {}"
+#: variant -> (clusters, numbers of a macro group, fit, its SQL)
+VARIANTS = {
+    **{f"flat_{k}": (k, k, lambda t, k=k: clusters.fit(_train(t), k), _with([("x", _TRAIN_SQL), *clusters.fit_sql("f", "x", k)], _BOOK_SQL.format("fb6"))) for k in (8, 20, 50)},
+    **{f"bisecting_{k}": (k, k, lambda t, k=k: {0: clusters.bisected(_train(t), k)}, _with([("x", _TRAIN_SQL), *clusters.bisected_sql("h", "x", k)], _BOOK_SQL.format("hc"))) for k in (20, 50)},
+    f"two_level_{3 * MICRO}": (3 * MICRO, MICRO, lambda t: clusters.fit(_grouped(t), MICRO), _with([("x", _GROUPED_SQL), *clusters.fit_sql("g", "x", MICRO)], _BOOK_SQL.format("gb6"))),
+}
+TWO = f"two_level_{3 * MICRO}"
+for _v, (_k, _per, _fit, _sql) in VARIANTS.items():
+    relation(f"book_{_v}", lambda t, f=_fit: clusters.as_table(t.spark, f(t)), _sql, "scaled", write=True)
+    relation(f"labels_{_v}", lambda t, v=_v, per=_per: clusters.assigned(t.get("scaled"), clusters.from_table(t.get(f"book_{v}")), ["symbol", "hour", "_i", "fwd", "part"], per), clusters.assigned_sql("scaled", f"book_{_v}", "symbol, hour, _i, fwd, part", _per), "scaled", f"book_{_v}", write=True)
+for _name, _v in (("m04_kmeans", "flat_8"), ("m04_kmeans_20", "flat_20"), ("m04_kmeans_50", "flat_50"), ("m05_bisecting", "bisecting_20"), ("m05_bisecting_50", "bisecting_50")):
+    query(_name, f"SELECT symbol, hour, part, cluster FROM {{labels_{_v}}}")
+query("m06_two_levels", f"SELECT symbol, hour, part, cast(floor(cluster / {MICRO}e0) AS int) AS macro, cluster FROM {{labels_{TWO}}} WHERE part = 'train'")
+query("m07_nearest_centroid", f"SELECT symbol, hour, cast(floor(cluster / {MICRO}e0) AS int) AS macro, cluster % {MICRO} AS micro FROM {{labels_{TWO}}} WHERE part <> 'train'")
+computed("m12_saved_model", lambda t: t.get("book_flat_8").selectExpr("grp", "entry", "size(q) AS dims", "cast(q[3] AS bigint) AS first_close", "cast(q[99] AS bigint) AS last_return", "aggregate(q, 0L, (a, x) -> a + x) AS total"), "SELECT grp, e AS entry, len(c)::INT AS dims, c[4]::BIGINT AS first_close, c[100]::BIGINT AS last_return, list_sum(c)::BIGINT AS total FROM book_flat_8", "book_flat_8")
+_COMPARED = ["flat_8", "flat_20", "bisecting_20", TWO]
+derived("variant_labels", " UNION ALL ".join(f"SELECT '{v}' AS variant, {VARIANTS[v][0]} AS clusters, symbol, hour, _i, fwd, part, cluster FROM {{labels_{v}}}" for v in _COMPARED))
+query("m08_effective_clusters", "SELECT variant, clusters, part, count(DISTINCT cluster) AS used, round(count(DISTINCT cluster) / cast(clusters AS double), 6) AS share FROM {variant_labels} GROUP BY variant, clusters, part")
+query("a44_clusters_by_part", "SELECT part, count(DISTINCT cluster) AS clusters, count(*) AS n FROM {labels_flat_20} GROUP BY part")
+derived("shapes", "SELECT symbol, hour, _i, fwd, part, cluster FROM {labels_flat_8}")
 query("m09_classified_windows", "SELECT symbol, hour, cluster FROM {shapes}")
-query("m10_cluster_by_bar", "SELECT symbol, hour, last_cluster FROM (SELECT b.symbol, b.hour, max_by(s.cluster, s._i) OVER (PARTITION BY b.symbol ORDER BY b.hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_cluster FROM {b} b LEFT JOIN {shapes} s ON s.symbol = b.symbol AND s.hour = b.hour AND s._i % 3 = 0)")
+#: Every third bar is classified; the bars between keep the last cluster.
+relation(
+    "cluster_by_bar",
+    lambda t: running(t.get("b").select("symbol", "hour").join(t.get("shapes").where("_i % 3 = 0").select("symbol", "hour", "cluster"), ["symbol", "hour"], "left"), {"last_cluster": ("last", "cluster")}, ["symbol"], "hour").drop("cluster"),
+    "SELECT b.symbol, b.hour, last_value(s.cluster IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_cluster FROM b LEFT JOIN shapes s ON s.symbol = b.symbol AND s.hour = b.hour AND s._i % 3 = 0",
+    "b",
+    "shapes",
+)
+query("m10_cluster_by_bar", "SELECT symbol, hour, last_cluster FROM {cluster_by_bar}")
 _PROFILE = """count(*) AS n, avg(fwd) AS mean, stddev_pop(fwd) AS sd, avg(CASE WHEN fwd > 0.005 THEN 1e0 ELSE 0e0 END) AS p_up, avg(CASE WHEN fwd < -0.005 THEN 1e0 ELSE 0e0 END) AS p_down, median(fwd) AS middle, avg(CASE WHEN fwd > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, coalesce(avg(CASE WHEN fwd > 0 THEN fwd END), 0) AS avg_up, coalesce(avg(CASE WHEN fwd < 0 THEN fwd END), 0) AS avg_down"""
-derived("raw_profiles", f"SELECT part, cluster, {_PROFILE} FROM (SELECT *, CASE WHEN _i < 400 THEN 'old' ELSE 'new' END AS part FROM {{shapes}} WHERE fwd IS NOT NULL) GROUP BY part, cluster")
+#: Old profiles are those of the training part, new ones of the validation part.
+derived("raw_profiles", f"SELECT part, cluster, {_PROFILE} FROM (SELECT cluster, fwd, CASE WHEN part = 'train' THEN 'old' ELSE 'new' END AS part FROM {{shapes}} WHERE fwd IS NOT NULL AND part IN ('train', 'val')) GROUP BY part, cluster")
 #: Every cluster has a profile; one of fewer than five windows has the default.
 derived(
     "profiles",
     """SELECT p.part, i.cluster, coalesce(n, 0) AS n, CASE WHEN n >= 5 THEN mean ELSE 0e0 END AS mean, CASE WHEN n >= 5 THEN greatest(sd, 1e-6) ELSE 1e0 END AS sd, CASE WHEN n >= 5 THEN p_up ELSE 0.33e0 END AS p_up, CASE WHEN n >= 5 THEN p_down ELSE 0.33e0 END AS p_down, CASE WHEN n >= 5 THEN 1 - p_up - p_down ELSE 0.34e0 END AS p_neutral,
     CASE WHEN n >= 5 THEN middle ELSE 0e0 END AS middle, CASE WHEN n >= 5 THEN mean / greatest(sd, 1e-6) ELSE 0e0 END AS sharpe, CASE WHEN n >= 5 THEN win_rate ELSE 0.5e0 END AS win_rate, CASE WHEN n >= 5 THEN avg_up ELSE 0e0 END AS avg_up, CASE WHEN n >= 5 THEN avg_down ELSE 0e0 END AS avg_down
-    FROM (SELECT cast(i AS int) AS cluster FROM {numbers} WHERE i < 9) i CROSS JOIN (SELECT 'old' AS part UNION ALL SELECT 'new') p LEFT JOIN {raw_profiles} r ON r.cluster = i.cluster AND r.part = p.part""",
+    FROM (SELECT cast(i AS int) AS cluster FROM {numbers} WHERE i < 8) i CROSS JOIN (SELECT 'old' AS part UNION ALL SELECT 'new') p LEFT JOIN {raw_profiles} r ON r.cluster = i.cluster AND r.part = p.part""",
     write=True,
 )
 query("a26_cluster_profiles", "SELECT part, cluster, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "sd", "p_up", "p_down", "p_neutral", "middle", "sharpe", "win_rate", "avg_up", "avg_down")) + " FROM {profiles}")
-query("a27_actionable_clusters", "SELECT part, cluster, n, round(sharpe, 6) AS sharpe, row_number() OVER (PARTITION BY part ORDER BY abs(sharpe) DESC, cluster) AS place FROM {profiles} WHERE abs(sharpe) > 0.05 AND n >= 20")
+query("a27_actionable_clusters", "SELECT part, cluster, n, round(sharpe, 6) AS sharpe, row_number() OVER (PARTITION BY part ORDER BY abs(sharpe) DESC, cluster) AS place FROM {profiles} WHERE abs(sharpe) > 0.3 AND n >= 20")
 query("m11_blended_profiles", "SELECT o.cluster, CASE WHEN coalesce(n.n, 0) < 3 THEN o.n ELSE o.n + n.n END AS n, " + ", ".join(f"round(CASE WHEN coalesce(n.n, 0) < 3 THEN o.{c} ELSE 0.85 * o.{c} + 0.15 * n.{c} END, 6) AS {c}" for c in ("mean", "sd", "p_up", "p_down", "win_rate")) + " FROM (SELECT * FROM {profiles} WHERE part = 'old') o FULL OUTER JOIN (SELECT * FROM {profiles} WHERE part = 'new') n ON n.cluster = o.cluster")
 query("j05_profile_by_bar", "SELECT s.symbol, s.hour, s.cluster, round(p_up, 6) AS p_up, round(p_down, 6) AS p_down FROM {shapes} s JOIN {profiles} p ON p.part = 'old' AND p.cluster = s.cluster")
 derived("predicted", "SELECT symbol, hour, 1 / (1 + exp(-coalesce(ret_zscore_20, 0) - coalesce(roc_12, 0) / 200)) AS q_up, rsi_14, adx_14, volume_ratio, atr_14 FROM {f}")
@@ -139,25 +146,37 @@ _STEP = over(_SEQ, skip=1)
 
 
 def _sequences(spark: bool) -> list[dict[str, str]]:
-    """The last rows of features (gaps filled forward, else 0) before a bar, whose own direction is the label."""
-    fill = {c: f"coalesce(last_value({c}{', true' if spark else ' IGNORE NULLS'}) {over(48)}, 0)" for c in ("rsi_14", "vol_ratio", "bb_pct_b")}
+    """The last rows of features before a bar, whose own direction is the label."""
     hot = "transform(sequence(0, 7), k -> CASE WHEN k = cluster THEN 1D ELSE 0D END)" if spark else "list_transform(range(8), lambda k: CASE WHEN k = cluster THEN 1e0 ELSE 0e0 END)"
     rows = "array(rsi_f / 100, vol_f, pct_f)" if spark else "[rsi_f / 100, vol_f, pct_f]"
     collect = "collect_list" if spark else "list"
     return [
-        {"rsi_f": fill["rsi_14"], "vol_f": fill["vol_ratio"], "pct_f": fill["bb_pct_b"]}, {"row": rows, "hot": f"CASE WHEN cluster IS NULL THEN NULL ELSE {hot} END"}, {"seq": f"{collect}(row) {_STEP}", "hots": f"{collect}(hot) {_STEP}", "held": f"count(*) {_STEP}", "hot_held": f"count(cluster) {_STEP}"},
+        {"row": rows, "hot": f"CASE WHEN cluster IS NULL THEN NULL ELSE {hot} END"}, {"seq": f"{collect}(row) {_STEP}", "hots": f"{collect}(hot) {_STEP}", "held": f"count(*) {_STEP}", "hot_held": f"count(cluster) {_STEP}"},
     ]
 
 
+#: Gaps take the last value before them, however far, those at the beginning the first after them, and 0 where there is none.
+_FILLED = {"rsi_f": "rsi_14", "vol_f": "vol_ratio", "pct_f": "bb_pct_b"}
+
+
+def _filled(t: Tables) -> DataFrame:
+    rows = t.get("bars_with_cluster")
+    rows = running(rows, {f"_{out}": ("last", c) for out, c in _FILLED.items()}, ["symbol"], "hour")
+    rows = running(rows, {f"_b_{out}": ("last", c) for out, c in _FILLED.items()}, ["symbol"], "hour", backwards=True)
+    return rows.selectExpr("symbol", "hour", "_i", "ret_1", "cluster", "fwd", *(f"coalesce(_{out}, _b_{out}, 0) AS {out}" for out in _FILLED))
+
+
+_FILLED_SQL = ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS {out}" for out, c in _FILLED.items())
 derived("bars_with_cluster", "SELECT f.symbol, f.hour, f._i, f.rsi_14, f.vol_ratio, f.bb_pct_b, f.ret_1, s.cluster, s.fwd FROM {f} f LEFT JOIN {shapes} s ON s.symbol = f.symbol AND s.hour = f.hour")
-relation("sequences", lambda t: framed(t.get("bars_with_cluster"), _sequences(True), 64).where(f"held = {_SEQ}"), f"SELECT * FROM ({layers_sql('SELECT * FROM bars_with_cluster', _sequences(False))}) WHERE held = {_SEQ}", "bars_with_cluster", write=True)
+relation("filled_bars", _filled, f"SELECT symbol, hour, _i, ret_1, cluster, fwd, {_FILLED_SQL} FROM bars_with_cluster", "bars_with_cluster")
+relation("sequences", lambda t: framed(t.get("filled_bars"), _sequences(True), 64).where(f"held = {_SEQ}"), f"SELECT * FROM ({layers_sql('SELECT * FROM filled_bars', _sequences(False))}) WHERE held = {_SEQ}", "filled_bars", write=True)
 computed("m14_sequences", lambda t: t.get("sequences").selectExpr("symbol", "hour", "size(seq) AS steps", "round(seq[0][0], 6) AS first_rsi", "round(aggregate(flatten(seq), 0D, (a, x) -> a + x), 5) AS total", "CASE WHEN ret_1 > 0 THEN 1 ELSE 0 END AS label"), "SELECT symbol, hour, len(seq)::INT AS steps, round(seq[1][1], 6) AS first_rsi, round(list_sum(flatten(seq)), 5) AS total, CASE WHEN ret_1 > 0 THEN 1 ELSE 0 END AS label FROM sequences", "sequences")
 computed("m15_one_hot_sequences", lambda t: t.get("sequences").where(f"hot_held = {_SEQ}").selectExpr("symbol", "hour", "size(flatten(hots)) AS width", "cast(aggregate(flatten(hots), 0D, (a, x) -> a + x) AS int) AS ones", "array_position(hots[4], 1D) - 1 AS last_cluster", "round(fwd, 8) AS magnitude"), f"SELECT symbol, hour, len(flatten(hots))::INT AS width, list_sum(flatten(hots))::INT AS ones, (list_position(hots[5], 1e0) - 1)::BIGINT AS last_cluster, round(fwd, 8) AS magnitude FROM sequences WHERE hot_held = {_SEQ}", "sequences")
 
 # ---------------------------------------------------------------- classification scores
 
 #: Truth and prediction of three classes per window: by the sign of the forward return and by the profile of its shape.
-derived("guesses", "SELECT s.symbol, s._i, cast(floor(s._i / 100) AS bigint) AS fold, CASE WHEN fwd > 0.005 THEN 2 WHEN fwd < -0.005 THEN 0 ELSE 1 END AS truth, CASE WHEN p_up > p_down + 0.02 THEN 2 WHEN p_down > p_up + 0.02 THEN 0 ELSE 1 END AS guess FROM {shapes} s JOIN {profiles} p ON p.part = 'old' AND p.cluster = s.cluster WHERE fwd IS NOT NULL", write=True)
+derived("guesses", "SELECT s.symbol, s._i, part, cast(floor(s._i / 50e0) AS bigint) AS fold, CASE WHEN fwd > 0.005 THEN 2 WHEN fwd < -0.005 THEN 0 ELSE 1 END AS truth, CASE WHEN p_up > p_down + 0.02 THEN 2 WHEN p_down > p_up + 0.02 THEN 0 ELSE 1 END AS guess FROM (SELECT * FROM {shapes} WHERE fwd IS NOT NULL AND part IN ('val', 'test')) s JOIN (SELECT cluster AS k, p_up, p_down FROM {profiles} WHERE part = 'old') p ON p.k = s.cluster", write=True)
 derived("confusion", "SELECT k.truth, k.guess, coalesce(n, 0) AS n FROM (SELECT a.i AS truth, b.i AS guess FROM {numbers} a CROSS JOIN {numbers} b WHERE a.i < 3 AND b.i < 3) k LEFT JOIN (SELECT truth, guess, count(*) AS n FROM {guesses} GROUP BY truth, guess) c ON c.truth = k.truth AND c.guess = k.guess", write=True)
 query("a28_confusion_matrix", "SELECT truth, guess, n FROM {confusion}")
 derived("by_class", "SELECT c.class, support, coalesce(hit / nullif(guessed, 0), 0) AS prec, coalesce(hit / nullif(support, 0), 0) AS rec FROM (SELECT truth AS class, cast(sum(n) AS double) AS support, cast(sum(CASE WHEN truth = guess THEN n ELSE 0 END) AS double) AS hit FROM {confusion} GROUP BY truth) c JOIN (SELECT guess AS class, cast(sum(n) AS double) AS guessed FROM {confusion} GROUP BY guess) g ON g.class = c.class")
@@ -171,4 +190,11 @@ query(
 )
 derived("fold_scores", "SELECT fold, 'accuracy' AS metric, avg(CASE WHEN truth = guess THEN 1e0 ELSE 0e0 END) AS value FROM {guesses} GROUP BY fold UNION ALL SELECT fold, 'up_recall', avg(CASE WHEN guess = 2 THEN 1e0 ELSE 0e0 END) FROM {guesses} WHERE truth = 2 GROUP BY fold")
 query("a52_prediction_folds", "SELECT metric, count(*) AS folds, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM {fold_scores} GROUP BY metric")
-query("m18_variants_on_test", "SELECT variant, round(avg(CASE WHEN truth = guess THEN 1e0 ELSE 0e0 END), 6) AS accuracy, count(*) AS n FROM (SELECT 'profile' AS variant, truth, guess FROM {guesses} WHERE _i >= 400 UNION ALL SELECT 'always_up', truth, 2 FROM {guesses} WHERE _i >= 400 UNION ALL SELECT 'always_flat', truth, 1 FROM {guesses} WHERE _i >= 400) GROUP BY variant")
+#: Each variant's profiles come from the training part; what they say is held against the test part, beside two that learn nothing.
+derived("trained", "SELECT variant, cluster, avg(CASE WHEN fwd > 0.005 THEN 1e0 ELSE 0e0 END) AS p_up, avg(CASE WHEN fwd < -0.005 THEN 1e0 ELSE 0e0 END) AS p_down FROM {variant_labels} WHERE part = 'train' AND fwd IS NOT NULL GROUP BY variant, cluster HAVING count(*) >= 5")
+derived(
+    "tested",
+    """SELECT l.variant, CASE WHEN fwd > 0.005 THEN 2 WHEN fwd < -0.005 THEN 0 ELSE 1 END AS truth, CASE WHEN p_up > p_down + 0.02 THEN 2 WHEN p_down > p_up + 0.02 THEN 0 ELSE 1 END AS guess FROM {variant_labels} l LEFT JOIN {trained} p ON p.variant = l.variant AND p.cluster = l.cluster WHERE l.part = 'test' AND fwd IS NOT NULL
+    UNION ALL SELECT b.name, CASE WHEN fwd > 0.005 THEN 2 WHEN fwd < -0.005 THEN 0 ELSE 1 END, b.guess FROM {labels_flat_8} CROSS JOIN (SELECT 'always_up' AS name, 2 AS guess UNION ALL SELECT 'always_flat', 1) b WHERE part = 'test' AND fwd IS NOT NULL""",
+)
+query("m18_variants_on_test", "SELECT variant, count(*) AS n, round(avg(CASE WHEN truth = guess THEN 1e0 ELSE 0e0 END), 6) AS accuracy, round(avg(CASE WHEN truth = 2 THEN CASE WHEN guess = 2 THEN 1e0 ELSE 0e0 END END), 6) AS up_recall, round(avg(CASE WHEN truth = 0 THEN CASE WHEN guess = 0 THEN 1e0 ELSE 0e0 END END), 6) AS down_recall FROM {tested} GROUP BY variant")

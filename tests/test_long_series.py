@@ -181,3 +181,46 @@ def test_folds_go_to_the_end_of_the_series(spark, tmp_path):
     spark.range(hours).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id AS int)) AS ts", "id % 7 AS user_id", "'view' AS event_type", "10 + id % 13 + id / 100D AS value", "'{}' AS props").write.parquet(str(tmp_path / "events.parquet"))
     got = registry.QUERIES["p08_label_folds"](spark, str(tmp_path)).collect()
     assert {r.fold for r in got} == set(range((hours - 300) // 40 + 1)) and {(r.role, r.bars) for r in got} == {("train", 200), ("val", 60), ("test", 40)}
+
+
+def test_flat_and_bisecting_clusters_equal_plain_loops(spark):
+    from barlab.operators import clusters
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 200, (70, 6)) for c in (-2000, 0, 1500)]).round()
+    order = rng.permutation(len(x))
+    grp = rng.integers(0, 2, len(x))
+    rows = spark.createDataFrame([(int(grp[i]), f"{order[i]:04d}", [int(v) for v in x[i]]) for i in range(len(x))], "grp int, o string, q array<long>").repartition(5)
+
+    def lloyd(own, k, rounds):
+        own = own[np.argsort(order[own], kind="stable")]
+        c = x[own[:k]].copy()
+        for _ in range(rounds):
+            near = ((x[own][:, None] - c[None]) ** 2).sum(2).argmin(1)
+            for j in np.unique(near):
+                c[j] = x[own[near == j]].sum(0) // (near == j).sum()
+        return c
+
+    got = clusters.fit(rows, 4, 5)
+    assert sorted(got) == [0, 1]
+    for g in got:
+        assert (got[g] == lloyd(np.flatnonzero(grp == g), 4, 5)).all()
+    leaf, n = np.zeros(len(x), int), 1
+    while n < 6:
+        sizes = np.bincount(leaf, minlength=n)
+        chosen = sorted((j for j in range(n) if sizes[j] >= 2), key=lambda j: (-sizes[j], j))[: min(n, 6 - n)]
+        for i, j in enumerate(chosen):
+            own = np.flatnonzero(leaf == j)
+            c = lloyd(own, 2, 3)
+            leaf[own[((x[own][:, None] - c[None]) ** 2).sum(2).argmin(1) == 1]] = n + i
+        n += min(n, 6 - n)
+    want = np.array([x[leaf == j].sum(0) // (leaf == j).sum() for j in np.unique(leaf)])
+    assert (clusters.bisected(rows, 6) == want).all()
+    table = clusters.as_table(spark, got)
+    back = clusters.from_table(table.repartition(3))
+    labels = clusters.assigned(rows, back, ["o"], 4).collect()
+    macro = np.array([got[g].sum(0) // 4 for g in (0, 1)])
+    by_order = {f"{order[i]:04d}": x[i] for i in range(len(x))}
+    for r in labels:
+        g = int(((macro - by_order[r.o]) ** 2).sum(1).argmin())
+        assert r.cluster == g * 4 + int(((got[g] - by_order[r.o]) ** 2).sum(1).argmin())
