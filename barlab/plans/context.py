@@ -13,6 +13,7 @@ from barlab.plans.relations import computed, derived, query, relation
 from barlab.plans.signals import side_of
 from barlab.sources.bars import bars, bars_sql
 from barlab.sources.shared import shared_folder
+from barlab.sources.store import add_batch, book_summary, order_book, stored_bars
 
 # ---------------------------------------------------------------- guards and splits
 
@@ -55,8 +56,23 @@ computed("p19_feature_intersection", _selected, f"SELECT symbol, hour, {', '.joi
 
 # ---------------------------------------------------------------- sources
 
-query("s01_cached_candles", "SELECT symbol, hour, round(open, 6) AS open, round(close, 6) AS close FROM {bars} WHERE symbol IN ('click', 'view') AND hour >= 473500")
-query("s13_book_summary", "SELECT l_partkey % 50 AS book, round(sum(CASE WHEN l_linenumber % 2 = 1 THEN l_quantity END), 4) AS bid_volume, round(sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END), 4) AS ask_volume, round(1e4 * (max(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice / l_quantity END) - max(CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice / l_quantity END)) / nullif(max(CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice / l_quantity END), 0), 4) AS spread_bps FROM {t_lineitem} GROUP BY l_partkey % 50")
+
+
+def _stored(t):
+    """Two batches of events in the store, the second after the first; what is read is two symbols' partitions from one hour on."""
+    at = f"{shared_folder(t.spark)}/bars-{uuid.uuid4().hex}"
+    events = t.get("t_events").select("event_id", "ts", "event_type", "value")
+    add_batch(at, 0, events.where("event_id % 5 < 4"))
+    add_batch(at, 1, events.where("event_id % 5 = 4"))
+    return stored_bars(t.spark, at, 1, ["click", "view"], 473500).selectExpr("symbol", "hour", "round(open, 6) AS open", "round(close, 6) AS close", "volume")
+
+
+computed("s01_cached_candles", _stored, "SELECT symbol, hour, round(open, 6) AS open, round(close, 6) AS close, volume FROM bars WHERE symbol IN ('click', 'view') AND hour >= 473500", "bars")
+_ORDERS = "l_partkey % 50 AS book, l_linenumber % 2 = 1 AS is_bid, l_extendedprice / l_quantity AS price, l_quantity AS size"
+_BOOK_SQL = f"""SELECT book, coalesce(bids, []) AS bids, coalesce(asks, []) AS asks FROM (SELECT book, list({{'price': price, 'size': size}} ORDER BY price DESC) FILTER (is_bid)[:20] AS bids, list({{'price': price, 'size': size}} ORDER BY price) FILTER (NOT is_bid)[:20] AS asks FROM (
+  SELECT book, is_bid, price, sum(size) AS size FROM (SELECT {_ORDERS} FROM lineitem) GROUP BY ALL) GROUP BY book)"""
+relation("books", lambda t: order_book(t.get("t_lineitem").selectExpr(*_ORDERS.split(", ")), "book"), _BOOK_SQL)
+computed("s13_book_summary", lambda t: book_summary(t.get("books"), "book").selectExpr("book", "round(bid_volume, 4) AS bid_volume", "round(ask_volume, 4) AS ask_volume", "round(spread_bps, 4) AS spread_bps"), "SELECT book, round(coalesce(list_sum(list_transform(bids, lambda x: x.size)), 0), 4) AS bid_volume, round(coalesce(list_sum(list_transform(asks, lambda x: x.size)), 0), 4) AS ask_volume, round(1e4 * (asks[1].price - bids[1].price) / nullif(bids[1].price, 0), 4) AS spread_bps FROM books", "books")
 _LINE = "md5(concat_ws('|', symbol, hour, cast(round(open * 1e4) AS bigint), cast(round(high * 1e4) AS bigint), cast(round(low * 1e4) AS bigint), cast(round(close * 1e4) AS bigint), cast(round(volume * 1e4) AS bigint)))"
 #: A day's digest is the hash of its sorted row hashes, a symbol's that of its days': no symbol is gathered row by row.
 

@@ -1,8 +1,8 @@
 """Jobs that run on: scores that grow by batches, a risk gate with state, profiles that decay.
 
-Each takes a stream; the named queries read the events as one, a file at a time in order of time, until what is there
-has been read. Results and progress are in the shared folder, a batch writes its own part and writes it again if it is
-run again.
+Each takes a stream; the named queries read the files of the events table as one, some files a batch, until what is there
+has been read. Results and progress are in the shared folder. A batch writes its own part under its number, and writes the
+same part again if it is run again, so a restart counts nothing twice; results do not depend on how rows fall into batches.
 """
 
 from __future__ import annotations
@@ -11,86 +11,144 @@ import uuid
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barlab.sources.shared import shared_folder
 
-PARTS = 4
+FILES_A_BATCH = 64
 
 
-def event_stream(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
-    """The events in PARTS files of equal spans of time, oldest first, as a stream of one file a batch."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "event_type", "value", "cast(ts AS timestamp_ntz) AS ts")
-    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
-    step = (hi - lo) / PARTS
-    for p in range(PARTS):
-        own = events.where((F.col("ts") >= F.lit(lo + p * step)) & ((F.col("ts") < F.lit(lo + (p + 1) * step)) if p < PARTS - 1 else F.lit(True)))
-        own.coalesce(1).write.mode("append").parquet(f"{at}/events")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/events")
+def event_stream(spark: SparkSession, sf_dir: str, files: int = FILES_A_BATCH) -> DataFrame:
+    """The events table as a stream of its own files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # a pattern, as a stream takes a plain path for a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parque[t]").selectExpr("event_id", "event_type", "value", "cast(ts AS timestamp_ntz) AS ts")
 
 
 def _run(stream: DataFrame, at: str, each) -> None:
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
 
 
-def forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per symbol, the score of all values so far from the sums that each batch appended once."""
-    at = f"{shared_folder(spark)}/forward-{uuid.uuid4().hex}"
+def sums_of_batches(stream: DataFrame, at: str, keys: list[str]) -> DataFrame:
+    """(keys, n, s, ss) of a stream's x: what count, mean and spread follow from; every batch adds its sums once, under its number."""
 
     def each(batch: DataFrame, number: int) -> None:
-        r = batch.selectExpr("event_type AS symbol", "(value - 50) / 100 AS r")
-        r.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("ss")).write.mode("overwrite").parquet(f"{at}/scores/batch={number}")
+        batch.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")).write.mode("overwrite").parquet(f"{at}/sums/batch={number}")
 
-    _run(event_stream(spark, sf_dir, at), at, each)
-    sums = spark.read.parquet(f"{at}/scores").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.countDistinct("batch").alias("batches"))
-    return sums.selectExpr("symbol", "n", "batches", "round(s / n, 8) AS mean", "round((s / n) / nullif(sqrt((ss - s * s / n) / (n - 1)), 0) * sqrt(n), 5) AS tstat")
+    _run(stream, at, each)
+    return stream.sparkSession.read.parquet(f"{at}/sums").groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss")))
 
 
-FORWARD_SQL = f"SELECT event_type AS symbol, count(*) AS n, {PARTS}::BIGINT AS batches, round(avg((value - 50) / 100), 8) AS mean, round(avg((value - 50) / 100) / nullif(stddev_samp((value - 50) / 100), 0) * sqrt(count(*)), 5) AS tstat FROM events GROUP BY event_type"
-
-#: Capital, drawdown that stops a symbol for good and loss of a day that stops it until midnight, in percent.
-CAPITAL, BREAKER, DAILY = 1000.0, 20.0, 3.0
-_STATE = "equity double, peak double, day long, lost double, broken boolean, taken long, refused long"
+def forward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per symbol, the score of all values so far."""
+    at = f"{shared_folder(spark)}/forward-{uuid.uuid4().hex}"
+    sums = sums_of_batches(event_stream(spark, sf_dir).selectExpr("event_type AS symbol", "(value - 50) / 100 AS x"), at, ["symbol"])
+    return sums.selectExpr("symbol", "n", "round(s / n, 8) AS mean", "round((s / n) / nullif(sqrt((ss - s * s / n) / (n - 1)), 0) * sqrt(n), 5) AS tstat")
 
 
-def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    equity, peak, day, lost, broken, taken, refused = state.get if state.exists else (CAPITAL, CAPITAL, -1, 0.0, False, 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["ms", "event_id"])  # a symbol's events of one batch
-    for ms, pnl in zip(rows["ms"].tolist(), rows["pnl"].tolist(), strict=True):
-        if ms // 86_400_000 > day:
-            day, lost = ms // 86_400_000, 0.0
-        broken = broken or (peak - equity) / peak * 100 >= BREAKER
-        if broken or (lost < 0 and -lost / equity * 100 >= DAILY):
-            refused += 1
-            continue
-        equity, lost, taken = equity + pnl, lost + pnl, taken + 1
-        peak = max(peak, equity)
-    state.update((equity, peak, day, lost, broken, taken, refused))
-    yield pd.DataFrame({"symbol": [key[0]], "equity": [equity], "broken": [broken], "taken": [taken], "refused": [refused]})
+FORWARD_SQL = "SELECT event_type AS symbol, count(*) AS n, round(avg((value - 50) / 100), 8) AS mean, round(avg((value - 50) / 100) / nullif(stddev_samp((value - 50) / 100), 0) * sqrt(count(*)), 5) AS tstat FROM events GROUP BY event_type"
 
+#: Capital, drawdown that stops a symbol for good and loss of a day that stops it until midnight, in percent; hours that events may be late.
+CAPITAL, BREAKER, DAILY, DELAY_HOURS = 1000.0, 20.0, 3.0, 2
+_HOUR = 3_600_000
+_STATE = "equity double, peak double, day long, lost double, broken boolean, taken long, refused long"
 
-def risk_gate_stream(stream: DataFrame) -> DataFrame:
-    """After each batch, a symbol's equity and how many of its results so far the gate took and refused; its state has seven numbers."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
 
-    rows = stream.selectExpr("event_type AS symbol", "event_id", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000 AS ms", "(value - 50) / 10 AS pnl")
-    return rows.groupBy("symbol").applyInPandasWithState(_gate, "symbol string, equity double, broken boolean, taken long, refused long", _STATE, "append", GroupStateTimeout.NoTimeout)
+def risk_gate() -> StatefulProcessor:
+    """The processor, of a class that is sent by value, as the process that drives a state's timers imports no package of ours."""
+
+    class RiskGate(StatefulProcessor):
+        """Takes a symbol's results in order of time: rows wait until the watermark has passed their hour, then go through the gate.
+
+        The gate's state is one value of seven numbers; a timer stands at the end of the earliest hour that waits. Rows later
+        than the watermark never arrive here.
+        """
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.gate = handle.getValueState("gate", _STATE)
+            self.waiting = handle.getListState("waiting", "ms long, event_id long, pnl double")
+
+        def _timer(self, earliest: int) -> None:
+            self.handle.registerTimer((earliest // _HOUR + 1) * _HOUR)
+
+        def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+            new = [(r.ms, r.event_id, r.pnl) for r in rows]
+            if new:
+                self.waiting.appendList(new)
+                self._timer(min(new)[0])
+            return iter(())
+
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+            until = timerValues.getCurrentWatermarkInMs() // _HOUR * _HOUR
+            due, rest = [], []
+            for r in self.waiting.get():
+                (due if r[0] < until else rest).append(tuple(r))
+            if rest:
+                self.waiting.put(rest)
+                self._timer(min(rest)[0])
+            else:
+                self.waiting.clear()
+            if not due:
+                return
+            equity, peak, day, lost, broken, taken, refused = self.gate.get() if self.gate.exists() else (CAPITAL, CAPITAL, -1, 0.0, False, 0, 0)
+            for ms, _, pnl in sorted(due):
+                if ms // (24 * _HOUR) > day:
+                    day, lost = ms // (24 * _HOUR), 0.0
+                broken = broken or (peak - equity) / peak * 100 >= BREAKER
+                if broken or (lost < 0 and -lost / equity * 100 >= DAILY):
+                    refused += 1
+                    continue
+                equity, lost, taken = equity + pnl, lost + pnl, taken + 1
+                peak = max(peak, equity)
+            self.gate.update((equity, peak, day, lost, broken, taken, refused))
+            yield Row(symbol=key[0], equity=equity, broken=broken, taken=taken, refused=refused)
+
+        def close(self) -> None:
+            pass
+
+    return RiskGate()
+
+
+GATE_OUT = "symbol string, equity double, broken boolean, taken long, refused long"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def risk_gate_stream(stream: DataFrame, delay_hours: int = DELAY_HOURS) -> DataFrame:
+    """Whenever hours of a symbol have passed, its equity and how many of its results so far the gate took and refused."""
+    rows = stream.selectExpr("event_type AS symbol", "event_id", "cast(ts AS timestamp) AS at", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000 AS ms", "(value - 50) / 10 AS pnl").withWatermark("at", f"{delay_hours} hours")
+    return rows.groupBy("symbol").transformWithState(risk_gate(), GATE_OUT, "Append", "EventTime")
+
+
+def run_risk_gate(stream: DataFrame, at: str) -> None:
+    """Runs the gate over what is there; rows and progress go to `at`, and a later run goes on from there."""
+    spark = stream.sparkSession
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)  # the one that keeps several values a key, and timers
+    try:
+        out = risk_gate_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").outputMode("append").trigger(availableNow=True).start()
+        out.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def latest_of_gate(spark: SparkSession, at: str) -> DataFrame:
+    done = spark.read.schema(GATE_OUT).parquet(f"{at}/out")
+    return done.groupBy("symbol").agg(F.max_by(F.struct("equity", "broken", "taken", "refused"), F.col("taken") + F.col("refused")).alias("x")).selectExpr("symbol", "round(x.equity, 5) AS equity", "x.broken", "x.taken", "x.refused")
 
 
 def risk_gate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_folder(spark)}/gate-{uuid.uuid4().hex}"
-    out = risk_gate_stream(event_stream(spark, sf_dir, at)).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").outputMode("append").trigger(availableNow=True).start()
-    out.awaitTermination()
-    done = spark.read.schema("symbol string, equity double, broken boolean, taken long, refused long").parquet(f"{at}/out")
-    return done.groupBy("symbol").agg(F.max_by(F.struct("equity", "broken", "taken", "refused"), F.col("taken") + F.col("refused")).alias("x")).selectExpr("symbol", "round(x.equity, 5) AS equity", "x.broken", "x.taken", "x.refused")
+    run_risk_gate(event_stream(spark, sf_dir), at)
+    return latest_of_gate(spark, at)
 
 
 _NEW_DAY = "CASE WHEN e.ms // 86400000 > s.day THEN 0::DOUBLE ELSE s.lost END"
 _STOPPED = f"(s.broken OR (s.peak - s.equity) / s.peak * 100 >= {BREAKER})"
 _REFUSED = f"({_STOPPED} OR (({_NEW_DAY}) < 0 AND -({_NEW_DAY}) / s.equity * 100 >= {DAILY}))"
-GATE_SQL = f"""WITH RECURSIVE e AS (SELECT event_type AS symbol, epoch_ms(ts) AS ms, (value - 50) / 10 AS pnl, row_number() OVER (PARTITION BY event_type ORDER BY epoch_ms(ts), event_id) AS k FROM events),
+GATE_SQL = f"""WITH RECURSIVE e AS (SELECT event_type AS symbol, epoch_ms(ts) AS ms, (value - 50) / 10 AS pnl, row_number() OVER (PARTITION BY event_type ORDER BY epoch_ms(ts), event_id) AS k FROM events WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) - {DELAY_HOURS} * 3600000 FROM events) // 3600000 * 3600000),
   s(symbol, k, equity, peak, day, lost, broken, taken, refused) AS (SELECT DISTINCT symbol, 0::BIGINT, {CAPITAL}::DOUBLE, {CAPITAL}::DOUBLE, -1::BIGINT, 0::DOUBLE, false, 0::BIGINT, 0::BIGINT FROM e
     UNION ALL SELECT e.symbol, e.k, CASE WHEN {_REFUSED} THEN s.equity ELSE s.equity + e.pnl END, CASE WHEN {_REFUSED} THEN s.peak ELSE greatest(s.peak, s.equity + e.pnl) END, greatest(s.day, e.ms // 86400000), ({_NEW_DAY}) + CASE WHEN {_REFUSED} THEN 0 ELSE e.pnl END, {_STOPPED},
       s.taken + CASE WHEN {_REFUSED} THEN 0 ELSE 1 END, s.refused + CASE WHEN {_REFUSED} THEN 1 ELSE 0 END FROM s JOIN e ON e.symbol = s.symbol AND e.k = s.k + 1)
@@ -100,21 +158,18 @@ OLD, NEW, LEAST = 0.85, 0.15, 3
 
 
 def decayed_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per symbol, mean and spread of the first batch, then at each batch the old ones blended with its own; a batch of fewer than LEAST rows changes nothing."""
-    at = f"{shared_folder(spark)}/profiles-{uuid.uuid4().hex}"
+    """Per symbol, mean and spread of its first day, blended with those of each later day in turn; a day of fewer than LEAST values changes nothing.
 
-    def each(batch: DataFrame, number: int) -> None:
-        own = batch.groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-        if number:
-            old = spark.read.schema("symbol string, n long, mean double, sd double").parquet(f"{at}/profiles/{number - 1}")
-            blend = {c: F.expr(f"CASE WHEN x.{c} IS NULL THEN y.{c} WHEN coalesce(y.n, 0) < {LEAST} THEN x.{c} ELSE {OLD}D * x.{c} + {NEW}D * y.{c} END") for c in ("mean", "sd")}
-            own = old.alias("x").join(own.alias("y"), F.col("x.symbol") == F.col("y.symbol"), "full").select(F.coalesce("x.symbol", "y.symbol").alias("symbol"), (F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))).alias("n"), *(e.alias(c) for c, e in blend.items()))
-        own.write.mode("overwrite").parquet(f"{at}/profiles/{number}")
-
-    _run(event_stream(spark, sf_dir, at), at, each)
-    return spark.read.parquet(f"{at}/profiles/{PARTS - 1}").selectExpr("symbol", "n", "round(mean, 6) AS mean", "round(sd, 6) AS sd")
+    Batches add to the sums of days; days of a symbol are folded in order, a row each.
+    """
+    at = f"{shared_folder(spark)}/profiles-{uuid.uuid4().hex}"
+    days = sums_of_batches(event_stream(spark, sf_dir).selectExpr("event_type AS symbol", "datediff(cast(ts AS date), date'1970-01-01') AS day", "value AS x"), at, ["symbol", "day"])
+    days = days.selectExpr("symbol", "n", "struct(day, n, s / n AS mean, sqrt(greatest(ss / n - (s / n) * (s / n), 0)) AS sd) AS d")
+    blend = ", ".join(f"{OLD}D * a.{c} + {NEW}D * x.{c} AS {c}" for c in ("mean", "sd"))
+    folded = days.groupBy("symbol").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("d")).alias("d")).selectExpr("symbol", "n", f"aggregate(slice(d, 2, size(d)), struct(d[0].mean AS mean, d[0].sd AS sd), (a, x) -> if(x.n < {LEAST}, a, struct({blend}))) AS p")
+    return folded.selectExpr("symbol", "n", "round(p.mean, 6) AS mean", "round(p.sd, 6) AS sd")
 
 
-_FOLDED = f"list_reduce(list({{'v': %s}} ORDER BY part), lambda a, x: {{'v': {OLD}::DOUBLE * a.v + {NEW}::DOUBLE * x.v}}).v"
-PROFILE_SQL = f"""WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events), p AS (SELECT event_type AS symbol, least({PARTS - 1}, (epoch_us(ts) - lo) * {PARTS} // (hi - lo)) AS part, value FROM events, b),
-  q AS (SELECT symbol, part, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM p GROUP BY ALL) SELECT symbol, sum(n)::BIGINT AS n, round({_FOLDED % 'mean'}, 6) AS mean, round({_FOLDED % 'sd'}, 6) AS sd FROM q GROUP BY symbol"""
+_FOLDED = f"list_reduce(list({{'n': n, 'v': %s}} ORDER BY day), lambda a, x: CASE WHEN x.n < {LEAST} THEN a ELSE {{'n': x.n, 'v': {OLD}::DOUBLE * a.v + {NEW}::DOUBLE * x.v}} END).v"
+PROFILE_SQL = f"""WITH q AS (SELECT event_type AS symbol, ts::DATE AS day, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd FROM events GROUP BY ALL)
+  SELECT symbol, sum(n)::BIGINT AS n, round({_FOLDED % 'mean'}, 6) AS mean, round({_FOLDED % 'sd'}, 6) AS sd FROM q GROUP BY symbol"""
