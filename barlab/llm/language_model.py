@@ -12,8 +12,13 @@ is that of its longest retained suffix, so it follows from the window of its ord
 
 The tree is never in one place. A block of texts sends each of its distinct windows once, with its count in the block's
 training texts, to a shard by the three bytes before the symbol. A shard builds its part of the tree from these windows
-and sends back the probability of each. Only the counts of windows of three bytes, whose number the alphabet bounds, are
-known to all shards.
+and sends back the probability of each. Only the counts of windows of three bytes, whose number the alphabet bounds (256^3,
+270 MB), are known to all shards.
+
+A context to which blocks send more than `hot_windows` windows in all is split by the byte before it, and again, up to the
+order. The parts need that context's own counts, which go along as a table, and to know whether it is retained: only
+contexts that diverge by themselves are split, as what their extensions do then no longer matters. At most 65,536 of a
+length are split, those with the most windows, so the table has 256 rows for each of these at most (268 MB).
 
 The unigram base needs the exact count of every token, and the vocabulary grows with the corpus: a block of some
 megabytes of texts sends each of its distinct tokens once, with its count in the block, to the token's bucket, and gets
@@ -42,8 +47,10 @@ LEAST = 8
 #: Text of a block; its distinct windows cost the less a byte the larger it is.
 BLOCK_BYTES = 8 << 20
 END = 10
-#: Buckets from this one on hold windows, those below it tokens.
-_SHARDS = 1 << 20
+#: Buckets from this one on hold windows, those below it tokens; from the second one on they are parts of split contexts, SPLIT a shard.
+_SHARDS, _DEEP, SPLIT = 1 << 20, 1 << 26, 64
+#: Windows that blocks send for one context before it is split, and contexts of a length that may be.
+HOT_WINDOWS, MOST_HOT = 1 << 20, 1 << 16
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,9 +115,33 @@ def block_windows(spelled: np.ndarray, sizes: np.ndarray, held: np.ndarray, orde
     return _add_up(windows[by], counts[by])
 
 
-def _shard_of(keys: np.ndarray, order: int, shards: int) -> np.ndarray:
-    near = (keys & np.uint64((1 << (8 * order)) - 1)) >> np.uint64(8 * max(0, order - 3))
-    return _SHARDS + (C.mix(near) % np.uint64(shards)).astype(np.int64)
+def contexts(keys: np.ndarray, order: int, m: int) -> np.ndarray:
+    """The last m bytes before the symbol of each window."""
+    return (keys & np.uint64((1 << (8 * order)) - 1)) >> np.uint64(8 * (order - m))
+
+
+#: m -> contexts of m bytes that are split, sorted; what is split at m + 1 extends what is split at m.
+Hot = dict[int, np.ndarray]
+
+
+def depths(keys: np.ndarray, order: int, hot: Hot) -> np.ndarray:
+    """How many bytes before its symbol name the shard of each window: three, and one more for each split context."""
+    out, split = np.full(len(keys), min(3, order)), np.ones(len(keys), dtype=bool)
+    for m in sorted(hot):
+        split &= np.isin(contexts(keys, order, m), hot[m])
+        out[split] = m + 1
+    return out
+
+
+def _shard_of(keys: np.ndarray, order: int, shards: int, hot: Hot | None = None) -> np.ndarray:
+    first = (C.mix(contexts(keys, order, min(3, order))) % np.uint64(shards)).astype(np.int64)
+    out = _SHARDS + first
+    if hot:
+        depth = depths(keys, order, hot)
+        for m in np.unique(depth[depth > 3]).tolist():
+            at = depth == m
+            out[at] = _DEEP + first[at] * SPLIT + (C.mix(contexts(keys[at], order, m) ^ np.uint64(m << 56)) % np.uint64(SPLIT)).astype(np.int64)
+    return out
 
 
 class _Level:
@@ -145,14 +176,32 @@ class _Level:
         return self.candidate & (gain > 0.5 * self.kinds * np.log(np.maximum(self.total, 2)))
 
 
+#: m -> sorted windows of split contexts of m bytes and their symbols, and their counts.
+Side = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
 class Shard:
-    """The tree's part for some last three bytes, with all shorter contexts."""
+    """The tree's part for some last three bytes or more, with all shorter contexts.
 
-    def __init__(self, low: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray, order: int, least: int):
-        self.order, self.levels = order, []
-        top = min(2, order)
+    keys, counts: the windows of training texts; asked: all whose probability is wanted. Contexts shorter than those that
+    name a part take their counts from `low` (up to two bytes) and `side` (split ones).
+    """
+
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray, order: int, least: int, side: Side | None = None, asked: np.ndarray | None = None):
+        self.order, self.levels, side = order, [], side or {}
+        hot: Hot = {m: np.unique(k & np.uint64((1 << (8 * m)) - 1)) for m, (k, _) in side.items()}
+        depth, wanted = depths(keys, order, hot), keys if asked is None else asked
         for m in range(order + 1):
-            k, n = (low[0] >> np.uint64(8 * (top - m)), low[1]) if m <= 2 else (keys >> np.uint64(8 * (order - m)), counts)
+            if m <= 2:
+                k, n = low[0] >> np.uint64(8 * (min(2, order) - m)), low[1]
+            else:
+                own = depth <= m
+                k, n = keys[own] >> np.uint64(8 * (order - m)), counts[own]
+                if m in side:
+                    held = np.isin(side[m][0] & np.uint64((1 << (8 * m)) - 1), contexts(wanted, order, m))
+                    k, n = np.concatenate([k, side[m][0][held]]), np.concatenate([n, side[m][1][held]])
+                    by = np.argsort(k, kind="stable")
+                    k, n = k[by], n[by]
             self.levels.append(_Level(*_add_up(k, n), m, least))
         for m in range(3, order + 1):
             level = self.levels[m]
@@ -198,7 +247,85 @@ def _low_counts(order: int):
     return low
 
 
-def _score_windows(low, order: int, least: int):
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for k, n in zip(batch.column("words").to_pylist(), batch.column("learned").to_pylist(), strict=True):
+        yield np.cumsum(_ut(k, "<u8"), dtype=np.uint64), _ut(n, "<u4").astype(np.int64)
+
+
+def _sums(order: int, m: int, hot: Hot, among: np.ndarray | None):
+    """A task's share of the windows that blocks send for each context of m bytes that extends split ones; or, of the contexts `among`, of the counts of each with its symbols."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for batch in batches:
+            parts = [held]
+            for keys, n in _read(batch):
+                context = contexts(keys, order, m)
+                if among is None:
+                    k = context[depths(keys, order, hot) == m]
+                    n = np.ones(len(k), dtype=np.int64)
+                else:
+                    at = np.isin(context, among) & (n > 0)
+                    k, n = keys[at] >> np.uint64(8 * (order - m)), n[at]
+                by = np.argsort(k, kind="stable")
+                parts.append(_add_up(k[by], n[by]))
+            keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.argsort(keys, kind="stable")
+            held = _add_up(keys[by], counts[by])
+        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], names=["key", "n"])
+
+    return sums
+
+
+def split_contexts(windows: DataFrame, low: tuple[np.ndarray, np.ndarray], order: int, least: int, hot_windows: int) -> Side:
+    """The contexts to split, as the table of their counts: those with too many windows that diverge from their parents."""
+    side: Side = {}
+    hot: Hot = {}
+    for m in range(3, order):
+        loads = windows.mapInArrow(_sums(order, m, hot, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot_windows)
+        many = np.sort(np.array([r["key"] for r in loads.orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()], dtype=np.int64).view(np.uint64))
+        if not len(many):
+            break
+        found = windows.mapInArrow(_sums(order, m, hot, many), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        keys, counts = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+        by = np.argsort(keys)
+        keys, counts = keys[by], counts[by]
+        # windows of m bytes in a tree of that order, whose last level are the contexts in question
+        tree = Shard(low, keys, counts, m, least, side)
+        top = tree.levels[m]
+        hot[m] = top.context[top.diverges(tree._probability(top.keys, m, m - 1))]
+        own = np.isin(keys & np.uint64((1 << (8 * m)) - 1), hot[m])
+        if not own.any():
+            del hot[m]
+            break
+        side[m] = keys[own], counts[own]
+    return side
+
+
+def _resplit(order: int, shards: int, hot: Hot):
+    """Rows of windows whose contexts are split, by the buckets of their parts."""
+
+    def resplit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for block, bucket, words, learned in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words", "learned")), strict=True):
+                keys = np.cumsum(_ut(words, "<u8"), dtype=np.uint64)
+                own = _shard_of(keys, order, shards, hot)
+                if (own == bucket).all():
+                    out.append((block, bucket, words, learned))
+                    continue
+                n = _ut(learned, "<u4")
+                by = np.argsort(own, kind="stable")
+                own, keys, n = own[by], keys[by], n[by]
+                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+                out += [(block, int(own[a]), _zt(np.diff(keys[a:b], prepend=np.uint64(0))), _zt(n[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=["block", "bucket", "words", "learned"])
+
+    return resplit
+
+
+def _score_windows(low, side, order: int, least: int):
     """Per block of a shard, log10 of the probability of its windows."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +340,7 @@ def _score_windows(low, order: int, least: int):
                     by = np.argsort(keys, kind="stable")
                     every, parts, size = _add_up(keys[by], counts[by]), [], 0
             seen = every[1] > 0
-            p = Shard(low.value, every[0][seen], every[1][seen], order, least).log10(every[0]).astype("<f4")
+            p = Shard(low.value, every[0][seen], every[1][seen], order, least, side.value, every[0]).log10(every[0]).astype("<f4")
             for b in blocks:
                 own = p[np.searchsorted(every[0], np.cumsum(_ut(b["words"], "<u8"), dtype=np.uint64))]
                 yield pa.RecordBatch.from_arrays([pa.array([b["block"]], pa.int64()), pa.array([b["bucket"]], pa.int32()), pa.array([_zt(own)], pa.binary())], names=["block", "bucket", "counts"])
@@ -245,9 +372,9 @@ def _ut(x: bytes, kind: str) -> np.ndarray:
 _SENT = "block long, bucket int, n int, docs binary, text binary, lengths binary, words binary, learned binary"
 
 
-def _by_shard(windows: np.ndarray, order: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+def _by_shard(windows: np.ndarray, order: int, shards: int, hot: Hot | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The order of distinct windows by shard, and their shards in this order."""
-    shard = _shard_of(windows, order, shards)
+    shard = _shard_of(windows, order, shards, hot)
     by = np.argsort(shard, kind="stable")
     return by, shard[by]
 
@@ -314,10 +441,11 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([blocks[0]["bucket"]], pa.int32()), pa.array([None], pa.binary()), pa.array([int(count.sum())]), pa.array([int((count > 0).sum())])], names=["block", "bucket", "counts", "tokens", "kinds"])
 
 
-def _base(order: int, buckets: int, shards: int):
+def _base(order: int, buckets: int, shards: int, side):
     """Per document of a block, its known tokens, the sum of log10(c + 1) and its score, from the block's own row (bucket -1, first) and what came back by bucket."""
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: Hot = {m: np.unique(k & np.uint64((1 << (8 * m)) - 1)) for m, (k, _) in side.value.items()}
         for group in C.sorted_groups(batches, ["block"]):
             found = group.to_pylist()
             same = sum(r["bucket"] == -1 for r in found)  # equal blocks come more than once
@@ -335,7 +463,7 @@ def _base(order: int, buckets: int, shards: int):
                 own_parts.append((keys, inverse.astype(np.int32), sizes[x:y]))
                 windows.append(keys)
             windows = np.unique(np.concatenate(windows))
-            by, _ = _by_shard(windows, order, shards)
+            by, _ = _by_shard(windows, order, shards, hot)
             of_window = np.empty(len(p), dtype=np.float64)
             of_window[by] = p
             score = np.concatenate([np.add.reduceat(of_window[np.searchsorted(windows, keys)][inverse], np.cumsum(m) - m) for keys, inverse, m in own_parts])
@@ -353,26 +481,31 @@ def _base(order: int, buckets: int, shards: int):
     return base
 
 
-def language_model(docs: DataFrame, order: int = ORDER, least: int = LEAST, bucket_bytes: int = 32 << 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def language_model(docs: DataFrame, order: int = ORDER, least: int = LEAST, bucket_bytes: int = 32 << 20, block_bytes: int = BLOCK_BYTES, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """(_id, _h, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     if not 1 <= order <= 7:
         raise ValueError("order must be from 1 to 7: a window and its symbol are the bytes of one 64-bit number")
     spark = docs.sparkSession
     keyed = C.keyed_documents(docs).withColumn("held_out", F.coalesce(F.crc32(C.original_id().cast("string").cast("binary")) % 7 == 2, F.lit(False)))
     total = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets, shards = max(8, total // bucket_bytes), max(8, total // (16 << 20))
+    buckets, shards = max(8, total // bucket_bytes), min(1 << 24, max(8, total // (16 << 20)))
     sent = C.materialised(keyed.mapInArrow(_send_tokens(order, buckets, shards, block_bytes), _SENT), "lm-blocks")
     windows = sent.where(f"bucket >= {_SHARDS}")
     found = windows.select("words", "learned").mapInArrow(_low_counts(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # windows of three bytes
-    low = spark.sparkContext.broadcast((found.column("key").to_numpy().astype(np.uint64), found.column("n").to_numpy()))
-    scored = windows.select("block", "bucket", "words", "learned").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_score_windows(low, order, least), "block long, bucket int, counts binary")
+    counted = found.column("key").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+    sides = split_contexts(windows.select("words", "learned"), counted, order, least, hot_windows)
+    low, side = spark.sparkContext.broadcast(counted), spark.sparkContext.broadcast(sides)
+    dealt = windows.select("block", "bucket", "words", "learned")
+    if sides:
+        dealt = dealt.mapInArrow(_resplit(order, shards, {m: np.unique(k & np.uint64((1 << (8 * m)) - 1)) for m, (k, _) in sides.items()}), dealt.schema)
+    scored = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_score_windows(low, side, order, least), "block long, bucket int, counts binary")
     by_token = sent.where(f"bucket BETWEEN 0 AND {_SHARDS - 1}").select("block", "bucket", "lengths", "words", "learned").repartition("bucket").sortWithinPartitions("bucket")
     counts = C.materialised(by_token.mapInArrow(_count_tokens, "block long, bucket int, counts binary, tokens long, kinds long"), "lm-counts")
     whole = counts.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     n, v = int(whole["tokens"] or 0), int(whole["kinds"] or 0)
     own = sent.where("bucket = -1").select("block", "bucket", "n", "docs", "text")
     both = own.unionByName(counts.where("block IS NOT NULL").select("block", "bucket", "counts").unionByName(scored), allowMissingColumns=True)
-    based = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_base(order, buckets, shards), "_id long, _h long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    based = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_base(order, buckets, shards, side), "_id long, _h long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     return based.select(
         "_id", "_h", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score"
     )

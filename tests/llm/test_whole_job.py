@@ -55,11 +55,27 @@ def test_language_model_scores_equal_a_plain_tree(spark):
     rows = [(i, " ".join(rng.choice(vocabulary, 40, p=(w := np.arange(1, 17) ** 2.0) / w.sum()))) for i in range(60)] + [(60, ""), (61, "Zq kata!")]
     want = plain_scores(rows, 6, 8)
     t = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for size in (2 << 20, 500):
-        got = {r._id: r.score for r in language_model.language_model(t, block_bytes=size).collect()}
+    for size, hot in ((2 << 20, 1 << 20), (500, 1 << 20), (500, 20), (500, 1)):
+        got = {r._id: r.score for r in language_model.language_model(t, block_bytes=size, hot_windows=hot).collect()}
         assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_contexts_with_many_windows_are_split_up_to_the_order(spark):
+    ship(spark)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["he la", "he lo", "she", "the la", "hex", "la he"], 60))) for i in range(80)]
+    sent = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS _id", "0L AS _h", "text AS _text", "false AS held_out").mapInArrow(language_model._send_tokens(6, 8, 8, 400), language_model._SENT).where("bucket >= 1048576").select("block", "bucket", "words", "learned")
+    found = sent.select("words", "learned").mapInArrow(language_model._low_counts(6), "key long, n long").groupBy("key").sum("n").orderBy("key").toArrow()
+    low = found.column(0).to_numpy().astype(np.uint64), found.column(1).to_numpy()
+    side = language_model.split_contexts(sent.select("words", "learned"), low, 6, 8, 60)
+    assert 3 in side and 4 in side
+    hot = {m: np.unique(k & np.uint64((1 << 8 * m) - 1)) for m, (k, _) in side.items()}
+    assert np.isin(hot[4] >> np.uint64(8), hot[3]).all()
+    before = [len(language_model._ut(r.words, "<u8")) for r in sent.collect()]
+    parts = sent.mapInArrow(language_model._resplit(6, 8, hot), sent.schema).collect()
+    assert len({(r.block, r.bucket) for r in parts}) == len(parts) > len(before) and sum(len(language_model._ut(r.words, "<u8")) for r in parts) == sum(before)
+
+
 def test_language_model_keeps_its_evidence_as_the_corpus_grows(spark):
     """Twenty passages count the same with nothing or ten million other bytes beside them."""
     ship(spark)
