@@ -120,26 +120,56 @@ def contexts(keys: np.ndarray, order: int, m: int) -> np.ndarray:
     return (keys & np.uint64((1 << (8 * order)) - 1)) >> np.uint64(8 * (order - m))
 
 
-#: m -> contexts of m bytes that are split, sorted; what is split at m + 1 extends what is split at m.
-Hot = dict[int, np.ndarray]
-
-
-def depths(keys: np.ndarray, order: int, hot: Hot) -> np.ndarray:
-    """How many bytes before its symbol name the shard of each window: three, and one more for each split context."""
-    out, split = np.full(len(keys), min(3, order)), np.ones(len(keys), dtype=bool)
-    for m in sorted(hot):
-        split &= np.isin(contexts(keys, order, m), hot[m])
-        out[split] = m + 1
-    return out
+class Splits:
+    """The contexts that are split, by length from three bytes on, with their own counts: m -> sorted windows of m bytes and a symbol, and how often they occur.
 
+    What is split at one length extends what is split at the one before.
+    """
 
-def _shard_of(keys: np.ndarray, order: int, shards: int, hot: Hot | None = None) -> np.ndarray:
+    def __init__(self, side: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.side = side
+        self.sets = {m: np.unique(k & np.uint64((1 << (8 * m)) - 1)) for m, (k, _) in side.items()}
+        self._table: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_table": None}
+
+    def place(self, context: np.ndarray, m: int) -> np.ndarray:
+        """Where each context of m bytes is among the split ones; -1 if it is not."""
+        s = self.sets[m]
+        if m > 3:
+            i = np.minimum(np.searchsorted(s, context), len(s) - 1)
+            return np.where(s[i] == context, i, -1)
+        if self._table is None:
+            self._table = np.full(1 << 24, -1, dtype=np.int32)
+            self._table[s] = np.arange(len(s))
+        return self._table[context]
+
+    def chains(self, keys: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(m, windows, places): for each length, which windows have split contexts of it, and which of them."""
+        at = np.arange(len(keys))
+        for m in sorted(self.sets):
+            if m >= order or not len(at):
+                return
+            i = self.place(contexts(keys[at], order, m), m)
+            at, i = at[i >= 0], i[i >= 0]
+            yield m, at, i
+
+    def depths(self, keys: np.ndarray, order: int) -> np.ndarray:
+        """How many bytes before its symbol name the shard of each window: three, and one more for each split context."""
+        out = np.full(len(keys), min(3, order), dtype=np.int8)
+        for m, at, _ in self.chains(keys, order):
+            out[at] = m + 1
+        return out
+
+
+def _shard_of(keys: np.ndarray, order: int, shards: int, splits: Splits | None = None) -> np.ndarray:
     first = (C.mix(contexts(keys, order, min(3, order))) % np.uint64(shards)).astype(np.int64)
     out = _SHARDS + first
-    if hot:
-        depth = depths(keys, order, hot)
-        for m in np.unique(depth[depth > 3]).tolist():
-            at = depth == m
+    if splits and splits.sets:
+        depth = splits.depths(keys, order)
+        for m in range(4, order + 1):
+            at = np.flatnonzero(depth == m)
             out[at] = _DEEP + first[at] * SPLIT + (C.mix(contexts(keys[at], order, m) ^ np.uint64(m << 56)) % np.uint64(SPLIT)).astype(np.int64)
     return out
 
@@ -176,30 +206,27 @@ class _Level:
         return self.candidate & (gain > 0.5 * self.kinds * np.log(np.maximum(self.total, 2)))
 
 
-#: m -> sorted windows of split contexts of m bytes and their symbols, and their counts.
-Side = dict[int, tuple[np.ndarray, np.ndarray]]
-
-
 class Shard:
     """The tree's part for some last three bytes or more, with all shorter contexts.
 
     keys, counts: the windows of training texts; asked: all whose probability is wanted. Contexts shorter than those that
-    name a part take their counts from `low` (up to two bytes) and `side` (split ones).
+    name a part take their counts from `low` (up to two bytes) and `splits`.
     """
 
-    def __init__(self, low: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray, order: int, least: int, side: Side | None = None, asked: np.ndarray | None = None):
-        self.order, self.levels, side = order, [], side or {}
-        hot: Hot = {m: np.unique(k & np.uint64((1 << (8 * m)) - 1)) for m, (k, _) in side.items()}
-        depth, wanted = depths(keys, order, hot), keys if asked is None else asked
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray, order: int, least: int, splits: Splits, asked: np.ndarray | None = None):
+        self.order, self.levels = order, []
+        depth = splits.depths(keys, order)
+        present = {m: np.bincount(i, minlength=len(splits.sets[m])) > 0 for m, _, i in splits.chains(keys if asked is None else asked, order)}
         for m in range(order + 1):
             if m <= 2:
                 k, n = low[0] >> np.uint64(8 * (min(2, order) - m)), low[1]
             else:
-                own = depth <= m
+                own = slice(None) if not present else depth <= m
                 k, n = keys[own] >> np.uint64(8 * (order - m)), counts[own]
-                if m in side:
-                    held = np.isin(side[m][0] & np.uint64((1 << (8 * m)) - 1), contexts(wanted, order, m))
-                    k, n = np.concatenate([k, side[m][0][held]]), np.concatenate([n, side[m][1][held]])
+                if m in present and present[m].any():
+                    extra, times = splits.side[m]
+                    held = present[m][splits.place(extra & np.uint64((1 << (8 * m)) - 1), m)]
+                    k, n = np.concatenate([k, extra[held]]), np.concatenate([n, times[held]])
                     by = np.argsort(k, kind="stable")
                     k, n = k[by], n[by]
             self.levels.append(_Level(*_add_up(k, n), m, least))
@@ -252,7 +279,7 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.cumsum(_ut(k, "<u8"), dtype=np.uint64), _ut(n, "<u4").astype(np.int64)
 
 
-def _sums(order: int, m: int, hot: Hot, among: np.ndarray | None):
+def _sums(order: int, m: int, splits: Splits, among: Splits | None):
     """A task's share of the windows that blocks send for each context of m bytes that extends split ones; or, of the contexts `among`, of the counts of each with its symbols."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,15 +287,13 @@ def _sums(order: int, m: int, hot: Hot, among: np.ndarray | None):
         for batch in batches:
             parts = [held]
             for keys, n in _read(batch):
-                context = contexts(keys, order, m)
                 if among is None:
-                    k = context[depths(keys, order, hot) == m]
-                    n = np.ones(len(k), dtype=np.int64)
+                    own = keys if m == 3 else keys[splits.depths(keys, order) == m]
+                    k, n = np.unique(contexts(own, order, m), return_counts=True)
+                    parts.append((k, n.astype(np.int64)))
                 else:
-                    at = np.isin(context, among) & (n > 0)
-                    k, n = keys[at] >> np.uint64(8 * (order - m)), n[at]
-                by = np.argsort(k, kind="stable")
-                parts.append(_add_up(k[by], n[by]))
+                    at = (among.place(contexts(keys, order, m), m) >= 0) & (n > 0)
+                    parts.append(_add_up(keys[at] >> np.uint64(8 * (order - m)), n[at]))
             keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
             by = np.argsort(keys, kind="stable")
             held = _add_up(keys[by], counts[by])
@@ -277,32 +302,29 @@ def _sums(order: int, m: int, hot: Hot, among: np.ndarray | None):
     return sums
 
 
-def split_contexts(windows: DataFrame, low: tuple[np.ndarray, np.ndarray], order: int, least: int, hot_windows: int) -> Side:
-    """The contexts to split, as the table of their counts: those with too many windows that diverge from their parents."""
-    side: Side = {}
-    hot: Hot = {}
+def split_contexts(windows: DataFrame, low: tuple[np.ndarray, np.ndarray], order: int, least: int, hot_windows: int) -> Splits:
+    """The contexts to split: those with too many windows that diverge from their parents."""
+    splits = Splits({})
     for m in range(3, order):
-        loads = windows.mapInArrow(_sums(order, m, hot, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot_windows)
+        loads = windows.mapInArrow(_sums(order, m, splits, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot_windows)
         many = np.sort(np.array([r["key"] for r in loads.orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()], dtype=np.int64).view(np.uint64))
         if not len(many):
             break
-        found = windows.mapInArrow(_sums(order, m, hot, many), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        found = windows.mapInArrow(_sums(order, m, splits, Splits({m: (many, many)})), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         keys, counts = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
         by = np.argsort(keys)
         keys, counts = keys[by], counts[by]
         # windows of m bytes in a tree of that order, whose last level are the contexts in question
-        tree = Shard(low, keys, counts, m, least, side)
+        tree = Shard(low, keys, counts, m, least, splits)
         top = tree.levels[m]
-        hot[m] = top.context[top.diverges(tree._probability(top.keys, m, m - 1))]
-        own = np.isin(keys & np.uint64((1 << (8 * m)) - 1), hot[m])
+        own = np.isin(keys & np.uint64((1 << (8 * m)) - 1), top.context[top.diverges(tree._probability(top.keys, m, m - 1))])
         if not own.any():
-            del hot[m]
             break
-        side[m] = keys[own], counts[own]
-    return side
+        splits = Splits(splits.side | {m: (keys[own], counts[own])})
+    return splits
 
 
-def _resplit(order: int, shards: int, hot: Hot):
+def _resplit(order: int, shards: int, splits):
     """Rows of windows whose contexts are split, by the buckets of their parts."""
 
     def resplit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +332,7 @@ def _resplit(order: int, shards: int, hot: Hot):
             out = []
             for block, bucket, words, learned in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "words", "learned")), strict=True):
                 keys = np.cumsum(_ut(words, "<u8"), dtype=np.uint64)
-                own = _shard_of(keys, order, shards, hot)
+                own = _shard_of(keys, order, shards, splits.value)
                 if (own == bucket).all():
                     out.append((block, bucket, words, learned))
                     continue
@@ -325,7 +347,7 @@ def _resplit(order: int, shards: int, hot: Hot):
     return resplit
 
 
-def _score_windows(low, side, order: int, least: int):
+def _score_windows(low, splits, order: int, least: int):
     """Per block of a shard, log10 of the probability of its windows."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +362,7 @@ def _score_windows(low, side, order: int, least: int):
                     by = np.argsort(keys, kind="stable")
                     every, parts, size = _add_up(keys[by], counts[by]), [], 0
             seen = every[1] > 0
-            p = Shard(low.value, every[0][seen], every[1][seen], order, least, side.value, every[0]).log10(every[0]).astype("<f4")
+            p = Shard(low.value, every[0][seen], every[1][seen], order, least, splits.value, every[0]).log10(every[0]).astype("<f4")
             for b in blocks:
                 own = p[np.searchsorted(every[0], np.cumsum(_ut(b["words"], "<u8"), dtype=np.uint64))]
                 yield pa.RecordBatch.from_arrays([pa.array([b["block"]], pa.int64()), pa.array([b["bucket"]], pa.int32()), pa.array([_zt(own)], pa.binary())], names=["block", "bucket", "counts"])
@@ -372,9 +394,9 @@ def _ut(x: bytes, kind: str) -> np.ndarray:
 _SENT = "block long, bucket int, n int, docs binary, text binary, lengths binary, words binary, learned binary"
 
 
-def _by_shard(windows: np.ndarray, order: int, shards: int, hot: Hot | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _by_shard(windows: np.ndarray, order: int, shards: int, splits: Splits | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The order of distinct windows by shard, and their shards in this order."""
-    shard = _shard_of(windows, order, shards, hot)
+    shard = _shard_of(windows, order, shards, splits)
     by = np.argsort(shard, kind="stable")
     return by, shard[by]
 
@@ -441,11 +463,10 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([blocks[0]["bucket"]], pa.int32()), pa.array([None], pa.binary()), pa.array([int(count.sum())]), pa.array([int((count > 0).sum())])], names=["block", "bucket", "counts", "tokens", "kinds"])
 
 
-def _base(order: int, buckets: int, shards: int, side):
+def _base(order: int, buckets: int, shards: int, splits):
     """Per document of a block, its known tokens, the sum of log10(c + 1) and its score, from the block's own row (bucket -1, first) and what came back by bucket."""
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot: Hot = {m: np.unique(k & np.uint64((1 << (8 * m)) - 1)) for m, (k, _) in side.value.items()}
         for group in C.sorted_groups(batches, ["block"]):
             found = group.to_pylist()
             same = sum(r["bucket"] == -1 for r in found)  # equal blocks come more than once
@@ -463,7 +484,7 @@ def _base(order: int, buckets: int, shards: int, side):
                 own_parts.append((keys, inverse.astype(np.int32), sizes[x:y]))
                 windows.append(keys)
             windows = np.unique(np.concatenate(windows))
-            by, _ = _by_shard(windows, order, shards, hot)
+            by, _ = _by_shard(windows, order, shards, splits.value)
             of_window = np.empty(len(p), dtype=np.float64)
             of_window[by] = p
             score = np.concatenate([np.add.reduceat(of_window[np.searchsorted(windows, keys)][inverse], np.cumsum(m) - m) for keys, inverse, m in own_parts])
@@ -493,19 +514,19 @@ def language_model(docs: DataFrame, order: int = ORDER, least: int = LEAST, buck
     windows = sent.where(f"bucket >= {_SHARDS}")
     found = windows.select("words", "learned").mapInArrow(_low_counts(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # windows of three bytes
     counted = found.column("key").to_numpy().astype(np.uint64), found.column("n").to_numpy()
-    sides = split_contexts(windows.select("words", "learned"), counted, order, least, hot_windows)
-    low, side = spark.sparkContext.broadcast(counted), spark.sparkContext.broadcast(sides)
+    found_splits = split_contexts(windows.select("words", "learned"), counted, order, least, hot_windows)
+    low, splits = spark.sparkContext.broadcast(counted), spark.sparkContext.broadcast(found_splits)
     dealt = windows.select("block", "bucket", "words", "learned")
-    if sides:
-        dealt = dealt.mapInArrow(_resplit(order, shards, {m: np.unique(k & np.uint64((1 << (8 * m)) - 1)) for m, (k, _) in sides.items()}), dealt.schema)
-    scored = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_score_windows(low, side, order, least), "block long, bucket int, counts binary")
+    if found_splits.sets:
+        dealt = dealt.mapInArrow(_resplit(order, shards, splits), dealt.schema)
+    scored = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_score_windows(low, splits, order, least), "block long, bucket int, counts binary")
     by_token = sent.where(f"bucket BETWEEN 0 AND {_SHARDS - 1}").select("block", "bucket", "lengths", "words", "learned").repartition("bucket").sortWithinPartitions("bucket")
     counts = C.materialised(by_token.mapInArrow(_count_tokens, "block long, bucket int, counts binary, tokens long, kinds long"), "lm-counts")
     whole = counts.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     n, v = int(whole["tokens"] or 0), int(whole["kinds"] or 0)
     own = sent.where("bucket = -1").select("block", "bucket", "n", "docs", "text")
     both = own.unionByName(counts.where("block IS NOT NULL").select("block", "bucket", "counts").unionByName(scored), allowMissingColumns=True)
-    based = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_base(order, buckets, shards, side), "_id long, _h long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    based = both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_base(order, buckets, shards, splits), "_id long, _h long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     return based.select(
         "_id", "_h", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score"
     )

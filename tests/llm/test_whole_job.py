@@ -67,12 +67,11 @@ def test_contexts_with_many_windows_are_split_up_to_the_order(spark):
     sent = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS _id", "0L AS _h", "text AS _text", "false AS held_out").mapInArrow(language_model._send_tokens(6, 8, 8, 400), language_model._SENT).where("bucket >= 1048576").select("block", "bucket", "words", "learned")
     found = sent.select("words", "learned").mapInArrow(language_model._low_counts(6), "key long, n long").groupBy("key").sum("n").orderBy("key").toArrow()
     low = found.column(0).to_numpy().astype(np.uint64), found.column(1).to_numpy()
-    side = language_model.split_contexts(sent.select("words", "learned"), low, 6, 8, 60)
-    assert 3 in side and 4 in side
-    hot = {m: np.unique(k & np.uint64((1 << 8 * m) - 1)) for m, (k, _) in side.items()}
-    assert np.isin(hot[4] >> np.uint64(8), hot[3]).all()
+    splits = language_model.split_contexts(sent.select("words", "learned"), low, 6, 8, 60)
+    assert 3 in splits.sets and 4 in splits.sets
+    assert np.isin(splits.sets[4] >> np.uint64(8), splits.sets[3]).all()
     before = [len(language_model._ut(r.words, "<u8")) for r in sent.collect()]
-    parts = sent.mapInArrow(language_model._resplit(6, 8, hot), sent.schema).collect()
+    parts = sent.mapInArrow(language_model._resplit(6, 8, spark.sparkContext.broadcast(splits)), sent.schema).collect()
     assert len({(r.block, r.bucket) for r in parts}) == len(parts) > len(before) and sum(len(language_model._ut(r.words, "<u8")) for r in parts) == sum(before)
 
 
