@@ -1,7 +1,9 @@
 """Trades of many configurations at once: barriers per row, one position at a time, sized ledgers.
 
-Keys are (symbol, cfg). Nothing gathers a symbol's trades: non-overlap folds islands of trades that can touch each other,
-and what depends on every trade before it (equity, breakers) runs down the sorted rows of a partition with one state.
+Keys are (symbol, cfg). Nothing gathers a symbol's trades or passes over all of them in one task: non-overlap folds islands
+of trades that can touch each other, risk rules fold stretches that do not bear on each other, and equities, peaks and
+breakers are running values in chunks. The breaker of overlays runs down a configuration's days, as its own state scales
+what it sees.
 """
 
 from __future__ import annotations
@@ -89,75 +91,77 @@ def held_bars(trades: DataFrame, bars: DataFrame, most: int = 49, last: bool = F
     return t.join(b, ["symbol", "_bucket"]).where("p_hour >= entry_hour AND p_hour < _end").drop("_bucket", "_end")
 
 
-def _run(rules: dict[str, float]):
-    """Sizes and gates trades in order of entry; the state of a (symbol, cfg) passes from row to row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                if (r.symbol, r.cfg) != key:
-                    key, state = (r.symbol, r.cfg), {"equity": rules["capital"], "peak": rules["capital"], "day": -1, "lost": 0.0, "last": None, "broken": False, "losses": 0}
-                s = state
-                day = r.entry_hour // 24
-                if day > s["day"]:
-                    s["day"], s["lost"] = day, 0.0
-                s["broken"] = s["broken"] or (s["peak"] - s["equity"]) / s["peak"] * 100 >= rules["breaker_pct"]
-                if s["broken"]:
-                    verdict = "circuit_breaker"
-                elif s["lost"] < 0 and -s["lost"] / s["equity"] * 100 >= rules["daily_pct"]:
-                    verdict = "daily_loss_limit"
-                elif s["last"] is not None and r.entry_hour - s["last"] < rules["hours_between"]:
-                    verdict = "min_interval"
-                else:
-                    verdict = "approved"
-                sizes = {
-                    "fixed": 0.10, "kelly": rules["kelly"], "volatility": rules["target_vol"] / max(r.atr / r.fill * 365**0.5, 0.01) if r.atr > 0 and r.fill > 0 else 0.05,
-                }
-                size = {k: min(v, rules["cap"]) * s["equity"] for k, v in sizes.items()}
-                pnl = 0.0
-                if verdict == "approved":
-                    pnl = size["volatility"] * r.ret
-                    s["equity"] += pnl
-                    s["peak"] = max(s["peak"], s["equity"])
-                    s["lost"] += pnl
-                    s["last"] = r.exit_hour
-                    s["losses"] = s["losses"] + 1 if pnl < 0 else 0
-                out.append((r.symbol, r.cfg, r.entry_hour, verdict, size["fixed"], size["kelly"], size["volatility"], pnl, s["equity"], s["losses"]))
-            yield pd.DataFrame(out, columns=["symbol", "cfg", "entry_hour", "verdict", "size_fixed", "size_kelly", "size_volatility", "pnl", "equity", "losses"])
-
-    return run
-
-
-def gated(capital: float, drawdown: float, loss: float, hours_between: int):
-    """Keeps the trades that the breaker, the day's loss and the least interval let through."""
-
-    def gate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol = None
-        for rows in batches:
-            keep = []
-            for r in rows.itertuples(index=False):
-                if r.symbol != symbol:
-                    symbol, equity, peak, day, lost, last = r.symbol, capital, capital, -1, 0.0, -(10**6)
-                lost = lost if r.entry_hour // 24 == day else 0.0
-                keep.append(equity > peak * (1 - drawdown) and lost > -loss and r.entry_hour - last >= hours_between)
-                if keep[-1]:
-                    equity, day, lost, last = equity + r.net, r.entry_hour // 24, lost + r.net, r.entry_hour
-                    peak = max(peak, equity)
-            yield rows[keep]
-
-    return gate
-
-
 #: Capital, daily loss and drawdown limits in percent, hours between an exit and the next entry, Kelly fraction, target of yearly volatility, cap of a position.
 RULES = {"capital": 1000.0, "breaker_pct": 12.0, "daily_pct": 2.0, "hours_between": 2.0, "kelly": 0.125, "target_vol": 0.5, "cap": 0.15}
 
 
+def _stretches(trades: DataFrame, key: list[str], last: str, hours_between: float) -> DataFrame:
+    """Adds _day and _stretch: a stretch begins on a new day whose first entry is `hours_between` after every earlier `last`, so nothing of the days before bears on it."""
+    t = running(trades.withColumn("_day", F.expr("entry_hour div 24")), {"_last": ("max", last), "_before": ("max", "_day")}, key, "entry_hour", exclusive=True)
+    begins = f"_last IS NULL OR (_day > _before AND entry_hour - _last >= {hours_between})"
+    return running(t, {"_stretch": ("max", f"CASE WHEN {begins} THEN entry_hour END")}, key, "entry_hour").drop("_last", "_before")
+
+
+def _judged(trades: DataFrame, key: list[str], fields: list[str], state: str, step: str) -> DataFrame:
+    """Folds each stretch in order of entry; `step` makes the next state s from s and a trade x, and puts what it says of x to s.out."""
+    row = F.struct("entry_hour", *fields)
+    folded = trades.groupBy(*key, "_stretch").agg(F.sort_array(F.collect_list(row)).alias("_all"))
+    return folded.selectExpr(*key, f"inline(aggregate(_all, {state}, (s, x) -> {step}).out)")
+
+
+def _first_break(judged: DataFrame, key: list[str], broken: str) -> DataFrame:
+    """Adds _broken: whether a row or one before it is broken."""
+    first = judged.where(broken).groupBy(*key).agg(F.min("entry_hour").alias("_first"))
+    return judged.join(first, key, "left").withColumn("_broken", F.expr("coalesce(entry_hour >= _first, false)")).drop("_first")
+
+
 def sized(trades: DataFrame, rules: dict[str, float] | None = None) -> DataFrame:
-    """Every taken trade with the verdict of the risk rules, the sizes it may have, its result at volatility-scaled size and the equity after it."""
-    ordered = trades.select(*KEY, "entry_hour", "exit_hour", "atr", "fill", "ret").repartition(*KEY).sortWithinPartitions(*KEY, "entry_hour")
-    return ordered.mapInPandas(_run(rules or RULES), "symbol string, cfg string, entry_hour long, verdict string, size_fixed double, size_kelly double, size_volatility double, pnl double, equity double, losses long")
+    """Every taken trade with the verdict of the risk rules, the sizes it may have, its result at volatility-scaled size and the equity after it.
+
+    Sizes are shares of the equity, so an approved trade multiplies it, and what the rules compare are ratios of equities.
+    The day's loss and the least interval can thus be judged in stretches that do not bear on each other, each folded
+    alone from an equity of one. The equity is then a running product and its peak a running maximum, both in chunks, and
+    the breaker falls for good at the first trade before which they are too far apart: nothing before it depends on it.
+    """
+    r = rules or RULES
+    vol = f"least({r['cap']}D, CASE WHEN atr > 0 AND fill > 0 THEN {r['target_vol']}D / greatest(atr / fill * sqrt(365), 0.01D) ELSE 0.05D END)"
+    t = _stretches(trades.selectExpr(*KEY, "entry_hour", "exit_hour", f"{vol} AS vol", "ret"), KEY, "exit_hour", r["hours_between"])
+    lost = "if(x._day > s.day, 0D, s.lost)"
+    verdict = f"CASE WHEN {lost} < 0 AND -({lost}) / s.e * 100 >= {r['daily_pct']}D THEN 'daily_loss_limit' WHEN s.last IS NOT NULL AND x.entry_hour - s.last < {r['hours_between']} THEN 'min_interval' ELSE 'approved' END"
+    pnl = f"if({verdict} = 'approved', x.vol * s.e * x.ret, 0D)"
+    state = "named_struct('e', 1D, 'day', -1L, 'lost', 0D, 'last', cast(NULL AS bigint), 'out', cast(array() AS array<struct<entry_hour:bigint,vol:double,ret:double,verdict:string>>))"
+    step = f"named_struct('e', s.e + {pnl}, 'day', greatest(s.day, x._day), 'lost', {lost} + {pnl}, 'last', if({verdict} = 'approved', x.exit_hour, s.last), 'out', concat(s.out, array(named_struct('entry_hour', x.entry_hour, 'vol', x.vol, 'ret', x.ret, 'verdict', {verdict}))))"
+    judged = _judged(t, KEY, ["exit_hour", "_day", "vol", "ret"], state, step).withColumn("_g", F.expr("if(verdict = 'approved', ln(greatest(1 + vol * ret, 1e-300D)), 0D)"))
+    before = running(written(judged, "judged-trades"), {"_log": ("sum", "_g")}, KEY, "entry_hour", exclusive=True)
+    before = running(before, {"_peak": ("max", "_log + _g")}, KEY, "entry_hour", exclusive=True).withColumn("_peak", F.expr("greatest(0D, _peak)"))
+    broken = _first_break(before, KEY, f"100 * (1 - exp(_log - _peak)) >= {r['breaker_pct']}D")
+    # behind the break nothing is taken, so the equity stays
+    broken = broken.withColumn("verdict", F.expr("if(_broken, 'circuit_breaker', verdict)")).withColumn("_g", F.expr("if(_broken, 0D, _g)"))
+    e = running(broken.drop("_log"), {"_log": ("sum", "_g")}, KEY, "entry_hour", exclusive=True).withColumn("_e", F.expr(f"{r['capital']}D * exp(_log)"))
+    e = e.withColumn("pnl", F.expr("if(verdict = 'approved', vol * _e * ret, 0D)"))
+    e = running(e, {"_lost": ("sum", "CASE WHEN verdict = 'approved' AND pnl < 0 THEN 1L ELSE 0L END")}, KEY, "entry_hour")
+    e = running(e, {"_won": ("max", "CASE WHEN verdict = 'approved' AND pnl >= 0 THEN _lost END")}, KEY, "entry_hour")
+    sizes = {"fixed": "0.1D", "kelly": f"{r['kelly']}D", "volatility": "vol"}
+    return e.selectExpr(*KEY, "entry_hour", "verdict", *(f"least({x}, {r['cap']}D) * _e AS size_{n}" for n, x in sizes.items()), "pnl", "_e + pnl AS equity", "_lost - coalesce(_won, 0) AS losses")
+
+
+def gated(trades: DataFrame, capital: float, drawdown: float, loss: float, hours_between: int) -> DataFrame:
+    """(symbol, entry_hour, exit_hour, side, net) of the trades that the breaker, the day's loss and the least interval between entries let through.
+
+    As for `sized`, stretches are folded alone; the equity is a running sum, its peak a running maximum, and the breaker
+    ends what comes after the first trade before which they are too far apart.
+    """
+    key = ["symbol"]
+    t = _stretches(trades.select("symbol", "entry_hour", "exit_hour", "side", "net"), key, "entry_hour", hours_between)
+    lost = "if(x._day > s.day, 0D, s.lost)"
+    ok = f"({lost} > -{loss!r}D AND (s.last IS NULL OR x.entry_hour - s.last >= {hours_between}))"
+    state = "named_struct('day', -1L, 'lost', 0D, 'last', cast(NULL AS bigint), 'out', cast(array() AS array<struct<entry_hour:bigint,exit_hour:bigint,side:int,net:double,ok:boolean>>))"
+    step = f"named_struct('day', greatest(s.day, x._day), 'lost', {lost} + if({ok}, x.net, 0D), 'last', if({ok}, x.entry_hour, s.last), 'out', concat(s.out, array(named_struct('entry_hour', x.entry_hour, 'exit_hour', x.exit_hour, 'side', x.side, 'net', x.net, 'ok', {ok}))))"
+    judged = _judged(t.withColumn("side", F.col("side").cast("int")), key, ["exit_hour", "_day", "side", "net"], state, step).where("ok")
+    before = running(written(judged, "judged-trades"), {"_sum": ("sum", "net")}, key, "entry_hour", exclusive=True)
+    before = running(before, {"_peak": ("max", "_sum + net")}, key, "entry_hour", exclusive=True).withColumn("_peak", F.expr("greatest(0D, _peak)"))
+    broken = _first_break(before, key, f"NOT ({capital!r}D + _sum > ({capital!r}D + _peak) * {1 - drawdown!r}D)")
+    return broken.where("NOT _broken").select("symbol", "entry_hour", "exit_hour", "side", "net")
 
 
 #: Fall from its peak at which an overlaid curve is de-risked, fall above which it is not any more, and the share kept meanwhile.

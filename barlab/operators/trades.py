@@ -57,11 +57,9 @@ def risk_gate(trades: DataFrame, capital: float = 1000.0, drawdown: float = 0.2,
     """The trades that pass the risk rules, taken in order of entry per symbol.
 
     A fall of the running equity by `drawdown` below its peak stops all later trades; a day (of 24 hours from 1970) whose
-    taken trades lost `daily_loss` of the capital takes no more; entries are at least `hours_between` apart. One state a
-    symbol runs down its trades.
+    taken trades lost `daily_loss` of the capital takes no more; entries are at least `hours_between` apart.
     """
-    ordered = trades.select("symbol", "entry_hour", "exit_hour", "side", "net").repartition("symbol").sortWithinPartitions("symbol", "entry_hour")
-    return ordered.mapInPandas(gated(capital, drawdown, daily_loss * capital, hours_between), "symbol string, entry_hour long, exit_hour long, side int, net double")
+    return gated(trades, capital, drawdown, daily_loss * capital, hours_between)
 
 
 def trade_stats(trades: DataFrame, by: str = "symbol", pnl: str = "net") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.functions.dialect import draw
+from barlab.functions.dialect import draw, duck_text
 from barlab.operators.joins import asof
 from barlab.plans.ledger import SPACE
 from barlab.plans.relations import computed, derived, query, relation
@@ -89,7 +91,29 @@ relation("manifest", _manifest, _MANIFEST_SQL, "bars")
 query("s10_content_manifest", "SELECT symbol, bars, first_hour, last_hour, content FROM {manifest}")
 #: A snapshot whose last symbol lost a bar: what verification must refuse.
 query("s11_integrity_check", "SELECT coalesce(m.symbol, s.symbol) AS symbol, CASE WHEN s.symbol IS NULL THEN 'missing' WHEN m.symbol IS NULL THEN 'unexpected' WHEN m.bars <> s.bars THEN 'rows differ' WHEN m.first_hour <> s.first_hour OR m.last_hour <> s.last_hour THEN 'range differs' ELSE 'ok' END AS verdict FROM {manifest} m FULL OUTER JOIN (SELECT symbol, count(*) AS bars, min(hour) AS first_hour, max(hour) AS last_hour FROM (SELECT symbol, hour, max(hour) OVER (PARTITION BY symbol) AS newest, max(symbol) OVER (PARTITION BY 1) AS last_symbol FROM {bars}) WHERE NOT (symbol = last_symbol AND hour = newest) GROUP BY symbol) s ON s.symbol = m.symbol")
-query("c28_preregistration", "SELECT cfg, digest, bars FROM (SELECT cfg, <sha>concat_ws('|', cfg, lookback, cast(round(stop_mult * 1e6) AS bigint), cast(round(target_mult * 1e6) AS bigint), hours, lag)</sha> AS digest FROM {configs}) CROSS JOIN (SELECT count(*) AS bars FROM {bars})")
+_REGISTRATION = "SELECT cfg, digest, bars FROM (SELECT cfg, <sha>concat_ws('|', cfg, lookback, cast(round(stop_mult * 1e6) AS bigint), cast(round(target_mult * 1e6) AS bigint), hours, lag)</sha> AS digest FROM {configs}) CROSS JOIN (SELECT count(*) AS bars FROM {bars})"
+relation("registration", lambda t: t.run(_REGISTRATION), duck_text(_REGISTRATION.format(configs="configs", bars="bars")), "configs", "bars")
+
+
+def preregister(rows: DataFrame, path: str) -> None:
+    """Writes a registration once: what stands at the path is never overwritten or added to."""
+    rows.write.mode("errorifexists").parquet(path)
+
+
+def _registered(t) -> DataFrame:
+    """The registration as it was written first, after an attempt to replace it that was refused."""
+    at = f"{shared_folder(t.spark)}/registration-{uuid.uuid4().hex}"
+    preregister(t.get("registration"), at)
+    try:
+        preregister(t.get("registration").limit(1), at)
+    except AnalysisException:
+        refused = True
+    else:
+        refused = False
+    return t.spark.read.parquet(at).withColumn("overwrite_refused", F.lit(refused))
+
+
+computed("c28_preregistration", _registered, "SELECT cfg, digest, bars, true AS overwrite_refused FROM registration", "registration")
 query("c06_run_fingerprint", "SELECT symbol, substr(<sha>concat_ws('|', symbol, content, 'seed=7', 'spec=1')</sha>, 1, 16) AS run_id FROM {manifest}")
 
 # ---------------------------------------------------------------- confirmation by higher timeframes
@@ -168,13 +192,16 @@ def _axis(name: str, values: tuple) -> str:
 
 derived("grids", " UNION ALL ".join(f"SELECT '{g}' AS phase, lookback, stop_mult, target_mult FROM " + " CROSS JOIN ".join(_axis(k, v) for k, v in axes.items()) for g, axes in _GRIDS.items()))
 query("c03_grid_phases", "SELECT symbol, lookback, stop_mult, target_mult, count(*) AS phases, min(phase) AS first_phase FROM {grids} JOIN (SELECT symbol, count(*) AS bars FROM {bars} GROUP BY symbol) ON bars >= 3 * lookback GROUP BY symbol, lookback, stop_mult, target_mult")
-query("j08_grid_by_symbol", "SELECT symbol, phase, count(*) AS configurations FROM {grids} CROSS JOIN (SELECT DISTINCT symbol FROM {bars}) GROUP BY symbol, phase")
-query("u03_grid_dedupe", "SELECT count(*) AS rows_before, count(DISTINCT concat_ws('|', lookback, stop_mult, target_mult)) AS rows_after, max(bars) AS bars FROM {grids} CROSS JOIN (SELECT count(*) AS bars FROM {bars})")
+#: The grid against the bars: a configuration's signals are the breaks of its look-back, counted once a look-back before the grid is joined.
+derived("breaks_by_lookback", "SELECT symbol, lookback, count(*) AS signals, sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS longs, avg(atr) AS mean_atr FROM {breaks} GROUP BY symbol, lookback")
+derived("grid_signals", "SELECT symbol, phase, g.lookback, stop_mult, target_mult, signals, longs, mean_atr FROM {grids} g JOIN {breaks_by_lookback} x ON x.lookback = g.lookback")
+query("j08_grid_by_symbol", "SELECT symbol, phase, lookback, stop_mult, target_mult, signals, longs, round(stop_mult * mean_atr, 6) AS mean_stop, round(target_mult * mean_atr, 6) AS mean_target FROM {grid_signals}")
+query("u03_grid_dedupe", "SELECT symbol, count(*) AS rows_before, count(DISTINCT concat_ws('|', lookback, stop_mult, target_mult)) AS rows_after, sum(signals) AS signals FROM {grid_signals} GROUP BY symbol")
 query("p15_regime_allowed", "SELECT symbol, hour, regime FROM {f} WHERE regime IN ('trend', 'breakout') AND close > bb_middle")
 
 # ---------------------------------------------------------------- maps, types, sinks, scores by family
 
-computed("f08_config_json", lambda t: t.get("configs").selectExpr("cfg", "to_json(named_struct('hours', hours, 'lookback', lookback)) AS params", "cast(get_json_object(to_json(named_struct('hours', hours, 'lookback', lookback)), '$.lookback') AS int) AS lookback").crossJoin(t.get("bars").groupBy().agg(F.count("*").alias("bars"))), "SELECT cfg, to_json({'hours': hours, 'lookback': lookback})::VARCHAR AS params, lookback, (SELECT count(*) FROM bars) AS bars FROM configs", "configs", "bars")
+computed("f08_config_json", lambda t: t.get("configs").selectExpr("cfg", "to_json(named_struct('hours', hours, 'lookback', lookback)) AS params", "cast(get_json_object(to_json(named_struct('hours', hours, 'lookback', lookback)), '$.lookback') AS int) AS lookback").join(t.get("taken").groupBy("cfg").agg(F.count("*").alias("trades")), "cfg"), "SELECT cfg, to_json({'hours': hours, 'lookback': lookback})::VARCHAR AS params, lookback, trades FROM configs JOIN (SELECT cfg, count(*) AS trades FROM taken GROUP BY cfg) USING (cfg)", "configs", "taken")
 query("s16_downcast", "SELECT symbol, hour, round(cast(cast(close AS float) AS double), 3) AS close FROM {bars}")
 query("ud4_family_scores", "SELECT asset, day, family, round(CASE family WHEN 'momentum' THEN mom_20 WHEN 'carry' THEN carry ELSE mom_20 - avg(mom_20) OVER (PARTITION BY day, family) END, 10) AS score FROM {px} CROSS JOIN (SELECT 'momentum' AS family UNION ALL SELECT 'carry' UNION ALL SELECT 'idiosyncratic')")
 

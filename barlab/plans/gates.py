@@ -7,10 +7,15 @@ market's, as the given events span a month; periods are weeks.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
+
 from barlab.functions.dialect import draw
 from barlab.operators.selection import distinct_best
-from barlab.plans.relations import derived, query, relation
+from barlab.plans.relations import Tables, computed, derived, query, relation
 from barlab.plans.strategies import normal_cdf
+from barlab.sources.shared import shared_folder, written
 
 #: Coefficients of the inverse normal distribution function (Acklam's rational approximation; fixed values).
 _A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
@@ -156,6 +161,10 @@ query(
 )
 query("c27_frozen_candidates", "SELECT symbol, sha256_hex, round(score, 4) AS score FROM (SELECT symbol, {HASH} AS sha256_hex, sum(CASE WHEN passed THEN weight ELSE 0 END) AS score FROM {gate_rows} g JOIN {spec} s ON s.gate = g.gate GROUP BY symbol)".replace("{HASH}", "<sha>concat(symbol, ':base:20:2:3:24')</sha>"))
 
+#: (deflated Sharpe ratio, trades, t statistic) that certification asks for at least.
+CERTIFIED = (0.95, 30, 2.0)
+query("c23_certification", f"SELECT symbol, n, round(dsr, 5) AS dsr, round(tstat, 6) AS tstat, NOT ruined AND sr > 0 AND n >= {CERTIFIED[1]} AND dsr >= {CERTIFIED[0]} AND tstat >= {CERTIFIED[2]} AS certified, CASE WHEN ruined THEN 'ruined' WHEN n < {CERTIFIED[1]} THEN 'too few trades' WHEN sr <= 0 THEN 'no return' WHEN dsr < {CERTIFIED[0]} THEN 'explained by trials' WHEN tstat < {CERTIFIED[2]} THEN 'not significant' ELSE 'certified' END AS reason FROM {{judged}}")
+
 # ---------------------------------------------------------------- fitness and rankings
 
 derived(
@@ -203,7 +212,42 @@ query("c08_hall_of_fame", "SELECT symbol, cfg, round(fitness, 5) AS fitness, pla
 query("c08_best_per_strategy", "SELECT symbol, cfg, round(fitness, 5) AS fitness, nth FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, cfg) AS nth FROM {scored}) WHERE nth <= 5")
 query("c25_sweep_winners", "SELECT s.symbol, s.cfg, round(s.fitness, 5) AS fitness, round(s.net_sealed, 6) AS net_sealed, round(s.median_other, 5) AS median_other FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(fitness, 9) DESC, cfg) AS nth FROM {scored}) s WHERE nth = 1")
 query("c24_winner_then_sealed", "SELECT symbol, cfg, round(train, 5) AS in_sample, round(val, 5) AS sealed, n_sealed FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(train, 9) DESC, cfg) AS nth FROM {fit}) WHERE nth = 1")
-query("c22_leaderboard", "SELECT symbol, n_passed, place FROM (SELECT symbol, n_passed, rank() OVER (ORDER BY n_passed DESC) AS place FROM (SELECT symbol, sum(CASE WHEN passed THEN 1 ELSE 0 END) AS n_passed FROM {gate_rows} GROUP BY symbol))")
+
+
+def _leaderboard(t: Tables) -> DataFrame:
+    """Two runs appended to one table, the scores under the base costs and under the stressed ones, read again, ranked and compared."""
+    at = f"{shared_folder(t.spark)}/leaderboard-{uuid.uuid4().hex}"
+    for run, cfg in enumerate(("base", "stress"), 1):
+        t.get("sums").where(f"cfg = '{cfg}' AND segment = 'sealed'").selectExpr(f"{run} AS run", "symbol", "round(sharpe, 6) AS score").write.mode("append").parquet(at)
+    return t.spark.read.schema("run int, symbol string, score double").parquet(at).selectExpr("run", "symbol", "score", *_PLACES)
+
+
+_PLACES = ["rank() OVER (PARTITION BY run ORDER BY score DESC) AS place", "score - lag(score) OVER (PARTITION BY symbol ORDER BY run) AS change"]
+computed("c22_leaderboard", _leaderboard, f"SELECT run, symbol, score, {', '.join(_PLACES)} FROM (SELECT CASE cfg WHEN 'base' THEN 1 ELSE 2 END AS run, symbol, round(sharpe, 6) AS score FROM sums WHERE cfg IN ('base', 'stress') AND segment = 'sealed')", "sums")
+
+
+def judged_each(t: Tables, gates: dict[str, tuple[str, str]]) -> DataFrame:
+    """(symbol, gate, passed, margin, error): each gate is run by itself; one that raises fails every candidate, with the kind of its error."""
+    out = None
+    for gate, (ok, margin) in gates.items():
+        try:
+            rows = written(t.run(f"SELECT symbol, '{gate}' AS gate, coalesce({ok}, false) AS passed, coalesce({margin}, -1e0) AS margin, CAST(NULL AS STRING) AS error FROM {{judged}} CROSS JOIN {{limits}}"), "gate")
+        except Exception as e:  # whatever a gate raises is its result
+            kind = getattr(e, "getCondition", lambda: None)() or type(e).__name__
+            rows = t.get("judged").selectExpr("symbol", f"'{gate}' AS gate", "false AS passed", "-1e0 AS margin", f"'{kind}' AS error")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+#: The gates, and one that divides by nothing.
+_WITH_BROKEN = {**GATES, "broken": ("sr / (n - n) > 0", "0e0")}
+computed(
+    "ud5_gates_that_fail",
+    lambda t: judged_each(t, _WITH_BROKEN).selectExpr("symbol", "gate", "passed", "round(margin, 5) AS margin", "error IS NOT NULL AS crashed"),
+    " UNION ALL ".join(f"SELECT symbol, '{g}' AS gate, coalesce({ok}, false) AS passed, round(coalesce({margin}, -1e0), 5) AS margin, false AS crashed FROM judged CROSS JOIN limits" for g, (ok, margin) in GATES.items()) + " UNION ALL SELECT symbol, 'broken', false, -1e0, true FROM judged",
+    "judged",
+    "limits",
+)
 derived(
     "experiments",
     """SELECT e.symbol, e.cfg, CASE WHEN b.train <> 0 THEN (e.train - b.train) / abs(b.train) * 100 WHEN e.train > 0 THEN 100e0 ELSE 0e0 END AS improvement, e.dd <= 1.5 * b.dd AND e.pf >= 0.7 * b.pf AND e.val >= CASE WHEN b.val > 0 THEN 0.7 * b.val ELSE b.val END AS guarded, NOT e.ruined AND e.pf > 1 AS robust

@@ -1,7 +1,7 @@
 """Configurations as rows, their trades, and what is counted over them.
 
 `configs` holds one row per configuration and cost scenario; breakout signals of all of them come from one pass over
-bars, thresholds as columns and window lengths enumerated. `trades` has every candidate trade, `taken` those of one
+bars: a row for each bar and look-back that it breaks, which configurations of that look-back are joined to. `trades` has every candidate trade, `taken` those of one
 position at a time.
 """
 
@@ -15,9 +15,11 @@ from barlab.functions.features import TRUE_RANGE
 from barlab.functions.layers import Layer, full, layers_sql, over
 from barlab.functions.series import indexed, previous, running
 from barlab.operators.ledger import RULES, barrier_exits, held_bars, one_at_a_time, sized
+from barlab.operators.quantiles import exact_quantiles
 from barlab.plans.frame import framed
-from barlab.plans.relations import Tables, derived, query, relation
+from barlab.plans.relations import Tables, computed, derived, query, relation
 from barlab.plans.signals import side_of
+from barlab.plans.strategies import GK
 
 LENGTHS = range(17, 24)
 
@@ -46,10 +48,19 @@ _BASED = ["symbol", "hour", *(f"100 + {c} / 10 AS {c}" for c in ("open", "high",
 
 
 relation("b", lambda t: framed(indexed(t.get("bars").selectExpr(*_BASED)), _CHANNELS, 64, 1), layers_sql(f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY hour) - 1 AS _i FROM (SELECT {', '.join(_BASED)} FROM bars)", _CHANNELS), "bars", write=True)
-_UP, _DN = (f"CASE lookback {' '.join(f'WHEN {n} THEN {x}_{n}' for n in LENGTHS)} END" for x in ("up", "dn"))
+_SIDES_OF = ", ".join(f"CASE WHEN close > up_{n} THEN 1 WHEN close < dn_{n} THEN -1 END" for n in LENGTHS)
+#: A row for each bar and look-back whose channel it breaks; configurations are joined on the look-back.
+_BAR = "symbol, hour, close, next_hour, next_open, atr, _i"
+_TAKES_PART = "atr > 0 AND _i > 23 AND next_open IS NOT NULL"
+relation(
+    "breaks",
+    lambda t: t.get("b").where(_TAKES_PART).selectExpr(*_BAR.split(", "), f"posexplode(array({_SIDES_OF})) AS (k, side)").where("side IS NOT NULL").selectExpr(*_BAR.split(", "), f"k + {LENGTHS[0]} AS lookback", "side"),
+    f"SELECT * FROM (SELECT {_BAR}, unnest(range({LENGTHS[0]}, {LENGTHS[-1] + 1})) AS lookback, unnest([{_SIDES_OF}]) AS side FROM b WHERE {_TAKES_PART}) WHERE side IS NOT NULL",
+    "b",
+)
 SIGNALS = f"""SELECT symbol, cfg, CASE WHEN lag = 0 THEN hour ELSE next_hour END AS fill_hour, CASE WHEN lag = 0 THEN hour + 1 ELSE next_hour END AS from_hour, CASE WHEN lag = 0 THEN close ELSE next_open END AS fill, side, atr, hours, slip, fee,
     CASE WHEN lag = 0 THEN close ELSE next_open END - side * stop_mult * atr AS stop, CASE WHEN lag = 0 THEN close ELSE next_open END + side * target_mult * atr AS target
-    FROM (SELECT *, CASE WHEN close > {_UP} THEN 1 WHEN close < {_DN} THEN -1 END AS side FROM {{b}} CROSS JOIN {{configs}}) WHERE side IS NOT NULL AND atr > 0 AND _i > 23 AND next_open IS NOT NULL"""
+    FROM (SELECT x.*, c.cfg, c.stop_mult, c.target_mult, c.hours, c.slip, c.fee, c.lag FROM {{breaks}} x JOIN {{configs}} c ON c.lookback = x.lookback)"""
 derived("signals", SIGNALS)
 
 #: From exits to results on a notional of 100: slippage against the trade on both legs, commission on both, funding of one basis point a notional and eight hours.
@@ -85,7 +96,7 @@ def taken_sql(trades: str) -> str:
     ON c.symbol = t.symbol AND c.cfg = t.cfg AND c.here = t.entry_hour"""
 
 
-relation("trades", lambda t: booked(barrier_exits(t.get("b"), t.run(SIGNALS))), booked_sql(exits_sql("signals", "b")), "b", "signals", write=True)
+relation("trades", lambda t: booked(barrier_exits(t.get("b"), t.get("signals"))), booked_sql(exits_sql("signals", "b")), "b", "signals", write=True)
 relation("taken", lambda t: one_at_a_time(t.get("trades")), taken_sql("trades"), "trades", write=True)
 
 # ---------------------------------------------------------------- the ledger
@@ -154,7 +165,8 @@ query(
     """SELECT symbol, cfg, round(total, 8) AS total, round(annual, 6) AS annual_return, round(sd * sqrt(8760), 6) AS volatility, round(m / nullif(sd, 0) * sqrt(8760), 6) AS sharpe, round(m / nullif(down, 0) * sqrt(8760), 6) AS sortino, round(annual / nullif(dd, 0), 6) AS calmar
     FROM (SELECT symbol, cfg, max_by(equity, hour) / min_by(equity, hour) - 1 AS total, pow(max_by(equity, hour) / min_by(equity, hour), 8760e0 / count(r)) - 1 AS annual, avg(r) AS m, stddev_samp(r) AS sd, stddev_samp(CASE WHEN r < -1e-12 THEN r END) AS down, max(1 - equity / peak) AS dd FROM {marked} GROUP BY symbol, cfg)""",
 )
-query("a06_value_at_risk", "SELECT symbol, cfg, round(var_95, 8) AS var_95, round(avg(CASE WHEN r <= var_95 THEN r END), 8) AS cvar_95 FROM {marked} JOIN (SELECT symbol, cfg, percentile_cont(0.05) WITHIN GROUP (ORDER BY r) AS var_95 FROM {marked} WHERE r IS NOT NULL GROUP BY symbol, cfg) USING (symbol, cfg) GROUP BY symbol, cfg, var_95")
+relation("var_95", lambda t: exact_quantiles(t.get("marked"), ["symbol", "cfg"], "r", [0.05]).selectExpr("symbol", "cfg", "q[0] AS var_95"), "SELECT symbol, cfg, percentile_cont(0.05) WITHIN GROUP (ORDER BY r) AS var_95 FROM marked WHERE r IS NOT NULL GROUP BY symbol, cfg", "marked")
+query("a06_value_at_risk", "SELECT m.symbol, m.cfg, round(var_95, 8) AS var_95, round(avg(CASE WHEN r <= var_95 + 1e-12 THEN r END), 8) AS cvar_95 FROM {marked} m JOIN {var_95} v ON v.symbol = m.symbol AND v.cfg = m.cfg GROUP BY m.symbol, m.cfg, var_95")
 
 # ---------------------------------------------------------------- a signal's own exit, a trailing stop, sizing
 
@@ -174,6 +186,15 @@ query(
         SELECT symbol, entry_hour, p_hour AS hour, atr, side * (p_close - fill) AS gain, CASE WHEN side = 1 THEN p_low - fill ELSE fill - p_high END AS worst FROM {open_bars}))
     WHERE worst <= trail GROUP BY symbol, entry_hour""",
 )
+# ---------------------------------------------------------------- two signals with features of their own beside the frame's fourteen-bar RSI
+
+_VOL_REGIME: list[Layer] = [*GK, {"slope": f"regr_slope(close, _i) {over(10)}", "calm": f"sum(CASE WHEN gk_z < 0 THEN 1 ELSE 0 END) {over(10, skip=1)}"}, {"side": "CASE WHEN calm >= 5 AND gk_ratio > 1.1 AND slope > 0 THEN 1 WHEN calm >= 5 AND gk_ratio > 1.1 AND slope < 0 THEN -1 WHEN gk_z > 2 AND rsi_14 < 45 THEN 1 WHEN gk_z > 2 AND rsi_14 > 55 THEN -1 END"}]
+_OBV: list[Layer] = [{"past": "lag(close, 10) OVER (PARTITION BY symbol ORDER BY hour)"}, {"side": "CASE WHEN close < past AND obv_divergence > 0 AND rsi_14 < 60 THEN 1 WHEN close > past AND obv_divergence < 0 AND rsi_14 > 40 THEN -1 END"}]
+for _name, _layers, _shown in (("g12_vol_regime_arb", _VOL_REGIME, ["gk_z", "gk_ratio", "rsi_14"]), ("g21_obv_divergence", _OBV, ["obv_divergence", "rsi_14"])):
+    _used = "symbol, hour, _i, open, high, low, close, rsi_14, obv_divergence"
+    _out = ["symbol", "hour", "side", *(f"round({c}, 6) AS {c}" for c in _shown)]
+    computed(_name, lambda t, x=_layers, u=_used, o=_out: framed(t.get("f").select(*u.split(", ")), x, 128).where("side IS NOT NULL").selectExpr(*o), f"SELECT {', '.join(_out)} FROM ({layers_sql(f'SELECT {_used} FROM f', _layers)}) WHERE side IS NOT NULL", "f")
+
 _R = RULES
 _DAILY = "CASE WHEN n.entry_hour // 24 > s.day THEN 0e0 ELSE s.lost END"
 _VOL = f"least({_R['cap']}e0, CASE WHEN n.atr > 0 AND n.fill > 0 THEN {_R['target_vol']}e0 / greatest(n.atr / n.fill * sqrt(365), 0.01) ELSE 0.05 END)"
@@ -240,5 +261,5 @@ def evaluate(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     values = [f"{a}e0 + {b - a}e0 * {draw(60 + j, 'id')} AS {name}" for j, (name, _, a, b, _) in enumerate(SPACE) if name.endswith("mult")]
     columns = ["cast(id AS string) AS cfg", f"cast({lo} + floor({hi - lo + 1} * {draw(64, 'id')}) AS int) AS lookback", *values, f"cast(12 + floor(36 * {draw(65, 'id')}) AS int) AS hours", "5e-4 AS slip", "1e-3 AS fee", "1 AS lag"]
     configs = spark.range(n).selectExpr(*map(spark_text, columns))
-    trades = booked(barrier_exits(t.get("b"), spark.sql(SIGNALS, b=t.get("b"), configs=configs)))
+    trades = booked(barrier_exits(t.get("b"), spark.sql(SIGNALS, breaks=t.get("breaks"), configs=configs)))
     return one_at_a_time(trades).groupBy("symbol", "cfg").agg(F.count("*").alias("trades"), F.sum("net").alias("net"), (F.avg("ret") / F.stddev_samp("ret")).alias("sharpe"))

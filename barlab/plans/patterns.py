@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from barlab.functions.layers import layers_sql, over
 from barlab.functions.series import running
 from barlab.operators import clusters
+from barlab.operators.quantiles import exact_quantiles
 from barlab.plans.frame import framed
 from barlab.plans.relations import Tables, computed, derived, query, relation
 
@@ -45,7 +46,7 @@ query("m02_forward_returns", "SELECT symbol, hour, round(fwd, 8) AS fwd FROM {wi
 relation("dims", lambda t: t.get("t_embeddings").where("vec_id IS NOT NULL").selectExpr("vec_id", "label", "posexplode(embedding) AS (dim, x)").selectExpr("vec_id", "label", "dim", "cast(x AS double) AS x"), "SELECT vec_id, label, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id IS NOT NULL")
 derived("train_dims", "SELECT * FROM {dims} WHERE vec_id % 10 < 7")
 query("m03_standard_scaling", "SELECT dim, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM {dims} GROUP BY dim")
-query("m16_robust_scaling", "SELECT dim, round(median(x), 6) AS middle, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY x) - percentile_cont(0.25) WITHIN GROUP (ORDER BY x), 6) AS iqr FROM {train_dims} GROUP BY dim")
+computed("m16_robust_scaling", lambda t: exact_quantiles(t.get("train_dims"), ["dim"], "x", [0.25, 0.5, 0.75]).selectExpr("dim", "round(q[1], 6) AS middle", "round(q[2] - q[0], 6) AS iqr"), "SELECT dim, round(median(x), 6) AS middle, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY x) - percentile_cont(0.25) WITHIN GROUP (ORDER BY x), 6) AS iqr FROM train_dims GROUP BY dim", "train_dims")
 
 # ---------------------------------------------------------------- fitted clusters
 
@@ -80,7 +81,7 @@ def _train(t: Tables) -> DataFrame:
 
 def _grouped(t: Tables) -> DataFrame:
     rows = _train(t)
-    lo, hi = (round(x, 9) for x in rows.selectExpr(f"percentile(fwd, array({_LOW}, {_HIGH})) AS p").first()["p"])
+    lo, hi = (round(x, 9) for x in exact_quantiles(rows, ["grp"], "fwd", [_LOW, _HIGH]).first()["q"])
     return rows.withColumn("grp", F.expr(f"CASE WHEN fwd < {lo!r}D THEN 0 WHEN fwd > {hi!r}D THEN 2 ELSE 1 END"))
 
 
@@ -119,9 +120,11 @@ relation(
     "shapes",
 )
 query("m10_cluster_by_bar", "SELECT symbol, hour, last_cluster FROM {cluster_by_bar}")
-_PROFILE = """count(*) AS n, avg(fwd) AS mean, stddev_pop(fwd) AS sd, avg(CASE WHEN fwd > 0.005 THEN 1e0 ELSE 0e0 END) AS p_up, avg(CASE WHEN fwd < -0.005 THEN 1e0 ELSE 0e0 END) AS p_down, median(fwd) AS middle, avg(CASE WHEN fwd > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, coalesce(avg(CASE WHEN fwd > 0 THEN fwd END), 0) AS avg_up, coalesce(avg(CASE WHEN fwd < 0 THEN fwd END), 0) AS avg_down"""
+_PROFILE = """count(*) AS n, avg(fwd) AS mean, stddev_pop(fwd) AS sd, avg(CASE WHEN fwd > 0.005 THEN 1e0 ELSE 0e0 END) AS p_up, avg(CASE WHEN fwd < -0.005 THEN 1e0 ELSE 0e0 END) AS p_down, avg(CASE WHEN fwd > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, coalesce(avg(CASE WHEN fwd > 0 THEN fwd END), 0) AS avg_up, coalesce(avg(CASE WHEN fwd < 0 THEN fwd END), 0) AS avg_down"""
 #: Old profiles are those of the training part, new ones of the validation part.
-derived("raw_profiles", f"SELECT part, cluster, {_PROFILE} FROM (SELECT cluster, fwd, CASE WHEN part = 'train' THEN 'old' ELSE 'new' END AS part FROM {{shapes}} WHERE fwd IS NOT NULL AND part IN ('train', 'val')) GROUP BY part, cluster")
+derived("profiled", "SELECT cluster, fwd, CASE WHEN part = 'train' THEN 'old' ELSE 'new' END AS part FROM {shapes} WHERE fwd IS NOT NULL AND part IN ('train', 'val')")
+relation("middles", lambda t: exact_quantiles(t.get("profiled"), ["part", "cluster"], "fwd", [0.5]).selectExpr("part", "cluster", "q[0] AS middle"), "SELECT part, cluster, median(fwd) AS middle FROM profiled GROUP BY part, cluster", "profiled")
+derived("raw_profiles", f"SELECT r.*, middle FROM (SELECT part, cluster, {_PROFILE} FROM {{profiled}} GROUP BY part, cluster) r JOIN {{middles}} m ON m.part = r.part AND m.cluster = r.cluster")
 #: Every cluster has a profile; one of fewer than five windows has the default.
 derived(
     "profiles",

@@ -158,4 +158,10 @@ _FIELDS = {"family": ["momentum", "carry", "idio"], "lookback": [5, 10, 20, 30,
 derived("portfolio_configs", "SELECT i AS cfg, " + ", ".join(f"{_PICK(v, 20 + j)} AS {k}" for j, (k, v) in enumerate(_FIELDS.items())) + " FROM {numbers} WHERE i < 200")
 #: Only those that the panel's names and days allow.
 query("c02_portfolio_configs", f"SELECT cfg, {', '.join(k if k not in ('gross', 'blend') else f'cast({k} AS double) AS {k}' for k in _FIELDS)}, cast(floor(days / cast(rebalance AS double)) AS bigint) AS periods FROM {{portfolio_configs}} JOIN (SELECT count(DISTINCT asset) AS names, count(DISTINCT day) AS days FROM {{panel}}) ON names >= greatest(min_names, 2 * k) AND days >= lookback + skip")
-query("c26_curated_configs", "SELECT * FROM (SELECT 'carry_weekly' AS name, 7 AS lookback, 4 AS k, 7 AS rebalance, 'alpha' AS tag UNION ALL SELECT 'momentum_monthly', 30, 3, 30, 'alpha' UNION ALL SELECT 'long_only_trend', 60, 5, 7, 'beta') c CROSS JOIN (SELECT count(DISTINCT asset) AS assets FROM {panel})")
+#: Curated configurations with what the panel gives each: names with a whole look-back, rebalances, and the share of names whose momentum over it is positive.
+query(
+    "c26_curated_configs",
+    """SELECT name, c.lookback, k, rebalance, tag, count(*) AS names, cast(floor(max(days) / max(cast(rebalance AS double))) AS bigint) AS periods, round(avg(CASE WHEN last_close > first_close THEN 1e0 ELSE 0e0 END), 6) AS rising FROM (SELECT 'carry_weekly' AS name, 7 AS lookback, 4 AS k, 7 AS rebalance, 'alpha' AS tag UNION ALL SELECT 'momentum_monthly', 30, 3, 30, 'alpha' UNION ALL SELECT 'long_only_trend', 60, 5, 7, 'beta') c
+    JOIN (SELECT asset, l.lookback, max_by(close, day) AS last_close, min_by(close, day) AS first_close, count(*) AS held FROM (SELECT p.asset, p.day, p.close, max(day) OVER (PARTITION BY asset) AS newest FROM {panel} p) p JOIN (SELECT 7 AS lookback UNION ALL SELECT 30 UNION ALL SELECT 60) l ON p.day > newest - l.lookback GROUP BY asset, l.lookback) m ON m.lookback = c.lookback
+    CROSS JOIN (SELECT count(DISTINCT day) AS days FROM {panel}) GROUP BY name, c.lookback, k, rebalance, tag""",
+)

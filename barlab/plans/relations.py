@@ -17,8 +17,21 @@ from barlab.sources.bars import PANEL_SQL, bars, bars_sql, panel, table
 from barlab.sources.shared import written_at
 
 
-#: (application, folder, relation, state of the folder's files) -> where it was written.
-_SNAPSHOTS: dict[tuple, tuple[DataFrame, str]] = {}
+#: (application, folder, relation) -> (state of the folder's files and of the relation's text, frame, where it was written).
+_SNAPSHOTS: dict[tuple, tuple[tuple, DataFrame, str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes this application's snapshots, so that the next query works everything out, and drops what is known of other applications."""
+    for key, (_, _, path) in list(_SNAPSHOTS.items()):
+        if key[0] == spark.sparkContext.applicationId:
+            _delete(spark, path)
+        del _SNAPSHOTS[key]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -41,7 +54,8 @@ class Tables:
     """The relations of one query, each built once.
 
     Relations that are written are snapshots: another query of the same application reads them again as long as the
-    folder's files are the same in name, size and time and the snapshot is still there.
+    folder's files are the same in name, size and time, the relation's text is, and the snapshot is still there. A
+    snapshot that is replaced is deleted.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -57,10 +71,16 @@ class Tables:
     def _snapshot(self, name: str) -> DataFrame:
         if self._files is None:
             self._files = files_of(self.spark, self.sf_dir)
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, self._files)
-        if key not in _SNAPSHOTS or not _exists(self.spark, _SNAPSHOTS[key][1]):
-            _SNAPSHOTS[key] = written_at(RELATIONS[name].frame(self), name)
-        return _SNAPSHOTS[key][0]
+        own = self.spark.sparkContext.applicationId
+        for other in [k for k in _SNAPSHOTS if k[0] != own]:
+            del _SNAPSHOTS[other]
+        key, state = (own, self.sf_dir, name), (self._files, RELATIONS[name].sql)
+        held = _SNAPSHOTS.get(key)
+        if held is None or held[0] != state or not _exists(self.spark, held[2]):
+            if held is not None:
+                _delete(self.spark, held[2])
+            _SNAPSHOTS[key] = (state, *written_at(RELATIONS[name].frame(self), name))
+        return _SNAPSHOTS[key][1]
 
     def run(self, text: str) -> DataFrame:
         return self.spark.sql(spark_text(text), **{n: self.get(n) for n in _named(text)})

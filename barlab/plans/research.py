@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.functions.features import TRUE_RANGE
-from barlab.functions.layers import Layer, add_layers, full, lag, layers_sql, lead, ratio, rounded
+from barlab.functions.layers import Layer, add_layers, full, lag, layers_sql, lead, over, ratio, rounded
 from barlab.functions.recursive import ewm_sql
 from barlab.functions.series import ewms
 from barlab.operators.trades import DONCHIAN
@@ -59,7 +59,9 @@ averaged("g06_keltner_breakout", *_KELTNER[:2], [*_KELTNER[2], {"side": "CASE WH
 #: The open of a smoothed candle is the mean of the open and close before it, the first one that of its own bar.
 _HEIKIN: list[Layer] = [{"ha_close": "(open + high + low + close) / 4"}, {"ha_source": f"coalesce({lag('ha_close')}, (open + close) / 2)"}]
 _COLOUR: Layer = {"ha_up": "CASE WHEN ha_close > ha_open THEN 1 ELSE 0 END"}
-averaged("w37_heikin_ashi", _HEIKIN, {"ha_open": ("ha_source", 0.5, 0)}, [_COLOUR], rounded(["symbol", "hour", "ha_up"], ["ha_open", "ha_close"]))
+#: Candles of the current colour in a row, counted up to 12.
+_RUNS: list[Layer] = [_COLOUR, {"turned": f"CASE WHEN {lag('ha_up')} = ha_up THEN 0 ELSE 1 END"}, {f"same_{n}": f"sum(turned) {over(n)}" for n in range(1, 12)}, {"colour_run": "1" + "".join(f" + CASE WHEN same_{n} = 0 THEN 1 ELSE 0 END" for n in range(1, 12))}]
+averaged("w37_heikin_ashi", _HEIKIN, {"ha_open": ("ha_source", 0.5, 0)}, _RUNS, rounded(["symbol", "hour", "ha_up", "colour_run"], ["ha_open", "ha_close"]))
 averaged(
     "g16_heikin_ashi_ema", _HEIKIN, {"ha_open": ("ha_source", 0.5, 0), "fast": ("close", 2 / 10, 9), "slow": ("close", 2 / 22, 21)},
     [_COLOUR, {"up": "CASE WHEN slow IS NOT NULL THEN CASE WHEN fast > slow THEN 1 ELSE 0 END END"}, {"was_up": lag("up")}, {"side": "CASE WHEN up = 1 AND was_up = 0 AND ha_up = 1 THEN 1 WHEN up = 0 AND was_up = 1 AND ha_up = 0 THEN -1 END"}],

@@ -6,7 +6,10 @@ given prices are far noisier than market bars, so some are looser than those of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.functions.layers import Layer, add_layers, full, lag, layers_sql, over, ratio, rounded
@@ -69,6 +72,34 @@ def side_of(name: str) -> str:
     return f"CASE WHEN {OK} THEN {SIDES[name][0]} END"
 
 
+@dataclass(frozen=True)
+class Strategy:
+    """A rule for a bar's side with the frame's columns that it reads, which are checked before it runs."""
+
+    name: str
+    side: str
+    needs: tuple[str, ...]
+
+    def on(self, frame_: DataFrame) -> Column:
+        missing = [c for c in self.needs if c not in frame_.columns]
+        if missing:
+            raise ValueError(f"{self.name} needs {', '.join(missing)}")
+        return F.expr(self.side)
+
+
+#: Words of the rules that are no columns.
+_WORDS = {"CASE", "WHEN", "THEN", "ELSE", "END", "AND", "OR", "NOT", "IS", "NULL", "IN", "abs", "coalesce", "nullif", "greatest", "least", "sign", "cast", "AS", "int", "double", "BETWEEN"}
+STRATEGIES = {n: Strategy(n, side_of(n), tuple(sorted(set(re.findall(r"\b[A-Za-z_]\w*\b", re.sub(r"'[^']*'|\b\d[\w.]*", " ", side_of(n)))) - _WORDS))) for n in SIDES}
+
+
+def all_signals(frame_: DataFrame) -> DataFrame:
+    """(symbol, hour, strategy, side): the signals of every registered strategy, from one pass over the frame."""
+    every = F.array(*(F.struct(F.lit(s.name).alias("strategy"), s.on(frame_).alias("side")) for s in STRATEGIES.values()))
+    return frame_.select("symbol", "hour", F.inline(every)).where("side IS NOT NULL")
+
+
+QUERIES["ud1_registered_strategies"] = lambda s, d: all_signals(frame(s, d)).groupBy("symbol", "strategy").agg(F.count("*").alias("signals"), F.sum(F.expr("CASE WHEN side = 1 THEN 1 ELSE 0 END")).alias("longs"))
+SQL["ud1_registered_strategies"] = f"{FRAME_SQL} " + " UNION ALL ".join(f"SELECT symbol, '{n}' AS strategy, count(*) AS signals, sum(CASE WHEN side = 1 THEN 1 ELSE 0 END)::BIGINT AS longs FROM (SELECT symbol, {s.side} AS side FROM f) WHERE side IS NOT NULL GROUP BY symbol" for n, s in STRATEGIES.items())
 for _name, (_, _show) in SIDES.items():
     _side = side_of(_name)
     of_frame(_name, ["symbol", "hour", f"{_side} AS side", *(f"round({x.split(' AS ')[0]}, 6) AS {x.split(' AS ')[-1]}" for x in _show)], f"{_side} IS NOT NULL")

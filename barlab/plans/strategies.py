@@ -26,7 +26,7 @@ def signal(name: str, layers: list[Layer], side: str, extra: list[str] | None =
 
 _CROSS: list[Layer] = [{"fast": full("avg", "close", 10), "slow": full("avg", "close", 50)}, {"up": "CASE WHEN slow IS NOT NULL THEN CASE WHEN fast > slow THEN 1 ELSE 0 END END"}, {"was_up": lag("up")}]
 _HALVES: list[Layer] = [*FEATURES["w33_rsi2"][0], {f"{name}_{part}": f"{f}({x}) {over(10, skip=skip)}" for part, skip in (("new", 0), ("old", 10)) for name, f, x in (("low", "min", "low"), ("high", "max", "high"), ("rsi_low", "min", "rsi_2"), ("rsi_high", "max", "rsi_2"))} | {"rn": _ROW}]
-_GK: list[Layer] = [
+GK: list[Layer] = [
     {"gk": f"0.5 * pow(ln({ratio('high', 'low')}), 2) - (2 * ln(2) - 1) * pow(ln({ratio('close', 'open')}), 2)"},
     {"gk_fast": f"sqrt(greatest({full('avg', 'gk', 5)}, 0))", "gk_slow": f"sqrt(greatest({full('avg', 'gk', 30)}, 0))"},
     {"gk_base": full("avg", "gk_fast", 50), "gk_sd": full("stddev_samp", "gk_fast", 50), "gk_ratio": ratio("gk_fast", "gk_slow")},
@@ -34,7 +34,7 @@ _GK: list[Layer] = [
 ]
 _CLIMB: list[Layer] = [*FEATURES["w14_volume"][0][:2], {"t": _ROW, "pm": full("avg", "close", 20), "vm20": full("avg", "abs(obv)", 20)}, {"price_slope": ratio(f"regr_slope(close, t) {over(20)}", "pm"), "obv_slope": ratio(f"regr_slope(obv, t) {over(20)}", "vm20")}, {"slope_gap": "obv_slope - price_slope"}]
 layered("w35_ma_cross", bars, bars_sql(), _CROSS, ["symbol", "hour", "round(fast, 6) AS fast", "round(slow, 6) AS slow", "up"])
-layered("w43_garman_klass_regime", bars, bars_sql(), _GK, rounded(["symbol", "hour"], ["gk_fast", "gk_slow", "gk_ratio", "gk_z"]))
+layered("w43_garman_klass_regime", bars, bars_sql(), GK, rounded(["symbol", "hour"], ["gk_fast", "gk_slow", "gk_ratio", "gk_z"]))
 layered("w46_obv_slope_gap", bars, bars_sql(), _CLIMB, rounded(["symbol", "hour"], ["price_slope", "obv_slope", "slope_gap"]))
 layered("w47_half_windows", bars, bars_sql(), _HALVES, rounded(["symbol", "hour"], ["low_new", "low_old", "high_new", "high_old", "rsi_low_new", "rsi_low_old"]), "rn > 20")
 
@@ -64,14 +64,7 @@ signal(
 signal("g02_mean_reversion", [*_BANDS, *_RSI, *_VOLUME, *FEATURES["w48_spike"][0], {"z": ratio("close - bb_middle", "sd")}], "CASE WHEN spike_pct < -2 AND z < -1.5 AND bb_pct_b < 0.1 AND rsi_2 < 20 THEN 1 WHEN spike_pct > 2 AND z > 1.5 AND bb_pct_b > 0.9 AND rsi_2 > 80 THEN -1 END", ["z"])
 signal("g05_dual_ma", [*_CROSS, *_VOLUME], "CASE WHEN up = 1 AND was_up = 0 AND volume_ratio > 0.8 THEN 1 WHEN up = 0 AND was_up = 1 AND volume_ratio > 0.8 THEN -1 END", ["fast", "slow"])
 signal("g08_ichimoku_kumo", [*FEATURES["w38_ichimoku"][0], {"before": lag("close"), "top_before": lag("cloud_top"), "bottom_before": lag("cloud_bottom")}], "CASE WHEN close > cloud_top AND before <= top_before AND tenkan > kijun THEN 1 WHEN close < cloud_bottom AND before >= bottom_before AND tenkan < kijun THEN -1 END", ["cloud_top", "cloud_bottom"])
-signal(
-    "g12_vol_regime_arb",
-    [*_GK, *_RSI, {"t": _ROW}, {"slope": f"regr_slope(close, t) {over(10)}", "calm": f"sum(CASE WHEN gk_z < 0 THEN 1 ELSE 0 END) {over(10, skip=1)}"}],
-    "CASE WHEN calm >= 5 AND gk_ratio > 1.1 AND slope > 0 THEN 1 WHEN calm >= 5 AND gk_ratio > 1.1 AND slope < 0 THEN -1 WHEN gk_z > 2 AND rsi_2 < 20 THEN 1 WHEN gk_z > 2 AND rsi_2 > 80 THEN -1 END",
-    ["gk_z", "gk_ratio"],
-)
 signal("g20_rsi_divergence", _HALVES, "CASE WHEN rn > 20 AND low_new < low_old AND rsi_low_new > rsi_low_old THEN 1 WHEN rn > 20 AND high_new > high_old AND rsi_high_new < rsi_high_old THEN -1 END")
-signal("g21_obv_divergence", [*FEATURES["w14_volume"][0], *_RSI, {"past": lag("close", 10)}], "CASE WHEN close < past AND obv_divergence > 0 AND rsi_2 < 60 THEN 1 WHEN close > past AND obv_divergence < 0 AND rsi_2 > 40 THEN -1 END", ["obv_divergence"])
 _WILLIAMS = "CASE WHEN williams_r < -80 AND cci < -100 AND volume_ratio > 1 THEN 1 WHEN williams_r > -20 AND cci > 100 AND volume_ratio > 1 THEN -1 END AS side"
 
 

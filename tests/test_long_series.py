@@ -224,3 +224,65 @@ def test_flat_and_bisecting_clusters_equal_plain_loops(spark):
     for r in labels:
         g = int(((macro - by_order[r.o]) ** 2).sum(1).argmin())
         assert r.cluster == g * 4 + int(((got[g] - by_order[r.o]) ** 2).sum(1).argmin())
+
+
+def test_risk_rules_equal_a_plain_loop(spark):
+    """Many trades a day, over midnight, with falls that trip the breaker in one key and not in the other."""
+    from barlab.operators.ledger import RULES, gated, sized
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for key, drift in (("up", 0.06), ("down", -0.03)):
+        hour = 0
+        for _ in range(400):
+            hour += int(rng.choice([0, 1, 2, 5, 30]))
+            end = hour + int(rng.integers(1, 5))
+            rows.append((key, "c", hour, end, float(rng.random() * 2), 100.0, float(rng.normal(drift, 0.12))))
+            hour = end
+    t = spark.createDataFrame(rows, "symbol string, cfg string, entry_hour long, exit_hour long, atr double, fill double, ret double")
+    r, want = RULES, {}
+    for key in ("up", "down"):
+        equity = peak = r["capital"]
+        day, lost, last, broken, losses = -1, 0.0, None, False, 0
+        for _, _, a, b, atr, fill, ret in (x for x in rows if x[0] == key):
+            if a // 24 > day:
+                day, lost = a // 24, 0.0
+            broken = broken or (peak - equity) / peak * 100 >= r["breaker_pct"]
+            verdict = "circuit_breaker" if broken else "daily_loss_limit" if lost < 0 and -lost / equity * 100 >= r["daily_pct"] else "min_interval" if last is not None and a - last < r["hours_between"] else "approved"
+            size, start = min(r["cap"], r["target_vol"] / max(atr / fill * 365**0.5, 0.01)), equity
+            if verdict == "approved":
+                pnl = size * equity * ret
+                equity, lost, last = equity + pnl, lost + pnl, b
+                peak, losses = max(peak, equity), losses + 1 if pnl < 0 else 0
+            want[key, a] = (verdict, start * size, equity, losses)
+    got = {(x.symbol, x.entry_hour): x for x in sized(t).collect()}
+    assert got.keys() == want.keys() and {v[0] for v in want.values()} == {"approved", "daily_loss_limit", "min_interval", "circuit_breaker"}
+    for k, (verdict, size, equity, losses) in want.items():
+        assert (got[k].verdict, got[k].losses) == (verdict, losses) and got[k].size_volatility == pytest.approx(size) and got[k].equity == pytest.approx(equity)
+    plain = t.selectExpr("symbol", "entry_hour", "exit_hour", "1 AS side", "100 * ret AS net")
+    kept = sorted((x.symbol, x.entry_hour) for x in gated(plain, 100.0, 0.2, 6.0, 3).collect())
+    out = []
+    for key in ("up", "down"):
+        equity = peak = 100.0
+        day, lost, last = -1, 0.0, -(10**6)
+        for _, _, a, _, _, _, ret in (x for x in rows if x[0] == key):
+            lost = lost if a // 24 == day else 0.0
+            if equity > peak * 0.8 and lost > -6.0 and a - last >= 3:
+                out.append((key, a))
+                equity, day, lost, last = equity + 100 * ret, a // 24, lost + 100 * ret, a
+                peak = max(peak, equity)
+    assert kept == sorted(out) and 0 < len(out) < len(rows)
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_exact_quantiles_equal_numpy(spark, accuracy):
+    from barlab.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(9)
+    groups = {"normal": rng.normal(size=3000), "ties": rng.integers(0, 3, 2000).astype(float), "spread": np.exp(rng.normal(0, 40, 1500)), "one": np.array([4.0]), "two": np.array([1.0, 2.0]), "flat": np.full(900, 7.0)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("nulls", None), ("two", None)]
+    ps = [0.0, 0.05, 0.5, 0.9, 1.0]
+    got = {r.g: r for r in exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(6), ["g"], "v", ps, accuracy).collect()}
+    assert got.keys() == groups.keys()
+    for g, x in groups.items():
+        assert got[g].n == len(x) and got[g].q == pytest.approx(np.quantile(x, ps).tolist(), rel=1e-12)
