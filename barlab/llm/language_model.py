@@ -107,9 +107,11 @@ def block_windows(spelled: np.ndarray, sizes: np.ndarray, held: np.ndarray, orde
     """The distinct windows of a block, sorted, and their counts in its training texts; worked out in parts of the block."""
     windows, counts = [], []
     for a, b, lo, hi in parts(sizes):
-        own, inverse = np.unique(window_keys(spelled[lo:hi], sizes[a:b], order), return_inverse=True)
-        counts.append(np.bincount(inverse[np.repeat(~held[a:b], sizes[a:b])], minlength=len(own)))
-        windows.append(own)
+        keys, learned = window_keys(spelled[lo:hi], sizes[a:b], order), np.repeat(~held[a:b], sizes[a:b])
+        for own, counted in ((np.sort(keys[learned]), 1), (np.sort(keys[~learned]), 0)):
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            windows.append(own[first])
+            counts.append(np.diff(np.append(first, len(own))) * counted)
     windows, counts = np.concatenate(windows), np.concatenate(counts)
     by = np.argsort(windows, kind="stable")
     return _add_up(windows[by], counts[by])
@@ -255,17 +257,24 @@ class Shard:
         return np.log10(self._probability(keys, self.order, self.order, kept=True))
 
 
+#: Marks rows of _low_counts that say how many windows blocks send for a context of three bytes.
+_LOAD = np.uint64(1 << 62)
+
+
 def _low_counts(order: int):
-    """Counts of the windows of three bytes."""
+    """Counts of the windows of three bytes, and for orders over three how many windows blocks send for each context of three."""
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
             parts = [held]
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = _ut(n, "<u4").astype(np.int64)
-                keys, counts = _add_up(np.cumsum(_ut(k, "<u8"), dtype=np.uint64) >> np.uint64(8 * max(0, order - 2)), counts)
+            for own, n in _read(batch):
+                keys, counts = _add_up(own >> np.uint64(8 * max(0, order - 2)), n)
                 parts.append((keys[counts > 0], counts[counts > 0]))
+                if order > 3:
+                    near = np.sort(contexts(own, order, 3).astype(np.uint32))
+                    first = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
+                    parts.append((near[first].astype(np.uint64) | _LOAD, np.diff(np.append(first, len(near)))))
             keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
             by = np.argsort(keys)
             held = _add_up(keys[by], counts[by])
@@ -274,6 +283,16 @@ def _low_counts(order: int):
     return low
 
 
+def low_counts(windows: DataFrame, order: int, hot_windows: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The windows of three bytes and their counts, and the contexts of three bytes with more than hot_windows windows, MOST_HOT at most."""
+    found = windows.mapInArrow(_low_counts(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where((F.col("key") < int(_LOAD)) | (F.col("n") > hot_windows)).toArrow()
+    keys, n = found.column("key").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+    load = keys >= _LOAD
+    by = np.argsort(keys[~load])
+    hot, windows_of = keys[load] ^ _LOAD, n[load]
+    return (keys[~load][by], n[~load][by]), np.sort(hot[np.lexsort((hot, -windows_of))[:MOST_HOT]])
+
+
 def _read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for k, n in zip(batch.column("words").to_pylist(), batch.column("learned").to_pylist(), strict=True):
         yield np.cumsum(_ut(k, "<u8"), dtype=np.uint64), _ut(n, "<u4").astype(np.int64)
@@ -288,7 +307,7 @@ def _sums(order: int, m: int, splits: Splits, among: Splits | None):
             parts = [held]
             for keys, n in _read(batch):
                 if among is None:
-                    own = keys if m == 3 else keys[splits.depths(keys, order) == m]
+                    own = keys[splits.depths(keys, order) == m]
                     k, n = np.unique(contexts(own, order, m), return_counts=True)
                     parts.append((k, n.astype(np.int64)))
                 else:
@@ -302,12 +321,13 @@ def _sums(order: int, m: int, splits: Splits, among: Splits | None):
     return sums
 
 
-def split_contexts(windows: DataFrame, low: tuple[np.ndarray, np.ndarray], order: int, least: int, hot_windows: int) -> Splits:
-    """The contexts to split: those with too many windows that diverge from their parents."""
+def split_contexts(windows: DataFrame, low: tuple[np.ndarray, np.ndarray], many: np.ndarray, order: int, least: int, hot_windows: int) -> Splits:
+    """The contexts to split: those with too many windows (of three bytes: `many`) that diverge from their parents."""
     splits = Splits({})
     for m in range(3, order):
-        loads = windows.mapInArrow(_sums(order, m, splits, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot_windows)
-        many = np.sort(np.array([r["key"] for r in loads.orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()], dtype=np.int64).view(np.uint64))
+        if m > 3:
+            loads = windows.mapInArrow(_sums(order, m, splits, None), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot_windows)
+            many = np.sort(np.array([r["key"] for r in loads.orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()], dtype=np.int64).view(np.uint64))
         if not len(many):
             break
         found = windows.mapInArrow(_sums(order, m, splits, Splits({m: (many, many)})), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
@@ -512,9 +532,8 @@ def language_model(docs: DataFrame, order: int = ORDER, least: int = LEAST, buck
     buckets, shards = max(8, total // bucket_bytes), min(1 << 24, max(8, total // (16 << 20)))
     sent = C.materialised(keyed.mapInArrow(_send_tokens(order, buckets, shards, block_bytes), _SENT), "lm-blocks")
     windows = sent.where(f"bucket >= {_SHARDS}")
-    found = windows.select("words", "learned").mapInArrow(_low_counts(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()  # windows of three bytes
-    counted = found.column("key").to_numpy().astype(np.uint64), found.column("n").to_numpy()
-    found_splits = split_contexts(windows.select("words", "learned"), counted, order, least, hot_windows)
+    counted, many = low_counts(windows.select("words", "learned"), order, hot_windows)
+    found_splits = split_contexts(windows.select("words", "learned"), counted, many, order, least, hot_windows)
     low, splits = spark.sparkContext.broadcast(counted), spark.sparkContext.broadcast(found_splits)
     dealt = windows.select("block", "bucket", "words", "learned")
     if found_splits.sets:

@@ -65,9 +65,8 @@ def test_contexts_with_many_windows_are_split_up_to_the_order(spark):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(rng.choice(["he la", "he lo", "she", "the la", "hex", "la he"], 60))) for i in range(80)]
     sent = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS _id", "0L AS _h", "text AS _text", "false AS held_out").mapInArrow(language_model._send_tokens(6, 8, 8, 400), language_model._SENT).where("bucket >= 1048576").select("block", "bucket", "words", "learned")
-    found = sent.select("words", "learned").mapInArrow(language_model._low_counts(6), "key long, n long").groupBy("key").sum("n").orderBy("key").toArrow()
-    low = found.column(0).to_numpy().astype(np.uint64), found.column(1).to_numpy()
-    splits = language_model.split_contexts(sent.select("words", "learned"), low, 6, 8, 60)
+    low, many = language_model.low_counts(sent.select("words", "learned"), 6, 60)
+    splits = language_model.split_contexts(sent.select("words", "learned"), low, many, 6, 8, 60)
     assert 3 in splits.sets and 4 in splits.sets
     assert np.isin(splits.sets[4] >> np.uint64(8), splits.sets[3]).all()
     before = [len(language_model._ut(r.words, "<u8")) for r in sent.collect()]
