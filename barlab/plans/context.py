@@ -153,22 +153,22 @@ SCENARIOS = [
 ]
 derived("scenarios", " UNION ALL ".join(f"SELECT '{r}' AS regime, '{s}' AS scenario, {p!r}e0 AS probability, '{d}' AS direction, {m!r}e0 AS multiple, '{st}' AS strategy, '{x}' AS status" for r, s, p, d, m, st, x in SCENARIOS))
 derived("latest", "SELECT * FROM (SELECT *, max(hour) OVER (PARTITION BY symbol) AS newest FROM {f}) WHERE hour = newest", write=True)
-query("r04_scenario_table", "SELECT DISTINCT f.symbol, f.hour, f.regime, scenario, probability, direction, round(multiple * 100 * atr_14 / close, 6) AS magnitude_pct FROM {f} f JOIN {scenarios} s ON s.regime = f.regime")
-query("j16_strategy_status", "SELECT f.symbol, f.hour, strategy, status, max(probability) AS probability FROM {f} f JOIN {scenarios} s ON s.regime = f.regime GROUP BY f.symbol, f.hour, strategy, status")
-query("r05_recommended", "SELECT f.symbol, f.hour, strategy, max(CASE WHEN status = 'ACTIVE' THEN 1 ELSE 0 END) = 1 AS recommended, max(CASE WHEN status = 'AVOID' THEN 1 ELSE 0 END) = 1 AS avoided, max(CASE WHEN f.regime = 'exogenous_shock' THEN 1 ELSE 0 END) = 1 AS shock_flag, max(CASE WHEN confidence < 0.3 THEN 1 ELSE 0 END) = 1 AS low_confidence_flag FROM {f} f JOIN {scenarios} s ON s.regime = f.regime WHERE probability > 0.3 GROUP BY f.symbol, f.hour, strategy")
+query("r04_scenario_table", "SELECT DISTINCT f.symbol, f.hour, f.regime, scenario, probability, direction, round(multiple * 100 * atr_14 / close, 6) AS magnitude_pct FROM {rg} f JOIN {scenarios} s ON s.regime = f.regime")
+query("j16_strategy_status", "SELECT f.symbol, f.hour, strategy, status, max(probability) AS probability FROM {rg} f JOIN {scenarios} s ON s.regime = f.regime GROUP BY f.symbol, f.hour, strategy, status")
+query("r05_recommended", "SELECT f.symbol, f.hour, strategy, max(CASE WHEN status = 'ACTIVE' THEN 1 ELSE 0 END) = 1 AS recommended, max(CASE WHEN status = 'AVOID' THEN 1 ELSE 0 END) = 1 AS avoided, max(CASE WHEN f.regime = 'exogenous_shock' THEN 1 ELSE 0 END) = 1 AS shock_flag, max(CASE WHEN confidence < 0.3 THEN 1 ELSE 0 END) = 1 AS low_confidence_flag FROM {rg} f JOIN {scenarios} s ON s.regime = f.regime WHERE probability > 0.3 GROUP BY f.symbol, f.hour, strategy")
 #: (regime, hypothesis, strategy or 'all', parameter, value)
 HYPOTHESES = [(r, h, s, p, v) for r, h, s, p, vs in (("breakout", "volume_surge", "volatility_breakout", "volume_threshold", (1.5, 2.0, 2.5)), ("breakout", "confirmation", "volatility_breakout", "confirmation_bars", (1, 2, 3)), ("mean_reversion", "z_score", "mean_reversion", "zscore_entry", (2.0, 2.5, 3.0)), ("trend", "adx_floor", "trend_following", "adx_min", (20, 25, 30)), ("lateral", "stops", "all", "stop_mult", (1.5, 2.0, 2.5))) for v in vs]
 derived("hypotheses", " UNION ALL ".join(f"SELECT '{r}' AS regime, '{h}' AS hypothesis, '{s}' AS strategy, '{p}' AS param, {float(v)!r}e0 AS value" for r, h, s, p, v in HYPOTHESES))
-query("r06_hypotheses", "SELECT f.regime, hypothesis, strategy, param, value, count(*) AS bars FROM {f} f JOIN {hypotheses} h ON h.regime = f.regime GROUP BY f.regime, hypothesis, strategy, param, value")
-query("j13_hypothesis_matches", "SELECT s.strategy AS name, hypothesis, param, value, bars FROM (SELECT DISTINCT strategy FROM {scenarios}) s JOIN {hypotheses} h ON h.strategy = s.strategy OR h.strategy = 'all' JOIN (SELECT regime, count(*) AS bars FROM {f} GROUP BY regime) r ON r.regime = h.regime")
-query("c05_perturbed_configs", f"SELECT symbol, hypothesis, strategy, param, i AS trial, round(value * (0.7 + 0.6 * {draw(31, 'symbol', 'hypothesis', 'param', 'value', 'i')}), 6) AS value FROM (SELECT symbol, regime, count(*) AS bars FROM {{f}} GROUP BY symbol, regime) r JOIN {{hypotheses}} h ON h.regime = r.regime CROSS JOIN (SELECT i FROM {{numbers}} WHERE i < 5) WHERE bars >= 20")
+query("r06_hypotheses", "SELECT f.regime, hypothesis, strategy, param, value, count(*) AS bars FROM {rg} f JOIN {hypotheses} h ON h.regime = f.regime GROUP BY f.regime, hypothesis, strategy, param, value")
+query("j13_hypothesis_matches", "SELECT s.strategy AS name, hypothesis, param, value, bars FROM (SELECT DISTINCT strategy FROM {scenarios}) s JOIN {hypotheses} h ON h.strategy = s.strategy OR h.strategy = 'all' JOIN (SELECT regime, count(*) AS bars FROM {rg} GROUP BY regime) r ON r.regime = h.regime")
+query("c05_perturbed_configs", f"SELECT symbol, hypothesis, strategy, param, i AS trial, round(value * (0.7 + 0.6 * {draw(31, 'symbol', 'hypothesis', 'param', 'value', 'i')}), 6) AS value FROM (SELECT symbol, regime, count(*) AS bars FROM {{rg}} GROUP BY symbol, regime) r JOIN {{hypotheses}} h ON h.regime = r.regime CROSS JOIN (SELECT i FROM {{numbers}} WHERE i < 5) WHERE bars >= 20")
 _VOTES = {
     "whale": ("ret_1 < -0.02", "ret_1 > 0.03"), "momentum": ("regime = 'trend' AND ret_1 > 0", "regime = 'trend' AND ret_1 <= 0"), "reversion": ("rsi_14 < 25", "rsi_14 > 75"), "retail": ("ret_1 > 0.03 AND volume_ratio > 2", "ret_1 < -0.03"),
     "market_maker": ("false", "false"), "institutional": ("adx_14 > 30 AND ret_1 > 0", "adx_14 > 30 AND ret_1 <= 0"),
 }
 _FOR, _AGAINST = (" + ".join(f"CASE WHEN {v[k]} THEN 1 ELSE 0 END" for v in _VOTES.values()) for k in (0, 1))
 query("a33_consensus", f"SELECT symbol, hour, bullish, bearish, 6 - bullish - bearish AS neutral, round((bullish - bearish) / 6e0, 6) AS net_sentiment FROM (SELECT symbol, hour, {_FOR} AS bullish, {_AGAINST} AS bearish FROM {{f}} WHERE ret_1 IS NOT NULL)")
-query("a30_regime_distribution", "SELECT regime, count(*) AS bars, round(count(*) / max(n), 6) AS share FROM {f} CROSS JOIN (SELECT cast(count(*) AS double) AS n FROM {f}) GROUP BY regime")
+query("a30_regime_distribution", "SELECT regime, count(*) AS bars, round(count(*) / max(n), 6) AS share FROM {rg} CROSS JOIN (SELECT cast(count(*) AS double) AS n FROM {rg}) GROUP BY regime")
 
 # ---------------------------------------------------------------- configurations
 
@@ -197,7 +197,7 @@ derived("breaks_by_lookback", "SELECT symbol, lookback, count(*) AS signals, sum
 derived("grid_signals", "SELECT symbol, phase, g.lookback, stop_mult, target_mult, signals, longs, mean_atr FROM {grids} g JOIN {breaks_by_lookback} x ON x.lookback = g.lookback")
 query("j08_grid_by_symbol", "SELECT symbol, phase, lookback, stop_mult, target_mult, signals, longs, round(stop_mult * mean_atr, 6) AS mean_stop, round(target_mult * mean_atr, 6) AS mean_target FROM {grid_signals}")
 query("u03_grid_dedupe", "SELECT symbol, count(*) AS rows_before, count(DISTINCT concat_ws('|', lookback, stop_mult, target_mult)) AS rows_after, sum(signals) AS signals FROM {grid_signals} GROUP BY symbol")
-query("p15_regime_allowed", "SELECT symbol, hour, regime FROM {f} WHERE regime IN ('trend', 'breakout') AND close > bb_middle")
+query("p15_regime_allowed", "SELECT symbol, hour, regime FROM {rg} WHERE regime IN ('trend', 'breakout') AND close > bb_middle")
 
 # ---------------------------------------------------------------- maps, types, sinks, scores by family
 

@@ -13,7 +13,7 @@ from barlab.functions.layers import Layer, add_layers, full, lag, layers_sql, ov
 from barlab.functions.recursive import ewm_sql
 from barlab.functions.series import ewm_gaps, ewm_gaps_sql, ewms, indexed, with_halo, without_halo
 from barlab.plans.registry import QUERIES, SQL
-from barlab.plans.relations import Tables, relation
+from barlab.plans.relations import Tables, query, relation
 from barlab.sources.bars import bars, bars_sql
 from barlab.sources.shared import written
 
@@ -111,6 +111,19 @@ def labelled(df: DataFrame) -> DataFrame:
     return framed(add_layers(ewm_gaps(df, "dx", 2 / 15, "adx_14", 14), _SCORES), _NEXT, 32, 1)
 
 
+#: What the regime's scores and the queries beside them read of the bounded features.
+_SCORED = ["close", "atr_14", "bb_middle", "bb_bw_percentile", "volume_zscore", "vol_ratio", "ret_zscore_20", "dist_from_high_20", "dist_from_low_20"]
+_REGIME = ["symbol", "hour", "_i", "close", "atr_14", "bb_middle", "regime", "confidence"]
+
+
+def regimes(b: DataFrame) -> DataFrame:
+    """Bars with their regime, from the columns that it needs alone: of the thirteen averages, those of the directional movement."""
+    narrow = written(framed(indexed(b), [*_FIRST, *_SECOND_SPARK]).select("symbol", "hour", "_i", "dm_up", "dm_down", *_SCORED), "regime-features")
+    moved = ewms(narrow, {k: AVERAGES[k] for k in ("e_up", "e_down")})
+    with_dx = add_layers(moved, [{k: _THIRD[0][k] for k in ("di_up", "di_down")}, {"dx": _THIRD[1]["dx"]}]).select("symbol", "hour", "_i", "dx", *_SCORED)
+    return add_layers(ewm_gaps(written(with_dx, "regime-movement"), "dx", 2 / 15, "adx_14", 14), _SCORES).select(*_REGIME)
+
+
 def frame(spark: SparkSession, sf_dir: str, hours: int = 1, symbol: str = "event_type") -> DataFrame:
     """The frame of bars of any length; each step reads the one before it several times, so steps are written."""
     if (hours, symbol) == (1, "event_type"):
@@ -152,7 +165,8 @@ of_frame("s09_snapshot_by_user", rounded(["symbol", "hour", "regime", "hour >= m
 of_frame("w04_rsi", rounded(["symbol", "hour"], ["rsi_14", "rsi_7"]))
 of_frame("w05_adx", ["symbol", "hour", "round(dx, 5) AS dx", "round(adx_14, 5) AS adx"])
 of_frame("w25_macro_trend", rounded(["symbol", "hour", "macro_bullish", "bmsb_macro_bullish", "macro_trend_up"], ["ema_200", "macro_ema_480"]))
-of_frame("r01_regime", ["symbol", "hour", "regime", "round(confidence, 6) AS confidence"])
 relation("bounded", lambda t: bounded(t.get("bars")), "SELECT 1", write=True)
 relation("recursive", lambda t: recursive(t.get("bounded")), "SELECT 1", write=True)
 relation("f", lambda t: labelled(t.get("recursive")), body_sql(), "bars0", write=True)
+relation("rg", lambda t: regimes(t.get("bars")), f"SELECT {', '.join(_REGIME)} FROM f", "f", write=True)
+query("r01_regime", "SELECT symbol, hour, regime, round(confidence, 6) AS confidence FROM {rg}")

@@ -75,7 +75,7 @@ derived(
 )
 query("a15_referee_metrics", "SELECT symbol, cfg, segment, n, round(net, 6) AS net, round(pf, 6) AS profit_factor, round(sharpe, 5) AS sharpe_annualised, round(per_trade, 6) AS sharpe_per_trade, round(win_rate, 6) AS win_rate, round(hours_held, 6) AS hours_held FROM {sums}")
 query("a19_moments", "SELECT symbol, cfg, segment, n, round(skew, 5) AS skew, round(kurt, 5) AS kurt FROM {sums} WHERE n > 0")
-derived("entered", "SELECT p.*, coalesce(regime, 'unknown') AS regime FROM {parted} p LEFT JOIN {f} ON f_symbol = p.symbol AND f_hour = p.entry_hour".replace("{f}", "(SELECT symbol AS f_symbol, hour AS f_hour, regime FROM {f})"))
+derived("entered", "SELECT p.*, coalesce(regime, 'unknown') AS regime FROM {parted} p LEFT JOIN (SELECT symbol AS f_symbol, hour AS f_hour, regime FROM {rg}) ON f_symbol = p.symbol AND f_hour = p.entry_hour")
 derived("regimes", "SELECT symbol, segment, regime, sum(net) AS net FROM {entered} WHERE cfg = 'base' GROUP BY symbol, segment, regime")
 query("j04_regime_at_entry", "SELECT symbol, cfg, entry_hour, regime FROM {entered} WHERE cfg NOT LIKE 'near%'")
 query("a18_pnl_by_regime", "SELECT regime, trades, round(net, 4) AS total, round(net / nullif(whole, 0), 6) AS share FROM (SELECT regime, count(*) AS trades, sum(net) AS net FROM {entered} WHERE cfg = 'base' GROUP BY regime) CROSS JOIN (SELECT sum(net) AS whole FROM {entered} WHERE cfg = 'base')")
