@@ -61,7 +61,7 @@ relation(
 )
 #: Thousandths of a standard deviation of the training part, as whole numbers.
 relation(
-    "scaled",
+    "scaled_windows",
     lambda t: t.get("parted_windows").crossJoin(F.broadcast(t.get("scaler"))).selectExpr("symbol", "hour", "_i", "fwd", "part", "zip_with(v, scale, (x, y) -> cast(floor(CASE WHEN y.s > 0 THEN 1000 * (x - y.m) / y.s ELSE 0D END + 0.5D) AS bigint)) AS q"),
     "SELECT symbol, hour, _i, fwd, part, concat_ws(':', symbol, hour) AS id, md5(concat_ws(':', symbol, hour)) AS o, list_transform(list_zip(v, m, s), lambda y: floor(CASE WHEN y[3] > 0 THEN 1000 * (y[1] - y[2]) / y[3] ELSE 0 END + 0.5)) AS v FROM parted_windows CROSS JOIN scaler",
     "parted_windows",
@@ -71,12 +71,12 @@ relation(
 MICRO = 7
 #: Macro groups by the 33rd and 67th percentile of the training part's forward return. Groups know the future, so they serve the fit alone; rows are assigned by their own features.
 _LOW, _HIGH = 0.33, 0.67
-_GROUPED_SQL = f"SELECT id, o, v, CASE WHEN fwd < lo THEN 0 WHEN fwd > hi THEN 2 ELSE 1 END AS grp FROM scaled CROSS JOIN (SELECT round(quantile_cont(fwd, {_LOW}), 9) AS lo, round(quantile_cont(fwd, {_HIGH}), 9) AS hi FROM scaled WHERE part = 'train' AND fwd IS NOT NULL) WHERE part = 'train' AND fwd IS NOT NULL"
-_TRAIN_SQL = "SELECT id, o, v, 0 AS grp FROM scaled WHERE part = 'train' AND fwd IS NOT NULL"
+_GROUPED_SQL = f"SELECT id, o, v, CASE WHEN fwd < lo THEN 0 WHEN fwd > hi THEN 2 ELSE 1 END AS grp FROM scaled_windows CROSS JOIN (SELECT round(quantile_cont(fwd, {_LOW}), 9) AS lo, round(quantile_cont(fwd, {_HIGH}), 9) AS hi FROM scaled_windows WHERE part = 'train' AND fwd IS NOT NULL) WHERE part = 'train' AND fwd IS NOT NULL"
+_TRAIN_SQL = "SELECT id, o, v, 0 AS grp FROM scaled_windows WHERE part = 'train' AND fwd IS NOT NULL"
 
 
 def _train(t: Tables) -> DataFrame:
-    return t.get("scaled").where("part = 'train' AND fwd IS NOT NULL").selectExpr("0 AS grp", "md5(concat_ws(':', symbol, hour)) AS o", "q", "fwd")
+    return t.get("scaled_windows").where("part = 'train' AND fwd IS NOT NULL").selectExpr("0 AS grp", "md5(concat_ws(':', symbol, hour)) AS o", "q", "fwd")
 
 
 def _grouped(t: Tables) -> DataFrame:
@@ -98,8 +98,8 @@ VARIANTS = {
 }
 TWO = f"two_level_{3 * MICRO}"
 for _v, (_k, _per, _fit, _sql) in VARIANTS.items():
-    relation(f"book_{_v}", lambda t, f=_fit: clusters.as_table(t.spark, f(t)), _sql, "scaled", write=True)
-    relation(f"labels_{_v}", lambda t, v=_v, per=_per: clusters.assigned(t.get("scaled"), clusters.from_table(t.get(f"book_{v}")), ["symbol", "hour", "_i", "fwd", "part"], per), clusters.assigned_sql("scaled", f"book_{_v}", "symbol, hour, _i, fwd, part", _per), "scaled", f"book_{_v}", write=True)
+    relation(f"book_{_v}", lambda t, f=_fit: clusters.as_table(t.spark, f(t)), _sql, "scaled_windows", write=True)
+    relation(f"labels_{_v}", lambda t, v=_v, per=_per: clusters.assigned(t.get("scaled_windows"), clusters.from_table(t.get(f"book_{v}")), ["symbol", "hour", "_i", "fwd", "part"], per), clusters.assigned_sql("scaled_windows", f"book_{_v}", "symbol, hour, _i, fwd, part", _per), "scaled_windows", f"book_{_v}", write=True)
 for _name, _v in (("m04_kmeans", "flat_8"), ("m04_kmeans_20", "flat_20"), ("m04_kmeans_50", "flat_50"), ("m05_bisecting", "bisecting_20"), ("m05_bisecting_50", "bisecting_50")):
     query(_name, f"SELECT symbol, hour, part, cluster FROM {{labels_{_v}}}")
 query("m06_two_levels", f"SELECT symbol, hour, part, cast(floor(cluster / {MICRO}e0) AS int) AS macro, cluster FROM {{labels_{TWO}}} WHERE part = 'train'")

@@ -99,6 +99,8 @@ RELATIONS: dict[str, Relation] = {}
 
 
 def relation(name: str, frame: Callable[[Tables], DataFrame], sql: str, *needs: str, write: bool = False) -> None:
+    if name in RELATIONS:
+        raise ValueError(f"two relations are called {name}")
     RELATIONS[name] = Relation(frame, sql, needs, write)
 
 
