@@ -58,9 +58,10 @@ def one_at_a_time(trades: DataFrame, fold_rows: int = 2048) -> DataFrame:
     marked = running(trades, {"_busy": ("max", "exit_hour")}, KEY, "entry_hour", exclusive=True)
     islands = written(running(marked, {"_island": ("max", "CASE WHEN coalesce(entry_hour >= _busy, true) THEN entry_hour END")}, KEY, "entry_hour").drop("_busy"), "islands")
     key = [*KEY, "_island"]
-    large = written(islands.groupBy(*key).count().where(F.col("count") > fold_rows).drop("count"), "large-islands")
+    large = islands.groupBy(*key).count().where(F.col("count") > fold_rows).drop("count")
     if large.isEmpty():
         return _folded(islands, columns)
+    large = written(large, "large-islands")
     return _folded(islands.join(large, key, "left_anti"), columns).unionByName(_doubled(islands.join(large, key, "left_semi"), key).select(*columns))
 
 
