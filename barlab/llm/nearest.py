@@ -1,9 +1,14 @@
 """Approximate nearest neighbours by inner product: inverted lists with an adaptive dimension scan.
 
 Vectors get one more component, sqrt(M^2 - |x|^2) with M the largest norm (0 for queries), so that the largest inner
-product is the smallest distance; all are turned by one random rotation. Centroids are fitted on a bounded sample, and
-every vector goes to the list of its nearest centroid. A query probes the lists with the nearest centroids; how many
-is set by brute force on a bounded sample of queries against all vectors, for the asked recall. A query whose lists hold
+product is the smallest distance; all are turned by one random rotation. There are as many lists as the root of the number
+of vectors, so a list holds as many vectors as there are lists. A list's centroid is the sum of a coarse one, of `coarse`
+at most, and a fine one, of what the nearest coarse ones leave; both are fitted on a bounded sample, and up to coarse^2
+vectors the fine one is zero. Every vector goes to the nearest coarse centroid, then to the fine one nearest to what is
+left. The model has coarse + root / coarse centroids and a count for each list: 8 MB at 10^12 vectors.
+
+A query probes the lists with the nearest centroids, empty ones last; how many is set by brute force on a bounded sample
+of queries against all vectors, for the asked recall. A query whose lists hold
 fewer than k vectors of other ids probes further lists, in the same order, until they do or no list is left, so every query
 gets k rows, or all candidates if there are fewer.
 
@@ -29,7 +34,9 @@ from pyspark.sql import functions as F
 
 from barlab.llm import common as C
 
-SAMPLE, TUNING_QUERIES, MOST_LISTS = 16_384, 64, 1024
+SAMPLE, TUNING_QUERIES, COARSE = 16_384, 64, 1024
+#: Distances of queries to lists held at once: 32 MB.
+_DISTANCES = 1 << 22
 _COLUMNS = 16
 #: Queries scanned at once: 128 by 4096 pairs of single precision are 2 MB.
 _QUERIES = 128
@@ -58,6 +65,34 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 19) -> np.ndarray
     return centres
 
 
+def fit_lists(x: np.ndarray, n: int, coarse: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coarse and fine centroids of at least n lists; list c * len(fine) + f has the centroid coarse[c] + fine[f]."""
+    centres = kmeans(x, min(n, coarse))
+    if n <= coarse:
+        return centres, np.zeros((1, x.shape[1]))
+    left = x - centres[_closest(x, centres)]
+    return centres, kmeans(left, -(-n // len(centres)), seed=23)
+
+
+def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmin((centres**2).sum(1)[None, :] - 2 * x @ centres.T, axis=1)
+
+
+def list_of(x: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    coarse, fine = lists
+    near = _closest(x, coarse)
+    return near if len(fine) == 1 else near * len(fine) + _closest(x - coarse[near], fine)
+
+
+def list_order(q: np.ndarray, lists: tuple[np.ndarray, np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The lists of each row of q, nearest centroid first, those without vectors last."""
+    coarse, fine = lists
+    far = ((coarse**2).sum(1)[None, :] - 2 * q @ coarse.T)[:, :, None] + ((fine**2).sum(1)[None, :] - 2 * q @ fine.T)[:, None, :] + 2 * (coarse @ fine.T)[None]
+    far = far.reshape(len(q), -1)
+    far[:, sizes == 0] = np.inf
+    return np.argsort(far, axis=1, kind="stable")
+
+
 def _lifted(x: np.ndarray, most: float | None) -> np.ndarray:
     last = np.zeros(len(x)) if most is None else np.sqrt(np.maximum(most - (x**2).sum(1), 0))
     return np.column_stack([x, last])
@@ -65,11 +100,10 @@ def _lifted(x: np.ndarray, most: float | None) -> np.ndarray:
 
 def _assign(model):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, centres, most = model.value
+        turn, lists, most = model.value
         for rows in batches:
             if rows.num_rows:
-                x = _lifted(_matrix(rows.column("vec")), most) @ turn
-                near = np.argmin((centres**2).sum(1)[None, :] - 2 * x @ centres.T, axis=1)
+                near = list_of(_lifted(_matrix(rows.column("vec")), most) @ turn, lists)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.astype(np.int32))], names=[*rows.schema.names, "list"])
 
     return assign
@@ -83,14 +117,14 @@ def probed(near: np.ndarray, sizes: np.ndarray, needed: np.ndarray, n: int) -> n
 
 def _probes(model, sizes: np.ndarray, n: int, k: int):
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, centres, _ = model.value
-        for rows in batches:
-            if rows.num_rows:
-                q = _lifted(_matrix(rows.column("vec")), None) @ turn
-                near = np.argsort((centres**2).sum(1)[None, :] - 2 * q @ centres.T, axis=1, kind="stable")
+        turn, lists, _ = model.value
+        step = max(1, _DISTANCES // len(sizes))
+        for whole in batches:
+            for rows in (whole.slice(a, step) for a in range(0, whole.num_rows, step)):
+                near = list_order(_lifted(_matrix(rows.column("vec")), None) @ turn, lists, sizes)
                 most = probed(near, sizes, k + rows.column("own").to_numpy(), n)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(near[np.arange(near.shape[1])[None, :] < most[:, None]].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([rows.column("vec_id"), rows.column("vec"), lists], names=["vec_id", "vec", "lists"])
+                read = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(near[np.arange(near.shape[1])[None, :] < most[:, None]].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([rows.column("vec_id"), rows.column("vec"), read], names=["vec_id", "vec", "lists"])
 
     return probes
 
@@ -171,21 +205,21 @@ def valid_vectors(table: DataFrame) -> DataFrame:
     return rows.where(F.size("vec") == (size["d"] if size else 0))
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, block_rows: int = 4096, query_rows: int = 2048) -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, block_rows: int = 4096, query_rows: int = 2048, coarse: int = COARSE) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by inner product; both frames hold (vec_id, vec)."""
     spark = table.sparkSession
     whole = table.agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).first()
     if not whole["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = int(min(MOST_LISTS, max(1, round(whole["n"] ** 0.5))))
     fitted = np.array([r["vec"] for r in table.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").collect()])
     turn = rotation(fitted.shape[1] + 1)
-    model = spark.sparkContext.broadcast((turn, kmeans(_lifted(fitted, whole["most"]) @ turn, lists), whole["most"]))
+    lists = fit_lists(_lifted(fitted, whole["most"]) @ turn, max(1, round(whole["n"] ** 0.5)), coarse)
+    model = spark.sparkContext.broadcast((turn, lists, whole["most"]))
     placed = C.materialised(table.mapInArrow(_assign(model), "vec_id long, vec array<double>, list int"), "nearest-lists")
-    probes = _tuned(placed, queries, model, k, recall)
-    sizes = np.zeros(len(model.value[1]), dtype=np.int64)
+    sizes = np.zeros(len(lists[0]) * len(lists[1]), dtype=np.int64)
     for r in placed.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
+    probes = _tuned(placed, queries, model, sizes, k, recall)
     # rows that share a query's id are none of its candidates
     repeated = placed.groupBy("vec_id").count().where("count > 1").withColumnRenamed("count", "own")
     known = queries.join(repeated, "vec_id", "left").select("vec_id", "vec", F.coalesce("own", F.lit(1)).alias("own"))
@@ -203,10 +237,10 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
     return found.withColumn("rank", best.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _tuned(placed: DataFrame, queries: DataFrame, model, k: int, recall: float) -> int:
+def _tuned(placed: DataFrame, queries: DataFrame, model, sizes: np.ndarray, k: int, recall: float) -> int:
     """Lists to probe so that sampled queries find `recall` of their true neighbours."""
     sample = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TUNING_QUERIES).collect()
-    turn, centres, _ = model.value
+    turn, lists, _ = model.value
     if not sample:
         return 1
     q = np.array([r["vec"] for r in sample])
@@ -224,7 +258,8 @@ def _tuned(placed: DataFrame, queries: DataFrame, model, k: int, recall: float)
 
     best = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score")))
     rows = placed.mapInArrow(exact, "i long, score double, list int").withColumn("r", best).where(F.col("r") <= k).collect()
-    order = np.argsort((centres**2).sum(1)[None, :] - 2 * (_lifted(q, None) @ turn) @ centres.T, axis=1, kind="stable")
-    position = np.argsort(order, axis=1)
-    need = np.sort([position[r["i"], r["list"]] for r in rows])
+    holding: dict[int, list[int]] = {}
+    for r in rows:
+        holding.setdefault(r["i"], []).append(r["list"])
+    need = np.sort([p for i, held in holding.items() for p in np.argsort(list_order(_lifted(q[i : i + 1], None) @ turn, lists, sizes)[0])[held]])
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1 if len(need) else 1

@@ -3,8 +3,9 @@
 Every record is one gzip member. Tasks write one file each into a shared folder and report its name; only reported files
 are read, so a retried task leaves no trace. The reader cuts files into byte ranges. A task looks for the gzip magic in
 its range, takes a candidate for a record only if its bytes decode to a WARC header and the file's end or another member
-follows it, so that an archive inside a payload is not read as records, and owns the records that start inside its range,
-reading past its end where the last one needs it.
+follows it, and owns the records that start inside its range, reading past its end where the last one needs it. A payload
+that is itself an archive of several members and that deflate stores as it is could be taken for records by a range that
+begins inside it; texts in UTF-8 cannot hold the magic.
 
 Of records with equal payloads of at least `least_bytes`, those with the smallest id are responses and the others
 revisits, which carry the payload's digest and length but not the payload.

@@ -35,10 +35,10 @@ def brute_nearest(rows, k):
     return out
 
 
-def found_nearest(spark, rows, k=20):
+def found_nearest(spark, rows, k=20, **how):
     t = nearest.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     out = {}
-    for r in nearest.nearest(t, t.where("vec_id % 20 = 0"), k=k).orderBy("query_id", "rank").collect():
+    for r in nearest.nearest(t, t.where("vec_id % 20 = 0"), k=k, **how).orderBy("query_id", "rank").collect():
         out.setdefault(r.query_id, []).append(r.vec_id)
     return out
 
@@ -67,6 +67,48 @@ def test_every_query_gets_twenty_rows_from_unequal_groups(spark):
     assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("coarse", [1, 4, 16])
+def test_lists_of_two_levels_give_whole_results(spark, coarse):
+    """Fewer coarse centroids than lists are wanted, as beyond a million vectors; groups of unequal size leave lists empty."""
+    ship(spark)
+    rng = np.random.default_rng(11)
+    sizes = [400] * 6 + [40] * 15 + [2] * 10
+    centres = rng.standard_normal((len(sizes), 24)) * 4
+    points = np.concatenate([c + rng.standard_normal((n, 24)) for c, n in zip(centres, sizes, strict=True)])
+    rows = [(i, v.tolist()) for i, v in zip(rng.permutation(len(points)).tolist(), points, strict=True)]
+    want, got = brute_nearest(rows, 20), found_nearest(spark, rows, coarse=coarse, block_rows=256)
+    assert got.keys() == want.keys() and {len(v) for v in got.values()} == {20}
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.9 * 20 * len(want)
+
+
+@pytest.mark.parametrize("n", [2, 20, 22])
+def test_few_vectors_in_lists_of_two_levels(spark, n):
+    ship(spark)
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(n)]
+    got = found_nearest(spark, rows, coarse=1)
+    assert {q: len(v) for q, v in got.items()} == {q: min(20, n - 1) for q in brute_nearest(rows, 20)}
+
+
+def test_lists_of_two_levels_by_their_sums():
+    rng = np.random.default_rng(12)
+    x, q = rng.standard_normal((4000, 6)), rng.standard_normal((30, 6))
+    lists = nearest.fit_lists(x, 60, 8)
+    assert len(lists[0]) == 8 and len(lists[1]) == 8
+    whole = np.array([c + f for c in lists[0] for f in lists[1]])
+    held = np.bincount(nearest.list_of(x, lists), minlength=64)
+    assert held.sum() == 4000 and held.max() < 4000 / 8
+    held[5] = 0
+    far = ((q[:, None] - whole[None]) ** 2).sum(2)
+    far[:, 5] = np.inf
+    got = nearest.list_order(q, lists, held)
+    full = np.flatnonzero(held)
+    assert (np.sort(got, axis=1) == np.arange(64)).all()
+    for a, order in zip(far, got, strict=True):
+        d = a[order[: len(full)]]
+        assert np.isfinite(d).all() and (np.diff(d) > -1e-9).all()
+
+
 def test_rows_of_the_querys_own_id_do_not_count(spark):
     """Sixty rows of id 0 fill its lists; its neighbours lie further away."""
     ship(spark)
