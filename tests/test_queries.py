@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from barlab.plans import registry
 from oracle import differences
@@ -53,11 +54,20 @@ def test_flagship_has_a_row_per_symbol(spark, sf_dir):
 
 
 def test_clusters_are_in_range_and_a_saved_model_says_the_same(spark, sf_dir):
+    """The labels of m04 are the nearest centroids of the saved table, by a plain search; m12 tells of that table."""
+    from barlab.plans.patterns import TWO, VARIANTS
     from barlab.plans.relations import Tables
 
-    windows = Tables(spark, sf_dir).get("windows").count()
-    fitted, saved = (registry.QUERIES[n](spark, sf_dir) for n in ("m04_kmeans", "m12_saved_model"))
-    assert fitted.count() == windows and fitted.exceptAll(saved).count() == 0
-    for name, most in (("m04_kmeans", 8), ("m05_bisecting", 8), ("m06_two_levels", 12)):
+    t = Tables(spark, sf_dir)
+    saved = sorted(tuple(r) for r in t.get("book_flat_8").select("entry", "q").collect())
+    labels = {(r.symbol, r.hour): r.cluster for r in registry.QUERIES["m04_kmeans"](spark, sf_dir).collect()}
+    rows = t.get("scaled_windows").select("symbol", "hour", "q").collect()
+    assert len(labels) == len(rows) == t.get("windows").count() and len(saved) == 8
+    centroids = np.array([q for _, q in saved], dtype=np.int64)
+    for r in rows:
+        assert labels[r.symbol, r.hour] == saved[int(((centroids - np.array(r.q, dtype=np.int64)) ** 2).sum(1).argmin())][0]
+    told = {r.entry: (r.dims, r.first_close, r.last_return, r.total) for r in registry.QUERIES["m12_saved_model"](spark, sf_dir).collect()}
+    assert told == {e: (len(q), q[3], q[99], sum(q)) for e, q in saved}
+    for name, variant in (("m04_kmeans", "flat_8"), ("m05_bisecting", "bisecting_20"), ("m06_two_levels", TWO)):
         low, high = registry.QUERIES[name](spark, sf_dir).selectExpr("min(cluster)", "max(cluster)").first()
-        assert low >= 0 and high < most
+        assert low >= 0 and high < VARIANTS[variant][0]
