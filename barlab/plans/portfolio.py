@@ -6,6 +6,7 @@ calendar day and configuration.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlab.functions.dialect import draw
@@ -132,9 +133,25 @@ query("x22_overlay_variants", "SELECT cfg, variant, count(*) AS days, round(avg(
 # ---------------------------------------------------------------- venues, forward scoring, portfolio configurations
 
 _VENUE = "CASE WHEN l_linenumber % 2 = 0 THEN 'second' ELSE 'reference' END"
-_CELL = [f"{_VENUE} AS venue", "l_suppkey % 10 AS asset", "datediff(cast(l_shipdate AS date), date'1970-01-01') AS day", "struct(struct(l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS ord, l_extendedprice / l_quantity AS price) AS last"]
+_CELL = [f"{_VENUE} AS venue", "l_suppkey % 10 AS asset", "datediff(cast(l_shipdate AS date), date'1970-01-01') AS day"]
+_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
+
+
+def last_of_cells(items: DataFrame) -> DataFrame:
+    """(venue, asset, day, last): the last line item of each venue, asset and day, with its place and price.
+
+    Spark sorts all rows to find the greatest structure of a group, but hashes groups to find the greatest number, so the
+    greatest order comes first, and only its few items are compared as structures. Cells are as many as days, whatever the items.
+    """
+    rows = items.selectExpr(*_CELL, *_ORDER)
+    newest = rows.groupBy("venue", "asset", "day").agg(F.max("l_orderkey").alias("newest"))
+    c = F.broadcast(newest.withColumnsRenamed({x: f"_{x}" for x in ("venue", "asset", "day")}))
+    kept = rows.join(c, F.expr("venue = _venue AND asset <=> _asset AND day <=> _day AND l_orderkey <=> newest"), "left_semi")
+    return kept.groupBy("venue", "asset", "day").agg(F.expr(f"max(struct(struct({', '.join(_ORDER)}) AS ord, l_extendedprice / l_quantity AS price)) AS last"))
+
+
 relation(
-    "venues", lambda t: t.get("t_lineitem").selectExpr(*_CELL).groupBy("venue", "asset", "day").agg(F.max("last").alias("last")).selectExpr("venue", "asset", "day", "1000 + last.price / 20 AS close"),
+    "venues", lambda t: last_of_cells(t.get("t_lineitem")).selectExpr("venue", "asset", "day", "1000 + last.price / 20 AS close"),
     f"SELECT {_VENUE} AS venue, l_suppkey % 10 AS asset, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS day, 1000 + last(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) / 20 AS close FROM lineitem GROUP BY ALL",
     write=True,
 )
