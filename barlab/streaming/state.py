@@ -7,10 +7,12 @@ same part again if it is run again, so a restart counts nothing twice; results d
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -53,6 +55,9 @@ FORWARD_SQL = "SELECT event_type AS symbol, count(*) AS n, round(avg((value - 50
 #: Capital, drawdown that stops a symbol for good and loss of a day that stops it until midnight, in percent; hours that events may be late.
 CAPITAL, BREAKER, DAILY, DELAY_HOURS = 1000.0, 20.0, 3.0, 2
 _HOUR = 3_600_000
+#: Rows of a batch that Python holds before they wait in the state, and how one is packed.
+WAITING_ROWS = 1 << 17
+_PACKED, _ROW = "<qqd", np.dtype([("ms", "<i8"), ("event_id", "<i8"), ("pnl", "<f8")])
 _STATE = "equity double, peak double, day long, lost double, broken boolean, taken long, refused long"
 
 
@@ -63,46 +68,66 @@ def risk_gate() -> StatefulProcessor:
         """Takes a symbol's results in order of time: rows wait until the watermark has passed their hour, then go through the gate.
 
         The gate's state is one value of seven numbers; a timer stands at the end of the earliest hour that waits. Rows later
-        than the watermark never arrive here.
+        than the watermark never arrive here. Rows wait by hour, packed, and hours go through one at a time, so what Python
+        holds is WAITING_ROWS of a batch, or one hour.
         """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.gate = handle.getValueState("gate", _STATE)
-            self.waiting = handle.getListState("waiting", "ms long, event_id long, pnl double")
+            self.parts = handle.getValueState("parts", "n long")
+            self.waiting = handle.getMapState("waiting", "hour long, part long", "packed binary")
 
-        def _timer(self, earliest: int) -> None:
-            self.handle.registerTimer((earliest // _HOUR + 1) * _HOUR)
+        def _timer(self, hour: int) -> None:
+            self.handle.registerTimer((hour + 1) * _HOUR)
+
+        def _wait(self, held: dict[int, bytearray]) -> None:
+            part = self.parts.get()[0] if self.parts.exists() else 0
+            for hour, packed in held.items():
+                self.waiting.updateValue((hour, part), (bytes(packed),))
+            self.parts.update((part + 1,))
+            self._timer(min(held))
 
         def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-            new = [(r.ms, r.event_id, r.pnl) for r in rows]
-            if new:
-                self.waiting.appendList(new)
-                self._timer(min(new)[0])
+            held: dict[int, bytearray] = {}
+            n = 0
+            for r in rows:
+                held.setdefault(r.ms // _HOUR, bytearray()).extend(struct.pack(_PACKED, r.ms, r.event_id, r.pnl))
+                n += 1
+                if n == WAITING_ROWS:
+                    self._wait(held)
+                    held, n = {}, 0
+            if held:
+                self._wait(held)
             return iter(())
 
         def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-            until = timerValues.getCurrentWatermarkInMs() // _HOUR * _HOUR
-            due, rest = [], []
-            for r in self.waiting.get():
-                (due if r[0] < until else rest).append(tuple(r))
+            until = timerValues.getCurrentWatermarkInMs() // _HOUR
+            parts: dict[int, list[int]] = {}
+            for hour, part in self.waiting.keys():
+                parts.setdefault(hour, []).append(part)
+            rest = [h for h in parts if h >= until]
             if rest:
-                self.waiting.put(rest)
-                self._timer(min(rest)[0])
-            else:
-                self.waiting.clear()
+                self._timer(min(rest))
+            due = sorted(h for h in parts if h < until)
             if not due:
                 return
             equity, peak, day, lost, broken, taken, refused = self.gate.get() if self.gate.exists() else (CAPITAL, CAPITAL, -1, 0.0, False, 0, 0)
-            for ms, _, pnl in sorted(due):
-                if ms // (24 * _HOUR) > day:
-                    day, lost = ms // (24 * _HOUR), 0.0
-                broken = broken or (peak - equity) / peak * 100 >= BREAKER
-                if broken or (lost < 0 and -lost / equity * 100 >= DAILY):
-                    refused += 1
-                    continue
-                equity, lost, taken = equity + pnl, lost + pnl, taken + 1
-                peak = max(peak, equity)
+            for hour in due:
+                rows = np.concatenate([np.frombuffer(self.waiting.getValue((hour, part))[0], _ROW) for part in parts[hour]])
+                rows = rows[np.lexsort((rows["pnl"], rows["event_id"], rows["ms"]))]
+                if hour // 24 > day:
+                    day, lost = hour // 24, 0.0
+                for at in range(0, len(rows), WAITING_ROWS):
+                    for pnl in rows["pnl"][at : at + WAITING_ROWS].tolist():
+                        broken = broken or (peak - equity) / peak * 100 >= BREAKER
+                        if broken or (lost < 0 and -lost / equity * 100 >= DAILY):
+                            refused += 1
+                            continue
+                        equity, lost, taken = equity + pnl, lost + pnl, taken + 1
+                        peak = max(peak, equity)
+                for part in parts[hour]:
+                    self.waiting.removeKey((hour, part))
             self.gate.update((equity, peak, day, lost, broken, taken, refused))
             yield Row(symbol=key[0], equity=equity, broken=broken, taken=taken, refused=refused)
 

@@ -113,3 +113,18 @@ def test_order_books_keep_the_best_prices_and_take_empty_sides(spark):
     summary = {r.book: r for r in store.book_summary(spark.createDataFrame([(2, [(5.0, 2.0)], []), (4, [(10.0, 1.0), (9.0, 1.0)], [(10.5, 2.0)])], "book int, bids array<struct<price:double,size:double>>, asks array<struct<price:double,size:double>>"), "book").collect()}
     assert (summary[2].bid_volume, summary[2].ask_volume, summary[2].spread_bps) == (2.0, 0.0, None)
     assert summary[4].spread_bps == pytest.approx(500.0) and summary[4].bid_volume == 2.0
+
+
+def test_rows_of_the_gate_wait_by_hour_in_parts(spark, tmp_path, monkeypatch):
+    """A batch leaves Python seven rows at a time, so hours wait in several parts, which go through in the order of time."""
+    monkeypatch.setattr(state, "WAITING_ROWS", 7)
+    rng = np.random.default_rng(4)
+    rows = [(str(rng.choice(["a", "b"])), int(m), float(rng.normal(30 if m % 1440 > 900 else 60, 60))) for m in sorted(rng.permutation(2000)[:500])]
+    source, at = str(tmp_path / "in"), str(tmp_path / "gate")
+    events(spark, [rows[j] for j in rng.permutation(len(rows))]).coalesce(1).write.parquet(source)
+    state.run_risk_gate(spark.readStream.schema("event_id long, event_type string, value double, ts timestamp_ntz").parquet(source), at)
+    until = (max(r[1] for r in rows) - 60 * state.DELAY_HOURS) // 60 * 60
+    got = {r.symbol: (r.equity, r.broken, r.taken, r.refused) for r in state.latest_of_gate(spark, at).collect()}
+    assert got == gate_by_loop(rows, until)
+    parts = spark.read.format("statestore").option("stateVarName", "parts").load(f"{at}/progress").selectExpr("value.n AS n").collect()
+    assert len(parts) == 2 and all(r.n > 20 for r in parts)
