@@ -5,9 +5,10 @@ it). Documents with the same set form one class of copies and are represented on
 
 Each run draws a hash of every shingle and sends a set to the shingles whose draw is below 1/(t*size), 1/t of them on
 average, so a pair with similarity t or more shares at least one of them with probability 1-1/e or more. A bucket that
-stays large is split again on its members' own further draws; small ones are compared by brute force. The number of
-runs is what brings the chance that a pair at the threshold meets in some run, at the deepest level, to the target
-recall.
+stays large is split again on its members' own further draws; small ones are compared by brute force. Near copies draw
+the same shingles, so splitting does not part them: a large bucket of which nearly all members are like its first sets
+is left to the exact check as one group, at whatever level. The number of runs is what brings the chance that a pair at
+the threshold meets in some run, at the deepest level, to the target recall.
 
 Inside a bucket, sets are compared by 64 one-byte minhashes, and only one link per set is kept: enough to know which
 sets may belong together. The exact check then compares whole shingle sets, all pairs of a connected group, in blocks
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.llm import common as C
@@ -32,6 +33,8 @@ from barlab.llm import common as C
 MINHASHES = 64
 #: Of 64 minhashes; a pair at 0.8 agrees in 51 on average and in fewer than this with a chance of about 1e-6.
 LEAST_AGREEING = 36
+#: The share of a large bucket that must be like one of its first sets, those being connected, for the bucket to be one group.
+NEARLY_ALL, FIRST_SETS = 0.8, 8
 _SIGNED = np.int64
 
 
@@ -201,6 +204,49 @@ def _bucket_links(threshold: float):
     return links
 
 
+def _near(threshold: float):
+    """Of each large bucket's rows in a batch: how many, and how many may link to the largest connected part of the bucket's first sets."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            nodes, at = np.unique(b.column("node").to_numpy(), return_inverse=True)
+            close = np.zeros(len(nodes), np.int64)
+            for i in range(len(nodes)):
+                rows = np.flatnonzero(at == i)
+                own, n = _sketches(b.column("sketch").take(pa.array(rows))), b.column("n").to_numpy()[rows]
+                first = b.column("first")[int(rows[0])].values
+                firsts, m = _sketches(first.field("sketch")), first.field("n").to_numpy()
+                label = _labels(_may_link(firsts, m, firsts, m, threshold))
+                part = label == np.bincount(label).argmax()
+                close[i] = _may_link(own, n, firsts[part], m[part], threshold).any(1).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.bincount(at)), pa.array(close)], names=["node", "rows", "near"])
+
+    return near
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINHASHES)
+
+
+def _may_link(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Which sets of the first sketches and sizes may link to which of the second."""
+    agreeing = np.stack([(a == x).sum(1) for x in b], axis=1)
+    return (agreeing >= LEAST_AGREEING) & (np.minimum(n[:, None], m[None, :]) >= threshold * np.maximum(n[:, None], m[None, :]) - 1e-9)
+
+
+def _alike(hot: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The large buckets whose members may nearly all link to the same of the bucket's first sets; keys are salted."""
+    sets = reps.select("v", "n", "sketch")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("v"))
+    first = hot.withColumn("place", place).where(F.col("place") <= FIRST_SETS).join(sets, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("v", "n", "sketch"))).alias("first"))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    rows = hot.join(sets, "v").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(32)).cast("int")).join(first, ["node", "salt"])
+    counted = rows.select("node", "n", "sketch", "first").mapInArrow(_near(threshold), "node long, rows long, near long")
+    return counted.groupBy("node").agg(F.sum("rows").alias("rows"), F.sum("near").alias("near")).where(F.col("near") >= NEARLY_ALL * F.col("rows")).select("node")
+
+
 def _shared(values: np.ndarray, first: np.ndarray, rows: int) -> np.ndarray:
     """The number of common values of each of the first `rows` sets with each set; memory stays bounded for long sets."""
     m = len(first) - 1
@@ -281,7 +327,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: fl
     )
     reps = sigs.where("n > 0").join(classes.select("v", "k2", "rep._id", "rep._h"), ["v", "k2", "_id", "_h"], "left_semi").dropDuplicates(["v"]).select("v", "n", "nodes", "sketch")
     member = reps.select("v", F.explode("nodes").alias("node"))
-    small, deep, hot = [], 0, None
+    small, whole, deep = [], [], 0
     while True:
         deep += 1
         counts = member.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
@@ -291,16 +337,21 @@ def jaccard_join(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: fl
         if large.isEmpty():
             break
         hot = C.checkpointed(member.join(large, "node", "left_semi"))
-        if deep == depth:
+        if deep == depth:  # still large after the last split
+            whole.append(hot)
+            break
+        alike = C.checkpointed(_alike(hot, reps, threshold))
+        whole.append(hot.join(alike, "node", "left_semi"))
+        hot = hot.join(alike, "node", "left_anti")
+        if hot.isEmpty():
             break
         at = hot.groupBy("v").agg(F.collect_list("node").alias("nodes")).join(classes.select("v", "rep"), "v").select("v", "nodes", F.col("rep._id").alias("_id"), F.col("rep._h").alias("_h"))
         member = C.materialised(keyed.join(at, ["_id", "_h"]).select("_text", "v", "nodes").mapInArrow(_deeper(k, threshold), "v long, node long").distinct(), "jaccard-deeper")
-        hot = None
     buckets = small[0]
     for x in small[1:]:
         buckets = buckets.unionByName(x)
     edges = buckets.join(reps.select("v", "n", "sketch"), "v").repartition("node").sortWithinPartitions("node").mapInArrow(_bucket_links(threshold), "a long, b long")
-    if hot is not None:  # still large after the last split: left to the exact check as one group
+    for hot in whole:  # left to the exact check as one group
         first = hot.groupBy("node").agg(F.min("v").alias("b")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
         edges = edges.unionByName(hot.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(32)).cast("int")).join(first, ["node", "salt"]).select(F.col("v").alias("a"), "b"))
     groups = C.checkpointed(C.components(edges))

@@ -57,6 +57,19 @@ def test_jaccard_join(docs, empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+def test_near_copies_are_one_group_without_splitting(spark, monkeypatch):
+    """Draws of near copies fall on the same shingles: before, each of them was drawn again on every level."""
+    rows = [(i, " ".join(f"x{i}" if w == i % 100 else f"w{w}" for w in range(100))) for i in range(600)]
+    rows += [(600 + i, " ".join(f"y{i}_{w}" for w in range(50)) + " w0 w1 w2 w3 w4 w5 w6 w7 w8") for i in range(20)]
+    split = []
+    whole = jaccard_join._deeper
+    monkeypatch.setattr(jaccard_join, "_deeper", lambda *a: split.append(a) or whole(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r._id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect()}
+    assert got == {i: (0, 599) for i in range(600)} | {600 + i: (600 + i, 0) for i in range(20)}
+    assert not split
+
+
 def test_runs_reach_the_target():
     assert jaccard_join.runs_for(0.999, 1) == 7 and jaccard_join.runs_for(0.999, 4) == 19
 
