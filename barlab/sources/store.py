@@ -24,7 +24,7 @@ def _merged() -> list[Column]:
 def add_batch(root: str, batch: int, events: DataFrame, timeframes: tuple[int, ...] = (1, 4, 24), symbol: str = "event_type", price: str = "value") -> None:
     """Adds the bars of a batch's events (event_id, ts, symbol, price), in hours of each timeframe."""
     ticks = events.where(F.col(price) > 0).select(F.col(symbol).cast("string").alias("symbol"), F.expr(MICROS).alias("us"), "event_id", F.col(price).alias("price"))
-    when = F.struct("us", "event_id")
+    when = F.struct("us", "event_id", "price")
     hourly = ticks.groupBy("symbol", F.expr("us div 3600000000").alias("hour")).agg(
         F.min_by("price", when).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", when).alias("close"), F.count("*").cast("double").alias("volume"), F.min(when).alias("first"), F.max(when).alias("last")
     )

@@ -28,6 +28,19 @@ def test_stored_bars_follow_microseconds(spark, ticks, tmp_path):
     assert [(r.open, r.close) for r in store.stored_bars(spark, str(tmp_path / "bars"), 1).collect()] == [(1.0, 3.0)]
 
 
+@pytest.mark.parametrize("values", [(3.0, 1.0, 2.0), (1.0, 3.0, 2.0), (2.0, 3.0, 1.0)])
+def test_ticks_of_one_time_and_id_are_ordered_by_price(spark, tmp_path, values):
+    rows = [(1, BEGIN, 1, "a", v, '{"k": 1}') for v in values]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1)
+    assert [(r.open, r.close) for r in build_bars(events).collect()] == [(1.0, 3.0)]
+    store.add_batch(str(tmp_path / "bars"), 0, events)
+    assert [(r.open, r.close) for r in store.stored_bars(spark, str(tmp_path / "bars"), 1).collect()] == [(1.0, 3.0)]
+    events.write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    for name in ("c06_run_fingerprint", "s03_bars"):
+        assert differences(spark, str(tmp_path), registry.QUERIES[name], registry.SQL[name]) == []
+
+
 def test_the_last_half_millisecond_belongs_to_its_hour(spark, tmp_path):
     rows = [(0, BEGIN, 1, "a", 1.0, '{"k": 1}'), (1, BEGIN + dt.timedelta(microseconds=3_599_999_734), 1, "a", 2.0, '{"k": 1}')]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "written"))
