@@ -87,10 +87,12 @@ def window_keys(spelled: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarra
     padded = np.full(len(spelled) + order * len(sizes), END, dtype=np.uint8)
     place = np.arange(len(spelled)) + order * np.repeat(np.arange(1, len(sizes) + 1), sizes)
     padded[place] = spelled
-    key = np.zeros(len(spelled), dtype=np.uint64)
-    for j in range(order + 1):
-        key = (key << np.uint64(8)) | padded[place - j].astype(np.uint64)
-    return key
+    # the windows of all places by shifted slices, of which those of the ends before a text are not taken
+    key = padded[order:].astype(np.uint64)
+    for j in range(1, order + 1):
+        key <<= np.uint64(8)
+        key |= padded[order - j : len(padded) - j]
+    return key[place - order]
 
 
 def parts(sizes: np.ndarray, size: int = C.CHUNK_BYTES) -> Iterator[tuple[int, int, int, int]]:
@@ -503,7 +505,8 @@ def _base(order: int, buckets: int, shards: int, splits):
                 keys, inverse = np.unique(window_keys(spelled[lo:hi], sizes[x:y], order), return_inverse=True)
                 own_parts.append((keys, inverse.astype(np.int32), sizes[x:y]))
                 windows.append(keys)
-            windows = np.unique(np.concatenate(windows))
+            windows = np.sort(np.concatenate(windows))  # np.unique would hash
+            windows = windows[np.append(True, windows[1:] != windows[:-1])]
             by, _ = _by_shard(windows, order, shards, splits.value)
             of_window = np.empty(len(p), dtype=np.float64)
             of_window[by] = p

@@ -97,3 +97,15 @@ def test_near_duplicate_stage_keeps_a_row_of_every_class(spark):
     docs = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string, source string, n_chars long")
     got = [r.text or "" for r in pipeline.near_duplicate_stage(spark, docs, "").collect()]
     assert sorted(t.removesuffix(" tail") for t in got) == sorted([*texts, ""])
+
+
+def test_windows_of_every_symbol_equal_a_plain_loop():
+    texts = [b"a b\n", b"\n", b"\xff\x00ab ab ab\n"]
+    for order in (1, 6, 7):
+        want = []
+        for text in texts:
+            full = bytes([language_model.END]) * order + text
+            want += [int.from_bytes(full[i - order : i + 1][::-1], "big") for i in range(order, len(full))]
+        got = language_model.window_keys(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), order)
+        assert got.tolist() == want
+    assert len(language_model.window_keys(np.zeros(0, np.uint8), np.zeros(0, np.int64), 6)) == 0
