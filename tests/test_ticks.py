@@ -54,3 +54,24 @@ def test_fingerprints_equal_their_sql(spark, ticks, tmp_path):
     next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "events.parquet")
     for name in ("c06_run_fingerprint", "s03_bars"):
         assert differences(spark, str(tmp_path), registry.QUERIES[name], registry.SQL[name]) == []
+
+
+@pytest.fixture(scope="module")
+def close_ticks(spark, tmp_path_factory):
+    """Every event of sf0.01 four times: three within a millisecond, ids against the time, the last of them twice with equal time and id; and all prices apart."""
+    at = tmp_path_factory.mktemp("close")
+    copies = "inline(arrays_zip(array(9, 5, 3, 3), array(100, 400, 900, 900), array(1.0D, 1.03D, 0.98D, 1.07D))) AS (k, us, p)"
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").selectExpr("*", copies)
+    rows = events.selectExpr("event_id * 10 + k AS event_id", "timestampadd(MICROSECOND, us, date_trunc('MILLISECOND', ts)) AS ts", "user_id", "event_type", "value * p AS value", "props")
+    rows.withColumn("ts", rows.ts.cast("timestamp_ntz")).coalesce(1).write.parquet(str(at / "written"))
+    next((at / "written").glob("*.parquet")).rename(at / "events.parquet")
+    return str(at)
+
+
+SIGNALS = ["g05_dual_ma", "g09_kama_trend", "g11_chaos_trend", "g12_vol_regime_arb", "g13_pattern_blend", "g15_momentum", "g16_heikin_ashi_ema", "g17_connors_rsi2", "g21_obv_divergence", "g22_two_timeframes"]
+
+
+@pytest.mark.parametrize("name", SIGNALS)
+def test_signals_on_close_ticks_equal_their_sql(spark, close_ticks, name):
+    assert differences(spark, close_ticks, registry.QUERIES[name], registry.SQL[name]) == []
+    assert registry.QUERIES[name](spark, close_ticks).count() > 20
