@@ -37,9 +37,11 @@ def _summed(rows: DataFrame, place: Place) -> list:
                 continue
             x = _matrix(b)
             grp, entry = place(x, b.column("grp").to_numpy(zero_copy_only=False))
-            key = grp * (1 << 20) + entry
-            for k in np.unique(key[grp >= 0]).tolist():
-                own = x[key == k]
+            key = grp.astype(np.int64) * (1 << 20) + entry
+            by = np.argsort(key, kind="stable")
+            by = by[np.searchsorted(key[by], 0) :]
+            cut = np.flatnonzero(np.diff(key[by], prepend=-1))
+            for k, own in zip(key[by][cut].tolist(), np.split(x[by], cut[1:]), strict=False):
                 n, s = held.get(k, (0, 0.0))
                 held[k] = (n + len(own), s + own.sum(0))
         yield pa.RecordBatch.from_arrays(
@@ -48,8 +50,10 @@ def _summed(rows: DataFrame, place: Place) -> list:
         )
 
     parts = rows.select("grp", "q").mapInArrow(sums, "grp int, entry int, n long, sums array<long>").select("grp", "entry", "n", F.posexplode("sums").alias("dim", "s"))
-    per = parts.groupBy("grp", "entry", "dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    return per.groupBy("grp", "entry").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("dim", "s"))), lambda v: v.s).alias("sums")).orderBy("grp", "entry").collect()
+    found: dict[tuple[int, int], dict] = {}
+    for r in sorted(parts.groupBy("grp", "entry", "dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()):
+        found.setdefault((r["grp"], r["entry"]), {"grp": r["grp"], "entry": r["entry"], "n": r["n"], "sums": []})["sums"].append(r["s"])
+    return list(found.values())
 
 
 def _means(books: dict[int, np.ndarray], found: list) -> dict[int, np.ndarray]:

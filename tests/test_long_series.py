@@ -286,3 +286,17 @@ def test_exact_quantiles_equal_numpy(spark, accuracy):
     assert got.keys() == groups.keys()
     for g, x in groups.items():
         assert got[g].n == len(x) and got[g].q == pytest.approx(np.quantile(x, ps).tolist(), rel=1e-12)
+
+
+def test_sums_of_a_round_equal_plain_sums_and_leave_out_rows_without_a_group(spark):
+    from barlab.operators import clusters
+
+    rows = [(g, f"{i:02}", [i, -i]) for i, g in enumerate([0, 2, -1, 0, 1, 2, -1, 0])]
+    place = lambda x, grp: (grp.astype("int64"), (x[:, 0] % 2).astype("int64"))
+    found = clusters._summed(spark.createDataFrame(rows, "grp int, o string, q array<long>").repartition(3), place)
+    want: dict = {}
+    for g, _, (a, b) in rows:
+        if g >= 0:
+            n, s, t = want.get((g, a % 2), (0, 0, 0))
+            want[g, a % 2] = (n + 1, s + a, t + b)
+    assert [(r["grp"], r["entry"], r["n"], r["sums"]) for r in found] == [(g, e, n, [s, t]) for (g, e), (n, s, t) in sorted(want.items())]
