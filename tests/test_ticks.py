@@ -75,3 +75,26 @@ SIGNALS = ["g05_dual_ma", "g09_kama_trend", "g11_chaos_trend", "g12_vol_regime_a
 def test_signals_on_close_ticks_equal_their_sql(spark, close_ticks, name):
     assert differences(spark, close_ticks, registry.QUERIES[name], registry.SQL[name]) == []
     assert registry.QUERIES[name](spark, close_ticks).count() > 20
+
+
+@pytest.fixture(scope="module")
+def tied_ticks(spark, tmp_path_factory):
+    """Every event of sf0.01 six times with the same time and id and other prices, in mixed order."""
+    at = tmp_path_factory.mktemp("tied")
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").selectExpr("*", "explode(array(1.0D, 1.31D, 0.87D, 1.12D, 0.76D, 1.23D)) AS p")
+    rows = events.selectExpr("event_id", "ts", "user_id", "event_type", "round(value * p, 2) AS value", "props", "xxhash64(event_id, p) AS mixed").repartition(1).sortWithinPartitions("mixed").drop("mixed")
+    rows.write.parquet(str(at / "written"))
+    next((at / "written").glob("*.parquet")).rename(at / "events.parquet")
+    return str(at)
+
+
+#: Each of these had other rows than its SQL while ticks of equal time and id were left to chance.
+TIED = [
+    "g05_dual_ma",
+]
+
+
+@pytest.mark.parametrize("name", TIED)
+def test_signals_on_ticks_of_one_time_and_id_equal_their_sql(spark, tied_ticks, name):
+    assert differences(spark, tied_ticks, registry.QUERIES[name], registry.SQL[name]) == []
+    assert registry.QUERIES[name](spark, tied_ticks).count() > 20
