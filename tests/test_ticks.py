@@ -92,6 +92,7 @@ def tied_ticks(spark, tmp_path_factory):
 TIED = [
     "g05_dual_ma",
     "g09_kama_trend",
+    "g11_chaos_trend",
 ]
 
 
