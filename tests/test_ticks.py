@@ -94,6 +94,7 @@ TIED = [
     "g09_kama_trend",
     "g11_chaos_trend",
     "g12_vol_regime_arb",
+    "g13_pattern_blend",
 ]
 
 
