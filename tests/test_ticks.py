@@ -95,6 +95,7 @@ TIED = [
     "g11_chaos_trend",
     "g12_vol_regime_arb",
     "g13_pattern_blend",
+    "g15_momentum",
 ]
 
 
