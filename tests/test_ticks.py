@@ -96,6 +96,7 @@ TIED = [
     "g12_vol_regime_arb",
     "g13_pattern_blend",
     "g15_momentum",
+    "g16_heikin_ashi_ema",
 ]
 
 
