@@ -97,6 +97,7 @@ TIED = [
     "g13_pattern_blend",
     "g15_momentum",
     "g16_heikin_ashi_ema",
+    "g17_connors_rsi2",
 ]
 
 
