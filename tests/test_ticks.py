@@ -98,6 +98,7 @@ TIED = [
     "g15_momentum",
     "g16_heikin_ashi_ema",
     "g17_connors_rsi2",
+    "g21_obv_divergence",
 ]
 
 
