@@ -99,6 +99,7 @@ TIED = [
     "g16_heikin_ashi_ema",
     "g17_connors_rsi2",
     "g21_obv_divergence",
+    "g22_two_timeframes",
 ]
 
 
