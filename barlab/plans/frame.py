@@ -56,7 +56,8 @@ def _second(below: str, mad: str) -> list[Layer]:
     ]
 
 
-_SECOND_SPARK = _second(f"size(filter(collect_list(bb_bandwidth) {over(100)}, x -> x < bb_bandwidth))", f"aggregate(collect_list(tp) {over(20)}, 0D, (a, x) -> a + abs(x - tp_mean)) / 20")
+#: Windows of the same closes in another order have the same bandwidth but for its last bits, so one is below another by more than what rounding leaves (some 1e-14).
+_SECOND_SPARK = _second(f"size(filter(collect_list(bb_bandwidth) {over(100)}, x -> x < bb_bandwidth - 1e-12))", f"aggregate(collect_list(tp) {over(20)}, 0D, (a, x) -> a + abs(x - tp_mean)) / 20")
 _SECOND_SQL = _second(f"len(list_filter(list(bb_bandwidth) {over(100)}, lambda x: x < bb_bandwidth))", f"list_sum(list_transform(list(tp) {over(20)}, lambda x: abs(x - tp_mean))) / 20")
 AVERAGES = {
     "gain_14": ("gain", 1 / 14, 14), "loss_14": ("loss", 1 / 14, 14), "gain_7": ("gain", 1 / 7, 7), "loss_7": ("loss", 1 / 7, 7), "e_up": ("dm_up", 2 / 15, 14), "e_down": ("dm_down", 2 / 15, 14),
